@@ -59,7 +59,7 @@ def customer_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     naics4 = F.concat(_sector(F.col("c_nationkey")), _segment_digits(F.col("c_mktsegment")))
     return (c.join(F.broadcast(geo), c.c_nationkey == geo.n_nationkey, "left")
              .select(F.col("c_custkey"), F.col("c_custkey").cast("string").alias("company_id"),
-                     F.col("c_name"), F.col("c_acctbal"), F.col("c_nationkey"),
+                     F.col("c_name"), F.col("c_acctbal"), F.col("c_nationkey"), F.col("c_mktsegment"),
                      naics4.alias("naics_4digit"),
                      F.concat(naics4, F.when(F.col("c_acctbal") >= 5000, F.lit("1018")).otherwise(F.lit("1005")))
                       .alias("primary_naics"),
@@ -132,3 +132,52 @@ def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
                     source.alias("source"),
                     F.lower(source).isin(*config.SERVED_SOURCES).alias("is_served"),
                     code.alias("square_footage_code"))
+
+
+def naics_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Industry metrics per 4-digit code (stand-in for the metrics file).
+
+    lineitem is reduced per order first (partial aggregation before any
+    join), joined to orders on the order key, reduced per customer, joined
+    to the customer codes and rolled up per industry: every shuffle moves
+    pre-aggregated rows, and no side is broadcast on faith.
+    """
+    from ..operators import scoring
+    li = (table(spark, sf_dir, "lineitem")
+          .groupBy("l_orderkey")
+          .agg(F.count(F.lit(1)).alias("n_lines"),
+               F.count_if(F.col("l_returnflag") == "R").alias("n_returned"),
+               F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("disc_pct")))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    per_cust = (li.join(o, li.l_orderkey == o.o_orderkey)
+                  .groupBy(F.col("o_custkey").alias("c_custkey"))
+                  .agg(F.sum("n_lines").alias("n_lines"), F.sum("n_returned").alias("n_returned"),
+                       F.sum("disc_pct").alias("disc_pct"), F.count(F.lit(1)).alias("n_orders"),
+                       F.count_if(F.col("o_orderstatus") == "F").alias("n_finished"),
+                       F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n_urgent")))
+    cc = customer_codes(spark, sf_dir).select("c_custkey", "naics_4digit", "c_mktsegment")
+    per_code = (per_cust.join(cc, on="c_custkey")
+                  .groupBy(F.col("naics_4digit").alias("naics_code"))
+                  .agg(F.sum("n_lines").alias("n_lines"), F.sum("n_returned").alias("n_returned"),
+                       F.sum("disc_pct").alias("disc_pct"), F.sum("n_orders").alias("n_orders"),
+                       F.sum("n_finished").alias("n_finished"), F.sum("n_urgent").alias("n_urgent"),
+                       F.max("c_mktsegment").alias("segment")))
+    icp = F.lit(100.0) * F.col("n_finished") / F.col("n_orders")
+    market = F.round(scoring.market_size_score(F.col("n_lines")), 4)
+    churn = F.lit(100.0) - F.lit(100.0) * F.col("n_returned") / F.col("n_lines")
+    ticket = F.lit(100.0) - F.lit(100.0) * F.col("n_urgent") / F.col("n_orders")
+    profit = scoring.profitability_score(F.col("disc_pct") / F.col("n_lines") / F.lit(100.0))
+    desc = F.when(F.col("segment") == "MACHINERY", F.concat(F.lit("Machinery Buyers "), F.col("naics_code"))) \
+            .otherwise(F.concat(F.lit("NAICS "), F.col("naics_code")))
+    return per_code.select(
+        "naics_code", desc.alias("naics_description"),
+        F.concat(F.lit("Proven demand from "), F.lower("segment"), F.lit(" buyers")).alias("icp_fit_reasoning"),
+        scoring.naics_attractiveness(icp, market, None_col(), None_col(), None_col(), churn, ticket)
+            .alias("attractiveness_score"),
+        icp.alias("icp_fit_score"), profit.alias("profitability_score"), market.alias("market_size_score"),
+        churn.alias("churn_health_score"), ticket.alias("ticket_health_score"),
+        F.col("n_lines").cast("long").alias("market_size_count"))
+
+
+def None_col() -> Column:
+    return F.lit(None).cast("double")

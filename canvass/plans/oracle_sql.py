@@ -16,7 +16,7 @@ _EXCL = ", ".join(f"'{c}'" for c in config.excluded_naics_codes())
 
 CTE = {
     "cust_codes": f"""cust_codes AS (
-  SELECT c.c_custkey, CAST(c.c_custkey AS VARCHAR) AS company_id, c.c_name, c.c_acctbal, c.c_nationkey,
+  SELECT c.c_custkey, CAST(c.c_custkey AS VARCHAR) AS company_id, c.c_name, c.c_acctbal, c.c_nationkey, c.c_mktsegment,
          coalesce({_SECTOR_LIST}[c.c_nationkey + 1], '99') || {_SEG_CASE} AS naics_4digit,
          coalesce({_SECTOR_LIST}[c.c_nationkey + 1], '99') || {_SEG_CASE}
            || CASE WHEN c.c_acctbal >= 5000 THEN '1018' ELSE '1005' END AS primary_naics,
@@ -62,20 +62,91 @@ CTE = {
          o_orderpriority IN ('1-URGENT', '2-HIGH') AS is_served,
          CAST(least(8, CAST(floor(o_totalprice / 62500) AS INTEGER) + 1) AS VARCHAR) AS square_footage_code
   FROM orders)""",
-    "prepared": f"""prepared AS (
+    "filtered": f"""filtered AS (
+  SELECT * FROM scored
+  WHERE company_id IN (SELECT company_id FROM companies)
+    AND primary_naics IS NOT NULL AND primary_naics NOT IN ({_EXCL}))""",
+    "prepared": """prepared AS (
   SELECT r.*, CAST(coalesce(b.building_count, 0) AS INTEGER) AS building_count
   FROM (SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY primary_naics
                  ORDER BY final_score DESC NULLS LAST, rank ASC NULLS LAST, company_id ASC NULLS LAST) AS INTEGER) AS rank)
-        FROM scored
-        WHERE company_id IN (SELECT company_id FROM companies)
-          AND primary_naics IS NOT NULL AND primary_naics NOT IN ({_EXCL})) r
+        FROM filtered) r
   LEFT JOIN (SELECT company_id, min(building_count) AS building_count FROM companies GROUP BY company_id) b
     ON r.company_id = b.company_id)""",
 }
 
+def _d(x) -> str:
+    """A DOUBLE literal that round-trips the Python float exactly."""
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+_W = config.NAICS_WEIGHTS
+_LN_FULL = _d(__import__("math").log(config.MARKET_SIZE_FULL))
+
+
+def f1_sql(icp, market, conc, bld, rpb, churn, ticket) -> str:
+    n = _d(config.NEUTRAL_COMPONENT)
+    parts = [(_W["icp_fit"], icp), (_W["market_size"], market), (_W["revenue_concentration"], conc),
+             (_W["building_count"], bld), (_W["revenue_per_building"], rpb), (_W["churn_health"], churn),
+             (_W["ticket_health"], ticket)]
+    return " + ".join(f"{_d(w)} * coalesce({c}, {n})" for w, c in parts)
+
+
+def sector_sql(code: str) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v} (' || {code} || ')'" for k, v in config.SECTOR_NAMES)
+    return f"CASE substr({code}, 1, 2) {whens} ELSE 'NAICS ' || {code} END"
+
+
+def generic_sql(desc: str) -> str:
+    return f"({desc} IS NULL OR starts_with({desc}, 'NAICS ') OR trim({desc}) = '')"
+
+
+_INLINE = ", ".join("('{}', '{}', 1)".format(k, v.replace("'", "''")) for k, v in config.SUPPLEMENTARY_DESCRIPTIONS.items())
+
+CTE["metrics"] = f"""li_per_order AS (
+  SELECT l_orderkey, count(*) AS n_lines, count_if(l_returnflag = 'R') AS n_returned,
+         sum(CAST(round(l_discount * 100) AS BIGINT)) AS disc_pct
+  FROM lineitem GROUP BY l_orderkey),
+per_cust AS (
+  SELECT o.o_custkey AS c_custkey, sum(n_lines) AS n_lines, sum(n_returned) AS n_returned, sum(disc_pct) AS disc_pct,
+         count(*) AS n_orders, count_if(o.o_orderstatus = 'F') AS n_finished,
+         count_if(o.o_orderpriority = '1-URGENT') AS n_urgent
+  FROM li_per_order li JOIN orders o ON li.l_orderkey = o.o_orderkey GROUP BY o.o_custkey),
+per_code AS (
+  SELECT cc.naics_4digit AS naics_code, CAST(sum(n_lines) AS BIGINT) AS n_lines,
+         CAST(sum(n_returned) AS BIGINT) AS n_returned, CAST(sum(disc_pct) AS BIGINT) AS disc_pct,
+         CAST(sum(n_orders) AS BIGINT) AS n_orders, CAST(sum(n_finished) AS BIGINT) AS n_finished,
+         CAST(sum(n_urgent) AS BIGINT) AS n_urgent, max(cc.c_mktsegment) AS segment
+  FROM per_cust p JOIN cust_codes cc ON p.c_custkey = cc.c_custkey GROUP BY cc.naics_4digit),
+metric_parts AS (
+  SELECT *, {_d(100)} * n_finished / n_orders AS icp,
+         round(CASE WHEN CAST(n_lines AS DOUBLE) > 0 THEN least({_d(100)}, greatest({_d(0)},
+               {_d(100)} * ln(CAST(n_lines AS DOUBLE)) / {_LN_FULL})) END, 4) AS market,
+         {_d(100)} - {_d(100)} * n_returned / n_lines AS churn,
+         {_d(100)} - {_d(100)} * n_urgent / n_orders AS ticket,
+         least({_d(100)}, greatest({_d(0)}, disc_pct / n_lines / {_d(100)} / {_d(config.PROFIT_MARGIN_FULL)} * {_d(100)})) AS profit
+  FROM per_code),
+metrics AS (
+  SELECT naics_code,
+         CASE WHEN segment = 'MACHINERY' THEN 'Machinery Buyers ' || naics_code ELSE 'NAICS ' || naics_code END AS naics_description,
+         'Proven demand from ' || lower(segment) || ' buyers' AS icp_fit_reasoning,
+         {f1_sql('icp', 'market', 'CAST(NULL AS DOUBLE)', 'CAST(NULL AS DOUBLE)', 'CAST(NULL AS DOUBLE)', 'churn', 'ticket')} AS attractiveness_score,
+         icp AS icp_fit_score, profit AS profitability_score, market AS market_size_score,
+         churn AS churn_health_score, ticket AS ticket_health_score, n_lines AS market_size_count
+  FROM metric_parts)"""
+
+CTE["desc_map"] = f"""desc_map AS (
+  SELECT code, arg_max(description, priority) AS description
+  FROM (SELECT * FROM (VALUES {_INLINE}) t(code, description, priority)
+        UNION ALL
+        SELECT naics_code, naics_description, 3 FROM metrics WHERE NOT {generic_sql('naics_description')}) u
+  WHERE code IS NOT NULL GROUP BY code)"""
+
+
 _DEPS = {
     "cust_codes": [], "order_figs": [], "companies": ["cust_codes", "order_figs"],
-    "scored": ["cust_codes", "order_figs"], "buildings": [], "prepared": ["scored", "companies"],
+    "scored": ["cust_codes", "order_figs"], "buildings": [], "filtered": ["scored", "companies"],
+    "prepared": ["filtered"], "metrics": ["cust_codes"], "desc_map": ["metrics"],
 }
 
 
@@ -103,3 +174,56 @@ def oracle(name: str, sql: str) -> None:
 
 
 oracle("ranked_companies", with_ctes(["prepared"], "SELECT * FROM prepared"))
+
+_RANKINGS_BODY = f"""SELECT m.naics_code,
+       CASE WHEN {generic_sql('m.naics_description')}
+            THEN coalesce(d4.description, dfull.description, {sector_sql('m.naics_code')})
+            ELSE m.naics_description END AS naics_description,
+       m.attractiveness_score,
+       CAST(coalesce(c.company_count, 0) AS BIGINT) AS company_count,
+       CAST(coalesce(c.customer_count, 0) AS BIGINT) AS customer_count,
+       CAST(coalesce(c.company_count, 0) - coalesce(c.customer_count, 0) AS BIGINT) AS prospect_count,
+       m.icp_fit_score, m.profitability_score, m.market_size_score, m.market_size_count,
+       m.churn_health_score, m.ticket_health_score, m.icp_fit_reasoning AS reasoning
+FROM metrics m
+LEFT JOIN (SELECT naics_4digit AS naics_code, count(company_id) AS company_count,
+                  sum(coalesce(CAST(is_customer AS INTEGER), 0)) AS customer_count
+           FROM filtered WHERE naics_4digit IS NOT NULL GROUP BY naics_4digit) c ON m.naics_code = c.naics_code
+LEFT JOIN desc_map d4 ON (CASE WHEN length(m.naics_code) >= 4 THEN substr(m.naics_code, 1, 4) END) = d4.code
+LEFT JOIN desc_map dfull ON m.naics_code = dfull.code"""
+
+CTE["rankings"] = "rankings AS (" + _RANKINGS_BODY + ")"
+_DEPS["rankings"] = ["metrics", "desc_map", "filtered"]
+
+oracle("industry_rankings", with_ctes(["rankings"], "SELECT * FROM rankings"))
+oracle("industry_summary", with_ctes(["rankings"], """SELECT CAST(count(*) AS BIGINT) AS total_industries,
+       max(attractiveness_score) AS top_score, CAST(coalesce(sum(company_count), 0) AS BIGINT) AS total_companies
+FROM rankings"""))
+oracle("industry_search_code", with_ctes(["rankings"], "SELECT * FROM rankings WHERE starts_with(naics_code, '62')"))
+
+
+def _text_search_sql(query: str) -> str:
+    terms = config.expand_search_query(query)
+    conds = " OR ".join(f"coalesce(contains(lower({c}), '{t}'), false)" for c in ("naics_description", "reasoning")
+                        for t in terms)
+    return f"SELECT * FROM rankings WHERE {conds}"
+
+
+oracle("industry_search_text", with_ctes(["rankings"], _text_search_sql("construction")))
+oracle("facet_values", with_ctes(["filtered"], """SELECT facet, value, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT 'scoring_path' AS facet, CAST(scoring_path AS VARCHAR) AS value FROM filtered
+  UNION ALL SELECT 'naics_4digit', CAST(naics_4digit AS VARCHAR) FROM filtered
+  UNION ALL SELECT 'state', CAST(state AS VARCHAR) FROM filtered
+  UNION ALL SELECT 'primary_naics', CAST(primary_naics AS VARCHAR) FROM filtered) s
+WHERE value IS NOT NULL GROUP BY facet, value"""))
+
+_VIEW_PRED = "scoring_path = 'prospect' AND final_score BETWEEN 30.0 AND 90.0"
+oracle("ranked_view", with_ctes(["prepared"], f"""SELECT *, CAST(row_number() OVER (ORDER BY final_score DESC NULLS LAST,
+       company_id ASC NULLS LAST) AS INTEGER) AS global_rank
+FROM prepared WHERE {_VIEW_PRED}"""))
+oracle("filtered_summary", with_ctes(["prepared"], f"""SELECT CAST(count(*) AS BIGINT) AS total_count,
+       CAST(count_if({_VIEW_PRED}) AS BIGINT) AS filtered_count,
+       round(avg(CASE WHEN {_VIEW_PRED} THEN final_score END), 4) AS avg_score,
+       CAST(count_if({_VIEW_PRED} AND is_customer) AS BIGINT) AS customer_count,
+       CAST(count_if({_VIEW_PRED} AND NOT is_customer) AS BIGINT) AS prospect_count
+FROM prepared"""))

@@ -21,13 +21,19 @@ def score_columns(df: DataFrame) -> tuple[str, str]:
     return "augmented_score", "segment_rank"
 
 
+def filter_scored(scored: DataFrame, companies: DataFrame, exclusion_codes: list[str] | None = None) -> DataFrame:
+    """J2 -> P1 -> drop null segments (the rows W1 drops, H4)."""
+    valid = joins.drop_orphans(scored, companies)
+    kept = filters.apply_industry_exclusions(valid, exclusion_codes)
+    return kept.filter(F.col("primary_naics").isNotNull())
+
+
 def prepare_scored(scored: DataFrame, companies: DataFrame, exclusion_codes: list[str] | None = None,
                    strategy: str = "distributed") -> DataFrame:
     """S3 plan body: J2 -> P1 -> W1 -> J3 (one plan; the re-rank cuts lineage
     once, see ``ranking.contiguous_rank``)."""
     score_col, rank_col = score_columns(scored)
-    valid = joins.drop_orphans(scored, companies)
-    kept = filters.apply_industry_exclusions(valid, exclusion_codes)
+    kept = filter_scored(scored, companies, exclusion_codes)
     reranked = ranking.rank_within_segments(kept, "primary_naics", score_col, rank_col, "company_id", strategy)
     return joins.merge_building_count(reranked, companies)
 

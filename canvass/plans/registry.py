@@ -11,8 +11,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pyspark.sql import functions as F
+
+from ..operators import aggregates, filters
 from . import carriers as cr
-from . import ranked
+from . import industry, ranked
+
+# the page filter used by the registered view queries
+VIEW_FILTER = filters.PageFilter(scoring_path="prospect", score_min=30.0, score_max=90.0)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -28,3 +34,55 @@ def query(name: str):
 def q_ranked_companies(spark: SparkSession, sf: str) -> DataFrame:
     """S3 / L1 stage 1: J2 -> P1 -> W1 -> J3."""
     return ranked.prepare_scored(cr.scored(spark, sf), cr.companies(spark, sf))
+
+
+def _filtered(spark, sf):
+    return ranked.filter_scored(cr.scored(spark, sf), cr.companies(spark, sf))
+
+
+def _rankings(spark, sf):
+    return industry.industry_rankings(spark, _filtered(spark, sf), cr.naics_metrics(spark, sf))
+
+
+@query("industry_rankings")
+def q_industry_rankings(spark, sf):
+    """L2: A1 counts -> J9 -> A8/D7 descriptions -> O1."""
+    return _rankings(spark, sf)
+
+
+@query("industry_summary")
+def q_industry_summary(spark, sf):
+    """A2 over the industry rankings."""
+    return aggregates.ranking_summary(_rankings(spark, sf))
+
+
+@query("industry_search_code")
+def q_industry_search_code(spark, sf):
+    """All-digit query -> code prefix."""
+    return filters.search_industries(_rankings(spark, sf), " 62 ")
+
+
+@query("industry_search_text")
+def q_industry_search_text(spark, sf):
+    """Text query expanded with synonyms, literal, case-insensitive."""
+    return filters.search_industries(_rankings(spark, sf), "Construction")
+
+
+@query("facet_values")
+def q_facet_values(spark, sf):
+    """Distinct facet values with counts."""
+    return aggregates.facet_values(_filtered(spark, sf), ["scoring_path", "naics_4digit", "state", "primary_naics"])
+
+
+@query("ranked_view")
+def q_ranked_view(spark, sf):
+    """P2 -> W2 -> O4 over the prepared scored table."""
+    return ranked.ranked_view(ranked.prepare_scored(cr.scored(spark, sf), cr.companies(spark, sf)), VIEW_FILTER)
+
+
+@query("filtered_summary")
+def q_filtered_summary(spark, sf):
+    """A3 (average shown at 4 decimals)."""
+    prepared = ranked.prepare_scored(cr.scored(spark, sf), cr.companies(spark, sf))
+    s = aggregates.filtered_summary(prepared, VIEW_FILTER)
+    return s.withColumn("avg_score", F.round("avg_score", 4))
