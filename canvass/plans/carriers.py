@@ -105,9 +105,13 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     company_score = F.least(F.lit(100.0), F.col("value_cents") / F.lit(float(SCORE_CENTS_FULL)))
     naics_score = F.lit(40.0) + F.col("c_nationkey") * F.lit(2.0)
     is_customer = F.col("n_finished") >= CUSTOMER_MIN_FINISHED
+    # a research document exists for the company (documents keyed by doc_id)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("c_custkey")).distinct() \
+        .withColumn("_has_doc", F.lit(True))
     final = F.when(is_customer, company_score).otherwise(
         F.lit(config.FINAL_NAICS_WEIGHT) * naics_score + F.lit(config.FINAL_COMPANY_WEIGHT) * company_score)
     return (cc.join(figs, on="c_custkey", how="inner")
+              .join(docs, on="c_custkey", how="left")
               .select("company_id", F.col("c_name").alias("company_name"), "primary_naics", "naics_4digit",
                       final.alias("final_score"),
                       naics_score.alias("naics_attractiveness_score"),
@@ -116,7 +120,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
                       is_customer.alias("is_customer"),
                       (F.col("c_nationkey") + 1).cast("int").alias("rank"),
                       "city", "state",
-                      F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("c_acctbal") / 100.0)).alias("icp_fit_score")))
+                      F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("c_acctbal") / 100.0)).alias("icp_fit_score"),
+                      F.coalesce(F.col("_has_doc"), F.lit(False)).alias("has_research_doc")))
 
 
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:

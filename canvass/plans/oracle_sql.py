@@ -53,7 +53,8 @@ CTE = {
          CASE WHEN f.n_finished >= {CUSTOMER_MIN_FINISHED} THEN 'customer_expansion' ELSE 'prospect' END AS scoring_path,
          f.n_finished >= {CUSTOMER_MIN_FINISHED} AS is_customer,
          CAST(cc.c_nationkey + 1 AS INTEGER) AS rank, cc.city, cc.state,
-         greatest(CAST(0 AS DOUBLE), least(CAST(100 AS DOUBLE), cc.c_acctbal / 100.0)) AS icp_fit_score
+         greatest(CAST(0 AS DOUBLE), least(CAST(100 AS DOUBLE), cc.c_acctbal / 100.0)) AS icp_fit_score,
+         cc.c_custkey IN (SELECT doc_id FROM documents) AS has_research_doc
   FROM cust_codes cc JOIN order_figs f ON cc.c_custkey = f.c_custkey)""",
     "buildings": """buildings AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS building_id, CAST(o_custkey AS VARCHAR) AS company_id,
@@ -227,3 +228,85 @@ oracle("filtered_summary", with_ctes(["prepared"], f"""SELECT CAST(count(*) AS B
        CAST(count_if({_VIEW_PRED} AND is_customer) AS BIGINT) AS customer_count,
        CAST(count_if({_VIEW_PRED} AND NOT is_customer) AS BIGINT) AS prospect_count
 FROM prepared"""))
+
+
+# ------------------------------------------------------------------ gates
+CTE["valid_buildings"] = "valid_buildings AS (SELECT * FROM buildings WHERE company_id IN (SELECT company_id FROM companies))"
+_DEPS["valid_buildings"] = ["buildings", "companies"]
+
+
+def _gate(gate, kind, subject, value, threshold, passed, detail="CAST(NULL AS VARCHAR)") -> str:
+    thr = "CAST(NULL AS DOUBLE)" if threshold is None else _d(threshold)
+    return (f"SELECT '{gate}' AS gate, '{kind}' AS kind, '{subject}' AS subject, CAST({value} AS DOUBLE) AS value, "
+            f"{thr} AS threshold, CAST({passed} AS BOOLEAN) AS passed, CAST({detail} AS VARCHAR) AS detail")
+
+
+def _completeness_sql(table: str) -> str:
+    parts = []
+    for f in config.CRITICAL_FIELDS_NEW:
+        v = f"(SELECT avg(CASE WHEN {f} IS NOT NULL THEN 1.0 ELSE 0.0 END) FROM {table})"
+        parts.append(_gate("critical_field_completeness", "blocking", f, v, config.COMPLETENESS_MIN,
+                           f"coalesce({v} >= {_d(config.COMPLETENESS_MIN)}, false)"))
+    return "\nUNION ALL\n".join(parts)
+
+
+def _sample_sql(ids_sql: str) -> str:
+    return f"(SELECT string_agg(id, ',' ORDER BY id) FROM (SELECT id FROM ({ids_sql}) x ORDER BY id LIMIT 5) y)"
+
+
+def _dup_sql(table: str, key: str, subject: str) -> str:
+    d = f"(SELECT {key} AS id, count(*) AS n FROM {table} GROUP BY {key} HAVING count(*) > 1)"
+    rows = f"(SELECT coalesce(sum(n), 0) FROM {d} d)"
+    keys = f"(SELECT count(*) FROM {d} d)"
+    return _gate("no_duplicates", "blocking", subject, rows, 0.0, f"{rows} = 0",
+                 f"CAST({keys} AS VARCHAR) || ' ids; sample: ' || coalesce({_sample_sql(f'SELECT CAST(id AS VARCHAR) AS id FROM {d} d')}, '')")
+
+
+def _integrity_sql(table: str, subject: str) -> str:
+    ids = f"SELECT DISTINCT company_id AS id FROM {table} WHERE company_id NOT IN (SELECT company_id FROM companies)"
+    keys = f"(SELECT count(*) FROM ({ids}) m)"
+    return _gate("join_integrity", "blocking", subject, keys, 0.0, f"{keys} = 0",
+                 f"'sample: ' || coalesce({_sample_sql(ids)}, '')")
+
+
+_COORD = _gate("coordinate_coverage", "non_blocking", "buildings",
+               "(SELECT coalesce(avg(CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN 1.0 ELSE 0.0 END), 0.0) FROM valid_buildings)",
+               config.COORD_COVERAGE_MIN,
+               f"(SELECT coalesce(avg(CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN 1.0 ELSE 0.0 END), 0.0) FROM valid_buildings) >= {_d(config.COORD_COVERAGE_MIN)}")
+_RV = "(SELECT CASE WHEN count(*) > 0 THEN CAST(count_if(has_research_doc) AS DOUBLE) / count(*) ELSE 0.0 END FROM filtered)"
+_RESEARCH = _gate("research_coverage", "non_blocking", "scored", _RV, config.RESEARCH_COVERAGE_MIN,
+                  f"{_RV} >= {_d(config.RESEARCH_COVERAGE_MIN)}")
+_WV = "(SELECT round(sum(w), 9) FROM (VALUES " + ", ".join(f"({_d(w)})" for w in config.NAICS_WEIGHTS.values()) + ") t(w))"
+_WEIGHTS = _gate("scoring_weights", "non_blocking", "weights", _WV, 1.0,
+                 f"coalesce(abs({_WV} - 1.0) <= {_d(config.WEIGHT_SUM_TOLERANCE)}, false)")
+_ER_NONE = _gate("entity_resolution", "non_blocking", "entity_resolution_log", "0.0", config.ER_ORPHAN_MAX, "true", "'no log'")
+
+oracle("gate_completeness", with_ctes(["filtered"], _completeness_sql("filtered")))
+oracle("gate_duplicates", with_ctes(["filtered", "valid_buildings"],
+                                    _dup_sql("filtered", "company_id", "scored.company_id") + "\nUNION ALL\n"
+                                    + _dup_sql("valid_buildings", "building_id", "buildings.building_id")))
+oracle("gate_join_integrity", with_ctes(["scored", "companies", "buildings"],
+                                        _integrity_sql("scored", "scored->companies") + "\nUNION ALL\n"
+                                        + _integrity_sql("buildings", "buildings->companies")))
+oracle("gate_coverage", with_ctes(["filtered", "valid_buildings"], _COORD + "\nUNION ALL\n" + _RESEARCH))
+oracle("startup_validation", with_ctes(["filtered", "valid_buildings"], "\nUNION ALL\n".join([
+    _completeness_sql("filtered"), _dup_sql("filtered", "company_id", "scored.company_id"),
+    _dup_sql("valid_buildings", "building_id", "buildings.building_id"),
+    _integrity_sql("filtered", "scored->companies"), _integrity_sql("valid_buildings", "buildings->companies"),
+    _ER_NONE, _WEIGHTS, _COORD, _RESEARCH])))
+oracle("rank_contiguity", with_ctes(["filtered"], """SELECT primary_naics, min(rank) AS min_rank, max(rank) AS max_rank,
+       CAST(count(DISTINCT rank) AS BIGINT) AS distinct_ranks, CAST(count_if(rank IS NULL) AS BIGINT) AS null_ranks
+FROM filtered GROUP BY primary_naics
+HAVING NOT coalesce(min(rank) = 1 AND max(rank) = count(DISTINCT rank) AND count_if(rank IS NULL) = 0, false)"""))
+oracle("rank_order", with_ctes(["filtered"], """SELECT * FROM (
+  SELECT primary_naics, company_id, final_score, rank,
+         CAST(row_number() OVER (PARTITION BY primary_naics ORDER BY final_score DESC NULLS LAST,
+              rank ASC NULLS LAST, company_id ASC NULLS LAST) AS INTEGER) AS expected_rank
+  FROM filtered) t WHERE rank IS DISTINCT FROM expected_rank"""))
+oracle("valid_buildings", with_ctes(["valid_buildings"], "SELECT * FROM valid_buildings"))
+oracle("orphan_report", with_ctes(["scored", "companies", "buildings"], """
+SELECT 'scored' AS table_name, CAST(count(*) AS BIGINT) AS orphan_rows, CAST(count(DISTINCT company_id) AS BIGINT) AS orphan_keys
+FROM scored WHERE company_id NOT IN (SELECT company_id FROM companies)
+UNION ALL
+SELECT 'buildings', CAST(count(*) AS BIGINT), CAST(count(DISTINCT company_id) AS BIGINT)
+FROM buildings WHERE company_id NOT IN (SELECT company_id FROM companies)"""))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, filters
+from ..operators import aggregates, filters, joins, quality, scoring
 from . import carriers as cr
 from . import industry, ranked
 
@@ -86,3 +86,74 @@ def q_filtered_summary(spark, sf):
     prepared = ranked.prepare_scored(cr.scored(spark, sf), cr.companies(spark, sf))
     s = aggregates.filtered_summary(prepared, VIEW_FILTER)
     return s.withColumn("avg_score", F.round("avg_score", 4))
+
+
+def _valid_buildings(spark, sf):
+    return joins.drop_orphans(cr.buildings(spark, sf), cr.companies(spark, sf))
+
+
+@query("gate_completeness")
+def q_gate_completeness(spark, sf):
+    """A13 on the filtered scored table."""
+    return quality.field_completeness(_filtered(spark, sf))
+
+
+@query("gate_duplicates")
+def q_gate_duplicates(spark, sf):
+    """A10 on scored company ids and building ids."""
+    return quality.duplicates_gate(_filtered(spark, sf), "company_id", "scored.company_id").unionByName(
+        quality.duplicates_gate(_valid_buildings(spark, sf), "building_id", "buildings.building_id"))
+
+
+@query("gate_join_integrity")
+def q_gate_join_integrity(spark, sf):
+    """J10 on the raw (unfiltered) scored and building tables: orphans show."""
+    return quality.join_integrity_gate(cr.scored(spark, sf), cr.companies(spark, sf), cr.buildings(spark, sf))
+
+
+@query("gate_coverage")
+def q_gate_coverage(spark, sf):
+    """A15 + A16."""
+    return quality.coordinate_coverage_gate(_valid_buildings(spark, sf)).unionByName(
+        quality.research_coverage_gate(_filtered(spark, sf)))
+
+
+def _naics_weights(spark):
+    from .. import config
+    return spark.createDataFrame([(k, float(v)) for k, v in config.NAICS_WEIGHTS.items()],
+                                 "component string, weight double")
+
+
+@query("startup_validation")
+def q_startup_validation(spark, sf):
+    """A18 gate report over the loaded tables (weights sum shown to 9 places)."""
+    rep = quality.gate_report(spark, _filtered(spark, sf), cr.companies(spark, sf), _valid_buildings(spark, sf),
+                              er_log=None, weights=_naics_weights(spark))
+    return rep.withColumn("value", F.when(F.col("gate") == "scoring_weights", F.round("value", 9))
+                          .otherwise(F.col("value")))
+
+
+@query("rank_contiguity")
+def q_rank_contiguity(spark, sf):
+    """W3 on the ranks as delivered (before the re-rank)."""
+    return quality.rank_contiguity_violations(_filtered(spark, sf))
+
+
+@query("rank_order")
+def q_rank_order(spark, sf):
+    """W4 on the ranks as delivered."""
+    return quality.rank_order_violations(_filtered(spark, sf))
+
+
+@query("valid_buildings")
+def q_valid_buildings(spark, sf):
+    """S2 + J1: buildings of registered companies."""
+    return _valid_buildings(spark, sf)
+
+
+@query("orphan_report")
+def q_orphan_report(spark, sf):
+    """J1/J2 report side: orphan rows and keys per table."""
+    comp = cr.companies(spark, sf)
+    return joins.orphan_report(cr.scored(spark, sf), comp, "scored").unionByName(
+        joins.orphan_report(cr.buildings(spark, sf), comp, "buildings"))
