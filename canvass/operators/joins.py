@@ -115,3 +115,31 @@ def join_counts(metrics: DataFrame, counts: DataFrame, key_left: str = "naics_co
     for c in count_cols:
         out = out.withColumn(c, F.coalesce(F.col(c), F.lit(0)).cast("long"))
     return out
+
+
+def building_penetration(companies: DataFrame, buildings: DataFrame) -> DataFrame:
+    """A4: per company 100 * served / total buildings; no buildings -> 0."""
+    agg = buildings.groupBy("company_id").agg(
+        F.count(F.lit(1)).alias("total_buildings"),
+        F.count_if(F.col("is_served") == F.lit(True)).alias("served_buildings"))
+    comp = companies.select("company_id").distinct()
+    return (comp.join(agg, on="company_id", how="left")
+                .select("company_id",
+                        F.coalesce(F.col("total_buildings"), F.lit(0)).alias("total_buildings"),
+                        F.coalesce(F.col("served_buildings"), F.lit(0)).alias("served_buildings"),
+                        F.when(F.col("total_buildings") > 0,
+                               F.col("served_buildings") / F.col("total_buildings") * F.lit(100.0))
+                         .otherwise(F.lit(0.0)).alias("penetration_rate")))
+
+
+def estimate_penetration(estimates: DataFrame, served: DataFrame) -> DataFrame:
+    """A5: rate = served / total estimate * 100 (null when the estimate is
+    0); data quality 'none' when nothing is served, else 'estimated'."""
+    j = estimates.join(served, on="company_id", how="left") \
+        .withColumn("served_buildings", F.coalesce(F.col("served_buildings"), F.lit(0)).cast("int"))
+    rate = F.try_divide(F.col("served_buildings").cast("double"), F.col("total_buildings_estimate").cast("double")) \
+        * F.lit(100.0)
+    return j.select("company_id", F.col("total_buildings_estimate").cast("int").alias("total_buildings_estimate"),
+                    "served_buildings", rate.alias("penetration_rate"),
+                    F.when(F.col("served_buildings") > 0, F.lit("estimated")).otherwise(F.lit("none"))
+                     .alias("data_quality"))

@@ -186,3 +186,16 @@ def naics_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def None_col() -> Column:
     return F.lit(None).cast("double")
+
+
+def crm_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRM company domains: customers with an urgent order are in the CRM
+    under their bare domain; customers with a high-priority order under a
+    domain with a path (which never matches in strict mode, H10)."""
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"))
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    name_key = F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit("")))
+    suffix = F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("/")).otherwise(F.lit("/contact"))
+    return (o.join(c, o.o_custkey == c.c_custkey)
+             .select(F.concat(F.lit("https://www."), name_key, F.lit(".example.com"), suffix).alias("domain"))
+             .distinct())

@@ -310,3 +310,69 @@ FROM scored WHERE company_id NOT IN (SELECT company_id FROM companies)
 UNION ALL
 SELECT 'buildings', CAST(count(*) AS BIGINT), CAST(count(DISTINCT company_id) AS BIGINT)
 FROM buildings WHERE company_id NOT IN (SELECT company_id FROM companies)"""))
+
+
+# ------------------------------------------------------------- enrichment
+def d1_sql(c: str) -> str:
+    base = f"regexp_replace(replace(replace(replace(lower(trim({c})), 'http://', ''), 'https://', ''), 'www.', ''), '/+$', '')"
+    return f"nullif(split_part({base}, '/', 1), '')"
+
+
+def d2_sql(c: str) -> str:
+    return f"nullif(regexp_replace(replace(replace(replace(lower(trim({c})), 'http://', ''), 'https://', ''), 'www.', ''), '/+$', ''), '')"
+
+
+CTE["crm"] = """crm AS (
+  SELECT DISTINCT 'https://www.' || lower(replace(c.c_name, '#', '')) || '.example.com'
+         || CASE WHEN o.o_orderpriority = '1-URGENT' THEN '/' ELSE '/contact' END AS domain
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+  WHERE o.o_orderpriority IN ('1-URGENT', '2-HIGH'))"""
+CTE["crm_flag"] = f"""crm_flag AS (
+  SELECT company_id, bool_or(coalesce({d1_sql('website')} IN (SELECT {d2_sql('domain')} FROM crm WHERE {d2_sql('domain')} IS NOT NULL), false)) AS hit
+  FROM companies GROUP BY company_id)"""
+CTE["penetration"] = """penetration AS (
+  SELECT c.company_id, CAST(c.building_count_estimate AS INTEGER) AS total_buildings_estimate,
+         CAST(coalesce(s.served, 0) AS INTEGER) AS served_buildings,
+         CAST(coalesce(s.served, 0) AS DOUBLE) / CAST(c.building_count_estimate AS DOUBLE) * 100.0 AS penetration_rate,
+         CASE WHEN coalesce(s.served, 0) > 0 THEN 'estimated' ELSE 'none' END AS data_quality
+  FROM companies c
+  LEFT JOIN (SELECT company_id, count(*) AS served FROM valid_buildings WHERE is_served GROUP BY company_id) s
+    ON c.company_id = s.company_id)"""
+_DEPS.update({"crm": [], "crm_flag": ["crm", "companies"], "penetration": ["companies", "valid_buildings"]})
+
+_RAW = "c.building_count_estimate, c.growing_business_code, c.contacts_count"
+oracle("raw_field_enrichment", with_ctes(["filtered"], f"""SELECT f.*, {_RAW}
+FROM filtered f LEFT JOIN companies c ON f.company_id = c.company_id"""))
+oracle("crm_presence", with_ctes(["filtered", "crm_flag"], """SELECT f.company_id, coalesce(k.hit, false) AS in_hubspot
+FROM filtered f LEFT JOIN crm_flag k ON f.company_id = k.company_id"""))
+oracle("penetration_estimates", with_ctes(["penetration"], "SELECT * FROM penetration"))
+oracle("building_penetration", with_ctes(["companies", "valid_buildings"], """SELECT c.company_id,
+       coalesce(b.total, 0) AS total_buildings, coalesce(b.served, 0) AS served_buildings,
+       CASE WHEN b.total > 0 THEN CAST(b.served AS DOUBLE) / CAST(b.total AS DOUBLE) * 100.0 ELSE 0.0 END AS penetration_rate
+FROM (SELECT DISTINCT company_id FROM companies) c
+LEFT JOIN (SELECT company_id, CAST(count(*) AS BIGINT) AS total, CAST(count_if(is_served) AS BIGINT) AS served
+           FROM valid_buildings GROUP BY company_id) b ON c.company_id = b.company_id"""))
+oracle("penetration_lookup", with_ctes(["filtered", "penetration"], """SELECT f.company_id, p.penetration_rate,
+       CASE WHEN p.penetration_rate IS NOT NULL THEN printf('%.1f%%', p.penetration_rate) ELSE '—' END AS penetration_display
+FROM filtered f LEFT JOIN penetration p ON f.company_id = p.company_id"""))
+
+_GROWTH = "CASE upper(trim(growing_business_code)) " + " ".join(
+    f"WHEN '{k}' THEN '{v}'" for k, v in config.GROWTH_LABELS.items()) + " ELSE upper(trim(growing_business_code)) END"
+oracle("ranked_table", with_ctes(["prepared", "crm_flag"], f"""SELECT company_id,
+       CAST(row_number() OVER (ORDER BY final_score DESC NULLS LAST, company_id ASC NULLS LAST) AS INTEGER) AS rank,
+       company_name AS company, scoring_path AS path,
+       CASE WHEN naics_4digit IS NULL THEN '—' WHEN TRY_CAST(naics_4digit AS DOUBLE) IS NOT NULL
+            THEN CAST(CAST(trunc(TRY_CAST(naics_4digit AS DOUBLE)) AS BIGINT) AS VARCHAR) ELSE naics_4digit END AS naics,
+       round(final_score, 1) AS final_score, round(company_opportunity_score, 1) AS company_score,
+       CASE WHEN city IS NOT NULL AND state IS NOT NULL THEN city || ', ' || state ELSE '—' END AS location,
+       CASE WHEN coalesce(in_hubspot, false) THEN '✅' ELSE '' END AS in_hubspot,
+       CASE WHEN icp_fit_score IS NULL THEN '—' ELSE CAST(CAST(trunc(icp_fit_score) AS BIGINT) AS VARCHAR) END AS icp_fit,
+       CAST(coalesce(building_count_estimate, 0) AS INTEGER) AS buildings,
+       CASE WHEN growing_business_code IS NULL THEN '—' ELSE {_GROWTH} END AS growth,
+       CAST(coalesce(contacts_count, 0) AS INTEGER) AS contacts,
+       round(naics_attractiveness_score, 1) AS naics_score,
+       0 AS employees, '—' AS revenue_m
+FROM (SELECT p.*, {_RAW}, coalesce(k.hit, false) AS in_hubspot
+      FROM prepared p LEFT JOIN companies c ON p.company_id = c.company_id
+      LEFT JOIN crm_flag k ON p.company_id = k.company_id) e
+WHERE final_score BETWEEN 0.0 AND 100.0"""))

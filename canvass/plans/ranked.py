@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import formatting as fmt
 from ..operators import filters, joins, ranking
 from ..sources.readers import detect_score_format
 
@@ -44,3 +45,45 @@ def ranked_view(prepared: DataFrame, spec: filters.PageFilter | None = None,
     view = filters.apply_page_filter(prepared, spec or filters.PageFilter())
     ranked = ranking.global_rank(view, "final_score", "global_rank", "company_id", strategy)
     return ranked.orderBy(F.col("global_rank"))
+
+
+def enrich(prepared: DataFrame, companies: DataFrame, crm: DataFrame | None,
+           penetration: DataFrame | None = None) -> DataFrame:
+    """L1 stage 2: J4 raw fields, J5 CRM flag (no CRM data -> all False),
+    J6 penetration rate."""
+    e = joins.enrich_raw_fields(prepared, companies)
+    if crm is None:
+        e = e.withColumn("in_hubspot", F.lit(False))
+    else:
+        e = joins.flag_crm_presence(e, companies, crm)
+    if penetration is not None:
+        e = joins.penetration_lookup(e, penetration)
+    return e
+
+
+def display_table(view: DataFrame) -> DataFrame:
+    """The ranked table's display projection (numeric scores rounded to
+    one decimal stay numeric; absent optional columns show 0 / '—')."""
+    cols = set(view.columns)
+
+    def opt(name):
+        return F.col(name) if name in cols else F.lit(None)
+
+    return view.select(
+        "company_id",
+        F.col("global_rank").alias("rank"),
+        F.col("company_name").alias("company"),
+        F.col("scoring_path").alias("path"),
+        fmt.code_text(F.col("naics_4digit")).alias("naics"),
+        F.round("final_score", 1).alias("final_score"),
+        F.round("company_opportunity_score", 1).alias("company_score"),
+        fmt.location(opt("city"), opt("state")).alias("location"),
+        fmt.check_mark(F.col("in_hubspot")).alias("in_hubspot"),
+        fmt.icp_display(opt("icp_fit_score")).alias("icp_fit"),
+        fmt.int_or_zero(opt("building_count_estimate")).alias("buildings"),
+        (fmt.growth_label(F.col("growing_business_code")) if "growing_business_code" in cols
+         else F.lit(fmt.DASH)).alias("growth"),
+        fmt.int_or_zero(opt("contacts_count")).alias("contacts"),
+        F.round("naics_attractiveness_score", 1).alias("naics_score"),
+        fmt.int_or_zero(opt("location_employee_size")).alias("employees"),
+        fmt.revenue_millions(opt("sales_volume")).alias("revenue_m"))

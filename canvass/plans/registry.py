@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates, filters, joins, quality, scoring
 from . import carriers as cr
 from . import industry, ranked
+from ..functions import formatting as fmt
 
 # the page filter used by the registered view queries
 VIEW_FILTER = filters.PageFilter(scoring_path="prospect", score_min=30.0, score_max=90.0)
@@ -157,3 +158,55 @@ def q_orphan_report(spark, sf):
     comp = cr.companies(spark, sf)
     return joins.orphan_report(cr.scored(spark, sf), comp, "scored").unionByName(
         joins.orphan_report(cr.buildings(spark, sf), comp, "buildings"))
+
+
+def _prepared(spark, sf):
+    return ranked.prepare_scored(cr.scored(spark, sf), cr.companies(spark, sf))
+
+
+def _penetration(spark, sf):
+    comp = cr.companies(spark, sf)
+    est = comp.select("company_id", F.col("building_count_estimate").alias("total_buildings_estimate"))
+    served = (_valid_buildings(spark, sf).where(F.col("is_served") == F.lit(True))
+              .groupBy("company_id").agg(F.count(F.lit(1)).alias("served_buildings")))
+    return joins.estimate_penetration(est, served)
+
+
+@query("raw_field_enrichment")
+def q_raw_field_enrichment(spark, sf):
+    """Raw company fields, first row per id."""
+    return joins.enrich_raw_fields(_filtered(spark, sf), cr.companies(spark, sf))
+
+
+@query("crm_presence")
+def q_crm_presence(spark, sf):
+    """J5 with D1/D2 domain cleaning (strict: CRM paths kept)."""
+    comp = cr.companies(spark, sf)
+    return joins.flag_crm_presence(_filtered(spark, sf), comp, cr.crm_companies(spark, sf)) \
+        .select("company_id", "in_hubspot")
+
+
+@query("penetration_estimates")
+def q_penetration_estimates(spark, sf):
+    """A5: estimate-level penetration per company."""
+    return _penetration(spark, sf)
+
+
+@query("building_penetration")
+def q_building_penetration(spark, sf):
+    """A4: building-level penetration per company."""
+    return joins.building_penetration(cr.companies(spark, sf), _valid_buildings(spark, sf))
+
+
+@query("penetration_lookup")
+def q_penetration_lookup(spark, sf):
+    """Rate per scored company, shown as '12.5%' or '—'."""
+    j = joins.penetration_lookup(_filtered(spark, sf).select("company_id"), _penetration(spark, sf))
+    return j.withColumn("penetration_display", fmt.percent_or_dash(F.col("penetration_rate")))
+
+
+@query("ranked_table")
+def q_ranked_table(spark, sf):
+    """L1 end to end: prepared -> J4/J5 -> P2 -> W2 -> D17 projection."""
+    e = ranked.enrich(_prepared(spark, sf), cr.companies(spark, sf), cr.crm_companies(spark, sf))
+    return ranked.display_table(ranked.ranked_view(e, filters.PageFilter()))
