@@ -199,3 +199,50 @@ def crm_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (o.join(c, o.o_custkey == c.c_custkey)
              .select(F.concat(F.lit("https://www."), name_key, F.lit(".example.com"), suffix).alias("domain"))
              .distinct())
+
+
+def company_research(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Research rows with JSON text columns, one per document (company id =
+    doc id): the whole document is the reasoning; its lines are the signal
+    array; concerns take every JSON shape the reader must handle (array,
+    bare string, array of numbers, not JSON at all); the summary object has
+    a null section for German documents."""
+    d = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name")
+    j = d.join(lab, on="doc_id", how="left").join(c, on="doc_id", how="left")
+    lines = F.split(F.col("text"), "\n")
+    concerns = (F.when(F.col("lang") == "de", F.col("text"))
+                 .when(F.col("lang") == "fr", F.concat(F.lit('"'), F.col("source"), F.lit('"')))
+                 .when(F.col("lang") == "es", F.concat(F.lit("["), F.col("n_chars").cast("string"), F.lit(","),
+                                                       F.col("doc_id").cast("string"), F.lit("]")))
+                 .otherwise(F.to_json(F.array(F.col("source"), F.col("lang")))))
+    news = F.when(F.col("lang") != "de", F.struct(
+        (F.col("quality") == 1).alias("found_recent_news"),
+        F.concat(F.lit("Update from "), F.col("source")).alias("headline"),
+        F.col("lang").alias("date"),
+        F.when(F.col("toxic") == 1, F.lit("risk")).otherwise(F.lit("growth")).alias("signal_type"),
+        F.concat(F.lit("Document of "), F.col("n_chars").cast("string"), F.lit(" characters")).alias("summary")))
+    jobs = F.struct((F.col("n_chars") > 5000).alias("found_ops_roles"),
+                    F.when(F.col("n_chars") > 10000, F.lit("large")).otherwise(F.lit("small")).alias("hiring_scale"),
+                    lines.alias("role_examples"), F.col("source").alias("summary"))
+    corp = F.struct((F.col("lang") == "en").alias("has_vendor_portal"),
+                    (F.col("toxic") == 0).alias("has_facilities_dept"),
+                    (F.col("quality") == 0).alias("centralized_operations"),
+                    F.col("lang").alias("professionalism_level"), F.col("source").alias("summary"))
+    summary = F.to_json(F.struct(news.alias("news_findings"), jobs.alias("jobs_findings"),
+                                 corp.alias("corporate_ops_findings")))
+    return j.select(
+        F.col("doc_id").cast("string").alias("company_id"),
+        F.coalesce(F.col("c_name"), F.lit("Unknown Company")).alias("company_name"),
+        (F.col("quality") == 1).alias("had_web_research"),
+        F.least(F.lit(100.0), F.col("n_chars") / 200.0).alias("icp_fit_score"),
+        F.when(F.col("toxic") == 1, F.lit("low")).when(F.col("quality") == 1, F.lit("high"))
+         .otherwise(F.lit("medium")).alias("confidence"),
+        F.col("text").alias("reasoning"),
+        F.when(F.col("lang") == "en", F.lit("pursue")).when(F.col("lang") == "fr", F.lit("nurture"))
+         .alias("recommendation"),
+        F.col("source").alias("timing"),
+        F.to_json(lines).alias("hot_lead_signals"),
+        concerns.alias("concerns"),
+        summary.alias("research_summary"))

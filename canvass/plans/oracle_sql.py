@@ -376,3 +376,134 @@ FROM (SELECT p.*, {_RAW}, coalesce(k.hit, false) AS in_hubspot
       FROM prepared p LEFT JOIN companies c ON p.company_id = c.company_id
       LEFT JOIN crm_flag k ON p.company_id = k.company_id) e
 WHERE final_score BETWEEN 0.0 AND 100.0"""))
+
+
+# ------------------------------------------------------------------ export
+CTE["research"] = """research AS (
+  SELECT CAST(d.doc_id AS VARCHAR) AS company_id, coalesce(c.c_name, 'Unknown Company') AS company_name,
+         l.quality = 1 AS had_web_research,
+         least(CAST(100 AS DOUBLE), CAST(d.n_chars AS DOUBLE) / CAST(200 AS DOUBLE)) AS icp_fit_score,
+         CASE WHEN l.toxic = 1 THEN 'low' WHEN l.quality = 1 THEN 'high' ELSE 'medium' END AS confidence,
+         d.text AS reasoning,
+         CASE d.lang WHEN 'en' THEN 'pursue' WHEN 'fr' THEN 'nurture' END AS recommendation,
+         d.source AS timing,
+         CAST(to_json(string_split(d.text, chr(10))) AS VARCHAR) AS hot_lead_signals,
+         CASE WHEN d.lang = 'de' THEN d.text
+              WHEN d.lang = 'fr' THEN '"' || d.source || '"'
+              WHEN d.lang = 'es' THEN '[' || CAST(d.n_chars AS VARCHAR) || ',' || CAST(d.doc_id AS VARCHAR) || ']'
+              ELSE CAST(to_json([d.source, d.lang]) AS VARCHAR) END AS concerns,
+         CAST(to_json({'news_findings': CASE WHEN d.lang <> 'de' THEN {
+                          'found_recent_news': l.quality = 1, 'headline': 'Update from ' || d.source,
+                          'date': d.lang, 'signal_type': CASE WHEN l.toxic = 1 THEN 'risk' ELSE 'growth' END,
+                          'summary': 'Document of ' || CAST(d.n_chars AS VARCHAR) || ' characters'} END,
+                       'jobs_findings': {'found_ops_roles': d.n_chars > 5000,
+                          'hiring_scale': CASE WHEN d.n_chars > 10000 THEN 'large' ELSE 'small' END,
+                          'role_examples': string_split(d.text, chr(10)), 'summary': d.source},
+                       'corporate_ops_findings': {'has_vendor_portal': d.lang = 'en', 'has_facilities_dept': l.toxic = 0,
+                          'centralized_operations': l.quality = 0, 'professionalism_level': d.lang,
+                          'summary': d.source}}) AS VARCHAR) AS research_summary
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN customer c ON d.doc_id = c.c_custkey)"""
+CTE["merged"] = f"""merged AS (
+  SELECT p.*, coalesce(k.hit, false) AS in_hubspot,
+         r.had_web_research, r.confidence, r.reasoning, r.hot_lead_signals, r.concerns, r.recommendation,
+         r.timing, r.research_summary,
+         c.website, c.building_count_estimate, c.growing_business_code, c.contacts_count
+  FROM prepared p
+  LEFT JOIN crm_flag k ON p.company_id = k.company_id
+  LEFT JOIN research r ON p.company_id = r.company_id
+  LEFT JOIN companies c ON p.company_id = c.company_id
+  WHERE {_VIEW_PRED})"""
+_DEPS.update({"research": [], "merged": ["prepared", "crm_flag", "research", "companies"]})
+
+
+def _allstr(s):
+    return f"coalesce(list_bool_and(list_transform(json_extract({s}, '$[*]'), lambda x: json_type(x) = 'VARCHAR')), true)"
+
+
+def d3_count_sql(s: str) -> str:
+    return (f"CAST(CASE WHEN {s} IS NULL OR {s} = '' THEN 0 WHEN NOT json_valid({s}) THEN 0 "
+            f"WHEN json_type({s}) = 'ARRAY' AND {_allstr(s)} THEN json_array_length({s}) ELSE 0 END AS INTEGER)")
+
+
+def d3_text_sql(s: str) -> str:
+    return (f"CASE WHEN {s} IS NULL OR {s} = '' THEN '' WHEN NOT json_valid({s}) THEN {s} "
+            f"WHEN json_type({s}) = 'ARRAY' AND {_allstr(s)} THEN array_to_string(json_extract_string({s}, '$[*]'), chr(10)) "
+            f"WHEN json_type({s}) = 'ARRAY' THEN {s} "
+            f"WHEN json_type({s}) = 'VARCHAR' THEN json_extract_string({s}, '$') "
+            f"WHEN json_type({s}) = 'BOOLEAN' THEN CASE WHEN json_extract_string({s}, '$') = 'true' THEN 'True' ELSE 'False' END "
+            f"WHEN json_type({s}) = 'NULL' THEN 'None' ELSE CAST(json({s}) AS VARCHAR) END")
+
+
+def d6_sql(r: str) -> str:
+    return (f"CASE WHEN {r} IS NULL THEN '' WHEN length({r}) > {config.REASONING_MAX_CHARS} "
+            f"THEN substr({r}, 1, {config.REASONING_MAX_CHARS}) || '...' ELSE {r} END")
+
+
+def _q(name: str) -> str:
+    return '"' + name.replace('"', '""') + '"'
+
+
+def _sheet1_sql() -> str:
+    from .export import SHEET1_NAMES, SHEET1_ORDER
+    present = {"company_id", "company_name", "primary_naics", "naics_4digit", "city", "state", "scoring_path",
+               "is_customer", "in_hubspot", "final_score", "naics_attractiveness_score", "company_opportunity_score",
+               "icp_fit_score", "building_count_estimate", "growing_business_code", "contacts_count", "website",
+               "recommendation", "confidence", "timing", "rank", "has_research_doc"}
+    special = {"icp_reasoning_short": d6_sql("reasoning"), "signals_count": d3_count_sql("hot_lead_signals"),
+               "concerns_count": d3_count_sql("concerns")}
+    cols = []
+    for c in SHEET1_ORDER:
+        if c in special:
+            cols.append(f"{special[c]} AS {_q(SHEET1_NAMES[c])}")
+        elif c in present:
+            cols.append(f"{c} AS {_q(SHEET1_NAMES[c])}")
+    return "SELECT " + ",\n       ".join(cols) + "\nFROM merged"
+
+
+def _sheet2_sql() -> str:
+    from .export import SHEET2_NAMES
+    exprs = [("company_id", "company_id"), ("company_name", "company_name"), ("icp_fit_score", "icp_fit_score"),
+             ("recommendation", "recommendation"), ("confidence", "confidence"), ("reasoning", "reasoning"),
+             ("hot_lead_signals_expanded", d3_text_sql("hot_lead_signals")),
+             ("concerns_expanded", d3_text_sql("concerns")), ("timing", "timing")]
+    return "SELECT " + ",\n       ".join(f"{e} AS {_q(SHEET2_NAMES[c])}" for c, e in exprs) + "\nFROM merged"
+
+
+def _d4_sql(s: str) -> list[tuple[str, str]]:
+    def b(path):
+        v = f"json_extract_string({s}, '{path}')"
+        return f"coalesce(CASE {v} WHEN 'true' THEN true WHEN 'false' THEN false END, false)"
+
+    def t(path):
+        return f"coalesce(json_extract_string({s}, '{path}'), '')"
+
+    roles = (f"coalesce(array_to_string(list_slice(json_extract_string({s}, '$.jobs_findings.role_examples[*]'), 1, "
+             f"{config.ROLE_EXAMPLES_MAX}), chr(10)), '')")
+    return [("news_found", b("$.news_findings.found_recent_news")), ("news_headline", t("$.news_findings.headline")),
+            ("news_date", t("$.news_findings.date")), ("news_signal_type", t("$.news_findings.signal_type")),
+            ("news_summary", t("$.news_findings.summary")),
+            ("jobs_found_ops_roles", b("$.jobs_findings.found_ops_roles")),
+            ("jobs_hiring_scale", t("$.jobs_findings.hiring_scale")), ("jobs_role_examples", roles),
+            ("corp_has_vendor_portal", b("$.corporate_ops_findings.has_vendor_portal")),
+            ("corp_has_facilities_dept", b("$.corporate_ops_findings.has_facilities_dept")),
+            ("corp_centralized_operations", b("$.corporate_ops_findings.centralized_operations")),
+            ("corp_professionalism_level", t("$.corporate_ops_findings.professionalism_level")),
+            ("corp_summary", t("$.corporate_ops_findings.summary"))]
+
+
+def _sheet3_sql() -> str:
+    from .export import SHEET3_NAMES
+    exprs = [("company_id", "company_id"), ("company_name", "company_name"), ("had_web_research", "had_web_research")]
+    exprs += _d4_sql("research_summary")
+    return ("SELECT " + ",\n       ".join(f"{e} AS {_q(SHEET3_NAMES[c])}" for c, e in exprs)
+            + "\nFROM merged WHERE had_web_research = true")
+
+
+oracle("export_rankings", with_ctes(["merged"], _sheet1_sql()))
+oracle("export_reasoning", with_ctes(["merged"], _sheet2_sql()))
+oracle("export_research", with_ctes(["merged"], _sheet3_sql()))
+oracle("export_manifest", with_ctes(["merged"], """SELECT * FROM (VALUES
+  ('Export Timestamp', '2026-01-01 00:00:00'),
+  ('Total Companies Exported', (SELECT CAST(count(*) AS VARCHAR) FROM merged)),
+  ('Filter: Customer Status', 'prospect'), ('Filter: NAICS Code', 'All'), ('Filter: HubSpot Status', 'All'),
+  ('Filter: State', 'All'), ('Filter: Score Range (Min)', '30.0'), ('Filter: Score Range (Max)', '90.0')) t("Property", "Value")"""))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates, filters, joins, quality, scoring
 from . import carriers as cr
-from . import industry, ranked
+from . import export, industry, ranked
 from ..functions import formatting as fmt
 
 # the page filter used by the registered view queries
@@ -210,3 +210,39 @@ def q_ranked_table(spark, sf):
     """L1 end to end: prepared -> J4/J5 -> P2 -> W2 -> D17 projection."""
     e = ranked.enrich(_prepared(spark, sf), cr.companies(spark, sf), cr.crm_companies(spark, sf))
     return ranked.display_table(ranked.ranked_view(e, filters.PageFilter()))
+
+
+EXPORT_TIMESTAMP = "2026-01-01 00:00:00"   # manifest stamp of the registered export (a parameter)
+VIEW_FILTER_INFO = {"customer_status": "prospect", "score_min": 30.0, "score_max": 90.0}
+
+
+def _merged(spark, sf):
+    comp = cr.companies(spark, sf)
+    prepared = _prepared(spark, sf)
+    ids = filters.apply_page_filter(prepared, VIEW_FILTER).select("company_id")
+    flags = joins.flag_crm_presence(comp.select("company_id"), comp, cr.crm_companies(spark, sf))
+    return export.merge_export_data(prepared, cr.company_research(spark, sf), comp, ids, flags)
+
+
+@query("export_rankings")
+def q_export_rankings(spark, sf):
+    """J7 -> D3 counts -> D6 -> P13: the company rankings export table."""
+    return export.sheet_rankings(_merged(spark, sf))
+
+
+@query("export_reasoning")
+def q_export_reasoning(spark, sf):
+    """J7 -> D3 expanded arrays: the reasoning export table."""
+    return export.sheet_reasoning(_merged(spark, sf))
+
+
+@query("export_research")
+def q_export_research(spark, sf):
+    """J7 -> P11 -> D4: the web research export table."""
+    return export.sheet_research(_merged(spark, sf))
+
+
+@query("export_manifest")
+def q_export_manifest(spark, sf):
+    """Export manifest (count from the merged rows)."""
+    return export.export_manifest(_merged(spark, sf), VIEW_FILTER_INFO, EXPORT_TIMESTAMP)
