@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from .. import config
 
-_WS = r"\s+"
+# whitespace as Python's str.split() sees it (ASCII and Unicode spaces)
+_WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
 def truncate_reasoning(c: Column, limit: int = config.REASONING_MAX_CHARS) -> Column:
@@ -44,7 +45,7 @@ def format_research_document(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Whitespace-separated words (Python ``str.split()``: no empty items)."""
-    return F.filter(F.split(F.trim(c), _WS), lambda w: w != F.lit(""))
+    return F.filter(F.split(c, _WS), lambda w: w != F.lit(""))
 
 
 def word_count(c: Column) -> Column:

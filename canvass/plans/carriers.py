@@ -246,3 +246,20 @@ def company_research(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.to_json(lines).alias("hot_lead_signals"),
         concerns.alias("concerns"),
         summary.alias("research_summary"))
+
+
+def research_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Research documents (one per doc / company): status from the label
+    (completed / pending / missing), a stored word-count statistic and a
+    stored URGENT / ACTION count as an upstream tool would have written."""
+    d = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name")
+    j = d.join(lab, on="doc_id", how="left").join(c, on="doc_id", how="left")
+    return j.select(F.col("doc_id").cast("string").alias("company_id"),
+                    F.col("c_name").alias("company_name"),
+                    F.col("text").alias("research_document"),
+                    F.when(F.col("quality") == 1, F.lit("completed")).when(F.col("quality") == 0, F.lit("pending"))
+                     .alias("status"),
+                    F.struct((F.col("n_chars") / 6).cast("int").alias("word_count")).alias("document_stats"),
+                    F.col("toxic").alias("urgent_flags"), F.col("quality").alias("action_flags"))

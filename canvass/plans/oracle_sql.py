@@ -507,3 +507,89 @@ oracle("export_manifest", with_ctes(["merged"], """SELECT * FROM (VALUES
   ('Total Companies Exported', (SELECT CAST(count(*) AS VARCHAR) FROM merged)),
   ('Filter: Customer Status', 'prospect'), ('Filter: NAICS Code', 'All'), ('Filter: HubSpot Status', 'All'),
   ('Filter: State', 'All'), ('Filter: Score Range (Min)', '30.0'), ('Filter: Score Range (Max)', '90.0')) t("Property", "Value")"""))
+
+
+# -------------------------------------------------------------- geo, docs
+def reason_sql(lat: str, lon: str) -> str:
+    return (f"CASE WHEN {lat} IS NULL OR {lon} IS NULL OR isnan({lat}) OR isnan({lon}) THEN 'Coordinates missing' "
+            f"WHEN NOT ({lat} BETWEEN -90.0 AND 90.0) THEN 'Latitude out of range: ' || CAST({lat} AS VARCHAR) "
+            f"WHEN NOT ({lon} BETWEEN -180.0 AND 180.0) THEN 'Longitude out of range: ' || CAST({lon} AS VARCHAR) END")
+
+
+CTE["hq"] = """hq AS (
+  SELECT f.*, c.hq_latitude AS latitude, c.hq_longitude AS longitude
+  FROM filtered f LEFT JOIN companies c ON f.company_id = c.company_id)"""
+_DEPS["hq"] = ["filtered", "companies"]
+
+oracle("coordinate_validation", with_ctes(["valid_buildings"], f"""SELECT building_id, source,
+       {reason_sql('latitude', 'longitude')} AS coord_reason FROM valid_buildings"""))
+oracle("exclusion_summary", with_ctes(["valid_buildings"], f"""SELECT
+       CAST(count_if(r IS NOT NULL) AS BIGINT) AS total_excluded,
+       CAST(count_if(r IS NOT NULL AND source = 'dataaxle') AS BIGINT) AS dataaxle_excluded,
+       CAST(count_if(r IS NOT NULL AND source = 'manual') AS BIGINT) AS manual_excluded
+FROM (SELECT source, {reason_sql('latitude', 'longitude')} AS r FROM valid_buildings) t"""))
+oracle("map_statistics", with_ctes(["hq"], f"""SELECT CAST(count(*) AS BIGINT) AS total_companies,
+       CAST(count_if(r IS NULL) AS BIGINT) AS valid_companies, CAST(count_if(r IS NOT NULL) AS BIGINT) AS excluded_companies,
+       CAST(count_if(r IS NULL AND is_customer) AS BIGINT) AS customers,
+       CAST(count_if(r IS NULL) - count_if(r IS NULL AND is_customer) AS BIGINT) AS prospects
+FROM (SELECT *, {reason_sql('latitude', 'longitude')} AS r FROM hq) t"""))
+oracle("marker_colors", with_ctes(["hq"], f"""SELECT company_id,
+       CASE WHEN coalesce(is_customer, false) THEN 'green' ELSE 'red' END AS color_customer_status,
+       CASE WHEN coalesce(has_research_doc, false) THEN 'blue' ELSE 'gray' END AS color_research_status,
+       CASE WHEN coalesce(final_score, 0.0) >= 80 THEN 'green' WHEN coalesce(final_score, 0.0) >= 60 THEN 'gold'
+            WHEN coalesce(final_score, 0.0) >= 40 THEN 'orange' ELSE 'red' END AS color_score_tier
+FROM hq WHERE ({reason_sql('latitude', 'longitude')}) IS NULL"""))
+
+_WS_SQL = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def words_sql(t: str) -> str:
+    return f"list_filter(regexp_split_to_array({t}, '{_WS_SQL}'), lambda w: w <> '')"
+
+
+CTE["rdocs"] = """rdocs AS (
+  SELECT CAST(d.doc_id AS VARCHAR) AS company_id, c.c_name AS company_name, d.text AS research_document,
+         CASE WHEN l.quality = 1 THEN 'completed' WHEN l.quality = 0 THEN 'pending' END AS status,
+         CAST(trunc(d.n_chars / 6) AS INTEGER) AS stat_word_count, l.toxic AS urgent_flags, l.quality AS action_flags
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN customer c ON d.doc_id = c.c_custkey)"""
+_DEPS["rdocs"] = []
+
+
+def count_sql(t: str, marker: str) -> str:
+    return f"CAST(len(regexp_extract_all({t}, '{marker}')) AS INTEGER)"
+
+
+oracle("document_flags", with_ctes(["rdocs"], f"""SELECT company_id,
+       CAST(len({words_sql('research_document')}) AS INTEGER) AS word_count,
+       {count_sql('research_document', 'URGENT')} AS urgent_flags, {count_sql('research_document', 'ACTION')} AS action_flags,
+       len({words_sql('research_document')}) > 0 AS has_content,
+       {count_sql('research_document', 'WITH')} AS with_flags, {count_sql('research_document', 'THAT')} AS that_flags,
+       coalesce(company_name, 'Unknown Company') AS company_name
+FROM rdocs"""))
+
+_NOTICE = " || ".join(["chr(10)", "chr(10)", "'...'", "chr(10)", "chr(10)",
+                       "'*(Document truncated for display. Full content available.)*'"])
+_HL = (r"regexp_replace(regexp_replace(research_document, '\*\*URGENT:\*\*', '🚨 **URGENT:**', 'g'), "
+       r"'\*\*ACTION:\*\*', '✅ **ACTION:**', 'g')")
+oracle("document_display", with_ctes(["rdocs"], f"""SELECT company_id,
+       CASE WHEN len({words_sql('h')}) > {config.DOCUMENT_MAX_WORDS}
+            THEN array_to_string(list_slice({words_sql('h')}, 1, {config.DOCUMENT_MAX_WORDS}), ' ') || {_NOTICE}
+            ELSE h END AS display_text,
+       coalesce(len({words_sql('h')}) > {config.DOCUMENT_MAX_WORDS}, false) AS was_truncated
+FROM (SELECT company_id, {_HL} AS h FROM rdocs) t"""))
+
+_Q = "''"   # a quote inside an SQL string literal
+_REASON = (
+    f"CASE WHEN research_document IS NULL THEN 'Missing {_Q}research_document{_Q} field' "
+    f"WHEN status IS NULL THEN 'Missing {_Q}status{_Q} field' "
+    f"WHEN status <> 'completed' THEN 'Status is {_Q}' || status || '{_Q}, expected {_Q}completed{_Q}' "
+    f"WHEN length(research_document) < {config.DOC_MIN_CHARS} THEN 'Document too short: ' "
+    f"|| CAST(length(research_document) AS VARCHAR) || ' chars (minimum {config.DOC_MIN_CHARS})' "
+    f"WHEN stat_word_count < {config.DOC_MIN_WORDS} THEN 'Word count too low: ' "
+    f"|| CAST(stat_word_count AS VARCHAR) || ' (minimum {config.DOC_MIN_WORDS})' END")
+oracle("document_validity", with_ctes(["rdocs"], f"SELECT company_id, ({_REASON}) IS NULL AS is_valid, "
+                                                  f"{_REASON} AS reason FROM rdocs"))
+oracle("flag_count_mismatch", with_ctes(["rdocs"], f"""SELECT * FROM (
+  SELECT company_id, urgent_flags, action_flags, {count_sql('research_document', 'URGENT')} AS urgent_in_text,
+         {count_sql('research_document', 'ACTION')} AS action_in_text FROM rdocs) t
+WHERE urgent_flags IS DISTINCT FROM urgent_in_text OR action_flags IS DISTINCT FROM action_in_text"""))

