@@ -593,3 +593,78 @@ oracle("flag_count_mismatch", with_ctes(["rdocs"], f"""SELECT * FROM (
   SELECT company_id, urgent_flags, action_flags, {count_sql('research_document', 'URGENT')} AS urgent_in_text,
          {count_sql('research_document', 'ACTION')} AS action_in_text FROM rdocs) t
 WHERE urgent_flags IS DISTINCT FROM urgent_in_text OR action_flags IS DISTINCT FROM action_in_text"""))
+
+
+# ------------------------------------------------------------------ scoring
+def _log_scale_sql(x: str, cap: float) -> str:
+    return (f"CASE WHEN {x} IS NULL THEN NULL ELSE least({_d(100)}, greatest({_d(0)}, "
+            f"{_d(100)} * ln(1 + greatest(CAST({x} AS DOUBLE), {_d(0)})) / {_d(__import__('math').log1p(cap))})) END")
+
+
+def _wsum_sql(parts) -> str:
+    n = _d(config.NEUTRAL_COMPONENT)
+    return " + ".join(f"{_d(w)} * coalesce({c}, {n})" for w, c in parts)
+
+
+_P = config.PROSPECT_WEIGHTS
+_C = config.CUSTOMER_WEIGHTS
+_CAPS = {"buildings": 25.0, "revenue": 5_000_000.0, "employees": 250.0}
+_B = _log_scale_sql("building_count_estimate", _CAPS["buildings"])
+_R = _log_scale_sql("sales_volume", _CAPS["revenue"])
+_E = _log_scale_sql("c_employees", _CAPS["employees"])
+_CT = (f"CASE WHEN coalesce(contacts_count, 0) > 0 THEN {_d(config.CONTACT_SCORE_HAS)} "
+       f"ELSE {_d(config.CONTACT_SCORE_NONE)} END")
+_NULLD = "CAST(NULL AS DOUBLE)"
+oracle("company_scoring", with_ctes(["filtered"], f"""SELECT company_id, scoring_path,
+       round(b, 4) AS buildings_score, round(r, 4) AS revenue_score, round(e, 4) AS employee_score, ct AS contact_score,
+       round(comp, 4) AS company_opportunity_score,
+       round(CASE WHEN is_customer = true THEN comp
+                  ELSE {_d(config.FINAL_NAICS_WEIGHT)} * naics_attractiveness_score + {_d(config.FINAL_COMPANY_WEIGHT)} * comp END, 4) AS final_score
+FROM (SELECT *, CASE WHEN is_customer = true
+                     THEN {_wsum_sql([(_C['expansion'], 'b'), (_C['churn'], _NULLD), (_C['profitability'], _NULLD), (_C['tickets'], _NULLD)])}
+                     ELSE {_wsum_sql([(_P['icp_fit'], 'icp_fit_score'), (_P['buildings'], 'b'), (_P['revenue'], 'r'), (_P['employees'], 'e'), (_P['contacts'], 'ct')])}
+                END AS comp
+      FROM (SELECT f.*, {_B} AS b, {_R} AS r, {_E} AS e, {_CT} AS ct
+            FROM (SELECT f.*, c.building_count_estimate, c.sales_volume, c.employees AS c_employees, c.contacts_count
+                  FROM filtered f LEFT JOIN companies c ON f.company_id = c.company_id) f) x) y"""))
+oracle("naics_metrics", with_ctes(["metrics"], "SELECT * FROM metrics"))
+
+_TARGETS = ", ".join(f"('{c}', {n})" for c, n in config.NAICS_TARGETS)
+oracle("industry_caps", with_ctes(["filtered"], f"""SELECT company_id, naics_4digit, max_companies, building_count_estimate
+FROM (SELECT f.company_id, f.naics_4digit, t.max_companies, c.building_count_estimate,
+             row_number() OVER (PARTITION BY f.naics_4digit ORDER BY c.building_count_estimate DESC NULLS LAST,
+                                f.company_id ASC) AS pos
+      FROM filtered f LEFT JOIN companies c ON f.company_id = c.company_id
+      JOIN (VALUES {_TARGETS}) t(naics_4digit, max_companies) ON f.naics_4digit = t.naics_4digit
+      WHERE c.building_count_estimate - 1 > 0) x
+WHERE pos <= max_companies"""))
+
+_CH_ROWS = [(code, ch) for ch, spec in config.CHANNELS.items() for code in spec["naics_codes"]]
+_CH_CASE = "CASE " + " ".join(f"WHEN starts_with(primary_naics, '{code}') THEN '{ch}'"
+                              for code, ch in sorted(_CH_ROWS, key=lambda r: -len(r[0]))) + \
+           f" ELSE '{config.DEFAULT_CHANNEL}' END"
+
+
+def _ov(comp: str) -> str:
+    whens = " ".join(f"WHEN '{ch}' THEN {_d(spec['score_weights_override'][comp])}"
+                     for ch, spec in config.CHANNELS.items() if comp in (spec.get("score_weights_override") or {}))
+    return f"CASE channel_id {whens} END"
+
+
+oracle("channel_assignment", with_ctes(["scored"], f"""SELECT channel_id, company_id, primary_naics,
+       {_ov('hygiene_relevance')} AS hygiene_relevance, {_ov('geographic_fit')} AS geographic_fit,
+       {_ov('decision_maker_clarity')} AS decision_maker_clarity
+FROM (SELECT company_id, primary_naics, {_CH_CASE} AS channel_id FROM scored) s"""))
+
+_SQFT = ", ".join("('{}', '{}', {}, {}, {})".format(c, r, lo, "NULL" if hi is None else hi, "true" if inc else "false")
+                  for c, r, lo, hi, inc in config.SQFT_CODES)
+oracle("sqft_filter", with_ctes(["valid_buildings"], f"""SELECT b.building_id, b.square_footage_code, q.sqft_range,
+       CAST(q.sqft_min AS INTEGER) AS sqft_min, CAST(q.sqft_max AS INTEGER) AS sqft_max, q.sqft_include IS NULL AS sqft_unknown
+FROM valid_buildings b
+LEFT JOIN (VALUES {_SQFT}) q(square_footage_code, sqft_range, sqft_min, sqft_max, sqft_include)
+  ON b.square_footage_code = q.square_footage_code
+WHERE coalesce(q.sqft_include, true)"""))
+oracle("research_eligibility", with_ctes(["companies"], """SELECT company_id,
+       coalesce(building_count_estimate, 0) >= 5
+       AND (coalesce(sales_volume, 0.0) >= 10000000.0 OR coalesce(employees, 0) >= 100) AS eligible
+FROM companies"""))

@@ -321,3 +321,78 @@ def q_flag_count_mismatch(spark, sf):
                      tx.count_marker(doc, "ACTION").alias("action_in_text"))
              .where(~F.col("urgent_flags").eqNullSafe(F.col("urgent_in_text"))
                     | ~F.col("action_flags").eqNullSafe(F.col("action_in_text"))))
+
+
+# carrier caps for the anchor-only log scales (F9): parameters, not reference values
+LOG_CAPS = {"buildings": 25.0, "revenue": 5_000_000.0, "employees": 250.0}
+
+
+def _round4(c):
+    return F.round(c, 4)
+
+
+@query("company_scoring")
+def q_company_scoring(spark, sf):
+    """Company opportunity (prospect or customer path) and
+    final score from components (missing ones neutral)."""
+    comp = cr.companies(spark, sf).select("company_id", "building_count_estimate", "sales_volume", "employees",
+                                          "contacts_count")
+    s = _filtered(spark, sf).join(comp, on="company_id", how="left")
+    b = scoring.log_scale(F.col("building_count_estimate"), LOG_CAPS["buildings"])
+    r = scoring.log_scale(F.col("sales_volume"), LOG_CAPS["revenue"])
+    e = scoring.log_scale(F.col("employees"), LOG_CAPS["employees"])
+    c = scoring.contact_score(F.col("contacts_count"))
+    prospect = scoring.prospect_opportunity(F.col("icp_fit_score"), b, r, e, c)
+    customer = scoring.customer_opportunity(b, F.lit(None).cast("double"), F.lit(None).cast("double"),
+                                            F.lit(None).cast("double"))
+    company = F.when(F.col("is_customer") == F.lit(True), customer).otherwise(prospect)
+    final = scoring.final_score(F.col("is_customer"), F.col("naics_attractiveness_score"), company)
+    return s.select("company_id", "scoring_path", _round4(b).alias("buildings_score"), _round4(r).alias("revenue_score"),
+                    _round4(e).alias("employee_score"), c.alias("contact_score"),
+                    _round4(company).alias("company_opportunity_score"), _round4(final).alias("final_score"))
+
+
+@query("naics_metrics")
+def q_naics_metrics(spark, sf):
+    """industry metrics and attractiveness."""
+    return cr.naics_metrics(spark, sf)
+
+
+@query("industry_caps")
+def q_industry_caps(spark, sf):
+    """P17 + W6: target industries, multi-location companies, at most
+    ``max_companies`` per industry by size (desc) then id."""
+    comp = cr.companies(spark, sf).select("company_id", "building_count_estimate")
+    s = _filtered(spark, sf).join(comp, on="company_id", how="left")
+    t = scoring.targets_table(spark)
+    kept = scoring.target_industries(s.withColumn("branch_count", F.col("building_count_estimate") - 1), t,
+                                     "naics_4digit", "branch_count")
+    capped = scoring.cap_industries(kept, t, [F.col("building_count_estimate").desc_nulls_last(),
+                                              F.col("company_id").asc()])
+    return capped.select("company_id", "naics_4digit", "max_companies", "building_count_estimate")
+
+
+@query("channel_assignment")
+def q_channel_assignment(spark, sf):
+    """J13 + F11: longest NAICS prefix -> channel (default 'general'), with
+    the channel's weight overrides."""
+    ch = scoring.channel_table(spark)
+    out = scoring.assign_channel(cr.scored(spark, sf).select("company_id", "primary_naics"), ch)
+    w = scoring.weights_frame(spark).groupBy("channel_id").pivot(
+        "component", ["hygiene_relevance", "geographic_fit", "decision_maker_clarity"]).agg(F.first("weight"))
+    return out.join(F.broadcast(w), on="channel_id", how="left")
+
+
+@query("sqft_filter")
+def q_sqft_filter(spark, sf):
+    """P16 + J14: buildings of 5,000 sq ft and more (codes 4-8)."""
+    kept = scoring.apply_sqft_rule(_valid_buildings(spark, sf), scoring.sqft_table(spark))
+    return kept.select("building_id", "square_footage_code", "sqft_range", "sqft_min", "sqft_max", "sqft_unknown")
+
+
+@query("research_eligibility")
+def q_research_eligibility(spark, sf):
+    """5+ locations and ($10M+ revenue or 100+ employees)."""
+    c = cr.companies(spark, sf)
+    return c.select("company_id", scoring.research_eligible(F.col("building_count_estimate"), F.col("sales_volume"),
+                                                            F.col("employees")).alias("eligible"))
