@@ -190,7 +190,7 @@ def score_delta(augmented: Column, standard: Column) -> Column:
 def format_delta(augmented: Column, standard: Column) -> Column:
     d = score_delta(augmented, standard)
     r = fixed(d, 1)
-    return F.when(d.isNotNull(), F.when(py_round(d, 1) >= 0, F.concat(F.lit("+"), r)).otherwise(r))
+    return F.when(d.isNotNull(), F.when(d >= 0, F.concat(F.lit("+"), r)).otherwise(r))
 
 
 def churn_risk_message(tier: Column) -> Column:
@@ -255,7 +255,8 @@ def sales_text(sales: Column, corporate: Column, revenue: Column) -> Column:
 
 def fallback(*cols: Column, default: str = "N/A") -> Column:
     """First non-blank of the given columns, else the default."""
-    return F.coalesce(*[F.nullif(F.trim(c.cast("string")), F.lit("")) for c in cols], F.lit(default))
+    return F.coalesce(*[F.when(F.trim(c.cast("string")) != F.lit(""), c.cast("string")) for c in cols],
+                      F.lit(default))
 
 
 def source_badge(source: Column) -> Column:

@@ -95,7 +95,11 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("n_finished").cast("int").alias("contacts_count"),
                       "city", "state",
                       (F.col("n_orders") * 10).cast("int").alias("employees"),
-                      (F.col("value_cents") / 100.0).alias("sales_volume")))
+                      (F.col("value_cents") / 100.0).alias("sales_volume"),
+                      F.to_json(F.struct(F.lit("Pat").alias("first_name"), F.col("c_name").alias("last_name"),
+                                         F.array(F.initcap("c_mktsegment"), F.lit("Buyer")).alias("job_titles"),
+                                         F.concat(F.lower("c_mktsegment"), F.lit("_manager")).alias("management_level")))
+                       .alias("primary_contact")))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -263,3 +267,39 @@ def research_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                      .alias("status"),
                     F.struct((F.col("n_chars") / 6).cast("int").alias("word_count")).alias("document_stats"),
                     F.col("toxic").alias("urgent_flags"), F.col("quality").alias("action_flags"))
+
+
+def contact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One contact per order: the buyer desk of the order's priority, its
+    e-mail at the customer's domain, the order date as text."""
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", "o_orderdate")
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    dom = F.concat(F.lower(F.replace(F.col("c_name"), F.lit("#"), F.lit(""))), F.lit(".example.com"))
+    return (o.join(c, o.o_custkey == c.c_custkey)
+             .select(F.col("o_custkey").cast("string").alias("company_id"),
+                     F.concat(F.lit("Buyer "), F.col("o_orderpriority")).alias("contact_name"),
+                     F.concat(F.lower(F.regexp_replace("o_orderpriority", "[^A-Za-z]", "")), F.lit("@"), dom)
+                      .alias("contact_email"),
+                     F.date_format("o_orderdate", "yyyy-MM-dd").alias("contact_date")))
+
+
+def churn_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Churn probability = share of a customer's orders not finished; tier
+    by thresholds 0.7 / 0.4."""
+    f = order_figures(spark, sf_dir)
+    p = F.lit(1.0) - F.col("n_finished") / F.col("n_orders")
+    return f.select(F.col("c_custkey").cast("string").alias("company_id"), p.alias("churn_probability"),
+                    F.when(p >= 0.7, F.lit("High")).when(p >= 0.4, F.lit("Medium")).otherwise(F.lit("Low"))
+                     .alias("risk_tier"),
+                    F.lit("2024-06-30").alias("prediction_date"),
+                    (F.lit(100.0) - F.lit(100.0) * F.col("n_urgent") / F.col("n_orders")).alias("ticket_health"))
+
+
+def crm_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRM engagements from the event stream (user = company)."""
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").cast("string").alias("engagement_id"),
+                    F.col("user_id").cast("string").alias("company_id"),
+                    F.col("event_type").alias("engagement_type"),
+                    F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"),
+                    F.col("props").alias("body"))

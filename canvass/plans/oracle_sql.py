@@ -38,7 +38,10 @@ CTE = {
          CASE WHEN cc.c_acctbal < 2000 THEN 'S' WHEN cc.c_acctbal < 5000 THEN 'C'
               WHEN cc.c_acctbal < 8000 THEN '+' ELSE 'G' END AS growing_business_code,
          CAST(f.n_finished AS INTEGER) AS contacts_count, cc.city, cc.state,
-         CAST(f.n_orders * 10 AS INTEGER) AS employees, f.value_cents / 100.0 AS sales_volume
+         CAST(f.n_orders * 10 AS INTEGER) AS employees, f.value_cents / 100.0 AS sales_volume,
+         CAST(to_json({'first_name': 'Pat', 'last_name': cc.c_name,
+                       'job_titles': [upper(substr(cc.c_mktsegment, 1, 1)) || lower(substr(cc.c_mktsegment, 2)), 'Buyer'],
+                       'management_level': lower(cc.c_mktsegment) || '_manager'}) AS VARCHAR) AS primary_contact
   FROM cust_codes cc LEFT JOIN order_figs f ON cc.c_custkey = f.c_custkey
   WHERE cc.c_acctbal >= 0)""",
     "scored": f"""scored AS (
@@ -668,3 +671,109 @@ oracle("research_eligibility", with_ctes(["companies"], """SELECT company_id,
        coalesce(building_count_estimate, 0) >= 5
        AND (coalesce(sales_volume, 0.0) >= 10000000.0 OR coalesce(employees, 0) >= 100) AS eligible
 FROM companies"""))
+
+
+# ------------------------------------------------- contacts, churn, profile
+CTE["contacts"] = """contacts AS (
+  SELECT CAST(o.o_custkey AS VARCHAR) AS company_id, 'Buyer ' || o.o_orderpriority AS contact_name,
+         lower(regexp_replace(o.o_orderpriority, '[^A-Za-z]', '', 'g')) || '@' || lower(replace(c.c_name, '#', ''))
+           || '.example.com' AS contact_email,
+         strftime(o.o_orderdate, '%Y-%m-%d') AS contact_date
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey)"""
+CTE["csum"] = """csum AS (
+  SELECT company_id, CAST(count(*) AS INTEGER) AS contact_count, max(contact_date) AS last_contact_date,
+         array_to_string(list_sort(list_distinct(list(contact_name))), '; ') AS contact_names,
+         array_to_string(list_sort(list_distinct(list(contact_email))), '; ') AS contact_emails
+  FROM contacts GROUP BY company_id)"""
+CTE["churn"] = """churn AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS company_id, 1.0 - CAST(n_finished AS DOUBLE) / n_orders AS churn_probability,
+         CASE WHEN 1.0 - CAST(n_finished AS DOUBLE) / n_orders >= 0.7 THEN 'High'
+              WHEN 1.0 - CAST(n_finished AS DOUBLE) / n_orders >= 0.4 THEN 'Medium' ELSE 'Low' END AS risk_tier,
+         '2024-06-30' AS prediction_date,
+         CAST(100 AS DOUBLE) - CAST(100 AS DOUBLE) * n_urgent / n_orders AS ticket_health
+  FROM order_figs)"""
+_DEPS.update({"contacts": [], "csum": ["contacts"], "churn": ["order_figs"]})
+
+oracle("contact_summary", with_ctes(["csum"], "SELECT * FROM csum"))
+oracle("interaction_counts", """SELECT CAST(user_id AS VARCHAR) AS company_id, event_type AS engagement_type,
+       CAST(count(*) AS BIGINT) AS n_engagements
+FROM events GROUP BY user_id, event_type""")
+oracle("naics_risk_metrics", with_ctes(["filtered", "churn"], """SELECT f.naics_4digit, CAST(count(*) AS BIGINT) AS n_companies,
+       round(avg(ch.churn_probability), 6) AS avg_churn, round(avg(ch.ticket_health), 6) AS avg_ticket
+FROM filtered f JOIN churn ch ON f.company_id = ch.company_id GROUP BY f.naics_4digit"""))
+
+
+def strip0_sql(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN NULL ELSE coalesce(nullif(ltrim(trim(CAST({x} AS VARCHAR)), '0'), ''), '0') END"
+
+
+def initcap_sql(x: str) -> str:
+    return (f"array_to_string(list_transform(string_split(lower({x}), ' '), "
+            f"lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')")
+
+
+_RISK = ("CASE risk_tier " + " ".join(
+    "WHEN '{}' THEN '{}'".format(k, v.replace("'", "''"))
+    for k, v in __import__("canvass.functions.formatting", fromlist=["RISK_MESSAGES"]).RISK_MESSAGES.items())
+    + " ELSE 'Risk Tier: ' || coalesce(risk_tier, 'None') END")
+_PC = "c.primary_contact"
+oracle("company_profile", with_ctes(["prepared", "valid_buildings", "csum", "churn", "research"], f"""SELECT
+  c.company_id, coalesce(c.name, 'N/A') AS name, coalesce(c.primary_naics, 'N/A') AS naics,
+  CASE WHEN c.hq_latitude IS NOT NULL AND c.hq_longitude IS NOT NULL
+       THEN printf('%.4f, %.4f', c.hq_latitude, c.hq_longitude) ELSE 'N/A' END AS hq_coordinates,
+  coalesce(CAST(CAST(coalesce(c.building_count_estimate, c.building_count) AS BIGINT) AS VARCHAR), 'N/A') AS building_count_estimate,
+  coalesce(CAST(CAST(trunc(CAST(c.employees AS DOUBLE)) AS BIGINT) AS VARCHAR), 'N/A') AS employee_size,
+  CASE WHEN c.sales_volume IS NULL THEN 'N/A' ELSE '$' || format('{{:,.0f}}', c.sales_volume) END AS sales_volume,
+  nullif(trim(concat_ws(' ', json_extract_string({_PC}, '$.first_name'), json_extract_string({_PC}, '$.last_name'))), '') AS contact_name,
+  CASE WHEN len(json_extract_string({_PC}, '$.job_titles[*]')) > 0
+       THEN array_to_string(json_extract_string({_PC}, '$.job_titles[*]'), ', ') END AS contact_titles,
+  {initcap_sql(f"replace(json_extract_string({_PC}, '$.management_level'), '_', ' ')")} AS contact_level,
+  json_extract_string({_PC}, '$.gender') AS contact_gender,
+  CAST(coalesce(b.total, 0) AS BIGINT) AS total_buildings, CAST(coalesce(b.served, 0) AS BIGINT) AS served_buildings,
+  CASE WHEN coalesce(b.total, 0) > 0 THEN CAST(b.served AS DOUBLE) / CAST(b.total AS DOUBLE) * 100.0 ELSE 0.0 END AS penetration_rate,
+  CAST(coalesce(k.contact_count, 0) AS INTEGER) AS contact_count, coalesce(k.last_contact_date, 'N/A') AS last_contact,
+  ch.churn_probability, ch.risk_tier, CASE WHEN ch.risk_tier IS NOT NULL THEN {_RISK.replace('risk_tier', 'ch.risk_tier')} END AS risk_message,
+  CASE WHEN trim(r.recommendation) <> '' THEN r.recommendation ELSE 'N/A' END AS recommendation,
+  CASE WHEN trim(r.confidence) <> '' THEN r.confidence ELSE 'N/A' END AS confidence,
+  CASE WHEN trim(r.reasoning) <> '' THEN r.reasoning ELSE 'N/A' END AS reasoning,
+  coalesce(p.scoring_path, 'Prospect') AS scoring_path, coalesce(p.naics_attractiveness_score, 0.0) AS naics_score,
+  coalesce(p.company_opportunity_score, 0.0) AS company_score, coalesce(p.final_score, 0.0) AS final_score,
+  'N/A' AS scoring_reason, coalesce(CAST(p.rank AS VARCHAR), 'N/A') AS segment_rank
+FROM companies c
+JOIN prepared p ON c.company_id = p.company_id
+LEFT JOIN (SELECT {strip0_sql('company_id')} AS k, count(*) AS total, count_if(is_served) AS served
+           FROM valid_buildings GROUP BY 1) b ON {strip0_sql('c.company_id')} = b.k
+LEFT JOIN csum k ON c.company_id = k.company_id
+LEFT JOIN churn ch ON c.company_id = ch.company_id
+LEFT JOIN research r ON c.company_id = r.company_id
+WHERE c.company_id IN (SELECT company_id FROM prepared WHERE scoring_path = 'customer_expansion')"""))
+
+
+def _fmt1(x):
+    return f"CASE WHEN {x} IS NULL THEN 'N/A' ELSE printf('%.1f', {x}) END"
+
+
+_CONF = "CASE WHEN company_opportunity_score IS NULL THEN 'N/A' ELSE CAST(CAST(round_even(company_opportunity_score / 100.0 * 100.0, 0) AS BIGINT) AS VARCHAR) || '%' END"
+oracle("score_formatting", with_ctes(["prepared"], f"""SELECT company_id,
+  CASE WHEN naics_attractiveness_score >= 80 THEN '#28a745' WHEN naics_attractiveness_score >= 60 THEN '#ffc107'
+       WHEN naics_attractiveness_score IS NOT NULL THEN '#dc3545' END AS industry_color,
+  CASE WHEN final_score IS NULL THEN 'gray' WHEN final_score >= 70 THEN 'green' WHEN final_score >= 40 THEN 'yellow' ELSE 'red' END AS badge_color,
+  CASE WHEN coalesce(final_score, 0.0) >= 90 THEN 'green' WHEN coalesce(final_score, 0.0) >= 80 THEN 'light_green'
+       WHEN coalesce(final_score, 0.0) >= 70 THEN 'yellow' WHEN coalesce(final_score, 0.0) >= 60 THEN 'orange' ELSE 'red' END AS export_band,
+  {_fmt1('final_score')} AS score_text,
+  CASE WHEN company_opportunity_score IS NULL THEN 'N/A' ELSE printf('%.1f', company_opportunity_score) || '%' END AS company_pct,
+  {_CONF} AS confidence_text,
+  CASE WHEN final_score IS NULL THEN 'N/A' WHEN company_opportunity_score IS NULL THEN printf('%.1f', final_score)
+       ELSE printf('%.1f', final_score) || ' (' || {_CONF} || ' confidence)' END AS score_with_confidence,
+  CASE WHEN final_score IS NOT NULL AND company_opportunity_score IS NOT NULL
+       THEN printf('%+.1f', final_score - company_opportunity_score) END AS score_delta,
+  CASE WHEN final_score IS NULL THEN 'N/A' WHEN final_score * 1000.0 = floor(final_score * 1000.0)
+       THEN format('{{:,.0f}}', final_score * 1000.0) ELSE format('{{:,.1f}}', final_score * 1000.0) END AS large_number,
+  CASE WHEN icp_fit_score IS NULL THEN 'N/A' ELSE printf('%.2f', icp_fit_score / 100.0) || ' (Calculated)' END AS icp_text
+FROM prepared"""))
+oracle("buildings_display", with_ctes(["valid_buildings"], """SELECT building_id,
+  CASE WHEN coalesce(is_served, false) THEN '✅ Served' ELSE '❌ Unserved' END AS status,
+  CASE WHEN square_footage_code IS NULL THEN 'N/A' ELSE format('{:,}', CAST(square_footage_code AS BIGINT)) END AS square_feet
+FROM valid_buildings"""))
+oracle("building_filters", with_ctes(["valid_buildings"], """SELECT building_id, company_id, source, is_served
+FROM valid_buildings WHERE source = 'manual' AND is_served = true"""))

@@ -396,3 +396,75 @@ def q_research_eligibility(spark, sf):
     c = cr.companies(spark, sf)
     return c.select("company_id", scoring.research_eligible(F.col("building_count_estimate"), F.col("sales_volume"),
                                                             F.col("employees")).alias("eligible"))
+
+
+def _contact_summary(spark, sf):
+    return aggregates.contact_summary(cr.contact_events(spark, sf))
+
+
+@query("contact_summary")
+def q_contact_summary(spark, sf):
+    """Contacts per company, last date, names and e-mails."""
+    return _contact_summary(spark, sf)
+
+
+@query("interaction_counts")
+def q_interaction_counts(spark, sf):
+    """S16 + A21: engagements per company and type."""
+    return aggregates.interaction_counts(cr.crm_interactions(spark, sf))
+
+
+@query("naics_risk_metrics")
+def q_naics_risk_metrics(spark, sf):
+    """Churn and ticket health averaged per industry (6 decimals)."""
+    j = _filtered(spark, sf).join(cr.churn_predictions(spark, sf), on="company_id", how="inner")
+    r = aggregates.risk_metrics_by_industry(j, "naics_4digit", "churn_probability", "ticket_health")
+    return r.withColumn("avg_churn", F.round("avg_churn", 6)).withColumn("avg_ticket", F.round("avg_ticket", 6))
+
+
+@query("company_profile")
+def q_company_profile(spark, sf):
+    """J8 (+ P10, A4, D5, D14, D15, D27, P18) for every customer company."""
+    from . import profile
+    prepared = _prepared(spark, sf)
+    ids = prepared.where(F.col("scoring_path") == "customer_expansion").select("company_id")
+    return profile.company_profile(cr.companies(spark, sf), prepared, _valid_buildings(spark, sf), ids,
+                                   contacts=_contact_summary(spark, sf), churn=cr.churn_predictions(spark, sf),
+                                   research=cr.company_research(spark, sf))
+
+
+@query("score_formatting")
+def q_score_formatting(spark, sf):
+    """Tiers, bands and score texts."""
+    p = _prepared(spark, sf)
+    fs, cs = F.col("final_score"), F.col("company_opportunity_score")
+    return p.select("company_id",
+                    fmt.tier_80_60(F.col("naics_attractiveness_score")).alias("industry_color"),
+                    fmt.tier_70_40(fs).alias("badge_color"), fmt.score_band(fs).alias("export_band"),
+                    fmt.format_score(fs).alias("score_text"), fmt.format_percentage(cs).alias("company_pct"),
+                    fmt.format_confidence(cs / 100.0).alias("confidence_text"),
+                    fmt.format_score_with_confidence(fs, cs / 100.0).alias("score_with_confidence"),
+                    fmt.format_delta(fs, cs).alias("score_delta"),
+                    fmt.format_large_number(fs * 1000.0).alias("large_number"),
+                    fmt.format_icp_fit_score(F.col("icp_fit_score") / 100.0, F.lit("calculated")).alias("icp_text"))
+
+
+@query("buildings_display")
+def q_buildings_display(spark, sf):
+    """Building status and square-feet text."""
+    b = _valid_buildings(spark, sf)
+    sq = F.coalesce(F.col("square_footage_code"), F.lit(None).cast("string"))
+    return b.select("building_id",
+                    F.when(F.coalesce(F.col("is_served"), F.lit(False)), F.lit("✅ Served"))
+                     .otherwise(F.lit("❌ Unserved")).alias("status"),
+                    F.when(sq.isNull(), F.lit("N/A"))
+                     .otherwise(F.format_number(fmt.as_number(sq).cast("long"), 0)).alias("square_feet"))
+
+
+@query("building_filters")
+def q_building_filters(spark, sf):
+    """P3 + P4 + P5: served buildings from manual entry."""
+    b = _valid_buildings(spark, sf)
+    spec = filters.FilterSpec(source="manual", served="served")
+    out = filters.filter_by_source(filters.filter_by_served_status(filters.apply_filters(b, spec), "served"), "manual")
+    return out.select("building_id", "company_id", "source", "is_served")
