@@ -38,48 +38,44 @@ COMPONENTS_0_1 = [("icp_fit_score", "ICP Fit Score"), ("expansion_potential", "E
                   ("geographic_fit", "Geographic Fit")]
 
 
-def _split(a: Column) -> tuple[Column, Column]:
-    """Veltkamp split of a double into two 26-bit halves (exact)."""
-    c = a * F.lit(134217729.0)
-    hi = c - (c - a)
-    return hi, a - hi
-
-
-def _product_error(a: Column, b: Column, p: Column) -> Column:
-    """Dekker: a * b == p + error exactly (IEEE doubles, no reassociation)."""
-    ah, al = _split(a)
-    bh, bl = _split(b)
-    return ((ah * bh - p) + ah * bl + al * bh) + al * bl
-
-
 def py_round(x: Column, digits: int) -> Column:
     """Round a double to ``digits`` decimals half-even on its exact binary
     value, as Python's ``format(x, '.Nf')`` and C ``printf`` do; returns a
     decimal. Spark's own rounding works on the shortest decimal form, which
     differs on ties such as 31.25 (exact) or 2.675 (binary just below).
+
+    Only when the shortest form is itself a tie is the exact side needed:
+    then the sign of ``x * 2*10^d - k`` decides, taken from the rounded
+    product when it differs from ``k`` (rounding is monotonic) and otherwise
+    from the exact product error ``Math.fma(x, s, -p)`` (rare rows only).
     """
     scale = 2 * 10 ** digits
     rep = x.cast("decimal(38,18)")                      # shortest decimal form
-    base = F.bround(rep, digits)                         # right unless rep is a tie
     twice = rep * F.lit(scale)
     k = F.floor(twice)
     repr_tie = (twice == k) & (F.pmod(k, F.lit(2)) == F.lit(1))
     s = F.lit(float(scale))
     p = x * s
-    diff = (p - k.cast("double")) + _product_error(x, s, p)   # sign of x*scale - k, exactly
+    zero = F.lit(0.0)
+    err = F.reflect(F.lit("java.lang.Math"), F.lit("fma"), F.coalesce(x, zero), s,
+                    F.coalesce(-p, zero)).cast("double")
+    above = F.when(p != k.cast("double"), p > k.cast("double")).otherwise(err > 0)
+    below = F.when(p != k.cast("double"), p < k.cast("double")).otherwise(err < 0)
     half = F.lit(5).cast("decimal(38,18)") / F.lit(10 ** (digits + 1))
-    out = (F.when(repr_tie & (diff > 0), rep + half)
-            .when(repr_tie & (diff < 0), rep - half)
-            .otherwise(base))
-    return F.when(x.isNull() | F.isnan(x), F.lit(None)).otherwise(out.cast(f"decimal(38,{digits})"))
+    out = (F.when(repr_tie & above, rep + half)
+            .when(repr_tie & below, rep - half)
+            .otherwise(F.bround(rep, digits)))
+    return out.cast(f"decimal(38,{digits})")
 
 
 def fixed(x: Column, digits: int, grouping: bool = False) -> Column:
-    """Python ``f'{x:.Nf}'`` / ``f'{x:,.Nf}'`` for a double column."""
-    r = py_round(x, digits)
+    """Python ``f'{x:.Nf}'`` / ``f'{x:,.Nf}'`` for a double column (null,
+    NaN -> null)."""
+    v = F.nanvl(x.cast("double"), F.lit(None).cast("double"))
+    r = py_round(v, digits)
     text = F.format_number(r, digits) if grouping else r.cast("string")
     # Python keeps the sign of a negative value that rounds to zero ('-0.0')
-    return F.when((x < 0) & (r == 0), F.concat(F.lit("-"), text)).otherwise(text)
+    return F.when((v < 0) & (r == 0), F.concat(F.lit("-"), text)).otherwise(text)
 
 
 def is_null(c: Column, dtype: T.DataType | None = None) -> Column:
@@ -92,33 +88,30 @@ def is_null(c: Column, dtype: T.DataType | None = None) -> Column:
 
 
 def as_number(c: Column) -> Column:
-    """Text or number -> double; non-numeric -> null."""
-    d = c.cast("string").try_cast("double")
-    return F.when(F.isnan(d), F.lit(None).cast("double")).otherwise(d)
+    """Text or number -> double; non-numeric or NaN -> null (a no-op cast
+    for double columns)."""
+    return F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
 
 
 def format_score(c: Column, max_val: float = 100.0) -> Column:
     """2 decimals for 0-1 scales, 1 decimal otherwise; null -> 'N/A'."""
-    v = as_number(c)
-    return F.when(v.isNull(), F.lit("N/A")).otherwise(fixed(v, 2 if max_val <= 1.0 else 1))
+    return F.coalesce(fixed(as_number(c), 2 if max_val <= 1.0 else 1), F.lit("N/A"))
 
 
 def format_percentage(c: Column) -> Column:
-    v = as_number(c)
-    return F.when(v.isNull(), F.lit("N/A")).otherwise(F.concat(fixed(v, 1), F.lit("%")))
+    return F.coalesce(F.concat(fixed(as_number(c), 1), F.lit("%")), F.lit("N/A"))
 
 
 def format_confidence(c: Column) -> Column:
     """0-1 -> whole percent, rounded half even like Python ``round``."""
-    v = as_number(c)
-    return F.when(v.isNull(), F.lit("N/A")).otherwise(
-        F.concat(F.bround(v * F.lit(100.0), 0).cast("long").cast("string"), F.lit("%")))
+    return F.coalesce(F.concat(F.bround(as_number(c) * F.lit(100.0), 0).cast("long").cast("string"), F.lit("%")),
+                      F.lit("N/A"))
 
 
 def format_score_with_confidence(score: Column, confidence: Column) -> Column:
-    s, k = format_score(score), format_confidence(confidence)
-    return F.when(s == F.lit("N/A"), F.lit("N/A")).when(k == F.lit("N/A"), s) \
-            .otherwise(F.concat(s, F.lit(" ("), k, F.lit(" confidence)")))
+    s = fixed(as_number(score), 1)
+    k = F.bround(as_number(confidence) * F.lit(100.0), 0).cast("long").cast("string")
+    return F.coalesce(F.concat(s, F.lit(" ("), k, F.lit("% confidence)")), s, F.lit("N/A"))
 
 
 def format_icp_fit_score(score: Column, basis: Column) -> Column:
