@@ -777,3 +777,53 @@ oracle("buildings_display", with_ctes(["valid_buildings"], """SELECT building_id
 FROM valid_buildings"""))
 oracle("building_filters", with_ctes(["valid_buildings"], """SELECT building_id, company_id, source, is_served
 FROM valid_buildings WHERE source = 'manual' AND is_served = true"""))
+
+
+# ------------------------------------------------------- entity resolution
+def _norm_sql(x: str) -> str:
+    return f"trim(regexp_replace(lower(CAST({x} AS VARCHAR)), '[^a-z0-9]+', ' ', 'g'))"
+
+
+CTE["reg"] = """reg AS (
+  SELECT 'DA' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS dataaxle_id, c_custkey,
+         CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) AS VARCHAR) AS street_number, c_name AS street, city, state,
+         CAST(10000 + c_nationkey * 37 AS VARCHAR) AS zip
+  FROM cust_codes)"""
+CTE["crm_rec"] = """crm_rec AS (
+  SELECT 'HS' || CAST(o.o_orderkey AS VARCHAR) AS hubspot_id, 'building' AS hubspot_type,
+         CASE WHEN o.o_orderstatus = 'P' THEN CAST(CAST(r.street_number AS BIGINT) + 1 AS VARCHAR) ELSE r.street_number END AS street_number,
+         CASE WHEN o.o_orderstatus = 'O' THEN replace(r.street, 'Customer', 'Custmer') ELSE r.street END AS street,
+         r.city, r.state, r.zip
+  FROM orders o JOIN reg r ON o.o_custkey = r.c_custkey
+  WHERE o.o_orderpriority = '1-URGENT')"""
+_N = lambda p: ", ".join(f"{_norm_sql(p + c)} AS n_{c.split('_')[-1] if c != 'street_number' else 'number'}"
+                         for c in ["street_number", "street", "city", "state", "zip"])
+CTE["er_log"] = f"""crm_n AS (SELECT hubspot_id AS rid, hubspot_type, {_N('')} FROM crm_rec),
+reg_n AS (SELECT dataaxle_id AS reg, {_N('')} FROM reg),
+exact AS (SELECT c.rid, min(r.reg) AS reg FROM crm_n c JOIN reg_n r
+          ON c.n_number = r.n_number AND c.n_street = r.n_street AND c.n_city = r.n_city
+         AND c.n_state = r.n_state AND c.n_zip = r.n_zip GROUP BY c.rid),
+pairs AS (SELECT c.rid, r.reg,
+                 CASE WHEN greatest(length(c.n_street), length(r.n_street)) = 0 THEN 100.0
+                      ELSE (1.0 - levenshtein(c.n_street, r.n_street) / greatest(length(c.n_street), length(r.n_street))) * 100.0 END AS sim
+          FROM crm_n c JOIN reg_n r ON c.n_state = r.n_state AND c.n_city = r.n_city AND c.n_number = r.n_number
+          WHERE c.rid NOT IN (SELECT rid FROM exact)),
+fuzzy AS (SELECT rid, reg, sim FROM (
+            SELECT *, row_number() OVER (PARTITION BY rid ORDER BY sim DESC, reg ASC) AS pos FROM pairs WHERE sim >= 90.0) t
+          WHERE pos = 1),
+er_log AS (
+  SELECT c.rid AS hubspot_id, c.hubspot_type, coalesce(e.reg, f.reg) AS dataaxle_id,
+         CASE WHEN e.reg IS NOT NULL THEN 'exact_address_components' WHEN f.reg IS NOT NULL THEN 'fuzzy_street_name'
+              ELSE 'unmatched' END AS match_type,
+         CASE WHEN e.reg IS NOT NULL THEN 100.0 WHEN f.reg IS NOT NULL THEN round(f.sim, 1) END AS confidence_score
+  FROM crm_n c LEFT JOIN exact e ON c.rid = e.rid LEFT JOIN fuzzy f ON c.rid = f.rid)"""
+_DEPS.update({"reg": ["cust_codes"], "crm_rec": ["reg"], "er_log": ["crm_rec"]})
+
+oracle("entity_resolution", with_ctes(["er_log"], "SELECT * FROM er_log"))
+oracle("er_match_summary", with_ctes(["er_log"], """SELECT match_type, CAST(count(*) AS BIGINT) AS n,
+       min(confidence_score) AS min_confidence, max(confidence_score) AS max_confidence
+FROM er_log GROUP BY match_type"""))
+oracle("er_gate", with_ctes(["er_log"], f"""SELECT * FROM ({_gate('entity_resolution', 'non_blocking', 'entity_resolution_log',
+    "(SELECT coalesce(avg(CASE WHEN match_type = 'unmatched' THEN 1.0 ELSE 0.0 END), 0.0) FROM er_log)",
+    config.ER_ORPHAN_MAX,
+    f"(SELECT coalesce(avg(CASE WHEN match_type = 'unmatched' THEN 1.0 ELSE 0.0 END), 0.0) FROM er_log) < {_d(config.ER_ORPHAN_MAX)}")}) g"""))

@@ -468,3 +468,28 @@ def q_building_filters(spark, sf):
     spec = filters.FilterSpec(source="manual", served="served")
     out = filters.filter_by_source(filters.filter_by_served_status(filters.apply_filters(b, spec), "served"), "manual")
     return out.select("building_id", "company_id", "source", "is_served")
+
+
+def _er_log(spark, sf):
+    from ..operators import resolution
+    return resolution.resolve(cr.crm_addresses(spark, sf), cr.registry_addresses(spark, sf))
+
+
+@query("entity_resolution")
+def q_entity_resolution(spark, sf):
+    """J11 exact + J12 fuzzy (exact prefix-filtered candidates): ER log."""
+    return _er_log(spark, sf)
+
+
+@query("er_match_summary")
+def q_er_match_summary(spark, sf):
+    """ER log by match type: rows and confidence range."""
+    return _er_log(spark, sf).groupBy("match_type").agg(
+        F.count(F.lit(1)).alias("n"), F.min("confidence_score").alias("min_confidence"),
+        F.max("confidence_score").alias("max_confidence"))
+
+
+@query("er_gate")
+def q_er_gate(spark, sf):
+    """Unmatched share of the ER log (< 10 % passes)."""
+    return quality.er_orphan_gate(_er_log(spark, sf))
