@@ -28,8 +28,6 @@ used as a literal map.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,12 +61,14 @@ def _grams(street: Column) -> Column:
 def _prefix_len(n: Column, threshold: float) -> Column:
     """Leading tokens a street of n characters must index.
 
-    Every valid partner differs by at most d = floor(n * (1-t) / t) edits
-    (the longer string is at most n / t long), each edit touches at most two
-    bigram occurrences, so the shared occurrences are at least
-    tau = n + 1 - 2d (>= 1 for t >= 0.5); index |grams| - tau + 1 tokens."""
-    t = threshold / 100.0
-    d = F.floor(n * F.lit((1.0 - t) / t))
+    A valid partner is at most L = floor(n / t) long and differs by at most
+    d = floor(L * (1 - t)) edits; each edit touches at most two bigram
+    occurrences, so the shared occurrences are at least tau = n + 1 - 2d
+    (>= 1 for t >= 0.5); index |grams| - tau + 1 tokens. Integer arithmetic
+    in basis points: a float (1-t)/t would round 9 * 0.111.. down to 0."""
+    bp = int(round(threshold * 100))                      # 90.0 -> 9000
+    longest = F.floor((n * F.lit(10000)) / F.lit(bp))      # exact for integer n
+    d = F.floor((longest * F.lit(10000 - bp)) / F.lit(10000))
     tau = n + F.lit(1) - F.lit(2) * d
     grams = n + F.lit(1)
     return F.when(tau >= 1, grams - tau + F.lit(1)).otherwise(grams)
@@ -133,5 +133,5 @@ def resolve(crm: DataFrame, registry: DataFrame, crm_id: str = "hubspot_id", crm
 
 def prefix_is_exact(threshold: float) -> bool:
     """Sanity bound used by tests: the least overlap stays positive."""
-    t = threshold / 100.0
-    return all(n + 1 - 2 * math.floor(n * (1 - t) / t) >= 1 for n in range(0, 500))
+    bp = int(round(threshold * 100))
+    return all(n + 1 - 2 * ((n * 10000 // bp) * (10000 - bp) // 10000) >= 1 for n in range(0, 500))
