@@ -9,7 +9,7 @@ kept them numeric.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -264,3 +264,66 @@ def flag_count(c: Column, icon: str) -> Column:
 
 def percent_or_dash(c: Column) -> Column:
     return F.when(c.isNotNull(), F.concat(fixed(c, 1), F.lit("%"))).otherwise(F.lit(DASH))
+
+
+def score_components_long(df: DataFrame, id_col: str = "company_id") -> DataFrame:
+    """The 0-1 component scores present in ``df`` as (id, component,
+    value x 100) rows, nulls skipped (one ``stack`` projection)."""
+    present = [(c, label) for c, label in COMPONENTS_0_1 if c in df.columns]
+    if not present:
+        return df.select(F.col(id_col), F.lit(None).cast("string").alias("component"),
+                         F.lit(None).cast("double").alias("value")).where(F.lit(False))
+    args = ", ".join(f"'{label}', CAST(`{c}` AS DOUBLE)" for c, label in present)
+    return (df.select(F.col(id_col), F.expr(f"stack({len(present)}, {args}) AS (component, raw)"))
+              .where(F.col("raw").isNotNull())
+              .select(id_col, "component", (F.col("raw") * F.lit(100.0)).alias("value")))
+
+
+def contacts_display(df: DataFrame) -> DataFrame:
+    """D16 (contacts): count 0 when missing, text fields 'N/A'."""
+    return df.select(F.coalesce(F.col("contact_count"), F.lit(0)).cast("int").alias("Contact Count"),
+                     F.coalesce(F.col("contact_names"), F.lit("N/A")).alias("Contact Names"),
+                     F.coalesce(F.col("contact_emails"), F.lit("N/A")).alias("Contact Emails"),
+                     F.coalesce(F.col("last_contact_date"), F.lit("N/A")).alias("Last Contact"))
+
+
+def buildings_display(df: DataFrame) -> DataFrame:
+    """D16 (buildings): served label, square feet with separators or 'N/A'."""
+    sq = F.col("square_footage") if "square_footage" in df.columns else F.col("square_footage_code")
+    return df.select(
+        F.col("city").alias("City") if "city" in df.columns else F.lit(None).cast("string").alias("City"),
+        F.col("state").alias("State") if "state" in df.columns else F.lit(None).cast("string").alias("State"),
+        F.when(F.coalesce(F.col("is_served"), F.lit(False)), F.lit("✅ Served")).otherwise(F.lit("❌ Unserved"))
+         .alias("Status"),
+        F.coalesce(F.format_number(as_number(sq).cast("long"), 0), F.lit("N/A")).alias("Square Feet"))
+
+
+def old_format_display(df: DataFrame, penetration: DataFrame | None = None) -> DataFrame:
+    """Display rows of an old-format scored table already sorted and
+    given a ``global_rank`` (W2): segment rank, channel, path, score text,
+    flag icons, research mark, penetration, buildings, source badge. The
+    score is kept numeric beside its text so sorting stays numeric (H5)."""
+    cols = set(df.columns)
+    if penetration is not None and "penetration_rate" not in cols:
+        df = df.join(penetration.select("company_id", "penetration_rate"), on="company_id", how="left")
+        cols.add("penetration_rate")
+
+    def opt(c, default=None):
+        return F.col(c) if c in cols else F.lit(default)
+
+    score = F.col("final_score") if "final_score" in cols else F.col("augmented_score")
+    seg = F.col("segment_rank") if "segment_rank" in cols else F.col("rank")
+    bcol = "building_count" if "building_count" in cols else ("location_employee_size"
+                                                                 if "location_employee_size" in cols else None)
+    return df.select(
+        "company_id", F.col("global_rank").alias("global_rank"), seg.alias("segment_rank"),
+        F.col("company_name").alias("company"),
+        F.coalesce(opt("scoring_path"), F.lit("Prospect")).alias("scoring_path"),
+        F.coalesce(opt("channel_id"), F.lit("N/A")).alias("channel"),
+        score.alias("score"), F.coalesce(fixed(score, 1), F.lit(DASH)).alias("score_text"),
+        flag_count(opt("urgent_flags"), "🚨").alias("urgent"),
+        flag_count(opt("action_flags"), "✅").alias("action"),
+        F.when(F.coalesce(opt("has_research_doc"), F.lit(False)), F.lit("📄")).otherwise(F.lit(DASH)).alias("research"),
+        percent_or_dash(opt("penetration_rate")).alias("penetration"),
+        (int_or_zero(F.col(bcol)) if bcol else F.lit(0)).alias("buildings"),
+        (source_badge(F.col("source")) if "source" in cols else F.lit(SOURCE_BADGES["dataaxle"])).alias("source"))

@@ -80,3 +80,10 @@ def document_validity(doc: Column, status: Column, word_count_stat: Column | Non
 def company_name_or_unknown(c: Column) -> Column:
     """D22 helper: missing company name -> 'Unknown Company'."""
     return F.coalesce(c, F.lit("Unknown Company"))
+
+
+def document_summary(c: Column) -> list[Column]:
+    """Word count, URGENT and ACTION counts, has_content (words > 0)."""
+    n = word_count(c)
+    return [n.alias("word_count"), count_marker(c, "URGENT").alias("urgent_flags"),
+            count_marker(c, "ACTION").alias("action_flags"), (n > 0).alias("has_content")]

@@ -332,3 +332,26 @@ def crm_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(F.concat(F.lit("HS"), F.col("o_orderkey").cast("string")).alias("hubspot_id"),
                     F.lit("building").alias("hubspot_type"), number.alias("street_number"), street.alias("street"),
                     "city", "state", "zip")
+
+
+def scored_old(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old-format scored table (augmented / standard scores, segment rank,
+    source, channel, flag counts)."""
+    from ..operators.scoring import assign_channel, channel_table
+    cc = customer_codes(spark, sf_dir)
+    figs = order_figures(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("c_custkey")).distinct() \
+        .withColumn("_has_doc", F.lit(True))
+    standard = F.least(F.lit(100.0), F.col("value_cents") / F.lit(float(SCORE_CENTS_FULL)))
+    augmented = F.lit(0.5) * standard + F.lit(0.5) * (F.lit(40.0) + F.col("c_nationkey") * F.lit(2.0))
+    base = (cc.join(figs, on="c_custkey", how="inner").join(docs, on="c_custkey", how="left")
+              .select("company_id", F.col("c_name").alias("company_name"), "primary_naics",
+                      F.when(F.col("n_urgent") >= 3, F.lit("manual")).otherwise(F.lit("dataaxle")).alias("source"),
+                      standard.alias("standard_score"), augmented.alias("augmented_score"),
+                      (F.col("n_finished") / F.col("n_orders")).alias("augmented_confidence"),
+                      F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("c_acctbal") / 100.0)).alias("icp_fit_score"),
+                      (F.col("c_nationkey") + 1).cast("int").alias("segment_rank"),
+                      F.col("n_urgent").cast("int").alias("urgent_flags"),
+                      F.col("n_finished").cast("int").alias("action_flags"),
+                      F.coalesce(F.col("_has_doc"), F.lit(False)).alias("has_research_doc")))
+    return assign_channel(base, channel_table(spark))

@@ -827,3 +827,49 @@ oracle("er_gate", with_ctes(["er_log"], f"""SELECT * FROM ({_gate('entity_resolu
     "(SELECT coalesce(avg(CASE WHEN match_type = 'unmatched' THEN 1.0 ELSE 0.0 END), 0.0) FROM er_log)",
     config.ER_ORPHAN_MAX,
     f"(SELECT coalesce(avg(CASE WHEN match_type = 'unmatched' THEN 1.0 ELSE 0.0 END), 0.0) FROM er_log) < {_d(config.ER_ORPHAN_MAX)}")}) g"""))
+
+
+# ------------------------------------------------------------- old format
+CTE["scored_old"] = f"""scored_old AS (
+  SELECT cc.company_id, cc.c_name AS company_name, cc.primary_naics,
+         CASE WHEN f.n_urgent >= 3 THEN 'manual' ELSE 'dataaxle' END AS source,
+         least(CAST(100 AS DOUBLE), CAST(f.value_cents AS DOUBLE) / {float(SCORE_CENTS_FULL)}) AS standard_score,
+         {_d(0.5)} * least(CAST(100 AS DOUBLE), CAST(f.value_cents AS DOUBLE) / {float(SCORE_CENTS_FULL)})
+           + {_d(0.5)} * (40.0 + cc.c_nationkey * CAST(2 AS DOUBLE)) AS augmented_score,
+         CAST(f.n_finished AS DOUBLE) / f.n_orders AS augmented_confidence,
+         greatest(CAST(0 AS DOUBLE), least(CAST(100 AS DOUBLE), cc.c_acctbal / 100.0)) AS icp_fit_score,
+         CAST(cc.c_nationkey + 1 AS INTEGER) AS segment_rank, CAST(f.n_urgent AS INTEGER) AS urgent_flags,
+         CAST(f.n_finished AS INTEGER) AS action_flags,
+         cc.c_custkey IN (SELECT doc_id FROM documents) AS has_research_doc,
+         {_CH_CASE.replace('primary_naics', 'cc.primary_naics')} AS channel_id
+  FROM cust_codes cc JOIN order_figs f ON cc.c_custkey = f.c_custkey)"""
+CTE["prepared_old"] = f"""prepared_old AS (
+  SELECT r.*, CAST(coalesce(b.building_count, 0) AS INTEGER) AS building_count
+  FROM (SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY primary_naics
+                 ORDER BY augmented_score DESC NULLS LAST, segment_rank ASC NULLS LAST, company_id ASC NULLS LAST) AS INTEGER) AS segment_rank)
+        FROM scored_old
+        WHERE company_id IN (SELECT company_id FROM companies)
+          AND primary_naics IS NOT NULL AND primary_naics NOT IN ({_EXCL})) r
+  LEFT JOIN (SELECT company_id, min(building_count) AS building_count FROM companies GROUP BY company_id) b
+    ON r.company_id = b.company_id)"""
+_DEPS.update({"scored_old": ["cust_codes", "order_figs"], "prepared_old": ["scored_old", "companies"]})
+
+oracle("ranked_companies_old", with_ctes(["prepared_old"], "SELECT * FROM prepared_old"))
+oracle("old_format_display", with_ctes(["prepared_old", "penetration"], """SELECT p.company_id,
+  CAST(row_number() OVER (ORDER BY p.augmented_score DESC NULLS LAST, p.company_id ASC NULLS LAST) AS INTEGER) AS global_rank,
+  p.segment_rank, p.company_name AS company, 'Prospect' AS scoring_path, coalesce(p.channel_id, 'N/A') AS channel,
+  p.augmented_score AS score, coalesce(printf('%.1f', p.augmented_score), '—') AS score_text,
+  CASE WHEN coalesce(p.urgent_flags, 0) > 0 THEN '🚨 ' || CAST(p.urgent_flags AS VARCHAR) ELSE '—' END AS urgent,
+  CASE WHEN coalesce(p.action_flags, 0) > 0 THEN '✅ ' || CAST(p.action_flags AS VARCHAR) ELSE '—' END AS action,
+  CASE WHEN coalesce(p.has_research_doc, false) THEN '📄' ELSE '—' END AS research,
+  CASE WHEN n.penetration_rate IS NOT NULL THEN printf('%.1f', n.penetration_rate) || '%' ELSE '—' END AS penetration,
+  CAST(coalesce(p.building_count, 0) AS INTEGER) AS buildings,
+  CASE p.source WHEN 'dataaxle' THEN '🔵 DataAxle' WHEN 'manual' THEN '🟢 Manual' ELSE p.source END AS source
+FROM prepared_old p LEFT JOIN penetration n ON p.company_id = n.company_id"""))
+oracle("score_components", with_ctes(["research"], """SELECT company_id, 'ICP Fit Score' AS component,
+  icp_fit_score / 100.0 * 100.0 AS value FROM research WHERE icp_fit_score IS NOT NULL"""))
+oracle("document_summary", with_ctes(["rdocs"], f"""SELECT company_id,
+       CAST(len({words_sql('research_document')}) AS INTEGER) AS word_count,
+       {count_sql('research_document', 'URGENT')} AS urgent_flags, {count_sql('research_document', 'ACTION')} AS action_flags,
+       len({words_sql('research_document')}) > 0 AS has_content
+FROM rdocs"""))

@@ -87,3 +87,9 @@ def display_table(view: DataFrame) -> DataFrame:
         F.round("naics_attractiveness_score", 1).alias("naics_score"),
         fmt.int_or_zero(opt("location_employee_size")).alias("employees"),
         fmt.revenue_millions(opt("sales_volume")).alias("revenue_m"))
+
+
+def sort_by_score_within_segment(df: DataFrame) -> DataFrame:
+    """O3: segment ascending, score descending (numeric, nulls last)."""
+    score_col, _ = score_columns(df)
+    return df.orderBy(F.col("primary_naics").asc_nulls_last(), F.col(score_col).desc_nulls_last())

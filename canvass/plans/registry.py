@@ -493,3 +493,36 @@ def q_er_match_summary(spark, sf):
 def q_er_gate(spark, sf):
     """Unmatched share of the ER log (< 10 % passes)."""
     return quality.er_orphan_gate(_er_log(spark, sf))
+
+
+def _prepared_old(spark, sf):
+    return ranked.prepare_scored(cr.scored_old(spark, sf), cr.companies(spark, sf))
+
+
+@query("ranked_companies_old")
+def q_ranked_companies_old(spark, sf):
+    """S3 on the old score format: J2 -> P1 -> W1 (augmented score,
+    segment rank) -> J3."""
+    return _prepared_old(spark, sf)
+
+
+@query("old_format_display")
+def q_old_format_display(spark, sf):
+    """D18 (+ W2, J6): old-format display rows with a global rank."""
+    from ..operators import ranking
+    g = ranking.global_rank(_prepared_old(spark, sf), "augmented_score", "global_rank", "company_id")
+    return fmt.old_format_display(g, _penetration(spark, sf))
+
+
+@query("score_components")
+def q_score_components(spark, sf):
+    """Component scores in long form (x 100)."""
+    return fmt.score_components_long(cr.company_research(spark, sf).select(
+        "company_id", (F.col("icp_fit_score") / 100.0).alias("icp_fit_score")))
+
+
+@query("document_summary")
+def q_document_summary(spark, sf):
+    """D22 over whole research documents."""
+    d = cr.research_documents(spark, sf)
+    return d.select("company_id", *tx.document_summary(F.col("research_document")))
