@@ -85,5 +85,8 @@ def company_name_or_unknown(c: Column) -> Column:
 def document_summary(c: Column) -> list[Column]:
     """Word count, URGENT and ACTION counts, has_content (words > 0)."""
     n = word_count(c)
+    # has_content: any non-whitespace character (same as words > 0, without a second split)
+    content = F.coalesce(F.regexp_like(c, F.lit(r"[^\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
+                                                  r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")), F.lit(False))
     return [n.alias("word_count"), count_marker(c, "URGENT").alias("urgent_flags"),
-            count_marker(c, "ACTION").alias("action_flags"), (n > 0).alias("has_content")]
+            count_marker(c, "ACTION").alias("action_flags"), content.alias("has_content")]

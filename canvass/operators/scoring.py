@@ -115,14 +115,21 @@ def channel_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "prefix string, channel_id string, channel_priority string")
 
 
-def assign_channel(df: DataFrame, channels: DataFrame, code_col: str = "primary_naics") -> DataFrame:
+def channel_prefix_lengths() -> list[int]:
+    """Prefix lengths of the configured channel codes (driver-side config)."""
+    return sorted({len(code) for spec in config.CHANNELS.values() for code in spec["naics_codes"]})
+
+
+def assign_channel(df: DataFrame, channels: DataFrame, code_col: str = "primary_naics",
+                   prefix_lengths: list[int] | None = None) -> DataFrame:
     """Longest matching NAICS prefix wins, else the default channel.
 
     Distinct codes (bounded by the code universe) are matched against the
     fixed channel table (broadcast) with one equi join per prefix length, so
     there is no cross join; the result is joined back on the code.
     """
-    lengths = [r[0] for r in channels.select(F.length("prefix")).distinct().collect()]  # config-sized
+    lengths = prefix_lengths if prefix_lengths is not None else \
+        [r[0] for r in channels.select(F.length("prefix")).distinct().collect()]  # config-sized table
     code = F.col(code_col).cast("string")
     codes = df.select(code.alias("_cv_code")).where(F.col("_cv_code").isNotNull()).distinct()
     cands = None

@@ -35,8 +35,16 @@ CUSTOMER_MIN_FINISHED = 6          # finished orders that make a customer
 SCORE_CENTS_FULL = 5_000_000       # order value (cents) that scores 100
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Scan of one test table. The DataFrame (a plan, no data) is reused
+    within a session, so file listing and footer reads happen once."""
+    key = (spark._jsparkSession.hashCode(), sf_dir.rstrip("/"), name)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return _TABLES[key]
 
 
 def _segment_digits(seg: Column) -> Column:
@@ -337,7 +345,7 @@ def crm_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scored_old(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old-format scored table (augmented / standard scores, segment rank,
     source, channel, flag counts)."""
-    from ..operators.scoring import assign_channel, channel_table
+    from ..operators.scoring import assign_channel, channel_prefix_lengths, channel_table
     cc = customer_codes(spark, sf_dir)
     figs = order_figures(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("c_custkey")).distinct() \
@@ -354,4 +362,4 @@ def scored_old(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("n_urgent").cast("int").alias("urgent_flags"),
                       F.col("n_finished").cast("int").alias("action_flags"),
                       F.coalesce(F.col("_has_doc"), F.lit(False)).alias("has_research_doc")))
-    return assign_channel(base, channel_table(spark))
+    return assign_channel(base, channel_table(spark), prefix_lengths=channel_prefix_lengths())

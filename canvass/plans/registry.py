@@ -287,10 +287,7 @@ def q_document_flags(spark, sf):
     two markers that occur in the test texts)."""
     d = cr.research_documents(spark, sf)
     doc = F.col("research_document")
-    return d.select("company_id", tx.word_count(doc).alias("word_count"),
-                    tx.count_marker(doc, "URGENT").alias("urgent_flags"),
-                    tx.count_marker(doc, "ACTION").alias("action_flags"),
-                    (tx.word_count(doc) > 0).alias("has_content"),
+    return d.select("company_id", *tx.document_summary(doc),
                     *[tx.count_marker(doc, m).alias(f"{m.lower()}_flags") for m in MARKERS],
                     tx.company_name_or_unknown(F.col("company_name")).alias("company_name"))
 
@@ -377,7 +374,8 @@ def q_channel_assignment(spark, sf):
     """J13 + F11: longest NAICS prefix -> channel (default 'general'), with
     the channel's weight overrides."""
     ch = scoring.channel_table(spark)
-    out = scoring.assign_channel(cr.scored(spark, sf).select("company_id", "primary_naics"), ch)
+    out = scoring.assign_channel(cr.scored(spark, sf).select("company_id", "primary_naics"), ch,
+                                 prefix_lengths=scoring.channel_prefix_lengths())
     w = scoring.weights_frame(spark).groupBy("channel_id").pivot(
         "component", ["hygiene_relevance", "geographic_fit", "decision_maker_clarity"]).agg(F.first("weight"))
     return out.join(F.broadcast(w), on="channel_id", how="left")
