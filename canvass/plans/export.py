@@ -82,7 +82,12 @@ def merge_export_data(scored: DataFrame, research: DataFrame | None, companies:
     """Selected ids (semi join, P12) -> CRM flag (missing -> False) ->
     research columns that exist (suffix '_research') -> raw company fields,
     first row per id (suffix '_raw') -> one row per company."""
-    m = select_ids(scored, company_ids)
+    # one row per id up front (keep the first by rank); every other side is
+    # reduced to one row per id too, so the wide merged rows (with whole
+    # research texts) never need a de-duplicating aggregation of their own
+    rank_col = "rank" if "rank" in scored.columns else ("segment_rank" if "segment_rank" in scored.columns else None)
+    sel = select_ids(scored, company_ids)
+    m = first_per_key(sel, ["company_id"], [F.col(rank_col)] if rank_col else [F.lit(0)])
     if crm_flags is not None:
         m = m.drop("in_hubspot").join(crm_flags.select("company_id", "in_hubspot"), on="company_id", how="left")
         m = m.withColumn("in_hubspot", F.coalesce(F.col("in_hubspot"), F.lit(False)))
@@ -99,9 +104,7 @@ def merge_export_data(scored: DataFrame, research: DataFrame | None, companies:
     order = [F.col(order_col)] if order_col else [F.col(c) for c in raw if c != "company_id"]
     comp = first_per_key(companies.select(*raw, *([order_col] if order_col else [])), ["company_id"], order,
                          value_cols=[c for c in raw if c != "company_id"])
-    m = _suffix_join(m, comp, "_raw")
-    # scored ids are unique after the load; one row per id is enforced anyway
-    return first_per_key(m, ["company_id"], [F.col("rank")] if "rank" in m.columns else [F.lit(0)])
+    return _suffix_join(m, comp, "_raw")
 
 
 def _json_pair(df: DataFrame, src: str, count_col: str, text_col: str) -> DataFrame:
