@@ -174,7 +174,15 @@ def run_startup_validation(spark: SparkSession, scored: DataFrame, companies: Da
                            er_log: DataFrame | None = None, weights: DataFrame | None = None) -> dict:
     """Compute the report (a few rows to the driver), raise on the first
     failing blocking gate in order, return the non-blocking results."""
-    report = [r.asDict() for r in gate_report(spark, scored, companies, buildings, er_log, weights).collect()]
+    # every gate reads the same three tables: keep them once (memory, spilling
+    # to disk) for the duration of the report, then release them
+    from pyspark import StorageLevel
+    kept = [df.persist(StorageLevel.MEMORY_AND_DISK) for df in (scored, companies, buildings)]
+    try:
+        report = [r.asDict() for r in gate_report(spark, *kept, er_log, weights).collect()]
+    finally:
+        for df in kept:
+            df.unpersist()
     order = ["critical_field_completeness", "no_duplicates", "join_integrity"]
     results = {"blocking_gates": {}, "non_blocking_gates": {}}
     for gate in order:

@@ -38,6 +38,20 @@ SCORE_CENTS_FULL = 5_000_000       # order value (cents) that scores 100
 _TABLES: dict[tuple, DataFrame] = {}
 
 
+def _memo(fn):
+    """Reuse a derived carrier DataFrame (a plan) within a session, so every
+    reference in one query is the same subtree and Spark reuses its
+    exchanges instead of scanning and shuffling the inputs again."""
+    def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark._jsparkSession.hashCode(), sf_dir.rstrip("/"), fn.__name__)
+        if key not in _TABLES:
+            _TABLES[key] = fn(spark, sf_dir)
+        return _TABLES[key]
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan of one test table. The DataFrame (a plan, no data) is reused
     within a session, so file listing and footer reads happen once."""
@@ -57,6 +71,7 @@ def _sector(nationkey: Column) -> Column:
     return F.coalesce(F.try_element_at(arr, nationkey.cast("int") + 1), F.lit("99"))
 
 
+@_memo
 def customer_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer keyed columns shared by companies and scored (one row per customer)."""
     c = table(spark, sf_dir, "customer")
@@ -74,6 +89,7 @@ def customer_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("r_name").alias("city"), F.col("n_name").alias("state")))
 
 
+@_memo
 def order_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per customer: orders, finished orders, order value in cents (exact
     integer sum). One partial aggregation, shuffled on the customer key."""
@@ -85,6 +101,7 @@ def order_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("value_cents")))
 
 
+@_memo
 def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     cc = customer_codes(spark, sf_dir)
     figs = order_figures(spark, sf_dir)
@@ -110,6 +127,7 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
                        .alias("primary_contact")))
 
 
+@_memo
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New-format scored table (F4 applied to carrier components)."""
     cc = customer_codes(spark, sf_dir)
@@ -136,6 +154,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.coalesce(F.col("_has_doc"), F.lit(False)).alias("has_research_doc")))
 
 
+@_memo
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     source = (F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("manual"))
@@ -151,6 +170,7 @@ def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
                     code.alias("square_footage_code"))
 
 
+@_memo
 def naics_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Industry metrics per 4-digit code (stand-in for the metrics file).
 
@@ -200,6 +220,7 @@ def None_col() -> Column:
     return F.lit(None).cast("double")
 
 
+@_memo
 def crm_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CRM company domains: customers with an urgent order are in the CRM
     under their bare domain; customers with a high-priority order under a
@@ -213,6 +234,7 @@ def crm_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
              .distinct())
 
 
+@_memo
 def company_research(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Research rows with JSON text columns, one per document (company id =
     doc id): the whole document is the reasoning; its lines are the signal
@@ -260,6 +282,7 @@ def company_research(spark: SparkSession, sf_dir: str) -> DataFrame:
         summary.alias("research_summary"))
 
 
+@_memo
 def research_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Research documents (one per doc / company): status from the label
     (completed / pending / missing), a stored word-count statistic and a
@@ -277,6 +300,7 @@ def research_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("toxic").alias("urgent_flags"), F.col("quality").alias("action_flags"))
 
 
+@_memo
 def contact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One contact per order: the buyer desk of the order's priority, its
     e-mail at the customer's domain, the order date as text."""
@@ -291,6 +315,7 @@ def contact_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.date_format("o_orderdate", "yyyy-MM-dd").alias("contact_date")))
 
 
+@_memo
 def churn_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Churn probability = share of a customer's orders not finished; tier
     by thresholds 0.7 / 0.4."""
@@ -303,6 +328,7 @@ def churn_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.lit(100.0) - F.lit(100.0) * F.col("n_urgent") / F.col("n_orders")).alias("ticket_health"))
 
 
+@_memo
 def crm_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CRM engagements from the event stream (user = company)."""
     e = table(spark, sf_dir, "events")
@@ -313,6 +339,7 @@ def crm_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("props").alias("body"))
 
 
+@_memo
 def registry_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry (company data vendor) buildings: one per customer; street
     = the customer name, number = whole part of the balance, city / state =
@@ -324,6 +351,7 @@ def registry_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
                      (F.lit(10000) + F.col("c_nationkey") * 37).cast("string").alias("zip"))
 
 
+@_memo
 def crm_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CRM buildings: one per urgent order, at the ordering customer's
     address; open orders carry a street typo, pending orders a shifted
@@ -342,6 +370,7 @@ def crm_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "city", "state", "zip")
 
 
+@_memo
 def scored_old(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Old-format scored table (augmented / standard scores, segment rank,
     source, channel, flag counts)."""

@@ -100,3 +100,19 @@ def test_export_sink(spark):
     assert back.columns == ["company_id", "final_score"] and back.count() == 1
     writers.write_export({"Company Rankings": t}, out + "/csv", fmt="csv")
     assert spark.read.option("header", "true").csv(out + "/csv/company_rankings").columns == ["Company ID", "Final Score"]
+
+
+def test_research_enrichment_and_documents(spark):
+    d = tempfile.mkdtemp(prefix="canvass-json-")
+    p = _write(d, "enrichment.json", json.dumps({"metadata": {"version": 1},
+                                                  "companies": {"001": {"score": 1}, "2": {"score": 2}}}))
+    e = readers.load_research_enrichment(spark, p)
+    assert sorted(r.company_id for r in e.collect()) == ["001", "2"]
+    docs = os.path.join(d, "docs")
+    os.makedirs(docs)
+    _write(docs, "7526346.json", json.dumps({"company_name": "Acme", "research_document": "x" * 600,
+                                             "status": "completed", "document_stats": {"word_count": 120}}))
+    _write(docs, "42.json", "{not json")
+    r = {x.company_id: x for x in readers.load_research_documents(spark, docs).collect()}
+    assert r["7526346"].status == "completed" and r["7526346"].document_stats.word_count == 120
+    assert r["42"].research_document is None and r["42"]._corrupt_record is not None
