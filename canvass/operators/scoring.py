@@ -109,9 +109,10 @@ def weights_valid(weight_sum: Column) -> Column:
 
 # ------------------------------------------------------------------ targets
 
-def channel_table(spark: SparkSession) -> DataFrame:
+def channel_table(spark: SparkSession, channels: dict | None = None) -> DataFrame:
     """J13 lookup rows: (prefix, channel_id, priority) from the channel config."""
-    rows = [(code, ch, spec.get("priority")) for ch, spec in config.CHANNELS.items() for code in spec["naics_codes"]]
+    rows = [(code, ch, spec.get("priority")) for ch, spec in (channels or config.CHANNELS).items()
+            for code in spec["naics_codes"]]
     return spark.createDataFrame(rows, "prefix string, channel_id string, channel_priority string")
 
 
@@ -147,10 +148,10 @@ def assign_channel(df: DataFrame, channels: DataFrame, code_col: str = "primary_
                 .drop("_cv_code", "_ch"))
 
 
-def sqft_table(spark: SparkSession) -> DataFrame:
-    """J14 lookup: code -> range, min, max, include (8 fixed rows)."""
+def sqft_table(spark: SparkSession, codes: list[tuple] | None = None) -> DataFrame:
+    """J14 lookup: code -> range, min, max, include (8 rows in the config)."""
     return spark.createDataFrame(
-        [(c, r, lo, hi, inc) for c, r, lo, hi, inc in config.SQFT_CODES],
+        [(c, r, lo, hi, inc) for c, r, lo, hi, inc in (codes or config.SQFT_CODES)],
         "square_footage_code string, sqft_range string, sqft_min int, sqft_max int, sqft_include boolean")
 
 
@@ -164,8 +165,9 @@ def apply_sqft_rule(buildings: DataFrame, codes: DataFrame, place_type_col: str
     return j.withColumn("sqft_unknown", F.col("sqft_include").isNull()).filter(keep)
 
 
-def targets_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(config.NAICS_TARGETS, "naics_4digit string, max_companies int")
+def targets_table(spark: SparkSession, targets: list[tuple[str, int]] | None = None) -> DataFrame:
+    """W6 / P17 lookup: 4-digit code -> max companies (39 rows in the config)."""
+    return spark.createDataFrame(targets or config.NAICS_TARGETS, "naics_4digit string, max_companies int")
 
 
 def target_industries(df: DataFrame, targets: DataFrame, code_col: str = "naics_4digit",

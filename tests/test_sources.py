@@ -116,3 +116,21 @@ def test_research_enrichment_and_documents(spark):
     r = {x.company_id: x for x in readers.load_research_documents(spark, docs).collect()}
     assert r["7526346"].status == "completed" and r["7526346"].document_stats.word_count == 120
     assert r["42"].research_document is None and r["42"]._corrupt_record is not None
+
+
+def test_config_files(spark):
+    from canvass.sources import config_files
+    d = tempfile.mkdtemp(prefix="canvass-cfg-")
+    p = _write(d, "exclusions.yaml", "version: '1.0'\npublic_education:\n  enabled: true\n  naics_codes:\n"
+                                     "    - '61111018'\n    - '61111005'\nother:\n  enabled: false\n  naics_codes: ['92']\n")
+    assert config_files.excluded_codes(p) == ["61111018", "61111005"]
+    assert config_files.excluded_codes(os.path.join(d, "missing.yaml")) == ["61111018", "61111005"]
+    c = _write(d, "channels.yaml", "default_channel: general\nchannels:\n  k12:\n    naics_codes: ['6111']\n"
+                                   "    priority: MEDIUM\n")
+    chans, default = config_files.load_channels(c)
+    assert default == "general" and chans["k12"]["naics_codes"] == ["6111"]
+    bad = _write(d, "bad.yaml", "default_channel: x\n")
+    with pytest.raises(config_files.ConfigError):
+        config_files.load_channels(bad)
+    assert len(config_files.load_naics_targets(None)) == 39
+    assert sum(n for _, n in config_files.load_naics_targets(None)) == 11170    # H20: per-code caps
