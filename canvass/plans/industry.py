@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import naics
 from ..operators import aggregates, joins
+from ..session import reliable_checkpoint
 
 RANKING_COLUMNS = ["naics_code", "naics_description", "attractiveness_score", "company_count", "customer_count",
                    "prospect_count", "icp_fit_score", "profitability_score", "market_size_score",
@@ -19,7 +20,12 @@ SORTABLE = ["attractiveness_score", "company_count", "icp_fit_score", "profitabi
 
 def industry_rankings(spark: SparkSession, scored: DataFrame, metrics: DataFrame,
                       naics_codes: DataFrame | None = None) -> DataFrame:
-    """A1 -> J9 -> A8/D7 -> O1. ``scored`` is the filtered scored table."""
+    """A1 -> J9 -> A8/D7 -> O1. ``scored`` is the filtered scored table.
+
+    ``metrics`` is read twice (rows and the description table); it has one
+    row per industry code (bounded by the code universe), so it is
+    checkpointed once instead of recomputing a derived metrics plan twice."""
+    metrics = reliable_checkpoint(metrics)
     m = metrics.withColumn("naics_code", F.col("naics_code").cast("string")) \
                .withColumn("reasoning", F.col("icp_fit_reasoning"))
     counts = aggregates.industry_counts(scored)
