@@ -151,14 +151,65 @@ def weights_gate(weights: DataFrame | None, weight_col: str = "weight") -> DataF
         F.coalesce(F.abs(F.col("v") - F.lit(1.0)) <= F.lit(config.WEIGHT_SUM_TOLERANCE), F.lit(False))))
 
 
+def table_gates(df: DataFrame, key: str, subject: str, fields: Sequence[str] = (),
+                coordinates: bool = False, research: bool = False) -> list[DataFrame]:
+    """One keyed pass over a table for all of its own gates: per-key row
+    counts and non-null counts (partial aggregation, one shuffle), then one
+    global aggregation gives completeness (A13), duplicate rows / ids (A10),
+    coordinate coverage (A15) and research coverage (A16). The 5 sample ids
+    come from a top-k over the duplicate keys."""
+    present = [f for f in fields if f in df.columns]
+    per_key = [F.count(F.lit(1)).alias("n")]
+    per_key += [F.count(F.col(f)).alias(f"nn{i}") for i, f in enumerate(present)]
+    if coordinates:
+        per_key.append(F.count_if(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).alias("geo"))
+    has_research = research and "has_research_doc" in df.columns
+    if has_research:
+        per_key.append(F.count_if(F.col("has_research_doc") == F.lit(True)).alias("res"))
+    g = df.groupBy(key).agg(*per_key)
+    total = F.sum("n")
+    glob = [total.alias("rows"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("dup_rows"),
+            F.count_if(F.col("n") > 1).alias("dup_keys")]
+    glob += [(F.sum(f"nn{i}") / total).alias(f"c{i}") for i, _ in enumerate(present)]
+    if coordinates:
+        glob.append(F.coalesce(F.sum("geo") / total, F.lit(0.0)).alias("geo"))
+    if has_research:
+        glob.append(F.coalesce(F.sum("res") / total, F.lit(0.0)).alias("res"))
+    stats = g.agg(*glob)
+    sample = _sample_ids(g.where(F.col("n") > 1).select(F.col(key).cast("string").alias("id")))
+    one = _merge_rows(stats, sample)
+    parts = []
+    if fields:
+        structs = []
+        for f in fields:
+            v = F.col(f"c{present.index(f)}") if f in present else F.lit(0.0)
+            structs.append(F.struct(*_row("critical_field_completeness", "blocking", f, v, config.COMPLETENESS_MIN,
+                                          F.coalesce(v >= F.lit(config.COMPLETENESS_MIN), F.lit(False)),
+                                          F.when(F.lit(f not in present), F.lit("missing column")))))
+        parts.append(one.select(F.explode(F.array(*structs)).alias("r")).select("r.*"))
+    parts.append(one.select(*_row("no_duplicates", "blocking", subject, F.coalesce(F.col("dup_rows"), F.lit(0)), 0.0,
+                                  F.coalesce(F.col("dup_rows"), F.lit(0)) == 0,
+                                  F.concat(F.coalesce(F.col("dup_keys"), F.lit(0)).cast("string"),
+                                           F.lit(" ids; sample: "), F.coalesce(F.col("sample"), F.lit(""))))))
+    if coordinates:
+        v = F.coalesce(F.col("geo"), F.lit(0.0))
+        parts.append(one.select(*_row("coordinate_coverage", "non_blocking", "buildings", v, config.COORD_COVERAGE_MIN,
+                                      v >= F.lit(config.COORD_COVERAGE_MIN))))
+    if research:
+        v = F.coalesce(F.col("res"), F.lit(0.0)) if has_research else F.lit(0.0)
+        parts.append(one.select(*_row("research_coverage", "non_blocking", "scored", v, config.RESEARCH_COVERAGE_MIN,
+                                      v >= F.lit(config.RESEARCH_COVERAGE_MIN))))
+    return parts
+
+
 def gate_report(spark: SparkSession, scored: DataFrame, companies: DataFrame, buildings: DataFrame,
                 er_log: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
     """A18 as data: blocking gates (A13, A10, J10) then non-blocking (A14,
-    A17, A15, A16), every gate computed."""
-    parts = [field_completeness(scored),
-             duplicates_gate(scored, "company_id", "scored.company_id"),
-             duplicates_gate(buildings, "building_id", "buildings.building_id"),
-             join_integrity_gate(scored, companies, buildings)]
+    A17, A15, A16), every gate computed; each table's own gates in one
+    keyed pass (``table_gates``)."""
+    s_parts = table_gates(scored, "company_id", "scored.company_id", critical_fields(scored), research=True)
+    b_parts = table_gates(buildings, "building_id", "buildings.building_id", coordinates=True)
+    parts = [s_parts[0], s_parts[1], b_parts[0], join_integrity_gate(scored, companies, buildings)]
     er = er_orphan_gate(er_log)
     parts.append(er if er is not None else spark.createDataFrame(
         [("entity_resolution", "non_blocking", "entity_resolution_log", 0.0, config.ER_ORPHAN_MAX, True, "no log")],
@@ -166,7 +217,7 @@ def gate_report(spark: SparkSession, scored: DataFrame, companies: DataFrame, bu
     wg = weights_gate(weights)
     parts.append(wg if wg is not None else spark.createDataFrame(
         [("scoring_weights", "non_blocking", "weights", None, 1.0, False, "diagnostics not found")], REPORT_SCHEMA))
-    parts += [coordinate_coverage_gate(buildings), research_coverage_gate(scored)]
+    parts += [b_parts[1], s_parts[2]]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
