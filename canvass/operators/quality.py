@@ -152,7 +152,7 @@ def weights_gate(weights: DataFrame | None, weight_col: str = "weight") -> DataF
 
 
 def table_gates(df: DataFrame, key: str, subject: str, fields: Sequence[str] = (),
-                coordinates: bool = False, research: bool = False) -> list[DataFrame]:
+                coordinates: bool = False, research: bool = False) -> DataFrame:
     """One keyed pass over a table for all of its own gates: per-key row
     counts and non-null counts (partial aggregation, one shuffle), then one
     global aggregation gives completeness (A13), duplicate rows / ids (A10),
@@ -178,28 +178,26 @@ def table_gates(df: DataFrame, key: str, subject: str, fields: Sequence[str] = (
     stats = g.agg(*glob)
     sample = _sample_ids(g.where(F.col("n") > 1).select(F.col(key).cast("string").alias("id")))
     one = _merge_rows(stats, sample)
-    parts = []
-    if fields:
-        structs = []
-        for f in fields:
-            v = F.col(f"c{present.index(f)}") if f in present else F.lit(0.0)
-            structs.append(F.struct(*_row("critical_field_completeness", "blocking", f, v, config.COMPLETENESS_MIN,
-                                          F.coalesce(v >= F.lit(config.COMPLETENESS_MIN), F.lit(False)),
-                                          F.when(F.lit(f not in present), F.lit("missing column")))))
-        parts.append(one.select(F.explode(F.array(*structs)).alias("r")).select("r.*"))
-    parts.append(one.select(*_row("no_duplicates", "blocking", subject, F.coalesce(F.col("dup_rows"), F.lit(0)), 0.0,
-                                  F.coalesce(F.col("dup_rows"), F.lit(0)) == 0,
-                                  F.concat(F.coalesce(F.col("dup_keys"), F.lit(0)).cast("string"),
-                                           F.lit(" ids; sample: "), F.coalesce(F.col("sample"), F.lit(""))))))
+    rows = []
+    for f in fields:
+        v = F.col(f"c{present.index(f)}") if f in present else F.lit(0.0)
+        rows.append(_row("critical_field_completeness", "blocking", f, v, config.COMPLETENESS_MIN,
+                         F.coalesce(v >= F.lit(config.COMPLETENESS_MIN), F.lit(False)),
+                         F.when(F.lit(f not in present), F.lit("missing column"))))
+    dup = F.coalesce(F.col("dup_rows"), F.lit(0))
+    rows.append(_row("no_duplicates", "blocking", subject, dup, 0.0, dup == 0,
+                     F.concat(F.coalesce(F.col("dup_keys"), F.lit(0)).cast("string"), F.lit(" ids; sample: "),
+                              F.coalesce(F.col("sample"), F.lit("")))))
     if coordinates:
         v = F.coalesce(F.col("geo"), F.lit(0.0))
-        parts.append(one.select(*_row("coordinate_coverage", "non_blocking", "buildings", v, config.COORD_COVERAGE_MIN,
-                                      v >= F.lit(config.COORD_COVERAGE_MIN))))
+        rows.append(_row("coordinate_coverage", "non_blocking", "buildings", v, config.COORD_COVERAGE_MIN,
+                         v >= F.lit(config.COORD_COVERAGE_MIN)))
     if research:
         v = F.coalesce(F.col("res"), F.lit(0.0)) if has_research else F.lit(0.0)
-        parts.append(one.select(*_row("research_coverage", "non_blocking", "scored", v, config.RESEARCH_COVERAGE_MIN,
-                                      v >= F.lit(config.RESEARCH_COVERAGE_MIN))))
-    return parts
+        rows.append(_row("research_coverage", "non_blocking", "scored", v, config.RESEARCH_COVERAGE_MIN,
+                         v >= F.lit(config.RESEARCH_COVERAGE_MIN)))
+    # all gate rows of the table from ONE projection of the one-row frame
+    return one.select(F.explode(F.array(*[F.struct(*r) for r in rows])).alias("r")).select("r.*")
 
 
 def gate_report(spark: SparkSession, scored: DataFrame, companies: DataFrame, buildings: DataFrame,
@@ -207,9 +205,9 @@ def gate_report(spark: SparkSession, scored: DataFrame, companies: DataFrame, bu
     """A18 as data: blocking gates (A13, A10, J10) then non-blocking (A14,
     A17, A15, A16), every gate computed; each table's own gates in one
     keyed pass (``table_gates``)."""
-    s_parts = table_gates(scored, "company_id", "scored.company_id", critical_fields(scored), research=True)
-    b_parts = table_gates(buildings, "building_id", "buildings.building_id", coordinates=True)
-    parts = [s_parts[0], s_parts[1], b_parts[0], join_integrity_gate(scored, companies, buildings)]
+    parts = [table_gates(scored, "company_id", "scored.company_id", critical_fields(scored), research=True),
+             table_gates(buildings, "building_id", "buildings.building_id", coordinates=True),
+             join_integrity_gate(scored, companies, buildings)]
     er = er_orphan_gate(er_log)
     parts.append(er if er is not None else spark.createDataFrame(
         [("entity_resolution", "non_blocking", "entity_resolution_log", 0.0, config.ER_ORPHAN_MAX, True, "no log")],
@@ -217,7 +215,6 @@ def gate_report(spark: SparkSession, scored: DataFrame, companies: DataFrame, bu
     wg = weights_gate(weights)
     parts.append(wg if wg is not None else spark.createDataFrame(
         [("scoring_weights", "non_blocking", "weights", None, 1.0, False, "diagnostics not found")], REPORT_SCHEMA))
-    parts += [b_parts[1], s_parts[2]]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
