@@ -62,3 +62,26 @@ def test_cap_per_group(spark):
     df = spark.createDataFrame([("g", i, 2) for i in range(5)] + [("h", 1, 2)], "g string, v int, cap int")
     out = ranking.cap_per_group(df, "g", "cap", [F.col("v").desc()])
     assert rows(out, "g", "v") == [("g", 3), ("g", 4), ("h", 1)]
+
+
+from hypothesis import given, settings, HealthCheck, strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.sampled_from(["HOT", "HOT", "HOT", "a", "b", None]),
+                          st.one_of(st.none(), st.integers(0, 5).map(float))), min_size=0, max_size=60),
+       st.integers(1, 7))
+def test_distributed_rank_property(spark, data, parts):
+    df = spark.createDataFrame([(f"{i:03d}", g, s) for i, (g, s) in enumerate(data)],
+                               "company_id string, seg string, score double")
+    order = [F.col("score").desc_nulls_last(), F.col("company_id")]
+    a = ranking.contiguous_rank(df, ["seg"], order, "pos", num_partitions=parts)
+    b = ranking.contiguous_rank(df, ["seg"], order, "pos", strategy="window")
+    assert rows(a, "company_id", "pos") == rows(b, "company_id", "pos")
+
+
+def test_cluster_conf_sizes():
+    from canvass.session import cluster_conf
+    c = cluster_conf(100 * 1024 ** 4, 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 200_000
+    assert int(cluster_conf(10 * 1024 ** 3, 8)["spark.sql.shuffle.partitions"]) == 40
