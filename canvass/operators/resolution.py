@@ -31,6 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import reliable_checkpoint
 from .ranking import first_per_key
 
 PAD_START, PAD_END = "^", "$"
@@ -44,8 +45,8 @@ def normalize_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
 
 
-def normalize_address(df: DataFrame, id_col: str) -> DataFrame:
-    return df.select(F.col(id_col).alias("rid"),
+def normalize_address(df: DataFrame, id_col: str, extra: list[str] | None = None) -> DataFrame:
+    return df.select(F.col(id_col).alias("rid"), *[F.col(x) for x in (extra or [])],
                      normalize_text(F.col("street_number").cast("string")).alias("n_number"),
                      normalize_text(F.col("street")).alias("n_street"),
                      normalize_text(F.col("city")).alias("n_city"),
@@ -85,15 +86,19 @@ def resolve(crm: DataFrame, registry: DataFrame, crm_id: str = "hubspot_id", crm
             registry_id: str = "dataaxle_id", threshold: float = 90.0) -> DataFrame:
     """ER log: one row per CRM record (hubspot_id, hubspot_type, dataaxle_id,
     match_type, confidence_score)."""
-    c = normalize_address(crm, crm_id)
-    r = normalize_address(registry, registry_id)
+    # both inputs are read by several steps (exact join, anti join, bigram
+    # statistics, prefix join, final join): normalise each once and cut the
+    # lineage (narrow rows: id + five short fields), so a derived input is
+    # not recomputed per step and a lost executor does not redo the scans
+    c = reliable_checkpoint(normalize_address(crm, crm_id, extra=[crm_type]))
+    r = reliable_checkpoint(normalize_address(registry, registry_id))
     key = ["n_number", "n_street", "n_city", "n_state", "n_zip"]
 
     exact = (c.join(r.withColumnRenamed("rid", "reg"), on=key, how="inner")
               .groupBy(F.col("rid")).agg(F.min("reg").alias("reg")))
     exact = exact.select("rid", "reg", F.lit(MATCH_EXACT).alias("match_type"), F.lit(100.0).alias("confidence"))
 
-    rest = c.join(exact.select("rid"), on="rid", how="left_anti")
+    rest = c.drop(crm_type).join(exact.select("rid"), on="rid", how="left_anti")
     block = ["n_state", "n_city", "n_number"]
 
     # global bigram order by frequency over both sides (bounded table)
@@ -124,7 +129,7 @@ def resolve(crm: DataFrame, registry: DataFrame, crm_id: str = "hubspot_id", crm
                         F.round("sim", 1).alias("confidence"))
 
     matched = exact.unionByName(fuzzy)
-    base = crm.select(F.col(crm_id).alias("rid"), F.col(crm_type).alias("hubspot_type"))
+    base = c.select("rid", F.col(crm_type).alias("hubspot_type"))
     out = base.join(matched, on="rid", how="left")
     return out.select(F.col("rid").alias("hubspot_id"), "hubspot_type", F.col("reg").alias("dataaxle_id"),
                       F.coalesce(F.col("match_type"), F.lit(MATCH_NONE)).alias("match_type"),
