@@ -873,3 +873,17 @@ oracle("document_summary", with_ctes(["rdocs"], f"""SELECT company_id,
        {count_sql('research_document', 'URGENT')} AS urgent_flags, {count_sql('research_document', 'ACTION')} AS action_flags,
        len({words_sql('research_document')}) > 0 AS has_content
 FROM rdocs"""))
+
+
+# ---------------------------------------------------------- extra branches
+oracle("industry_sorted", with_ctes(["rankings"], "SELECT * FROM rankings"))
+oracle("ranked_view_crm", with_ctes(["prepared", "crm_flag"], f"""SELECT *, CAST(row_number() OVER (
+       ORDER BY final_score DESC NULLS LAST, company_id ASC NULLS LAST) AS INTEGER) AS global_rank
+FROM (SELECT p.*, {_RAW}, coalesce(k.hit, false) AS in_hubspot
+      FROM prepared p LEFT JOIN companies c ON p.company_id = c.company_id
+      LEFT JOIN crm_flag k ON p.company_id = k.company_id) e
+WHERE in_hubspot = true AND state = 'NATION_3' AND final_score BETWEEN 10.0 AND 95.0"""))
+oracle("latest_order_per_company", """SELECT company_id, o_orderkey, o_totalprice, o_orderstatus FROM (
+  SELECT CAST(o_custkey AS VARCHAR) AS company_id, o_orderkey, o_totalprice, o_orderstatus,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS pos
+  FROM orders) t WHERE pos = 1""")

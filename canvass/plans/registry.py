@@ -524,3 +524,30 @@ def q_document_summary(spark, sf):
     """D22 over whole research documents."""
     d = cr.research_documents(spark, sf)
     return d.select("company_id", *tx.document_summary(F.col("research_document")))
+
+
+@query("industry_sorted")
+def q_industry_sorted(spark, sf):
+    """O2: industries sorted by company count ascending (nulls last)."""
+    return industry.sort_rankings(_rankings(spark, sf), "company_count", ascending=True)
+
+
+CRM_VIEW_FILTER = filters.PageFilter(hubspot="In HubSpot", state="NATION_3", score_min=10.0, score_max=95.0)
+
+
+@query("ranked_view_crm")
+def q_ranked_view_crm(spark, sf):
+    """P2 with the CRM-presence and state filters, after J4/J5 enrichment."""
+    e = ranked.enrich(_prepared(spark, sf), cr.companies(spark, sf), cr.crm_companies(spark, sf))
+    return ranked.ranked_view(e, CRM_VIEW_FILTER)
+
+
+@query("latest_order_per_company")
+def q_latest_order_per_company(spark, sf):
+    """W5 / A12 with an explicit order: the last order of every company
+    (date, then order key), by aggregation (no per-key window)."""
+    from ..operators import ranking
+    o = cr.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("company_id"),
+                                             "o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")
+    return ranking.last_per_key(o, ["company_id"], ["o_orderdate", "o_orderkey"],
+                                ["o_orderkey", "o_totalprice", "o_orderstatus"])
