@@ -49,7 +49,7 @@ def expand_json_array(s: Column) -> tuple[Column, Column]:
 def expand_research_summary(s: Column) -> list[Column]:
     """13 flat fields from news / jobs / corporate-ops sections with
     defaults (False / ''); a missing or null section gives the defaults (H26);
-    at most 5 role examples, newline-joined."""
+    the first 5 role examples (O7), newline-joined."""
     v = F.try_parse_json(s)
 
     def get(path: str, typ: str, default):

@@ -28,8 +28,9 @@ def is_generic(desc: Column) -> Column:
 
 def description_table(spark: SparkSession, metrics: DataFrame | None = None,
                       naics_codes: DataFrame | None = None) -> DataFrame:
-    """One description per code; metrics (usable text) > config file >
-    inline table. Bounded by the NAICS code universe."""
+    """Union of the description sources, then one description per
+    code: metrics (usable text) > config file > inline table. Bounded by the
+    NAICS code universe."""
     parts = [spark.createDataFrame([(k, v, PRIORITY_INLINE) for k, v in config.SUPPLEMENTARY_DESCRIPTIONS.items()],
                                    "code string, description string, priority int")]
     if naics_codes is not None:

@@ -54,8 +54,8 @@ def word_count(c: Column) -> Column:
 
 
 def truncate_document(c: Column, max_words: int = config.DOCUMENT_MAX_WORDS) -> tuple[Column, Column]:
-    """More than ``max_words`` words -> first ``max_words`` joined by a
-    space + notice; returns (text, was_truncated)."""
+    """More than ``max_words`` words -> first ``max_words`` joined
+    by a space + notice; returns (text, was_truncated)."""
     w = words(c)
     cut = F.size(w) > max_words
     text = F.when(cut, F.concat(F.array_join(F.slice(w, 1, max_words), " "), F.lit(config.TRUNCATION_NOTICE))) \

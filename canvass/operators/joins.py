@@ -26,7 +26,8 @@ def drop_orphans(df: DataFrame, companies: DataFrame, key: str = "company_id") -
 
 
 def orphans(df: DataFrame, companies: DataFrame, key: str = "company_id") -> DataFrame:
-    """Rows of ``df`` whose key is missing from ``companies`` (the report side)."""
+    """Rows of ``df`` whose key is missing from ``companies`` (anti join;
+    the report side of J1 / J2)."""
     return df.join(companies.select(key).distinct(), on=key, how="left_anti")
 
 

@@ -89,7 +89,7 @@ def _merge_rows(*frames: DataFrame) -> DataFrame:
 
 
 def _sample_ids(ids: DataFrame, k: int = 5) -> DataFrame:
-    """Top-k ids as one comma-joined string (a one-row frame)."""
+    """Top-k ids (sorted) as one comma-joined string (a one-row frame)."""
     top = ids.orderBy("id").limit(k)
     return top.agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("sample"))
 

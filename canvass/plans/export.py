@@ -135,7 +135,8 @@ def sheet_reasoning(merged: DataFrame) -> DataFrame:
 
 def sheet_research(merged: DataFrame) -> DataFrame | None:
     """Web research table: researched rows only (P11), summary JSON
-    flattened (D4); ``None`` when there is no research column."""
+    flattened (D4) next to the base columns in one projection (U3);
+    ``None`` when there is no research column."""
     if "had_web_research" not in merged.columns:
         return None
     d = researched_only(merged)

@@ -63,7 +63,8 @@ def enrich(prepared: DataFrame, companies: DataFrame, crm: DataFrame | None,
 
 def display_table(view: DataFrame) -> DataFrame:
     """The ranked table's display projection (numeric scores rounded to
-    one decimal stay numeric; absent optional columns show 0 / '—')."""
+    one decimal stay numeric, so O6 sorting stays numeric; absent optional
+    columns show 0 / '—')."""
     cols = set(view.columns)
 
     def opt(name):

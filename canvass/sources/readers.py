@@ -30,7 +30,8 @@ class DataLoadError(IOError):
 
 
 def validate_schema(df: DataFrame, required: Sequence[str], name: str) -> DataFrame:
-    """Fail before any job runs if a required column is missing."""
+    """Fail before any job runs if a required column is missing
+    (set difference of column names)."""
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise SchemaValidationError(f"{name}: missing required columns {missing}")
