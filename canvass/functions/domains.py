@@ -6,8 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def py_strip(c: Column) -> Column:
+    """Python ``str.strip()``: leading and trailing whitespace of any kind."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def _strip_common(c: Column) -> Column:
-    s = F.lower(F.trim(c))
+    s = F.lower(py_strip(c))
     s = F.replace(s, F.lit("http://"), F.lit(""))
     s = F.replace(s, F.lit("https://"), F.lit(""))
     s = F.replace(s, F.lit("www."), F.lit(""))

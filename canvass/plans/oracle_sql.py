@@ -317,12 +317,12 @@ FROM buildings WHERE company_id NOT IN (SELECT company_id FROM companies)"""))
 
 # ------------------------------------------------------------- enrichment
 def d1_sql(c: str) -> str:
-    base = f"regexp_replace(replace(replace(replace(lower(trim({c})), 'http://', ''), 'https://', ''), 'www.', ''), '/+$', '')"
+    base = f"regexp_replace(replace(replace(replace(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), 'http://', ''), 'https://', ''), 'www.', ''), '/+$', '')"
     return f"nullif(split_part({base}, '/', 1), '')"
 
 
 def d2_sql(c: str) -> str:
-    return f"nullif(regexp_replace(replace(replace(replace(lower(trim({c})), 'http://', ''), 'https://', ''), 'www.', ''), '/+$', ''), '')"
+    return f"nullif(regexp_replace(replace(replace(replace(lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')), 'http://', ''), 'https://', ''), 'www.', ''), '/+$', ''), '')"
 
 
 CTE["crm"] = """crm AS (

@@ -51,7 +51,7 @@ def test_leading_zero_ids(spark):
 
 
 def test_domains(spark):
-    df = spark.createDataFrame([("HTTPS://www.Acme.com/about/",), ("acme.com",), ("  ",), (None,), ("www.x.org//",)],
+    df = spark.createDataFrame([("HTTPS://www.Acme.com/about/",), ("\tacme.com\n",), ("  ",), (None,), ("www.x.org//",)],
                                "u string")
     got = [tuple(r) for r in df.select(domains.clean_domain(F.col("u")), domains.clean_crm_domain(F.col("u"))).collect()]
     assert got == [("acme.com", "acme.com/about"), ("acme.com", "acme.com"), (None, None), (None, None),
