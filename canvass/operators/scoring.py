@@ -126,8 +126,10 @@ def assign_channel(df: DataFrame, channels: DataFrame, code_col: str = "primary_
     """Longest matching NAICS prefix wins, else the default channel.
 
     Distinct codes (bounded by the code universe) are matched against the
-    fixed channel table (broadcast) with one equi join per prefix length, so
-    there is no cross join; the result is joined back on the code.
+    channel table with one equi join per prefix length, so there is no cross
+    join; the result is joined back on the code. No broadcast hint: the
+    config tables are local relations of known size, and anything larger is
+    sized by AQE at run time.
     """
     lengths = prefix_lengths if prefix_lengths is not None else \
         [r[0] for r in channels.select(F.length("prefix")).distinct().collect()]  # config-sized table
@@ -136,7 +138,7 @@ def assign_channel(df: DataFrame, channels: DataFrame, code_col: str = "primary_
     cands = None
     for n in sorted(lengths):
         c = (codes.withColumn("prefix", F.substring("_cv_code", 1, n))
-                  .join(F.broadcast(channels.where(F.length("prefix") == n)), on="prefix", how="inner")
+                  .join(channels.where(F.length("prefix") == n), on="prefix", how="inner")
                   .select("_cv_code", F.lit(n).alias("_len"), "channel_id"))
         cands = c if cands is None else cands.unionByName(c)
     if cands is None:
@@ -159,7 +161,7 @@ def apply_sqft_rule(buildings: DataFrame, codes: DataFrame, place_type_col: str
     """P16 + J14: keep codes 4-8 (>= 5,000 sq ft); headquarters always kept;
     a null or unknown code is kept and flagged (the rule only says "handle
     gracefully")."""
-    j = buildings.join(F.broadcast(codes), on="square_footage_code", how="left")
+    j = buildings.join(codes, on="square_footage_code", how="left")
     hq = (F.col(place_type_col) == F.lit("headquarters")) if place_type_col else F.lit(False)
     keep = hq | F.coalesce(F.col("sqft_include"), F.lit(True))
     return j.withColumn("sqft_unknown", F.col("sqft_include").isNull()).filter(keep)
@@ -174,7 +176,7 @@ def target_industries(df: DataFrame, targets: DataFrame, code_col: str = "naics_
                       branch_col: str | None = None) -> DataFrame:
     """Keep listed 4-digit industries (broadcast semi join of 39 codes)
     and, when a branch count is given, multi-location companies only."""
-    out = df.join(F.broadcast(targets.select(F.col("naics_4digit").alias(code_col))), on=code_col, how="left_semi")
+    out = df.join(targets.select(F.col("naics_4digit").alias(code_col)), on=code_col, how="left_semi")
     return out.filter(F.col(branch_col) > 0) if branch_col else out
 
 
@@ -182,7 +184,7 @@ def cap_industries(df: DataFrame, targets: DataFrame, order_cols: list[Column],
                    strategy: str = "distributed") -> DataFrame:
     """At most ``max_companies`` per industry in the given order (the
     original does not state the order; callers pass one, e.g. size desc, id)."""
-    j = df.join(F.broadcast(targets.withColumnRenamed("naics_4digit", code_col)), on=code_col, how="inner")
+    j = df.join(targets.withColumnRenamed("naics_4digit", code_col), on=code_col, how="inner")
     return cap_per_group(j, code_col, "max_companies", order_cols, strategy)
 
 

@@ -77,10 +77,10 @@ def customer_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
-    # nation/region are fixed 25/5-row dimensions: broadcasting them is bounded
-    geo = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
+    # nation/region are 25/5-row dimensions: the planner broadcasts them by size
+    geo = n.join(r, n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
     naics4 = F.concat(_sector(F.col("c_nationkey")), _segment_digits(F.col("c_mktsegment")))
-    return (c.join(F.broadcast(geo), c.c_nationkey == geo.n_nationkey, "left")
+    return (c.join(geo, c.c_nationkey == geo.n_nationkey, "left")
              .select(F.col("c_custkey"), F.col("c_custkey").cast("string").alias("company_id"),
                      F.col("c_name"), F.col("c_acctbal"), F.col("c_nationkey"), F.col("c_mktsegment"),
                      naics4.alias("naics_4digit"),

@@ -378,7 +378,7 @@ def q_channel_assignment(spark, sf):
                                  prefix_lengths=scoring.channel_prefix_lengths())
     w = scoring.weights_frame(spark).groupBy("channel_id").pivot(
         "component", ["hygiene_relevance", "geographic_fit", "decision_maker_clarity"]).agg(F.first("weight"))
-    return out.join(F.broadcast(w), on="channel_id", how="left")
+    return out.join(w, on="channel_id", how="left")
 
 
 @query("sqft_filter")
