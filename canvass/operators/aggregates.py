@@ -57,7 +57,12 @@ def facet_values(df: DataFrame, facets: Sequence[str]) -> DataFrame:
 
 def contact_summary(contacts: DataFrame) -> DataFrame:
     """Per company: contact count, last contact date, names and emails
-    joined (sorted, distinct, so the text does not depend on row order)."""
+    joined (sorted, distinct, so the text does not depend on row order).
+
+    The joined lists are the output itself (one text per company), so their
+    size is the number of *distinct* names of a company; the sets are built
+    by partial aggregation in every map task, so a company with a third of
+    all contact rows never ships its raw rows to one task."""
     return contacts.groupBy("company_id").agg(
         F.count(F.lit(1)).cast("int").alias("contact_count"),
         F.max("contact_date").alias("last_contact_date"),
