@@ -185,12 +185,13 @@ def _lev(a, b):
     return prev[-1]
 
 
-def test_entity_resolution_matches_brute_force(spark):
-    rnd = random.Random(11)
-    alphabet = "ab"     # tiny alphabet + one hot block: worst case for candidate blow-up
+@pytest.mark.parametrize("seed,alphabet,max_len", [(11, "ab", 24), (5, "abc", 45)])
+def test_entity_resolution_matches_brute_force(spark, seed, alphabet, max_len):
+    rnd = random.Random(seed)
+    # tiny alphabet + one hot block: worst case for candidate blow-up
     reg, crm = [], []
     for i in range(120):
-        street = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 24)))
+        street = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, max_len)))
         reg.append((f"R{i:03d}", "1", street, "c", "s", "z"))
     for i in range(150):
         base = rnd.choice(reg)[2]
@@ -219,3 +220,16 @@ def test_entity_resolution_matches_brute_force(spark):
                 best = (sim, rid)
         assert got[hid] == ((best[1], "fuzzy_street_name") if best else (None, "unmatched")), hid
     assert resolution.prefix_is_exact(90.0)
+
+
+def test_first_and_last_wins_with_explicit_order(spark):
+    """Raw fields keep the first row per id, rate lookups the last."""
+    scored = spark.createDataFrame([("1",), ("2",)], "company_id string")
+    comp = spark.createDataFrame([("1", 3, "G", 1, 0), ("1", 9, "S", 2, 1), ("2", 5, "C", 0, 0)],
+                                 "company_id string, building_count_estimate int, growing_business_code string, "
+                                 "contacts_count int, pos int")
+    e = joins.enrich_raw_fields(scored, comp, order_col="pos")
+    assert rows(e, "company_id", "building_count_estimate", "growing_business_code") == [("1", 3, "G"), ("2", 5, "C")]
+    pen = spark.createDataFrame([("1", 10.0, 0), ("1", 20.0, 1)], "company_id string, penetration_rate double, pos int")
+    assert rows(joins.penetration_lookup(scored, pen, order_col="pos"), "company_id", "penetration_rate") == \
+        [("1", 20.0), ("2", None)]
