@@ -144,3 +144,17 @@ def estimate_penetration(estimates: DataFrame, served: DataFrame) -> DataFrame:
                     "served_buildings", rate.alias("penetration_rate"),
                     F.when(F.col("served_buildings") > 0, F.lit("estimated")).otherwise(F.lit("none"))
                      .alias("data_quality"))
+
+
+def penetration_by_industry(estimates: DataFrame, companies: DataFrame, code_col: str = "naics_4digit") -> DataFrame:
+    """A5 by industry (the original names the table but not its formula):
+    100 * served / estimated buildings summed over the companies of each
+    code (null when no building is estimated), with company counts."""
+    j = estimates.join(companies.select("company_id", code_col).distinct(), on="company_id", how="inner")
+    g = j.where(F.col(code_col).isNotNull()).groupBy(code_col).agg(
+        F.count(F.lit(1)).alias("companies"),
+        F.sum("total_buildings_estimate").cast("long").alias("total_buildings_estimate"),
+        F.sum("served_buildings").cast("long").alias("served_buildings"))
+    return g.withColumn("penetration_rate",
+                        F.try_divide(F.col("served_buildings").cast("double"),
+                                     F.col("total_buildings_estimate").cast("double")) * F.lit(100.0))

@@ -887,3 +887,10 @@ oracle("latest_order_per_company", """SELECT company_id, o_orderkey, o_totalpric
   SELECT CAST(o_custkey AS VARCHAR) AS company_id, o_orderkey, o_totalprice, o_orderstatus,
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS pos
   FROM orders) t WHERE pos = 1""")
+oracle("penetration_by_industry", with_ctes(["penetration"], """SELECT c.naics_4digit, CAST(count(*) AS BIGINT) AS companies,
+       CAST(sum(p.total_buildings_estimate) AS BIGINT) AS total_buildings_estimate,
+       CAST(sum(p.served_buildings) AS BIGINT) AS served_buildings,
+       CASE WHEN sum(p.total_buildings_estimate) = 0 THEN NULL
+            ELSE CAST(sum(p.served_buildings) AS DOUBLE) / CAST(sum(p.total_buildings_estimate) AS DOUBLE) * 100.0 END AS penetration_rate
+FROM penetration p JOIN (SELECT DISTINCT company_id, naics_4digit FROM companies) c ON p.company_id = c.company_id
+WHERE c.naics_4digit IS NOT NULL GROUP BY c.naics_4digit"""))

@@ -551,3 +551,9 @@ def q_latest_order_per_company(spark, sf):
                                              "o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")
     return ranking.last_per_key(o, ["company_id"], ["o_orderdate", "o_orderkey"],
                                 ["o_orderkey", "o_totalprice", "o_orderstatus"])
+
+
+@query("penetration_by_industry")
+def q_penetration_by_industry(spark, sf):
+    """A5 rolled up per 4-digit industry."""
+    return joins.penetration_by_industry(_penetration(spark, sf), cr.companies(spark, sf))
