@@ -74,8 +74,10 @@ def fixed(x: Column, digits: int, grouping: bool = False) -> Column:
     v = F.nanvl(x.cast("double"), F.lit(None).cast("double"))
     r = py_round(v, digits)
     text = F.format_number(r, digits) if grouping else r.cast("string")
-    # Python keeps the sign of a negative value that rounds to zero ('-0.0')
-    return F.when((v < 0) & (r == 0), F.concat(F.lit("-"), text)).otherwise(text)
+    # Python keeps the sign of a negative value that rounds to zero ('-0.0'),
+    # negative zero itself included (its text form starts with '-')
+    negative = (v < 0) | ((v == 0) & v.cast("string").startswith("-"))
+    return F.when(negative & (r == 0), F.concat(F.lit("-"), text)).otherwise(text)
 
 
 def is_null(c: Column, dtype: T.DataType | None = None) -> Column:
