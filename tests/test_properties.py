@@ -79,3 +79,22 @@ def test_expand_json_array_equals_python(spark, texts):
         want = _py_expand(text)
         if want is not None:
             assert g == want, text
+
+
+_WS_CHARS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0        　"
+
+
+@SETTINGS
+@given(st.lists(st.text(alphabet=_WS_CHARS + "abé.", max_size=30), min_size=1, max_size=100))
+def test_words_equal_python_split(spark, texts):
+    from canvass.functions import text
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    cut_text, cut = text.truncate_document(F.col("t"), max_words=3)
+    summary = text.document_summary(F.col("t"))
+    got = [tuple(r) for r in df.select(text.word_count(F.col("t")), cut_text, cut, summary[3]).collect()]
+    for t, (n, ct, c, has) in zip(texts, got):
+        w = t.split()
+        assert n == len(w), repr(t)
+        assert has == (len(w) > 0), repr(t)
+        assert c == (len(w) > 3)
+        assert ct == (" ".join(w[:3]) + text.config.TRUNCATION_NOTICE if len(w) > 3 else t), repr(t)
