@@ -233,3 +233,20 @@ def test_first_and_last_wins_with_explicit_order(spark):
     pen = spark.createDataFrame([("1", 10.0, 0), ("1", 20.0, 1)], "company_id string, penetration_rate double, pos int")
     assert rows(joins.penetration_lookup(scored, pen, order_col="pos"), "company_id", "penetration_rate") == \
         [("1", 20.0), ("2", None)]
+
+
+def test_naics_descriptions(spark):
+    from canvass.functions import naics
+    metrics = spark.createDataFrame([("3256", "Cleaning Products"), ("4231", "NAICS 4231"), ("999999", "Custom 999999")],
+                                    "naics_code string, naics_description string")
+    desc = naics.description_table(spark, metrics)
+    codes = spark.createDataFrame([("111419",), ("6214",), ("6111.0",), ("3256",), ("4231",), ("999999",), ("5",),
+                                   (None,), ("33",)], "code string")
+    got = dict(rows(naics.describe(codes, "code", desc, "d"), "code", "d"))
+    assert got["111419"] == "Greenhouse, Nursery, and Floriculture Production"     # 4-digit prefix
+    assert got["6214"] == "Healthcare Services (6214)"                              # sector fallback
+    assert got["6111.0"] == "Educational Services (6111)"                           # canonical code
+    assert got["3256"] == "Cleaning Products"                                       # metrics beat inline
+    assert got["4231"].startswith("Motor Vehicle")                                  # generic metrics text ignored
+    assert got["999999"] == "Custom 999999"                                         # full-code match
+    assert got["5"] == "NAICS 5" and got[None] == "Unknown" and got["33"] == "Manufacturing (33)"
