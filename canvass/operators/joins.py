@@ -70,15 +70,20 @@ def enrich_raw_fields(scored: DataFrame, companies: DataFrame,
 
 
 def flag_crm_presence(scored: DataFrame, companies: DataFrame, crm: DataFrame,
-                      strict: bool = True, flag_col: str = "in_hubspot") -> DataFrame:
+                      strict: bool = True, flag_col: str = "in_hubspot", order_col: str | None = None) -> DataFrame:
     """Company website (D1) found among CRM domains (D2) -> flag.
 
     ``strict=True`` keeps the CRM paths as the original does (H10);
     ``strict=False`` cuts both sides at the first '/'. Missing website or no
-    CRM data -> False.
+    CRM data -> False. A company id listed twice: with ``order_col`` the last
+    row's website decides (dictionary semantics, H11); without an order any
+    matching row sets the flag.
     """
     crm_clean = clean_crm_domain(F.col("domain")) if strict else clean_domain(F.col("domain"))
     crm_domains = crm.select(crm_clean.alias("_dom")).where(F.col("_dom").isNotNull()).distinct()
+    if order_col:
+        companies = last_per_key(companies.select("company_id", "website", order_col), ["company_id"],
+                                 [F.col(order_col)], ["website"])
     comp = (companies.select("company_id", clean_domain(F.col("website")).alias("_dom"))
             .join(crm_domains.withColumn("_hit", F.lit(True)), on="_dom", how="left")
             .groupBy("company_id").agg(F.max(F.coalesce(F.col("_hit"), F.lit(False))).alias("_hit")))

@@ -250,3 +250,12 @@ def test_naics_descriptions(spark):
     assert got["4231"].startswith("Motor Vehicle")                                  # generic metrics text ignored
     assert got["999999"] == "Custom 999999"                                         # full-code match
     assert got["5"] == "NAICS 5" and got[None] == "Unknown" and got["33"] == "Manufacturing (33)"
+
+
+def test_crm_presence_last_row_wins(spark):
+    comp = spark.createDataFrame([("1", "https://acme.com", 1), ("1", "other.org", 2)],
+                                 "company_id string, website string, pos int")
+    crm = spark.createDataFrame([("acme.com",)], "domain string")
+    ids = comp.select("company_id").distinct()
+    assert rows(joins.flag_crm_presence(ids, comp, crm), "company_id", "in_hubspot") == [("1", True)]
+    assert rows(joins.flag_crm_presence(ids, comp, crm, order_col="pos"), "company_id", "in_hubspot") == [("1", False)]
