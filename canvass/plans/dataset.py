@@ -19,7 +19,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import joins, quality, resolution  # noqa: F401  (resolution for callers)
+from ..operators import quality
 from ..operators.filters import PageFilter, apply_page_filter
 from ..sources import config_files, readers, schemas, writers
 from . import export as export_plan
