@@ -894,3 +894,4 @@ oracle("penetration_by_industry", with_ctes(["penetration"], """SELECT c.naics_4
             ELSE CAST(sum(p.served_buildings) AS DOUBLE) / CAST(sum(p.total_buildings_estimate) AS DOUBLE) * 100.0 END AS penetration_rate
 FROM penetration p JOIN (SELECT DISTINCT company_id, naics_4digit FROM companies) c ON p.company_id = c.company_id
 WHERE c.naics_4digit IS NOT NULL GROUP BY c.naics_4digit"""))
+oracle("industry_search_multiword", with_ctes(["rankings"], _text_search_sql("estate")))

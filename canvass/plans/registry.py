@@ -557,3 +557,10 @@ def q_latest_order_per_company(spark, sf):
 def q_penetration_by_industry(spark, sf):
     """A5 rolled up per 4-digit industry."""
     return joins.penetration_by_industry(_penetration(spark, sf), cr.companies(spark, sf))
+
+
+@query("industry_search_multiword")
+def q_industry_search_multiword(spark, sf):
+    """P8 with a query that is part of a multi-word synonym key ('estate'
+    -> the 'real estate' synonyms)."""
+    return filters.search_industries(_rankings(spark, sf), "estate")
