@@ -895,3 +895,4 @@ oracle("penetration_by_industry", with_ctes(["penetration"], """SELECT c.naics_4
 FROM penetration p JOIN (SELECT DISTINCT company_id, naics_4digit FROM companies) c ON p.company_id = c.company_id
 WHERE c.naics_4digit IS NOT NULL GROUP BY c.naics_4digit"""))
 oracle("industry_search_multiword", with_ctes(["rankings"], _text_search_sql("estate")))
+oracle("segment_sorted", with_ctes(["prepared"], "SELECT company_id, primary_naics, final_score, rank FROM prepared"))

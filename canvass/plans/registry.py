@@ -564,3 +564,10 @@ def q_industry_search_multiword(spark, sf):
     """P8 with a query that is part of a multi-word synonym key ('estate'
     -> the 'real estate' synonyms)."""
     return filters.search_industries(_rankings(spark, sf), "estate")
+
+
+@query("segment_sorted")
+def q_segment_sorted(spark, sf):
+    """O3: companies by segment ascending, score descending (numeric)."""
+    return ranked.sort_by_score_within_segment(_prepared(spark, sf)).select(
+        "company_id", "primary_naics", "final_score", "rank")
