@@ -131,7 +131,7 @@ def load_companies(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     return normalize_companies(df)
 
 
-def normalize_buildings(df: DataFrame, sqft_codes: DataFrame | None = None) -> DataFrame:
+def normalize_buildings(df: DataFrame) -> DataFrame:
     """S2 rules: default source, ``is_served`` from source, square footage
     from its code when absent."""
     source = F.coalesce(F.col("source"), F.lit(config.DEFAULT_BUILDING_SOURCE))
