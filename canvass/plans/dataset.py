@@ -122,7 +122,30 @@ class ProspectData:
     def diagnostics(self) -> DataFrame | None:
         return self._get("diag", lambda: readers.load_scoring_diagnostics(self.spark, self.path("diagnostics")))
 
+    def research_documents(self) -> DataFrame:
+        """S9 in bulk: every per-company JSON document of the folder."""
+        return self._get("docs", lambda: readers.load_research_documents(self.spark, self.path("research_documents")))
+
     # ------------------------------------------------------------- flows
+    def document_report(self) -> DataFrame:
+        """D22 + D24 + D25 per research document: words, flag counts, validity
+        reason, and whether stored flag counts (old score format) disagree."""
+        from ..functions import text as tx
+        d = self.research_documents()
+        doc = F.col("research_document")
+        out = d.select("company_id", tx.company_name_or_unknown(F.col("company_name")).alias("company_name"),
+                       *tx.document_summary(doc),
+                       tx.document_validity(doc, F.col("status"), F.col("document_stats.word_count")).alias("reason"))
+        scored = self.scored_raw()
+        if {"urgent_flags", "action_flags"} <= set(scored.columns):
+            stored = scored.select("company_id", F.col("urgent_flags").alias("stored_urgent"),
+                                   F.col("action_flags").alias("stored_action"))
+            out = out.join(stored, on="company_id", how="left").withColumn(
+                "flag_mismatch", F.col("stored_urgent").isNotNull()
+                & (~F.col("stored_urgent").eqNullSafe(F.col("urgent_flags"))
+                   | ~F.col("stored_action").eqNullSafe(F.col("action_flags"))))
+        return out
+
     def ranked_companies(self) -> DataFrame:
         """L1 stage 1 (S3): J2 -> P1 -> W1 -> J3 (the re-rank checkpoints once)."""
         return self._get("ranked", lambda: ranked.prepare_scored(

@@ -68,3 +68,17 @@ def test_startup_validation_passes_on_clean_folder(spark, folder):
     res = d.startup_validation()
     assert res["blocking_gates"]["join_integrity"] == "PASS"
     assert res["non_blocking_gates"]["scoring_weights"]["passed"] is False   # no diagnostics file
+
+
+def test_document_report(spark, folder):
+    import json
+    docs = os.path.join(folder, LAYOUT["research_documents"])
+    os.makedirs(docs, exist_ok=True)
+    with open(os.path.join(docs, "1.json"), "w") as f:
+        json.dump({"company_name": "Acme", "research_document": "**URGENT:** call " + "word " * 150,
+                   "status": "completed", "document_stats": {"word_count": 152}}, f)
+    with open(os.path.join(docs, "2.json"), "w") as f:
+        json.dump({"company_name": "Beta", "research_document": "short", "status": "pending"}, f)
+    rep = {r.company_id: r for r in ProspectData(spark, folder).document_report().collect()}
+    assert rep["1"].urgent_flags == 1 and rep["1"].word_count == 152 and rep["1"].reason is None
+    assert rep["2"].reason == "Status is 'pending', expected 'completed'"
