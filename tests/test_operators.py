@@ -259,3 +259,21 @@ def test_crm_presence_last_row_wins(spark):
     ids = comp.select("company_id").distinct()
     assert rows(joins.flag_crm_presence(ids, comp, crm), "company_id", "in_hubspot") == [("1", True)]
     assert rows(joins.flag_crm_presence(ids, comp, crm, order_col="pos"), "company_id", "in_hubspot") == [("1", False)]
+
+
+def test_scoring_anchors(spark):
+    df = spark.createDataFrame([(3600, 0.2, 2, True, 70.0, 85.0), (1, 0.5, 0, False, 70.0, 85.0),
+                                (200000, -0.1, None, None, None, None)],
+                               "n long, margin double, contacts int, cust boolean, naics double, comp double")
+    r = df.select(scoring.market_size_score(F.col("n")).alias("m"), scoring.profitability_score(F.col("margin")).alias("p"),
+                  scoring.contact_score(F.col("contacts")).alias("c"),
+                  scoring.final_score(F.col("cust"), F.col("naics"), F.col("comp")).alias("f"),
+                  scoring.prospect_opportunity(*[F.lit(None).cast("double")] * 5).alias("neutral")).collect()
+    assert round(r[0].m, 1) == 71.1 and r[1].m == 0.0 and r[2].m == 100.0      # F6 anchors
+    assert r[0].p == 50.0 and r[1].p == 100.0 and r[2].p == 0.0                 # F7 clamp
+    assert (r[0].c, r[1].c, r[2].c) == (75.0, 25.0, 25.0)                       # F8
+    assert r[0].f == 85.0 and r[1].f == pytest.approx(0.4 * 70 + 0.6 * 85)      # F4 / H21
+    assert r[0].neutral == pytest.approx(50.0)                                  # F5
+    assert abs(sum(config.NAICS_WEIGHTS.values()) - 1) < 1e-9                   # F12
+    assert abs(sum(config.PROSPECT_WEIGHTS.values()) - 1) < 1e-9
+    assert abs(sum(config.CUSTOMER_WEIGHTS.values()) - 1) < 1e-9
