@@ -277,3 +277,20 @@ def test_scoring_anchors(spark):
     assert abs(sum(config.NAICS_WEIGHTS.values()) - 1) < 1e-9                   # F12
     assert abs(sum(config.PROSPECT_WEIGHTS.values()) - 1) < 1e-9
     assert abs(sum(config.CUSTOMER_WEIGHTS.values()) - 1) < 1e-9
+
+
+def test_rank_validators_and_gate_order(spark):
+    df = spark.createDataFrame([("1", "A", 90.0, 1), ("2", "A", 80.0, 3), ("3", "B", 50.0, 1), ("4", "B", 60.0, 2),
+                                ("5", "C", 10.0, None)],
+                               "company_id string, primary_naics string, final_score double, rank int")
+    assert rows(quality.rank_contiguity_violations(df), "primary_naics") == [("A",), ("C",)]     # gap, null
+    assert rows(quality.rank_order_violations(df), "company_id", "expected_rank") == \
+        [("2", 2), ("3", 2), ("4", 1), ("5", 1)]
+    # blocking gates stop at the first failure in order: completeness before duplicates
+    scored = spark.createDataFrame([("1", None, 1, 1.0, 1.0, 1.0, "p"), ("1", None, 2, 1.0, 1.0, 1.0, "p")],
+                                   "company_id string, company_name string, rank int, final_score double, "
+                                   "naics_attractiveness_score double, company_opportunity_score double, scoring_path string")
+    comp = spark.createDataFrame([("1",)], "company_id string")
+    b = spark.createDataFrame([("b1", "1", 1.0, 1.0)], "building_id string, company_id string, latitude double, longitude double")
+    with pytest.raises(quality.DataQualityError, match="critical_field_completeness"):
+        quality.run_startup_validation(spark, scored, comp, b)
