@@ -98,3 +98,20 @@ def test_words_equal_python_split(spark, texts):
         assert has == (len(w) > 0), repr(t)
         assert c == (len(w) > 3)
         assert ct == (" ".join(w[:3]) + text.config.TRUNCATION_NOTICE if len(w) > 3 else t), repr(t)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["k", "k", "k", "a", "b"]), st.one_of(st.none(), st.integers(0, 9)),
+                          st.text(alphabet="xyz", max_size=3)), min_size=1, max_size=80))
+def test_first_last_per_key_equal_python(spark, data):
+    from canvass.operators import ranking
+    df = spark.createDataFrame(data, "k string, pos int, v string")
+    first = dict((r.k, r.v) for r in ranking.first_per_key(df, ["k"], ["pos", "v"], ["v"]).collect())
+    last = dict((r.k, r.v) for r in ranking.last_per_key(df, ["k"], ["pos", "v"], ["v"]).collect())
+
+    def key(t):   # struct order: nulls first, then value
+        return (t[1] is not None, t[1] if t[1] is not None else 0, t[2])
+
+    for k in {t[0] for t in data}:
+        grp = sorted((t for t in data if t[0] == k), key=key)
+        assert first[k] == grp[0][2] and last[k] == grp[-1][2], k
