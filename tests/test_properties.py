@@ -115,3 +115,25 @@ def test_first_last_per_key_equal_python(spark, data):
     for k in {t[0] for t in data}:
         grp = sorted((t for t in data if t[0] == k), key=key)
         assert first[k] == grp[0][2] and last[k] == grp[-1][2], k
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.text(alphabet="0123456", min_size=1, max_size=4),
+                          st.one_of(st.none(), st.text(alphabet="Real EstateBuildng.+()", max_size=12)),
+                          st.one_of(st.none(), st.text(alphabet="property (a+b)", max_size=10))),
+                min_size=1, max_size=60),
+       st.sampled_from([" 12", "3", "estate", "Building", "(a+b)", "prop", "zzz"]))
+def test_search_equals_python(spark, data, q):
+    from canvass import config
+    from canvass.operators import filters
+    df = spark.createDataFrame([(f"{i}", c, d, r) for i, (c, d, r) in enumerate(data)],
+                               "id string, naics_code string, naics_description string, reasoning string")
+    got = sorted(r.id for r in filters.search_industries(df, q).collect())
+    s = q.strip()
+    if s.isdigit():
+        want = [f"{i}" for i, (c, _, _) in enumerate(data) if c.startswith(s)]
+    else:
+        terms = config.expand_search_query(s)
+        want = [f"{i}" for i, (_, d, r) in enumerate(data)
+                if any(t in x.lower() for x in (d, r) if x is not None for t in terms)]
+    assert got == sorted(want)
