@@ -294,3 +294,11 @@ def test_rank_validators_and_gate_order(spark):
     b = spark.createDataFrame([("b1", "1", 1.0, 1.0)], "building_id string, company_id string, latitude double, longitude double")
     with pytest.raises(quality.DataQualityError, match="critical_field_completeness"):
         quality.run_startup_validation(spark, scored, comp, b)
+
+
+def test_sqft_rule(spark):
+    b = spark.createDataFrame([("b1", "2", "branch"), ("b2", "2", "headquarters"), ("b3", None, "branch"),
+                               ("b4", "5", "branch"), ("b5", "9", "branch")],
+                              "building_id string, square_footage_code string, place_type string")
+    out = scoring.apply_sqft_rule(b, scoring.sqft_table(spark), place_type_col="place_type")
+    assert rows(out, "building_id", "sqft_unknown") == [("b2", False), ("b3", True), ("b4", False), ("b5", True)]
