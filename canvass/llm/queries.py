@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+from canvass.llm.chat_format import OP5_SQL, op5_chat_format
+from canvass.llm.mixing import op4_mixing
+from canvass.llm.near_dup import op2_near_dup
 from canvass.llm.token_binary import op7_token_binary
+from canvass.llm.url_filter import OP3_SQL, op3_url_filter
 from canvass.llm.vector_packing import op10_vector_packing
 from canvass.llm.winnowing import op1_winnowing
 
 QUERIES = {
     "op1_winnowing": op1_winnowing,
+    "op2_near_dup": op2_near_dup,
+    "op3_url_filter": op3_url_filter,
+    "op4_mixing": op4_mixing,
+    "op5_chat_format": op5_chat_format,
     "op7_token_binary": op7_token_binary,
     "op10_vector_packing": op10_vector_packing,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_url_filter": OP3_SQL,
+    "op5_chat_format": OP5_SQL,
+}
