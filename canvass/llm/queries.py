@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from canvass.llm.chat_format import OP5_SQL, op5_chat_format
+from canvass.llm.license_scan import op6_license_scan
 from canvass.llm.mixing import op4_mixing
 from canvass.llm.near_dup import op2_near_dup
+from canvass.llm.quality_rules import op9_quality_rules
+from canvass.llm.substring_dedup import op8_substring_dedup
 from canvass.llm.token_binary import op7_token_binary
 from canvass.llm.url_filter import OP3_SQL, op3_url_filter
 from canvass.llm.vector_packing import op10_vector_packing
@@ -16,7 +19,10 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_mixing": op4_mixing,
     "op5_chat_format": op5_chat_format,
+    "op6_license_scan": op6_license_scan,
     "op7_token_binary": op7_token_binary,
+    "op8_substring_dedup": op8_substring_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_vector_packing": op10_vector_packing,
 }
 
