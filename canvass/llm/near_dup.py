@@ -13,8 +13,9 @@ Documents with equal sets are one class with one representative. Links are
 only needed up to connection, so no group is expanded into pairs: in each round
 the members of a key are compared with the key's most connected member (the one
 whose keys hold most documents) unless they are connected already. At the end
-every pair of one key that is still unconnected and within the distance is
-compared, so no link between components is lost, at whatever number of rounds.
+all members of keys that are still unconnected are compared if the exact prefix
+filter on their full sets admits it and their signatures are within the
+distance, so no link between components is lost, at whatever number of rounds.
 
 Defined cases: null or empty text (or text of blanks) has an empty set and is
 linked with nothing; fewer than k words are one shingle; rows that repeat an id
@@ -165,8 +166,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         last = turn >= ROUNDS
         if last:
-            other = here.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b"))
-            pairs = here.join(other, "key").where("rep < b and root <> root_b").select(F.col("rep").alias("a"), "b")
+            pairs = _sharing_prefix(here.select("rep", "root").distinct(), sets, link)
         else:
             degree = here.groupBy("rep").agg(F.sum("n").alias("degree"))
             centre = (here.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", "rep", "root")).alias("c"))
@@ -199,6 +199,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def _sharing_prefix(nodes: DataFrame, sets: DataFrame, link: int) -> DataFrame:
+    """Pairs (a, b) of nodes (rep, root) of different roots that may be linked, by exact prefix filtering.
+
+    With shingles in one order, rarest first, two sets of at least link percent
+    likeness share one of the first n - ceil(link * n / 100) + 1 shingles of
+    either. A shingle that only one node has cannot be shared: it takes a place
+    of the prefix and no row, so the members of a large group that differ in
+    words of their own meet nobody.
+    """
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column("shingles")]
+        size = np.array([len(x) for x in parts])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(batch.column("rep").to_numpy(), size)), pa.array(np.repeat(batch.column("root").to_numpy(), size)),
+             pa.array(np.repeat(size, size)), pa.array(np.concatenate(parts))], names=["rep", "root", "size", "shingle"])
+
+    rows = map_arrow(nodes.join(sets, "rep").select("rep", "root", "shingles"), kernel,
+                     "rep long, root long, size long, shingle long", "shingles")
+    common = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("n > 1")
+    ranked = (rows.join(common, "shingle").groupBy("rep", "root", "size")
+              .agg(F.sort_array(F.collect_list(F.struct("n", "shingle", (F.col("lo") < F.col("hi")).alias("open")))).alias("shared")))
+    places = F.col("size") - F.ceil(F.col("size") * link / 100) + 1 - (F.col("size") - F.size("shared"))
+    prefix = ranked.where(places > 0).select("rep", "root", "size", F.explode(F.slice("shared", F.lit(1), places.cast("int"))).alias("x"))
+    prefix = staged(prefix.where("x.open").select("rep", "root", "size", "x.shingle"), "prefix")
+    other = prefix.toDF("b", "root_b", "size_b", "shingle")
+    fits = (F.col("rep") < F.col("b")) & (F.col("root") != F.col("root_b")) & (
+        100 * F.least("size", "size_b") >= link * F.greatest("size", "size_b"))
+    return prefix.join(other, "shingle").where(fits).select(F.col("rep").alias("a"), "b")
+
+
 def _full_sets(narrow: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(rep, shingles): the full set of each wanted class, from its smallest document."""
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
