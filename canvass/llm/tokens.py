@@ -20,7 +20,7 @@ TOKENIZER_FILE = "byte_bpe_50k.json"
 END_ID = 0
 
 #: Pieces a worker keeps before it starts its cache anew (bounds its memory, not its results).
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_400_000
 
 _BLANK_THEN_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
@@ -32,9 +32,21 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
 
 
 def pieces(text: str) -> list[str]:
-    """The text cut before each single space that follows a non-blank; joined they give the text."""
-    parts = _CUT.split(text) if text[:1] == " " or _BLANK_THEN_SPACE.search(text) else text.split(" ")
-    return [parts[0], *(" " + p for p in parts[1:])]
+    """The text cut at each single space that follows a non-blank; joined by spaces they give the text."""
+    return _CUT.split(text) if text[:1] == " " or _BLANK_THEN_SPACE.search(text) else text.split(" ")
+
+
+class _Numbered(dict):
+    """Gives each key that it has not seen the next number of a shared list of pieces."""
+
+    def __init__(self, new: list[str], start: str):
+        super().__init__()
+        self.new, self.start = new, start
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self.new)
+        self.new.append(self.start + key)
+        return n
 
 
 class Encoder:
@@ -48,44 +60,52 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.seen: list[str | None] = []
+        self.first, self.later = _Numbered(self.seen, ""), _Numbered(self.seen, " ")
+        self.done = self.used = 0
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.start = np.zeros(1 << 14, dtype=np.int64)
         self.size = np.zeros(1 << 14, dtype=np.int64)
-        self.used = 0
 
     @staticmethod
     def _room(array: np.ndarray, n: int) -> np.ndarray:
         return array if n <= len(array) else np.concatenate((array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)))
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self) -> None:
+        """Encode the pieces that are new since the last call."""
+        n, at = self.done, self.used
+        new = self.seen[n:]
         out = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
         ids = np.array(out.ids, dtype=np.uint32)
         size = np.bincount(np.array(out.word_ids, dtype=np.int64), minlength=len(new)) if len(ids) else np.zeros(len(new), np.int64)
-        at, n = self.used, len(self.known)
-        self.ids, self.start, self.size = self._room(self.ids, at + len(ids)), self._room(self.start, n + len(new)), self._room(self.size, n + len(new))
-        self.ids[at:at + len(ids)] = ids
-        self.size[n:n + len(new)] = size
-        self.start[n:n + len(new)] = at + np.cumsum(size) - size
-        self.used += len(ids)
-        self.known.update(zip(new, range(n, n + len(new)), strict=True))
+        self.done, self.used = n + len(new), at + len(ids)
+        self.seen[n:] = [None] * len(new)
+        self.ids, self.start, self.size = self._room(self.ids, self.used), self._room(self.start, self.done), self._room(self.size, self.done)
+        self.ids[at:self.used] = ids
+        self.size[n:self.done] = size
+        self.start[n:self.done] = at + np.cumsum(size) - size
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """uint32 ids of each text; a null text is empty."""
-        if len(self.known) > CACHE_PIECES:
+        if self.done > CACHE_PIECES:
             self._clear()
-        cuts = [pieces(t) if t else [] for t in texts]
-        new = set().union(*cuts) - self.known.keys()
-        if new:
-            self._learn(list(new))
-        get = self.known.get
-        out = []
-        for cut in cuts:
-            index = np.fromiter(map(get, cut), dtype=np.int64, count=len(cut))
-            size = self.size[index]
-            before = np.cumsum(size) - size
-            out.append(self.ids[np.repeat(self.start[index] - before, size) + np.arange(int(size.sum()))])
-        return out
+        later, index, counts = self.later.__getitem__, [], []
+        for text in texts:
+            if text:
+                cut = pieces(text)
+                index.append(self.first[cut[0]])
+                index.extend(map(later, cut[1:]))
+            counts.append(len(index))
+        if len(self.seen) > self.done:
+            self._learn()
+        if not index:
+            return [np.zeros(0, dtype=np.uint32) for _ in texts]
+        index = np.array(index, dtype=np.int64)
+        size = self.size[index]
+        ends = np.cumsum(size)
+        ids = self.ids[np.repeat(self.start[index] - ends + size, size) + np.arange(ends[-1])]
+        bounds = np.concatenate(([0], ends))[counts]
+        return np.split(ids, bounds[:-1])
 
 
 _ENCODERS: dict[str, Encoder] = {}
