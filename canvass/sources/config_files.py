@@ -1,14 +1,17 @@
 """Config files (S15): exclusions, channels, industry targets, square-footage
 codes. They are small documents read once on the driver; the result feeds
 the operators as plain Python values (literal ``isin`` lists) or as tiny
-frames that are broadcast. A missing file or a missing YAML parser falls
-back to the fixed values in ``config``.
+frames. Exclusions follow their file exactly (`load_exclusions`); for the other
+documents a missing file or parser falls back to the fixed values in ``config``.
 """
 
 from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import SparkSession
+
 from .. import config
 
 try:  # optional dependency
@@ -28,13 +31,33 @@ def _load(path: str | None):
         return yaml.safe_load(f) or {}
 
 
+def _read(path: str):
+    """A YAML document from any store that Spark reads; None if there is no such file."""
+    if os.path.exists(path):
+        with open(path) as f:
+            text = f.read()
+    else:
+        try:
+            rows = SparkSession.active().read.text(path, wholetext=True).collect()  # one small file
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return None
+            raise
+        text = rows[0].value if rows else ""
+    if yaml is None:
+        raise ConfigError(f"{path}: reading config files needs PyYAML")
+    return yaml.safe_load(text)
+
+
 def load_exclusions(path: str | None) -> dict:
     """Exclusion groups ({name: {enabled, naics_codes, ...}}); only mapping
-    entries count (a 'version' key or comments are ignored)."""
-    doc = _load(path)
-    if doc is None:
+    entries count (a 'version' key or comments are ignored). Without a path
+    the built-in groups hold; a path that does not exist excludes nothing; a
+    file that cannot be read raises."""
+    if not path:
         return dict(config.EXCLUSIONS)
-    return {k: v for k, v in doc.items() if isinstance(v, dict)}
+    doc = _read(path)
+    return {k: v for k, v in (doc or {}).items() if isinstance(v, dict)}
 
 
 def excluded_codes(path: str | None) -> list[str]:
