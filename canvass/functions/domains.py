@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def py_strip(c: Column) -> Column:
-    """Python ``str.strip()``: leading and trailing whitespace of any kind."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+from .text import py_strip
 
 
 def _strip_common(c: Column) -> Column:

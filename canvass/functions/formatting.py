@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import config
+from .text import title_case
 
 # FIXED VALUES: null placeholders by field
 NULL_DISPLAY = {
@@ -50,7 +51,7 @@ def py_round(x: Column, digits: int) -> Column:
     from the exact product error ``Math.fma(x, s, -p)`` (rare rows only).
     """
     scale = 2 * 10 ** digits
-    rep = x.cast("decimal(38,18)")                      # shortest decimal form
+    rep = x.try_cast("decimal(38,18)")                  # shortest decimal form
     twice = rep * F.lit(scale)
     k = F.floor(twice)
     repr_tie = (twice == k) & (F.pmod(k, F.lit(2)) == F.lit(1))
@@ -65,7 +66,8 @@ def py_round(x: Column, digits: int) -> Column:
     out = (F.when(repr_tie & above, rep + half)
             .when(repr_tie & below, rep - half)
             .otherwise(F.bround(rep, digits)))
-    return out.cast(f"decimal(38,{digits})")
+    # from 1e20 on a double is a whole number (null beyond 38 digits, NaN and infinity)
+    return F.coalesce(out.cast(f"decimal(38,{digits})"), x.try_cast(f"decimal(38,{digits})"))
 
 
 def fixed(x: Column, digits: int, grouping: bool = False) -> Column:
@@ -118,7 +120,7 @@ def format_score_with_confidence(score: Column, confidence: Column) -> Column:
 
 def format_icp_fit_score(score: Column, basis: Column) -> Column:
     v = as_number(score)
-    label = F.initcap(F.replace(basis, F.lit("_"), F.lit(" ")))
+    label = title_case(F.replace(basis, F.lit("_"), F.lit(" ")))
     return (F.when(v.isNull() & (basis == F.lit("no_data")), F.lit("N/A (no data)"))
              .when(v.isNull() & (basis == F.lit("partial")), F.lit("N/A (partial data)"))
              .when(v.isNull(), F.lit("N/A"))
@@ -145,9 +147,9 @@ def format_nullable_field(c: Column, field: str) -> Column:
 # -------------------------------------------------------------------- tiers
 
 def tier_80_60(score: Column) -> Column:
-    """D8 (industry list): green 80+, yellow 60+, else red (hex colours)."""
+    """D8 (industry list): green 80+, yellow 60+, else (a missing score too) red (hex colours)."""
     return F.when(score >= 80, F.lit("#28a745")).when(score >= 60, F.lit("#ffc107")) \
-            .when(score.isNotNull(), F.lit("#dc3545"))
+            .otherwise(F.lit("#dc3545"))
 
 
 def tier_70_40(score: Column) -> Column:
@@ -211,7 +213,7 @@ def code_text(c: Column) -> Column:
 
 
 def int_or_zero(c: Column) -> Column:
-    return F.coalesce(as_number(c), F.lit(0.0)).cast("long").cast("int")
+    return F.coalesce(as_number(c).try_cast("long"), F.lit(0)).cast("long")
 
 
 def location(city: Column, state: Column) -> Column:
@@ -317,6 +319,8 @@ def old_format_display(df: DataFrame, penetration: DataFrame | None = None) -> D
     seg = F.col("segment_rank") if "segment_rank" in cols else F.col("rank")
     bcol = "building_count" if "building_count" in cols else ("location_employee_size"
                                                                  if "location_employee_size" in cols else None)
+    # The numeric score, then the rank, which is total
+    df = df.orderBy(score.desc_nulls_last(), F.col("global_rank"))
     return df.select(
         "company_id", F.col("global_rank").alias("global_rank"), seg.alias("segment_rank"),
         F.col("company_name").alias("company"),

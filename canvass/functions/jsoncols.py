@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config
+from .text import title_case
 
 
 def _py_scalar_text(v: Column) -> Column:
@@ -89,6 +90,6 @@ def primary_contact(s: Column) -> list[Column]:
     return [
         F.nullif(F.trim(F.concat_ws(" ", first, last)), F.lit("")).alias("contact_name"),
         F.when(F.size(titles) > 0, F.array_join(titles, ", ")).alias("contact_titles"),
-        F.initcap(F.replace(level, F.lit("_"), F.lit(" "))).alias("contact_level"),
+        title_case(F.replace(level, F.lit("_"), F.lit(" "))).alias("contact_level"),
         F.try_variant_get(v, "$.gender", "string").alias("contact_gender"),
     ]

@@ -16,6 +16,21 @@ from .. import config
 _WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
+def py_strip(c: Column) -> Column:
+    """Python ``str.strip()``: leading and trailing whitespace of any kind."""
+    return F.regexp_replace(c, f"^{_WS}|{_WS}$", "")
+
+
+def title_case(c: Column) -> Column:
+    """Python ``str.title()``: every run of letters starts upper and goes on lower ('c-level' -> 'C-Level')."""
+    return F.array_join(F.transform(F.regexp_extract_all(c, F.lit(r"(\p{L}+|\P{L}+)")), F.initcap), "")
+
+
+def flags_differ(stored: Column, found: Column) -> Column:
+    """A stored count that differs from the text's; a document without a stored count is not compared."""
+    return F.coalesce(stored != found, F.lit(False))
+
+
 def truncate_reasoning(c: Column, limit: int = config.REASONING_MAX_CHARS) -> Column:
     """Text longer than ``limit`` characters -> first ``limit`` + '...';
     null -> ''."""

@@ -49,6 +49,19 @@ def merge_building_count(scored: DataFrame, companies: DataFrame) -> DataFrame:
                 .withColumn("building_count", F.coalesce(F.col("building_count"), F.lit(0)).cast("int")))
 
 
+#: Rows of a config lookup that may be broadcast.
+MAX_BROADCAST_ROWS = 10_000
+
+
+def small_side(lookup: DataFrame) -> DataFrame:
+    """A config lookup (codes, channels, targets), marked for broadcast once its row count is checked.
+
+    A larger one is left to the planner, which joins it by a shuffle.
+    """
+    few = lookup.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    return F.broadcast(lookup) if few else lookup
+
+
 def enrich_raw_fields(scored: DataFrame, companies: DataFrame,
                       fields: Sequence[str] = ("building_count_estimate", "growing_business_code", "contacts_count"),
                       order_col: str | None = None) -> DataFrame:
@@ -56,13 +69,14 @@ def enrich_raw_fields(scored: DataFrame, companies: DataFrame,
 
     Spark rows have no order, so "first" needs an explicit ``order_col``
     (file position, ingestion time...); without one the smallest field tuple
-    is taken, which is deterministic. Absent fields arrive as typed nulls.
+    (nulls after values) is taken, which is deterministic. Absent fields arrive
+    as typed nulls.
     """
     right = companies
     for f in fields:
         if f not in right.columns:
             right = right.withColumn(f, F.lit(None).cast("string"))
-    order = [F.col(order_col)] if order_col else [F.col(f) for f in fields]
+    order = [F.col(order_col)] if order_col else [x for f in fields for x in (F.col(f).isNull(), F.col(f))]
     right = first_per_key(right.select("company_id", *fields, *([order_col] if order_col else [])),
                           ["company_id"], order, value_cols=list(fields))
     base = scored.drop(*[f for f in fields if f in scored.columns])

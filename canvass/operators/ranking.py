@@ -16,8 +16,9 @@ offers a *distributed* strategy, the default:
 3. A tiny table of (partition, group) -> (row count, first id) is built by an
    aggregation (at most partitions + groups rows), and a window over it gives
    each (partition, group) its starting offset.
-4. The offsets are joined back; AQE sees the real size of the offsets table
-   and turns the join into a broadcast join when it is small.
+4. The offsets are counted and, up to ``MAX_BROADCAST_OFFSETS`` rows, broadcast
+   to the ranked rows, which therefore keep their range partitioning and are
+   not shuffled a second time. Beyond that they meet by a shuffled join.
 
 rank = offset + (id - first id in partition for the group) + 1.
 
@@ -48,6 +49,9 @@ _CNT = "_cv_n"
 _MIN = "_cv_m0"
 _OFF = "_cv_off"
 
+#: Offset rows (a group key and three numbers each) that may be broadcast.
+MAX_BROADCAST_OFFSETS = 200_000
+
 
 def _as_cols(cols: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
@@ -80,7 +84,9 @@ def contiguous_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
                .withColumn(_MID, F.monotonically_increasing_id()))
     keyed = reliable_checkpoint(keyed)
 
-    counts = keyed.groupBy(_PID, *group_cols).agg(F.count(F.lit(1)).alias(_CNT), F.min(_MID).alias(_MIN))
+    counts = reliable_checkpoint(
+        keyed.groupBy(_PID, *group_cols).agg(F.count(F.lit(1)).alias(_CNT), F.min(_MID).alias(_MIN)))
+    few = counts.count() <= MAX_BROADCAST_OFFSETS
     w = (Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(0))) \
         .orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     # fresh column names on the small side: no self-join ambiguity
@@ -90,8 +96,8 @@ def contiguous_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
         F.col(_MIN).alias("_cv_m0_o"), F.coalesce(F.sum(_CNT).over(w), F.lit(0)).alias(_OFF))
 
     cond = [F.col(_PID) == F.col("_cv_pid_o")] + [F.col(c).eqNullSafe(F.col(g)) for c, g in zip(group_cols, gnames)]
-    joined = keyed.join(offsets, on=cond, how="inner")
-    rank_expr = (F.col(_OFF) + (F.col(_MID) - F.col("_cv_m0_o")) + F.lit(1)).cast("int").alias(rank_col)
+    joined = keyed.join(F.broadcast(offsets) if few else offsets, on=cond, how="inner")
+    rank_expr = (F.col(_OFF) + (F.col(_MID) - F.col("_cv_m0_o")) + F.lit(1)).cast("long").alias(rank_col)
     out = joined.select(*[F.col(c) for c in df.columns if c != rank_col], rank_expr)
     if rank_col in df.columns:
         out = out.select(*df.columns)

@@ -14,16 +14,20 @@ threshold is lost):
   (each edit destroys at most 2 bigrams); for a string of n characters
   every partner has n' in [0.9 n, n / 0.9], which bounds d and gives a
   least overlap ``tau`` for the string;
-* under one global bigram order (rarest first), two strings that share
-  ``tau`` bigrams share one of their first (|grams| - tau + 1) bigrams;
-* so each record emits only its prefix bigrams, records meet by an equi
+* under one fixed total order of the bigrams (their hash), two strings that
+  share ``tau`` bigrams share one of their first (|grams| - tau + 1) bigrams;
+* so each street emits only its prefix bigrams, streets meet by an equi
   join on (block, bigram), and every candidate is verified with the
-  built-in ``levenshtein``. Best match per CRM record by similarity, then
-  the smallest registry id (an aggregation, not a window).
+  built-in ``levenshtein``. Best match by similarity, then the smallest
+  registry id (an aggregation, not a window).
 
-The bigram frequency table has at most 38 x 38 entries (normalised text is
-[a-z0-9 ] plus two pad marks), a proven bound, so it is collected once and
-used as a literal map.
+Streets, not records, are compared: each side is first reduced to its distinct
+(block, street), the registry with its smallest id, and the result is joined
+back to the CRM records. An address that a third of all rows share is one
+street, hence one pair. A blank component is null and matches nothing.
+
+Below a threshold of 50 % two streets may share no bigram at all, so ``resolve``
+refuses it.
 """
 
 from __future__ import annotations
@@ -38,11 +42,13 @@ PAD_START, PAD_END = "^", "$"
 MATCH_EXACT = "exact_address_components"
 MATCH_FUZZY = "fuzzy_street_name"
 MATCH_NONE = "unmatched"
+#: Least street similarity for which the prefix filter is exact.
+MIN_THRESHOLD = 50.0
 
 
 def normalize_text(c: Column) -> Column:
-    """lower, non-alphanumerics -> one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
+    """lower, non-alphanumerics -> one space, trimmed; nothing left -> null."""
+    return F.nullif(F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " ")), F.lit(""))
 
 
 def normalize_address(df: DataFrame, id_col: str, extra: list[str] | None = None) -> DataFrame:
@@ -86,6 +92,8 @@ def resolve(crm: DataFrame, registry: DataFrame, crm_id: str = "hubspot_id", crm
             registry_id: str = "dataaxle_id", threshold: float = 90.0) -> DataFrame:
     """ER log: one row per CRM record (hubspot_id, hubspot_type, dataaxle_id,
     match_type, confidence_score)."""
+    if threshold < MIN_THRESHOLD:
+        raise ValueError(f"threshold {threshold} is below {MIN_THRESHOLD}: similar streets need not share a bigram")
     # both inputs are read by several steps (exact join, anti join, bigram
     # statistics, prefix join, final join): normalise each once and cut the
     # lineage (narrow rows: id + five short fields), so a derived input is
@@ -94,39 +102,37 @@ def resolve(crm: DataFrame, registry: DataFrame, crm_id: str = "hubspot_id", crm
     r = reliable_checkpoint(normalize_address(registry, registry_id))
     key = ["n_number", "n_street", "n_city", "n_state", "n_zip"]
 
-    exact = (c.join(r.withColumnRenamed("rid", "reg"), on=key, how="inner")
+    exact = (c.join(r.groupBy(*key).agg(F.min("rid").alias("reg")), on=key, how="inner")
               .groupBy(F.col("rid")).agg(F.min("reg").alias("reg")))
     exact = exact.select("rid", "reg", F.lit(MATCH_EXACT).alias("match_type"), F.lit(100.0).alias("confidence"))
 
     rest = c.drop(crm_type).join(exact.select("rid"), on="rid", how="left_anti")
     block = ["n_state", "n_city", "n_number"]
 
-    # global bigram order by frequency over both sides (bounded table)
-    grams_all = (rest.select(F.explode(_grams(F.col("n_street"))).alias("g"))
-                 .unionByName(r.select(F.explode(_grams(F.col("n_street"))).alias("g"))))
-    freq = {row["g"]: row["n"] for row in grams_all.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
-    rank = F.create_map(*[x for g, n in sorted(freq.items()) for x in (F.lit(g), F.lit(int(n)))]) if freq \
-        else F.create_map().cast("map<string,bigint>")
+    place = [*block, "n_street"]
+    streets = rest.select(*place).distinct()
+    reg_streets = r.groupBy(*place).agg(F.min("rid").alias("reg"))
 
     def prefixed(df):
         g = _grams(F.col("n_street"))
         # k-th occurrence of a bigram is its own token (multiset overlap)
         tokens = F.transform(g, lambda x, i: F.struct(
-            F.coalesce(rank[x], F.lit(0)).alias("f"), x.alias("g"),
+            F.xxhash64(x).alias("h"), x.alias("g"),
             F.size(F.filter(F.slice(g, 1, i + 1), lambda y: y == x)).alias("k")))
         pref = F.slice(F.array_sort(tokens), 1, _prefix_len(F.length("n_street"), threshold).cast("int"))
-        return (df.select("rid", *block, "n_street", F.explode(pref).alias("t"))
-                  .select("rid", *block, "n_street", F.col("t.g").alias("g"), F.col("t.k").alias("k")))
+        return (df.where(F.col("n_street").isNotNull()).withColumn("t", F.explode(pref))
+                  .withColumns({"g": F.col("t.g"), "k": F.col("t.k")}).drop("t"))
 
-    cand = (prefixed(rest).join(prefixed(r).withColumnRenamed("rid", "reg").withColumnRenamed("n_street", "reg_street"),
-                                on=[*block, "g", "k"], how="inner")
-            .select("rid", "reg", "n_street", "reg_street").distinct())
+    cand = (prefixed(streets).join(prefixed(reg_streets).withColumnRenamed("n_street", "reg_street"),
+                                   on=[*block, "g", "k"], how="inner")
+            .select(*place, "reg", "reg_street").distinct())
     scored = cand.withColumn("sim", similarity(F.col("n_street"), F.col("reg_street"))) \
                  .where(F.col("sim") >= F.lit(threshold))
-    best = first_per_key(scored.select("rid", (-F.col("sim")).alias("neg_sim"), "reg", "sim"), ["rid"],
+    best = first_per_key(scored.select(*place, (-F.col("sim")).alias("neg_sim"), "reg", "sim"), place,
                          ["neg_sim", "reg"], ["reg", "sim"])
-    fuzzy = best.select("rid", "reg", F.lit(MATCH_FUZZY).alias("match_type"),
-                        F.round("sim", 1).alias("confidence"))
+    fuzzy = (rest.join(best, on=place, how="inner").groupBy("rid")
+             .agg(F.min(F.struct((-F.col("sim")).alias("neg_sim"), "reg")).alias("x"))
+             .select("rid", "x.reg", F.lit(MATCH_FUZZY).alias("match_type"), F.round(-F.col("x.neg_sim"), 1).alias("confidence")))
 
     matched = exact.unionByName(fuzzy)
     base = c.select("rid", F.col(crm_type).alias("hubspot_type"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
+from .joins import small_side
 from .ranking import cap_per_group
 
 
@@ -116,6 +117,10 @@ def channel_table(spark: SparkSession, channels: dict | None = None) -> DataFram
     return spark.createDataFrame(rows, "prefix string, channel_id string, channel_priority string")
 
 
+#: Prefixes of the channel config that are tested one by one.
+MAX_CHANNEL_CODES = 10_000
+
+
 def channel_prefix_lengths() -> list[int]:
     """Prefix lengths of the configured channel codes (driver-side config)."""
     return sorted({len(code) for spec in config.CHANNELS.values() for code in spec["naics_codes"]})
@@ -125,29 +130,25 @@ def assign_channel(df: DataFrame, channels: DataFrame, code_col: str = "primary_
                    prefix_lengths: list[int] | None = None) -> DataFrame:
     """Longest matching NAICS prefix wins, else the default channel.
 
-    Distinct codes (bounded by the code universe) are matched against the
-    channel table with one equi join per prefix length, so there is no cross
-    join; the result is joined back on the code. No broadcast hint: the
-    config tables are local relations of known size, and anything larger is
-    sized by AQE at run time.
+    The channel config (up to MAX_CHANNEL_CODES prefixes, checked) becomes one
+    ``isin`` test per prefix length and channel, so no row is shuffled on its
+    code. A prefix listed for two channels goes to the smaller channel id.
     """
-    lengths = prefix_lengths if prefix_lengths is not None else \
-        [r[0] for r in channels.select(F.length("prefix")).distinct().collect()]  # config-sized table
-    code = F.col(code_col).cast("string")
-    codes = df.select(code.alias("_cv_code")).where(F.col("_cv_code").isNotNull()).distinct()
-    cands = None
-    for n in sorted(lengths):
-        c = (codes.withColumn("prefix", F.substring("_cv_code", 1, n))
-                  .join(channels.where(F.length("prefix") == n), on="prefix", how="inner")
-                  .select("_cv_code", F.lit(n).alias("_len"), "channel_id"))
-        cands = c if cands is None else cands.unionByName(c)
-    if cands is None:
-        return df.withColumn("channel_id", F.lit(config.DEFAULT_CHANNEL))
-    best = cands.groupBy("_cv_code").agg(F.max_by("channel_id", "_len").alias("_ch"))
     base = df.drop("channel_id") if "channel_id" in df.columns else df
-    return (base.join(best, code == F.col("_cv_code"), how="left")
-                .withColumn("channel_id", F.coalesce(F.col("_ch"), F.lit(config.DEFAULT_CHANNEL)))
-                .drop("_cv_code", "_ch"))
+    rows = channels.select("prefix", "channel_id").limit(MAX_CHANNEL_CODES + 1).collect()
+    if len(rows) > MAX_CHANNEL_CODES:
+        raise ValueError(f"more than {MAX_CHANNEL_CODES} channel codes; this is a config table")
+    lengths = set(prefix_lengths) if prefix_lengths is not None else {len(r["prefix"]) for r in rows}
+    by_length: dict[tuple[int, str], list[str]] = {}
+    for r in rows:
+        if len(r["prefix"]) in lengths:
+            by_length.setdefault((len(r["prefix"]), r["channel_id"]), []).append(r["prefix"])
+    code, channel = F.col(code_col).cast("string"), None
+    for (n, name), prefixes in sorted(by_length.items(), key=lambda x: (-x[0][0], x[0][1])):
+        hit = F.substring(code, 1, n).isin(prefixes)
+        channel = F.when(hit, F.lit(name)) if channel is None else channel.when(hit, F.lit(name))
+    default = F.lit(config.DEFAULT_CHANNEL)
+    return base.withColumn("channel_id", default if channel is None else channel.otherwise(default))
 
 
 def sqft_table(spark: SparkSession, codes: list[tuple] | None = None) -> DataFrame:
@@ -161,7 +162,7 @@ def apply_sqft_rule(buildings: DataFrame, codes: DataFrame, place_type_col: str
     """P16 + J14: keep codes 4-8 (>= 5,000 sq ft); headquarters always kept;
     a null or unknown code is kept and flagged (the rule only says "handle
     gracefully")."""
-    j = buildings.join(codes, on="square_footage_code", how="left")
+    j = buildings.join(small_side(codes), on="square_footage_code", how="left")
     hq = (F.col(place_type_col) == F.lit("headquarters")) if place_type_col else F.lit(False)
     keep = hq | F.coalesce(F.col("sqft_include"), F.lit(True))
     return j.withColumn("sqft_unknown", F.col("sqft_include").isNull()).filter(keep)
@@ -176,7 +177,7 @@ def target_industries(df: DataFrame, targets: DataFrame, code_col: str = "naics_
                       branch_col: str | None = None) -> DataFrame:
     """Keep listed 4-digit industries (broadcast semi join of 39 codes)
     and, when a branch count is given, multi-location companies only."""
-    out = df.join(targets.select(F.col("naics_4digit").alias(code_col)), on=code_col, how="left_semi")
+    out = df.join(small_side(targets.select(F.col("naics_4digit").alias(code_col))), on=code_col, how="left_semi")
     return out.filter(F.col(branch_col) > 0) if branch_col else out
 
 
@@ -184,7 +185,7 @@ def cap_industries(df: DataFrame, targets: DataFrame, order_cols: list[Column],
                    strategy: str = "distributed") -> DataFrame:
     """At most ``max_companies`` per industry in the given order (the
     original does not state the order; callers pass one, e.g. size desc, id)."""
-    j = df.join(targets.withColumnRenamed("naics_4digit", code_col), on=code_col, how="inner")
+    j = df.join(small_side(targets.withColumnRenamed("naics_4digit", code_col)), on=code_col, how="inner")
     return cap_per_group(j, code_col, "max_companies", order_cols, strategy)
 
 

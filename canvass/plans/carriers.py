@@ -339,35 +339,47 @@ def crm_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("props").alias("body"))
 
 
+#: Customer at whose address all low-priority orders are.
+HOT_CUSTOMER = 1
+
+
 @_memo
 def registry_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry (company data vendor) buildings: one per customer; street
     = the customer name, number = whole part of the balance, city / state =
-    region / nation, zip by nation."""
+    region / nation, zip by nation. Every 50th address is blank ('-')."""
     cc = customer_codes(spark, sf_dir)
+
+    def given(c):
+        return F.when(F.col("c_custkey") % 50 == 0, F.lit("-")).otherwise(c)
+
     return cc.select(F.concat(F.lit("DA"), F.lpad(F.col("c_custkey").cast("string"), 9, "0")).alias("dataaxle_id"),
-                     F.floor(F.abs(F.col("c_acctbal"))).cast("long").cast("string").alias("street_number"),
-                     F.col("c_name").alias("street"), F.col("city"), F.col("state"),
-                     (F.lit(10000) + F.col("c_nationkey") * 37).cast("string").alias("zip"))
+                     given(F.floor(F.abs(F.col("c_acctbal"))).cast("long").cast("string")).alias("street_number"),
+                     given(F.col("c_name")).alias("street"), given(F.col("city")).alias("city"),
+                     given(F.col("state")).alias("state"),
+                     given((F.lit(10000) + F.col("c_nationkey") * 37).cast("string")).alias("zip"))
 
 
 @_memo
 def crm_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """CRM buildings: one per urgent order, at the ordering customer's
-    address; open orders carry a street typo, pending orders a shifted
-    street number (so exact, fuzzy and unmatched records all occur)."""
-    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority") == "1-URGENT") \
-        .select("o_orderkey", "o_custkey", "o_orderstatus")
+    """CRM buildings: one per order, at the ordering customer's address; open
+    orders carry a street typo, pending orders a shifted street number (so
+    exact, fuzzy and unmatched records all occur). Low-priority orders are all
+    at one customer's address with another zip (a hot address)."""
+    low = F.col("o_orderpriority") == "5-LOW"
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(low, F.lit(HOT_CUSTOMER)).otherwise(F.col("o_custkey")).alias("o_custkey"),
+        "o_orderstatus", low.alias("is_low"))
     reg = registry_addresses(spark, sf_dir).withColumn(
         "o_custkey", F.substring("dataaxle_id", 3, 9).cast("long"))
     j = o.join(reg, on="o_custkey", how="inner")
     street = F.when(F.col("o_orderstatus") == "O", F.replace(F.col("street"), F.lit("Customer"), F.lit("Custmer"))) \
               .otherwise(F.col("street"))
-    number = F.when(F.col("o_orderstatus") == "P", (F.col("street_number").cast("long") + 1).cast("string")) \
-              .otherwise(F.col("street_number"))
+    shifted = (F.col("street_number").try_cast("long") + 1).cast("string")
+    number = F.coalesce(F.when(F.col("o_orderstatus") == "P", shifted), F.col("street_number"))
     return j.select(F.concat(F.lit("HS"), F.col("o_orderkey").cast("string")).alias("hubspot_id"),
                     F.lit("building").alias("hubspot_type"), number.alias("street_number"), street.alias("street"),
-                    "city", "state", "zip")
+                    "city", "state", F.when(F.col("is_low"), F.lit("00000")).otherwise(F.col("zip")).alias("zip"))
 
 
 @_memo

@@ -141,9 +141,8 @@ class ProspectData:
             stored = scored.select("company_id", F.col("urgent_flags").alias("stored_urgent"),
                                    F.col("action_flags").alias("stored_action"))
             out = out.join(stored, on="company_id", how="left").withColumn(
-                "flag_mismatch", F.col("stored_urgent").isNotNull()
-                & (~F.col("stored_urgent").eqNullSafe(F.col("urgent_flags"))
-                   | ~F.col("stored_action").eqNullSafe(F.col("action_flags"))))
+                "flag_mismatch", tx.flags_differ(F.col("stored_urgent"), F.col("urgent_flags"))
+                | tx.flags_differ(F.col("stored_action"), F.col("action_flags")))
         return out
 
     def ranked_companies(self) -> DataFrame:

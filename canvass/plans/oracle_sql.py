@@ -73,7 +73,7 @@ CTE = {
     "prepared": """prepared AS (
   SELECT r.*, CAST(coalesce(b.building_count, 0) AS INTEGER) AS building_count
   FROM (SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY primary_naics
-                 ORDER BY final_score DESC NULLS LAST, rank ASC NULLS LAST, company_id ASC NULLS LAST) AS INTEGER) AS rank)
+                 ORDER BY final_score DESC NULLS LAST, rank ASC NULLS LAST, company_id ASC NULLS LAST) AS BIGINT) AS rank)
         FROM filtered) r
   LEFT JOIN (SELECT company_id, min(building_count) AS building_count FROM companies GROUP BY company_id) b
     ON r.company_id = b.company_id)""",
@@ -223,7 +223,7 @@ WHERE value IS NOT NULL GROUP BY facet, value"""))
 
 _VIEW_PRED = "scoring_path = 'prospect' AND final_score BETWEEN 30.0 AND 90.0"
 oracle("ranked_view", with_ctes(["prepared"], f"""SELECT *, CAST(row_number() OVER (ORDER BY final_score DESC NULLS LAST,
-       company_id ASC NULLS LAST) AS INTEGER) AS global_rank
+       company_id ASC NULLS LAST) AS BIGINT) AS global_rank
 FROM prepared WHERE {_VIEW_PRED}"""))
 oracle("filtered_summary", with_ctes(["prepared"], f"""SELECT CAST(count(*) AS BIGINT) AS total_count,
        CAST(count_if({_VIEW_PRED}) AS BIGINT) AS filtered_count,
@@ -304,7 +304,7 @@ HAVING NOT coalesce(min(rank) = 1 AND max(rank) = count(DISTINCT rank) AND count
 oracle("rank_order", with_ctes(["filtered"], """SELECT * FROM (
   SELECT primary_naics, company_id, final_score, rank,
          CAST(row_number() OVER (PARTITION BY primary_naics ORDER BY final_score DESC NULLS LAST,
-              rank ASC NULLS LAST, company_id ASC NULLS LAST) AS INTEGER) AS expected_rank
+              rank ASC NULLS LAST, company_id ASC NULLS LAST) AS BIGINT) AS expected_rank
   FROM filtered) t WHERE rank IS DISTINCT FROM expected_rank"""))
 oracle("valid_buildings", with_ctes(["valid_buildings"], "SELECT * FROM valid_buildings"))
 oracle("orphan_report", with_ctes(["scored", "companies", "buildings"], """
@@ -359,21 +359,29 @@ oracle("penetration_lookup", with_ctes(["filtered", "penetration"], """SELECT f.
        CASE WHEN p.penetration_rate IS NOT NULL THEN printf('%.1f%%', p.penetration_rate) ELSE '—' END AS penetration_display
 FROM filtered f LEFT JOIN penetration p ON f.company_id = p.company_id"""))
 
+
+def _even1(x: str) -> str:
+    """One decimal, ties to the even digit, from whole millionths."""
+    m = f"CAST(round({x} * 1000000) AS BIGINT)"
+    return (f"CAST(CASE WHEN {m} % 100000 = 50000 AND ({m} // 100000) % 2 = 0 THEN {m} // 100000 "
+            f"ELSE ({m} + 50000) // 100000 END AS DOUBLE) / CAST(10 AS DOUBLE)")
+
+
 _GROWTH = "CASE upper(trim(growing_business_code)) " + " ".join(
     f"WHEN '{k}' THEN '{v}'" for k, v in config.GROWTH_LABELS.items()) + " ELSE upper(trim(growing_business_code)) END"
 oracle("ranked_table", with_ctes(["prepared", "crm_flag"], f"""SELECT company_id,
-       CAST(row_number() OVER (ORDER BY final_score DESC NULLS LAST, company_id ASC NULLS LAST) AS INTEGER) AS rank,
+       CAST(row_number() OVER (ORDER BY final_score DESC NULLS LAST, company_id ASC NULLS LAST) AS BIGINT) AS rank,
        company_name AS company, scoring_path AS path,
        CASE WHEN naics_4digit IS NULL THEN '—' WHEN TRY_CAST(naics_4digit AS DOUBLE) IS NOT NULL
             THEN CAST(CAST(trunc(TRY_CAST(naics_4digit AS DOUBLE)) AS BIGINT) AS VARCHAR) ELSE naics_4digit END AS naics,
-       round(final_score, 1) AS final_score, round(company_opportunity_score, 1) AS company_score,
+       {_even1('final_score')} AS final_score, {_even1('company_opportunity_score')} AS company_score,
        CASE WHEN city IS NOT NULL AND state IS NOT NULL THEN city || ', ' || state ELSE '—' END AS location,
        CASE WHEN coalesce(in_hubspot, false) THEN '✅' ELSE '' END AS in_hubspot,
        CASE WHEN icp_fit_score IS NULL THEN '—' ELSE CAST(CAST(trunc(icp_fit_score) AS BIGINT) AS VARCHAR) END AS icp_fit,
-       CAST(coalesce(building_count_estimate, 0) AS INTEGER) AS buildings,
+       CAST(coalesce(building_count_estimate, 0) AS BIGINT) AS buildings,
        CASE WHEN growing_business_code IS NULL THEN '—' ELSE {_GROWTH} END AS growth,
-       CAST(coalesce(contacts_count, 0) AS INTEGER) AS contacts,
-       round(naics_attractiveness_score, 1) AS naics_score,
+       CAST(coalesce(contacts_count, 0) AS BIGINT) AS contacts,
+       {_even1('naics_attractiveness_score')} AS naics_score,
        0 AS employees, '—' AS revenue_m
 FROM (SELECT p.*, {_RAW}, coalesce(k.hit, false) AS in_hubspot
       FROM prepared p LEFT JOIN companies c ON p.company_id = c.company_id
@@ -595,7 +603,7 @@ oracle("document_validity", with_ctes(["rdocs"], f"SELECT company_id, ({_REASON}
 oracle("flag_count_mismatch", with_ctes(["rdocs"], f"""SELECT * FROM (
   SELECT company_id, urgent_flags, action_flags, {count_sql('research_document', 'URGENT')} AS urgent_in_text,
          {count_sql('research_document', 'ACTION')} AS action_in_text FROM rdocs) t
-WHERE urgent_flags IS DISTINCT FROM urgent_in_text OR action_flags IS DISTINCT FROM action_in_text"""))
+WHERE urgent_flags <> urgent_in_text OR action_flags <> action_in_text"""))
 
 
 # ------------------------------------------------------------------ scoring
@@ -708,8 +716,8 @@ def strip0_sql(x: str) -> str:
 
 
 def initcap_sql(x: str) -> str:
-    return (f"array_to_string(list_transform(string_split(lower({x}), ' '), "
-            f"lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ')")
+    return (f"array_to_string(list_transform(regexp_extract_all({x}, '[A-Za-z]+|[^A-Za-z]+'), "
+            f"lambda w: upper(substr(w, 1, 1)) || lower(substr(w, 2))), '')")
 
 
 _RISK = ("CASE risk_tier " + " ".join(
@@ -756,7 +764,7 @@ def _fmt1(x):
 _CONF = "CASE WHEN company_opportunity_score IS NULL THEN 'N/A' ELSE CAST(CAST(round_even(company_opportunity_score / 100.0 * 100.0, 0) AS BIGINT) AS VARCHAR) || '%' END"
 oracle("score_formatting", with_ctes(["prepared"], f"""SELECT company_id,
   CASE WHEN naics_attractiveness_score >= 80 THEN '#28a745' WHEN naics_attractiveness_score >= 60 THEN '#ffc107'
-       WHEN naics_attractiveness_score IS NOT NULL THEN '#dc3545' END AS industry_color,
+       ELSE '#dc3545' END AS industry_color,
   CASE WHEN final_score IS NULL THEN 'gray' WHEN final_score >= 70 THEN 'green' WHEN final_score >= 40 THEN 'yellow' ELSE 'red' END AS badge_color,
   CASE WHEN coalesce(final_score, 0.0) >= 90 THEN 'green' WHEN coalesce(final_score, 0.0) >= 80 THEN 'light_green'
        WHEN coalesce(final_score, 0.0) >= 70 THEN 'yellow' WHEN coalesce(final_score, 0.0) >= 60 THEN 'orange' ELSE 'red' END AS export_band,
@@ -781,21 +789,26 @@ FROM valid_buildings WHERE source = 'manual' AND is_served = true"""))
 
 # ------------------------------------------------------- entity resolution
 def _norm_sql(x: str) -> str:
-    return f"trim(regexp_replace(lower(CAST({x} AS VARCHAR)), '[^a-z0-9]+', ' ', 'g'))"
+    return f"nullif(trim(regexp_replace(lower(CAST({x} AS VARCHAR)), '[^a-z0-9]+', ' ', 'g')), '')"
+
+
+def _given_sql(x: str) -> str:
+    return f"CASE WHEN c_custkey % 50 = 0 THEN '-' ELSE {x} END"
 
 
-CTE["reg"] = """reg AS (
+CTE["reg"] = f"""reg AS (
   SELECT 'DA' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS dataaxle_id, c_custkey,
-         CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) AS VARCHAR) AS street_number, c_name AS street, city, state,
-         CAST(10000 + c_nationkey * 37 AS VARCHAR) AS zip
+         {_given_sql("CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) AS VARCHAR)")} AS street_number,
+         {_given_sql("c_name")} AS street, {_given_sql("city")} AS city, {_given_sql("state")} AS state,
+         {_given_sql("CAST(10000 + c_nationkey * 37 AS VARCHAR)")} AS zip
   FROM cust_codes)"""
 CTE["crm_rec"] = """crm_rec AS (
   SELECT 'HS' || CAST(o.o_orderkey AS VARCHAR) AS hubspot_id, 'building' AS hubspot_type,
-         CASE WHEN o.o_orderstatus = 'P' THEN CAST(CAST(r.street_number AS BIGINT) + 1 AS VARCHAR) ELSE r.street_number END AS street_number,
+         coalesce(CASE WHEN o.o_orderstatus = 'P' THEN CAST(TRY_CAST(r.street_number AS BIGINT) + 1 AS VARCHAR) END,
+                  r.street_number) AS street_number,
          CASE WHEN o.o_orderstatus = 'O' THEN replace(r.street, 'Customer', 'Custmer') ELSE r.street END AS street,
-         r.city, r.state, r.zip
-  FROM orders o JOIN reg r ON o.o_custkey = r.c_custkey
-  WHERE o.o_orderpriority = '1-URGENT')"""
+         r.city, r.state, CASE WHEN o.o_orderpriority = '5-LOW' THEN '00000' ELSE r.zip END AS zip
+  FROM orders o JOIN reg r ON CASE WHEN o.o_orderpriority = '5-LOW' THEN 1 ELSE o.o_custkey END = r.c_custkey)"""
 _N = lambda p: ", ".join(f"{_norm_sql(p + c)} AS n_{c.split('_')[-1] if c != 'street_number' else 'number'}"
                          for c in ["street_number", "street", "city", "state", "zip"])
 CTE["er_log"] = f"""crm_n AS (SELECT hubspot_id AS rid, hubspot_type, {_N('')} FROM crm_rec),
@@ -846,7 +859,7 @@ CTE["scored_old"] = f"""scored_old AS (
 CTE["prepared_old"] = f"""prepared_old AS (
   SELECT r.*, CAST(coalesce(b.building_count, 0) AS INTEGER) AS building_count
   FROM (SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY primary_naics
-                 ORDER BY augmented_score DESC NULLS LAST, segment_rank ASC NULLS LAST, company_id ASC NULLS LAST) AS INTEGER) AS segment_rank)
+                 ORDER BY augmented_score DESC NULLS LAST, segment_rank ASC NULLS LAST, company_id ASC NULLS LAST) AS BIGINT) AS segment_rank)
         FROM scored_old
         WHERE company_id IN (SELECT company_id FROM companies)
           AND primary_naics IS NOT NULL AND primary_naics NOT IN ({_EXCL})) r
@@ -856,14 +869,14 @@ _DEPS.update({"scored_old": ["cust_codes", "order_figs"], "prepared_old": ["scor
 
 oracle("ranked_companies_old", with_ctes(["prepared_old"], "SELECT * FROM prepared_old"))
 oracle("old_format_display", with_ctes(["prepared_old", "penetration"], """SELECT p.company_id,
-  CAST(row_number() OVER (ORDER BY p.augmented_score DESC NULLS LAST, p.company_id ASC NULLS LAST) AS INTEGER) AS global_rank,
+  CAST(row_number() OVER (ORDER BY p.augmented_score DESC NULLS LAST, p.company_id ASC NULLS LAST) AS BIGINT) AS global_rank,
   p.segment_rank, p.company_name AS company, 'Prospect' AS scoring_path, coalesce(p.channel_id, 'N/A') AS channel,
   p.augmented_score AS score, coalesce(printf('%.1f', p.augmented_score), '—') AS score_text,
   CASE WHEN coalesce(p.urgent_flags, 0) > 0 THEN '🚨 ' || CAST(p.urgent_flags AS VARCHAR) ELSE '—' END AS urgent,
   CASE WHEN coalesce(p.action_flags, 0) > 0 THEN '✅ ' || CAST(p.action_flags AS VARCHAR) ELSE '—' END AS action,
   CASE WHEN coalesce(p.has_research_doc, false) THEN '📄' ELSE '—' END AS research,
   CASE WHEN n.penetration_rate IS NOT NULL THEN printf('%.1f', n.penetration_rate) || '%' ELSE '—' END AS penetration,
-  CAST(coalesce(p.building_count, 0) AS INTEGER) AS buildings,
+  CAST(coalesce(p.building_count, 0) AS BIGINT) AS buildings,
   CASE p.source WHEN 'dataaxle' THEN '🔵 DataAxle' WHEN 'manual' THEN '🟢 Manual' ELSE p.source END AS source
 FROM prepared_old p LEFT JOIN penetration n ON p.company_id = n.company_id"""))
 oracle("score_components", with_ctes(["research"], """SELECT company_id, 'ICP Fit Score' AS component,
@@ -878,7 +891,7 @@ FROM rdocs"""))
 # ---------------------------------------------------------- extra branches
 oracle("industry_sorted", with_ctes(["rankings"], "SELECT * FROM rankings"))
 oracle("ranked_view_crm", with_ctes(["prepared", "crm_flag"], f"""SELECT *, CAST(row_number() OVER (
-       ORDER BY final_score DESC NULLS LAST, company_id ASC NULLS LAST) AS INTEGER) AS global_rank
+       ORDER BY final_score DESC NULLS LAST, company_id ASC NULLS LAST) AS BIGINT) AS global_rank
 FROM (SELECT p.*, {_RAW}, coalesce(k.hit, false) AS in_hubspot
       FROM prepared p LEFT JOIN companies c ON p.company_id = c.company_id
       LEFT JOIN crm_flag k ON p.company_id = k.company_id) e

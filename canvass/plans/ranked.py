@@ -76,8 +76,8 @@ def display_table(view: DataFrame) -> DataFrame:
         F.col("company_name").alias("company"),
         F.col("scoring_path").alias("path"),
         fmt.code_text(F.col("naics_4digit")).alias("naics"),
-        F.round("final_score", 1).alias("final_score"),
-        F.round("company_opportunity_score", 1).alias("company_score"),
+        F.bround("final_score", 1).alias("final_score"),
+        F.bround("company_opportunity_score", 1).alias("company_score"),
         fmt.location(opt("city"), opt("state")).alias("location"),
         fmt.check_mark(F.col("in_hubspot")).alias("in_hubspot"),
         fmt.icp_display(opt("icp_fit_score")).alias("icp_fit"),
@@ -85,7 +85,7 @@ def display_table(view: DataFrame) -> DataFrame:
         (fmt.growth_label(F.col("growing_business_code")) if "growing_business_code" in cols
          else F.lit(fmt.DASH)).alias("growth"),
         fmt.int_or_zero(opt("contacts_count")).alias("contacts"),
-        F.round("naics_attractiveness_score", 1).alias("naics_score"),
+        F.bround("naics_attractiveness_score", 1).alias("naics_score"),
         fmt.int_or_zero(opt("location_employee_size")).alias("employees"),
         fmt.revenue_millions(opt("sales_volume")).alias("revenue_m"))
 

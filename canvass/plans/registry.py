@@ -316,8 +316,8 @@ def q_flag_count_mismatch(spark, sf):
     return (d.select("company_id", "urgent_flags", "action_flags",
                      tx.count_marker(doc, "URGENT").alias("urgent_in_text"),
                      tx.count_marker(doc, "ACTION").alias("action_in_text"))
-             .where(~F.col("urgent_flags").eqNullSafe(F.col("urgent_in_text"))
-                    | ~F.col("action_flags").eqNullSafe(F.col("action_in_text"))))
+             .where(tx.flags_differ(F.col("urgent_flags"), F.col("urgent_in_text"))
+                    | tx.flags_differ(F.col("action_flags"), F.col("action_in_text"))))
 
 
 # carrier caps for the anchor-only log scales (F9): parameters, not reference values
@@ -378,7 +378,7 @@ def q_channel_assignment(spark, sf):
                                  prefix_lengths=scoring.channel_prefix_lengths())
     w = scoring.weights_frame(spark).groupBy("channel_id").pivot(
         "component", ["hygiene_relevance", "geographic_fit", "decision_maker_clarity"]).agg(F.first("weight"))
-    return out.join(w, on="channel_id", how="left")
+    return out.join(joins.small_side(w), on="channel_id", how="left")
 
 
 @query("sqft_filter")
@@ -506,7 +506,7 @@ def q_ranked_companies_old(spark, sf):
 
 @query("old_format_display")
 def q_old_format_display(spark, sf):
-    """D18 (+ W2, J6): old-format display rows with a global rank."""
+    """D18 (+ W2, J6, O6): old-format display rows with a global rank, by the numeric score."""
     from ..operators import ranking
     g = ranking.global_rank(_prepared_old(spark, sf), "augmented_score", "global_rank", "company_id")
     return fmt.old_format_display(g, _penetration(spark, sf))

@@ -81,18 +81,17 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 * 1024 ** 2,
-                 max_partitions: int = 200_000) -> dict:
+def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 * 1024 ** 2) -> dict:
     """Partition sizing for a cluster run over ``input_bytes`` of input.
 
-    Shuffle partitions start at input / 256 MB (at least two per core, at
-    most ``max_partitions``) so no task's shuffle block outgrows executor
+    Shuffle partitions start at input / 256 MB (at least two per core)
+    so no task's shuffle block outgrows executor
     memory at the target scale; AQE then coalesces small partitions and
     splits skewed ones (a partition over 4x the advisory size is skewed).
     The same count sizes the range partitioning of the distributed ranks.
     """
     import math
-    n = min(max_partitions, max(2 * total_cores, math.ceil(input_bytes / partition_bytes)))
+    n = max(2 * total_cores, math.ceil(input_bytes / partition_bytes))
     return {
         "spark.sql.shuffle.partitions": str(n),
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(n),

@@ -193,13 +193,12 @@ def load_churn_predictions(spark, path):  # S7: schema failure or missing -> emp
 
 def load_research_enrichment(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object {metadata, companies: {id: {...}}} -> one row per
-    company (id, fields as JSON text)."""
-    raw = spark.read.option("multiLine", "true").option("primitivesAsString", "true").json(path)
-    if "companies" not in raw.columns:
+    company (id, fields as JSON text; numbers, booleans and nulls keep their kind)."""
+    raw = spark.read.schema("companies MAP<STRING, VARIANT>").option("multiLine", "true").json(path)
+    if raw.where(F.col("companies").isNotNull()).isEmpty():
         raise SchemaValidationError("research enrichment: missing 'companies'")
-    # companies is read as a struct of structs; turn into (key, value-json) rows
-    as_map = F.from_json(F.to_json(F.col("companies")), T.MapType(T.StringType(), T.StringType()))
-    return (raw.select(F.explode(as_map).alias("company_id", "enrichment_json")))
+    return (raw.select(F.explode("companies").alias("company_id", "v"))
+            .select("company_id", F.to_json("v").alias("enrichment_json")))
 
 
 def load_research_documents(spark: SparkSession, folder: str) -> DataFrame:

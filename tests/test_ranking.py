@@ -83,5 +83,5 @@ def test_distributed_rank_property(spark, data, parts):
 def test_cluster_conf_sizes():
     from canvass.session import cluster_conf
     c = cluster_conf(100 * 1024 ** 4, 8000)
-    assert int(c["spark.sql.shuffle.partitions"]) == 200_000
+    assert int(c["spark.sql.shuffle.partitions"]) == 409_600  # 100 TiB in blocks of 256 MiB
     assert int(cluster_conf(10 * 1024 ** 3, 8)["spark.sql.shuffle.partitions"]) == 40
