@@ -26,10 +26,11 @@ empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canvass.llm.common import map_arrow, prepare, read_table, staged
@@ -42,6 +43,10 @@ POSITIONS, CHUNKS, ERRORS = 32, 8, 1
 LINK = 85
 #: Rounds of comparing with the centre of a key, before what is left is compared pair by pair.
 ROUNDS = 4
+#: Set sizes of one class of the prefix filter differ by less than this factor.
+SIZE_STEP = 1.03
+#: 64-bit words of a set's parity bitmap; a power of two.
+BITMAP = 8
 
 _SALT = random64(5, POSITIONS)
 _ODD = random64(6, POSITIONS) | U64(1)
@@ -202,11 +207,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _sharing_prefix(nodes: DataFrame, sets: DataFrame, link: int) -> DataFrame:
     """Pairs (a, b) of nodes (rep, root) of different roots that may be linked, by exact prefix filtering.
 
-    With shingles in one order, rarest first, two sets of at least link percent
-    likeness share one of the first n - ceil(link * n / 100) + 1 shingles of
-    either. A shingle that only one node has cannot be shared: it takes a place
-    of the prefix and no row, so the members of a large group that differ in
-    words of their own meet nobody.
+    Sets of x <= y shingles are linked if they share at least link * (x + y) /
+    (100 + link). With shingles in one order, rarest first, they then share one
+    of the first x - shared + 1 and y - shared + 1. The smaller set is listed
+    under its size class, with the prefix that a partner of its own size needs;
+    the larger one asks each size class that it can be linked with, with the
+    prefix that the class's least size needs. A common shingle counts if what
+    follows it on either side still suffices, and if the sets can differ in few
+    enough shingles: those that only one node has, and at least as many others
+    as bits of the sets' parity bitmaps differ (a bitmap filter).
+
+    A shingle that only one node has cannot be shared: it takes a place of the
+    prefix and no row, so the members of a large group that differ in words of
+    their own meet nobody.
     """
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts = [np.frombuffer(x.as_buffer(), "<i8") for x in batch.column("shingles")]
@@ -219,14 +232,41 @@ def _sharing_prefix(nodes: DataFrame, sets: DataFrame, link: int) -> DataFrame:
                      "rep long, root long, size long, shingle long", "shingles")
     common = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("n > 1")
     ranked = (rows.join(common, "shingle").groupBy("rep", "root", "size")
-              .agg(F.sort_array(F.collect_list(F.struct("n", "shingle", (F.col("lo") < F.col("hi")).alias("open")))).alias("shared")))
-    places = F.col("size") - F.ceil(F.col("size") * link / 100) + 1 - (F.col("size") - F.size("shared"))
-    prefix = ranked.where(places > 0).select("rep", "root", "size", F.explode(F.slice("shared", F.lit(1), places.cast("int"))).alias("x"))
-    prefix = staged(prefix.where("x.open").select("rep", "root", "size", "x.shingle"), "prefix")
-    other = prefix.toDF("b", "root_b", "size_b", "shingle")
-    fits = (F.col("rep") < F.col("b")) & (F.col("root") != F.col("root_b")) & (
-        100 * F.least("size", "size_b") >= link * F.greatest("size", "size_b"))
-    return prefix.join(other, "shingle").where(fits).select(F.col("rep").alias("a"), "b")
+              .agg(F.sort_array(F.collect_list(F.struct("n", "shingle", (F.col("lo") < F.col("hi")).alias("open")))).alias("shared"),
+                   *(F.expr(f"bit_xor(if((shingle & {BITMAP - 1}) = {i}, shiftleft(1L, cast(shiftright(shingle, 8) & 63 as int)), 0L))").alias(f"bits{i}")
+                     for i in range(BITMAP)))
+              .withColumn("alone", F.col("size") - F.size("shared")))
+    # the longest prefix, that for the smallest partner
+    least = F.expr(f"({link} * size + 99) div 100")
+    places = F.col("size") - least + 1 - F.col("alone")
+    bits = [f"bits{i}" for i in range(BITMAP)]
+    heads = staged(ranked.where(places > 0).select("rep", "root", "size", "alone", *bits, F.slice("shared", F.lit(1), places.cast("int")).alias("head")),
+                   "heads")
+
+    def needed(x: str, y: str) -> str:
+        return f"(({link} * ({x} + {y}) + {99 + link}) div {100 + link})"
+
+    def listed(df: DataFrame, partner: str) -> DataFrame:
+        """One row a shingle of the prefix for partners of at least `partner` shingles; `rest`: shingles from it on."""
+        n = F.expr(f"cast(size - {needed('size', partner)} + 1 - alone as int)")
+        return (df.withColumn("n", n).where("n > 0")
+                .select("rep", "root", "size", "alone", *bits, "class", F.posexplode(F.slice("head", F.lit(1), F.col("n"))).alias("at", "x"))
+                .where("x.open").select("rep", "root", "size", "alone", *bits, F.expr("size - alone - at").alias("rest"), "class", "x.shingle"))
+
+    def size_class(size: Column) -> Column:
+        return F.floor(F.log(size) / math.log(SIZE_STEP))
+
+    smaller = listed(heads.withColumn("class", size_class(F.col("size"))), "size")
+    asked = heads.withColumn("class", F.explode(F.sequence(size_class(least), size_class(F.col("size")))))
+    # a little below the class's edge, so that rounding loses no size
+    floor = F.greatest(least, F.ceil(F.pow(F.lit(SIZE_STEP), "class") * (1 - 1e-9)).cast("long"))
+    larger = listed(asked.withColumn("floor", floor), "floor")
+    larger = larger.withColumnsRenamed({c: f"{c}_b" for c in larger.columns if c not in ("shingle", "class")})
+    differing = " + ".join(f"bit_count({b} ^ {b}_b)" for b in bits)
+    fits = ((F.struct("size", "rep") < F.struct("size_b", "rep_b")) & (F.col("root") != F.col("root_b"))
+            & (F.least("rest", "rest_b") >= F.expr(needed("size", "size_b")))
+            & F.expr(f"alone + alone_b + {differing} <= size + size_b - 2 * {needed('size', 'size_b')}"))
+    return smaller.join(larger, ["shingle", "class"]).where(fits).select(F.least("rep", "rep_b").alias("a"), F.greatest("rep", "rep_b").alias("b"))
 
 
 def _full_sets(narrow: DataFrame, wanted: DataFrame, k: int) -> DataFrame:

@@ -112,6 +112,28 @@ def test_near_duplicates_equal_brute_force(spark, texts, rounds, monkeypatch):
             assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], r.doc_id == want[r.doc_id][1])
 
 
+@pytest.mark.parametrize("rounds", [0, 4])
+def test_near_duplicates_around_the_threshold(spark, rounds, monkeypatch):
+    """Copies of one text that differ in 0-5 words and in length, most of them linked with few others."""
+    monkeypatch.setattr(near_dup, "ROUNDS", rounds)
+    rng = random.Random(11)
+    base, copies = words(rng, 150), []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.randrange(6)):
+            copy[rng.randrange(len(copy))] = f"new{rng.randrange(9)}"
+        copies.append(" ".join(copy[rng.randrange(8):len(copy) - rng.randrange(8)]))
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(frame(spark, copies)).collect() if r["doc_id"] is not None}
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (c.split() for c in copies)]
+    want = list(range(len(copies)))
+    for _ in copies:
+        for i, j in itertools.combinations(range(len(copies)), 2):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                want[i] = want[j] = min(want[i], want[j])
+    assert 1 < len(set(want)) < len(copies)
+    assert [got[i] for i in range(len(copies))] == want
+
+
 def test_near_duplicates_of_empty_table(spark):
     assert near_dup.near_duplicates(empty(spark)).count() == 0
 
