@@ -297,6 +297,36 @@ def test_passages_cover_every_shared_run(spark):
     assert substring_dedup.passages(empty(spark)).count() == 0
 
 
+def covered_words(spark, texts):
+    """Words of each document that a passage covers."""
+    common.prepare(spark)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    out = collections.defaultdict(set)
+    for r in substring_dedup.passages(docs).collect():
+        assert r.source < r.doc_id and r.identity >= substring_dedup.IDENTITY and r.end - r.start >= substring_dedup.MIN_WORDS
+        out[r.doc_id].update(range(r.start, r.end))
+    return out
+
+
+def test_passages_with_gaps_and_insertions(spark):
+    rng = random.Random(11)
+    texts, want = [], {}
+    for length, gap in ((60, 40), (60, 90), (100, 70), (100, 150), (50, 100)):
+        one, two = words(rng, length), words(rng, length)
+        texts.append(words(rng, 20) + one + words(rng, gap) + two + words(rng, 20))
+        texts.append(words(rng, 30) + one + words(rng, gap) + two + words(rng, 10))
+        want[len(texts) - 1] = set(range(30, 30 + length)) | set(range(30 + length + gap, 30 + 2 * length + gap))
+        whole = one + two
+        texts.append(whole)
+        texts.append(one + words(rng, gap) + two)
+    got = covered_words(spark, texts)
+    for i, places in want.items():
+        assert places <= got[i] and len(got[i] - places) < 10, i
+        # an insertion between both halves of a passage leaves each half a passage
+        n = len(texts[i + 1]) // 2
+        assert set(range(n)) <= got[i + 2] and set(range(len(texts[i + 2]) - n, len(texts[i + 2]))) <= got[i + 2]
+
+
 def test_chains_equal_quadratic_search():
     rng = random.Random(9)
     for _ in range(100):
