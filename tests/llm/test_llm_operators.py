@@ -327,6 +327,20 @@ def test_passages_with_gaps_and_insertions(spark):
         assert set(range(n)) <= got[i + 2] and set(range(len(texts[i + 2]) - n, len(texts[i + 2]))) <= got[i + 2]
 
 
+def test_passages_whose_pieces_were_seen_before(spark):
+    rng = random.Random(12)
+    texts, want = [], []
+    for length, pieces, times in [(60, 2, 1)] * 8 + [(75, 3, 1)] * 8 + [(60, 2, substring_dedup.PLACES + 4), (40, 2, substring_dedup.PLACES + 4)]:
+        passage, size = words(rng, length), length // pieces
+        for c in range(pieces):
+            texts += [words(rng, 20) + passage[c * size:(c + 1) * size] + words(rng, 20) for _ in range(times)]
+        texts += [words(rng, 20) + passage + words(rng, 20), words(rng, 20) + passage + words(rng, 20)]
+        want.append((len(texts) - 1, set(range(20, 20 + length))))
+    got = covered_words(spark, texts)
+    assert all(places <= got[i] for i, places in want)
+    assert sum(map(len, got.values())) < sum(len(p) for _, p in want) * 1.05 and set(got) == {i for i, _ in want}
+
+
 def test_chains_equal_quadratic_search():
     rng = random.Random(9)
     for _ in range(100):
