@@ -341,6 +341,35 @@ def test_passages_whose_pieces_were_seen_before(spark):
     assert sum(map(len, got.values())) < sum(len(p) for _, p in want) * 1.05 and set(got) == {i for i, _ in want}
 
 
+def test_seeds_are_close_and_chosen_by_their_own_words():
+    rng = np.random.default_rng(3)
+    k, spacing = substring_dedup.K, substring_dedup.SPACING
+    for spread in (3, 50, 10**9):
+        hashes = rng.integers(0, spread, 400).astype(np.uint64)
+        at, grams = substring_dedup.seeds_of(hashes)
+        assert at[0] < spacing and len(hashes) - k - at[-1] < spacing and np.diff(at).max() <= spacing
+        again, same = substring_dedup.seeds_of(hashes[100:300])
+        inside = (at >= 100) & (at + k <= 300)
+        assert (again + 100 == at[inside]).all() and (same == grams[inside]).all()
+    assert len(substring_dedup.seeds_of(hashes[:k - 1])[0]) == 0
+
+
+@pytest.mark.parametrize(("length", "rate", "least"), [(60, 0.10, 29), (60, 0.15, 26), (100, 0.10, 29), (100, 0.15, 28)])
+def test_passages_with_changed_words(spark, length, rate, least):
+    rng = random.Random(13)
+    texts, want = [], []
+    for _ in range(30):
+        passage = words(rng, length)
+        changed = list(passage)
+        for i in rng.sample(range(length), round(rate * length)):
+            changed[i] = f"x{i}"
+        texts += [words(rng, 20) + passage + words(rng, 20), words(rng, 20) + changed + words(rng, 20)]
+        want.append((len(texts) - 1, set(range(20, 20 + length))))
+    got = covered_words(spark, texts)
+    assert sum(len(got[i] & places) >= 0.8 * length for i, places in want) >= least
+    assert all(len(got[i] - places) <= 8 for i, places in want) and set(got) <= {i for i, _ in want}
+
+
 def test_chains_equal_quadratic_search():
     rng = random.Random(9)
     for _ in range(100):
