@@ -419,3 +419,26 @@ def test_pipeline_stages(spark):
         if name != "packing":
             assert docs.columns == before.columns and docs.count() > 0
     assert {"doc_id", "sequence_id", "offset"} <= set(docs.columns)
+
+
+def test_pipeline_judges_rows_and_not_ids(spark):
+    import corpus_pipeline
+    rng = random.Random(21)
+    one, two, three, four = ([" ".join(words(rng, 12)).capitalize() + "." for _ in range(12)] for _ in range(4))
+    one, two, three, four = (" ".join(x) for x in (one, two, three, four))
+    rows = [(None, None), (None, one), (None, two), (7, "bad"), (7, three), (7, four), (8, three), (9, one)]
+    common.prepare(spark)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    docs = common.staged(docs.repartition(3), "rows")
+
+    def run(stage, table):
+        return sorted(((r.doc_id, r.text) for r in stage(spark, table, "").collect()), key=str)
+
+    kept = corpus_pipeline.quality(spark, docs, "")
+    assert run(corpus_pipeline.quality, docs) == sorted([r for r in rows if r[1] and r[1] != "bad"], key=str)
+    # of each text the row with an id of its own stays, and texts that only others have stay
+    assert run(corpus_pipeline.near_dedup, kept) == sorted([(8, three), (9, one), (None, two), (7, four)], key=str)
+    assert run(corpus_pipeline.passage_dedup, kept) == sorted([(8, three), (9, one), (None, two), (7, four)], key=str)
+    mixed = collections.Counter(run(corpus_pipeline.mix_sources, kept))
+    # one source: each row is taken once, whatever others of its id there are
+    assert mixed == collections.Counter([r for r in rows if r[1] and r[1] != "bad"])
