@@ -16,13 +16,15 @@ A conversation is one row, so its text must fit in a row; that is the only bound
 
 Defined cases: null role, kind and text are empty (an event of an unknown kind
 counts as `delta`); a null conversation id is a conversation of its own; events
-of one sequence number are ordered by kind, role and text; a conversation
+of one sequence number are ordered by kind, role and text; stored rows that
+repeat a turn are messages of their own, by role and text; a conversation
 without events does not occur; an empty log gives an empty table.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from canvass.llm.common import read_table
@@ -47,14 +49,17 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """Final messages: (conv_id, turns), turns being an array of (at, role, text) in order; one shuffle, by conversation."""
+def fold(events: DataFrame, dealt_by_conv: bool = False) -> DataFrame:
+    """Final messages: (conv_id, turns), turns being an array of (at, role, text) in order; one shuffle, by conversation.
+
+    A log that its maker has dealt by conversation already is not dealt again.
+    """
     dealt = events.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("message").alias("message"), F.col("seq").alias("seq"),
         F.coalesce(F.col("kind"), F.lit("")).alias("kind"), F.coalesce(F.col("role"), F.lit("")).alias("role"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"))
     event = F.struct("seq", "kind", "role", "text")
-    messages = (dealt.repartition("conv_id").groupBy("conv_id", "message").agg(F.sort_array(F.collect_list(event)).alias("events"))
+    messages = ((dealt if dealt_by_conv else dealt.repartition("conv_id")).groupBy("conv_id", "message").agg(F.sort_array(F.collect_list(event)).alias("events"))
                 .withColumn("reset", F.array_max(F.transform(F.filter("events", lambda e: e["kind"].isin("edit", "regenerate")), lambda e: e["seq"]))))
     live = F.filter("events", lambda e: (e["kind"] != "open") & (e["kind"] != "regenerate")
                     & (F.col("reset").isNull() | (e["seq"] >= F.col("reset"))))
@@ -91,13 +96,19 @@ def parse(formatted: Column) -> Column:
 
 
 def conversation_events(rows: DataFrame) -> DataFrame:
-    """The log of stored turns: one `open` per row and its text streamed as deltas."""
-    rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    """The log of stored turns, dealt by conversation: each row is a message, its text streamed as deltas.
+
+    Rows of one turn stand in the order of role and text, a null turn last.
+    """
+    rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"),
+                       F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.repartition("conv_id").withColumn("nr", F.row_number().over(W.partitionBy("conv_id", "turn", "role").orderBy("text")))
+    rows = rows.withColumn("at", F.struct(F.col("turn").isNull().alias("late"), "turn", "role", "nr"))
     n = F.greatest(F.lit(1), F.ceil(F.char_length("text") / DELTA_CHARS)).cast("int")
     # the first event carries the role, and each event a slice of the text
-    parts = rows.select("conv_id", "turn", "role", F.posexplode(F.transform(
+    parts = rows.select("conv_id", "at", "role", F.posexplode(F.transform(
         F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("text"), i * DELTA_CHARS + 1, F.lit(DELTA_CHARS)))).alias("part", "text"))
-    return parts.select("conv_id", F.struct("turn", "role").alias("message"), F.struct("turn", "part").alias("seq"),
+    return parts.select("conv_id", F.col("at").alias("message"), F.struct("at", "part").alias("seq"),
                         F.lit("delta").alias("kind"), "role", "text")
 
 
@@ -120,7 +131,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role")),
         F.struct(F.lit(1).cast("long").alias("turn"), F.lit(ASSISTANT).alias("role")))).alias("t")).select(
         "conv_id", "t.turn", "t.role", F.lit(hard).alias("text"))
-    return formatted_digests(render(fold(conversation_events(rows.unionByName(planted)))))
+    return formatted_digests(render(fold(conversation_events(rows.unionByName(planted)), dealt_by_conv=True)))
 
 
 OP5_SQL = """

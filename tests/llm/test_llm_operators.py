@@ -201,6 +201,25 @@ def test_chat_folds_edits_and_regenerations(spark):
     assert chat_format.fold(log.limit(0)).count() == 0
 
 
+def test_chat_keeps_repeated_turns(spark):
+    duckdb = pytest.importorskip("duckdb")
+    common.prepare(spark)
+    long_one, long_two = "a" * 5000 + "b" * 5000, "c" * 9000
+    rows = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 0, "user", "again"), (1, 0, "assistant", "tied"), (1, 1, "assistant", long_two),
+            (1, 1, "assistant", long_one), (2, 0, "user", "x"), (2, None, "assistant", "late"), (3, 0, None, None), (3, 0, None, None),
+            (None, 0, "user", "no id"), (None, 0, "user", "no id")]
+    log = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    hard = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], log.schema)
+    events = chat_format.conversation_events(log.unionByName(hard))
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = {r[0]: r for r in con.execute(chat_format.OP5_SQL).fetchall()}
+    for dealt in (False, True):
+        got = {r.conv_id: tuple(r) for r in chat_format.formatted_digests(chat_format.render(chat_format.fold(events, dealt))).collect()}
+        assert got == want and got[1][1] == 6
+
+
 def test_license_scan_equals_brute_force(spark, texts):
     more = ["It is under the MIT License, apache license version 2 and CC-BY-NC.", "x " * 70 + license_scan.TEMPLATES["isc"] + " y" * 500,
             " ".join(license_scan.TEMPLATES["bsd"].split()[:-3])]
