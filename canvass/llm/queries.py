@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from canvass.llm.chat_format import OP5_SQL, op5_chat_format
+from canvass.llm.collocations import OP11_SQL, op11_collocations
 from canvass.llm.license_scan import op6_license_scan
 from canvass.llm.mixing import op4_mixing
 from canvass.llm.near_dup import op2_near_dup
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_vector_packing": op10_vector_packing,
+    "op11_collocations": op11_collocations,
 }
 
 ORACLE: dict[str, str] = {
     "op3_url_filter": OP3_SQL,
     "op5_chat_format": OP5_SQL,
+    "op11_collocations": OP11_SQL,
 }
