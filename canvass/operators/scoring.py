@@ -94,6 +94,56 @@ def log_scale(x: Column, cap: float) -> Column:
                                          / F.lit(float(math.log1p(cap))))))
 
 
+def anchored_log(x: Column, anchors: tuple[tuple[float, float], tuple[float, float]]) -> Column:
+    """The log scale through two stated examples ((value, score), (value, score)), clamped to
+    0..100; a value that is not positive scores 0, null stays null."""
+    (x0, s0), (x1, s1) = anchors
+    v = x.cast("double")
+    slope = (s1 - s0) / (math.log(x1) - math.log(x0))
+    raw = F.lit(float(s0)) + F.lit(float(slope)) * (F.ln(v) - F.lit(float(math.log(x0))))
+    return F.when(v > 0, F.least(F.lit(100.0), F.greatest(F.lit(0.0), raw))).when(v.isNotNull(), F.lit(0.0))
+
+
+def revenue_concentration_score(revenue: Column, total_revenue: Column) -> Column:
+    """an industry's percentage of all revenue (1 % -> 37, 5 % and more -> 100)."""
+    share = F.try_divide(F.lit(100.0) * revenue.cast("double"), total_revenue.cast("double"))
+    return anchored_log(share, config.REVENUE_CONCENTRATION_ANCHORS)
+
+
+def building_count_score(served: Column) -> Column:
+    """served buildings of an industry (11 -> 63, 164 and more -> 100)."""
+    return anchored_log(served, config.BUILDING_COUNT_ANCHORS)
+
+
+def revenue_per_building_score(per_building: Column, median: Column) -> Column:
+    """average revenue per building against the median: 50 at the median, on the line of the stated examples."""
+    ratio = F.try_divide(per_building.cast("double"), median.cast("double"))
+    even = config.REVENUE_PER_BUILDING_EVEN
+    return anchored_log(ratio, tuple((v / even, s) for v, s in config.REVENUE_PER_BUILDING_ANCHORS))
+
+
+def buildings_score(locations: Column) -> Column:
+    """a company's locations (11 -> 50, 100 and more -> 100)."""
+    return anchored_log(locations, config.COMPANY_BUILDINGS_ANCHORS)
+
+
+def revenue_score(revenue: Column) -> Column:
+    """annual revenue ($24M -> 83, $250M and more -> 100)."""
+    return anchored_log(revenue, config.COMPANY_REVENUE_ANCHORS)
+
+
+def employees_score(employees: Column) -> Column:
+    """employee count; both stated examples (75 and 3,200) score 100."""
+    return log_scale(employees, config.COMPANY_EMPLOYEES_FULL)
+
+
+def expansion_score(total_buildings: Column, served_buildings: Column, revenue_per_building: Column, cap: float) -> Column:
+    """F3 expansion opportunity: unpenetrated buildings x revenue potential of each, log-scaled up to ``cap``
+    (the original states the product, not its scale)."""
+    open_buildings = F.when(total_buildings.isNotNull(), F.greatest(total_buildings - F.coalesce(served_buildings, F.lit(0)), F.lit(0)))
+    return log_scale(open_buildings.cast("double") * revenue_per_building.cast("double"), cap)
+
+
 def weights_frame(spark: SparkSession) -> DataFrame:
     """F11 base/override weights as a tiny frame (channel, component, weight)."""
     rows = []

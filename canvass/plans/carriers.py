@@ -23,10 +23,11 @@ suffix '1018' / '1005' by balance, so the two excluded codes occur.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import config
+from ..operators.medians import group_medians
 
 # carrier mapping (test scaffolding, not reference values)
 SEGMENT_DIGITS = {"AUTOMOBILE": "11", "BUILDING": "12", "FURNITURE": "14", "HOUSEHOLD": "19", "MACHINERY": "31"}
@@ -170,9 +171,34 @@ def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
                     code.alias("square_footage_code"))
 
 
+#: Order priorities whose building is served (sources manual and hubspot).
+SERVED_PRIORITIES = ("1-URGENT", "2-HIGH")
+
+
+@_memo
+def building_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue of every served building (orders), with its industry."""
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").isin(*SERVED_PRIORITIES))
+    cc = customer_codes(spark, sf_dir).select("c_custkey", "company_id", "naics_4digit")
+    return o.join(cc, o.o_custkey == cc.c_custkey).select(
+        F.col("o_orderkey").cast("string").alias("building_id"), "company_id", "naics_4digit",
+        F.round(F.col("o_totalprice") * 100).cast("long").alias("revenue_cents"))
+
+
+@_memo
+def company_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profit margin per company: the mean line discount of its orders (a fraction)."""
+    li = (table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
+          .agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("disc_pct")))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return (li.join(o, li.l_orderkey == o.o_orderkey).groupBy("o_custkey")
+              .agg((F.sum("disc_pct") / F.sum("n_lines") / F.lit(100.0)).alias("margin"))
+              .select(F.col("o_custkey").cast("string").alias("company_id"), "margin"))
+
+
 @_memo
 def naics_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Industry metrics per 4-digit code (stand-in for the metrics file).
+    """Industry metrics per 4-digit code (stand-in for the metrics file), all seven F1 components from data.
 
     lineitem is reduced per order first (partial aggregation before any
     join), joined to orders on the order key, reduced per customer, joined
@@ -185,22 +211,33 @@ def naics_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
           .agg(F.count(F.lit(1)).alias("n_lines"),
                F.count_if(F.col("l_returnflag") == "R").alias("n_returned"),
                F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("disc_pct")))
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice")
+    served = F.col("o_orderpriority").isin(*SERVED_PRIORITIES)
     per_cust = (li.join(o, li.l_orderkey == o.o_orderkey)
                   .groupBy(F.col("o_custkey").alias("c_custkey"))
                   .agg(F.sum("n_lines").alias("n_lines"), F.sum("n_returned").alias("n_returned"),
                        F.sum("disc_pct").alias("disc_pct"), F.count(F.lit(1)).alias("n_orders"),
                        F.count_if(F.col("o_orderstatus") == "F").alias("n_finished"),
-                       F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n_urgent")))
+                       F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n_urgent"),
+                       F.count_if(served).alias("n_served"),
+                       F.sum(F.when(served, F.round(F.col("o_totalprice") * 100).cast("long")).otherwise(0)).alias("served_cents")))
     cc = customer_codes(spark, sf_dir).select("c_custkey", "naics_4digit", "c_mktsegment")
     per_code = (per_cust.join(cc, on="c_custkey")
                   .groupBy(F.col("naics_4digit").alias("naics_code"))
                   .agg(F.sum("n_lines").alias("n_lines"), F.sum("n_returned").alias("n_returned"),
                        F.sum("disc_pct").alias("disc_pct"), F.sum("n_orders").alias("n_orders"),
                        F.sum("n_finished").alias("n_finished"), F.sum("n_urgent").alias("n_urgent"),
+                       F.sum("n_served").alias("n_served"), F.sum("served_cents").alias("served_cents"),
                        F.max("c_mktsegment").alias("segment")))
+    # industry codes are a few thousand rows, so their total and the one-row median meet them in one task
+    total = F.sum("served_cents").over(Window.partitionBy())
+    median = group_medians(building_revenue(spark, sf_dir), [], "revenue_cents", "median_cents").first()  # one row
+    per_code = per_code.withColumn("total_cents", total).withColumn("median_cents", F.lit(median and median.median_cents).cast("double"))
     icp = F.lit(100.0) * F.col("n_finished") / F.col("n_orders")
     market = F.round(scoring.market_size_score(F.col("n_lines")), 4)
+    concentration = F.round(scoring.revenue_concentration_score(F.col("served_cents"), F.col("total_cents")), 4)
+    count = F.round(scoring.building_count_score(F.col("n_served")), 4)
+    per_building = F.round(scoring.revenue_per_building_score(F.try_divide(F.col("served_cents"), F.col("n_served")), F.col("median_cents")), 4)
     churn = F.lit(100.0) - F.lit(100.0) * F.col("n_returned") / F.col("n_lines")
     ticket = F.lit(100.0) - F.lit(100.0) * F.col("n_urgent") / F.col("n_orders")
     profit = scoring.profitability_score(F.col("disc_pct") / F.col("n_lines") / F.lit(100.0))
@@ -209,17 +246,15 @@ def naics_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_code.select(
         "naics_code", desc.alias("naics_description"),
         F.concat(F.lit("Proven demand from "), F.lower("segment"), F.lit(" buyers")).alias("icp_fit_reasoning"),
-        scoring.naics_attractiveness(icp, market, None_col(), None_col(), None_col(), churn, ticket)
+        scoring.naics_attractiveness(icp, market, concentration, count, per_building, churn, ticket)
             .alias("attractiveness_score"),
         icp.alias("icp_fit_score"), profit.alias("profitability_score"), market.alias("market_size_score"),
+        concentration.alias("revenue_concentration_score"), count.alias("building_count_score"),
+        per_building.alias("revenue_per_building_score"),
         churn.alias("churn_health_score"), ticket.alias("ticket_health_score"),
         F.col("n_lines").cast("long").alias("market_size_count"))
 
 
-def None_col() -> Column:
-    return F.lit(None).cast("double")
-
-
 @_memo
 def crm_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CRM company domains: customers with an urgent order are in the CRM

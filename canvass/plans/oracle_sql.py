@@ -105,6 +105,22 @@ def generic_sql(desc: str) -> str:
     return f"({desc} IS NULL OR starts_with({desc}, 'NAICS ') OR trim({desc}) = '')"
 
 
+def anchored_sql(x: str, anchors) -> str:
+    """Log scale through two stated examples, clamped to 0..100."""
+    (x0, s0), (x1, s1) = anchors
+    log = __import__("math").log
+    return (f"CASE WHEN CAST({x} AS DOUBLE) > 0 THEN least({_d(100)}, greatest({_d(0)}, {_d(s0)} + {_d((s1 - s0) / (log(x1) - log(x0)))}"
+            f" * (ln(CAST({x} AS DOUBLE)) - {_d(log(x0))}))) WHEN {x} IS NOT NULL THEN {_d(0)} END")
+
+
+_EVEN = config.REVENUE_PER_BUILDING_EVEN
+_PER_BUILDING = [(v / _EVEN, s) for v, s in config.REVENUE_PER_BUILDING_ANCHORS]
+_SERVED = "o_orderpriority IN ('1-URGENT', '2-HIGH')"
+
+CTE["served_revenue"] = f"""served_revenue AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS company_id, cc.naics_4digit, CAST(round(o_totalprice * 100) AS BIGINT) AS revenue_cents
+  FROM orders JOIN cust_codes cc ON o_custkey = cc.c_custkey WHERE {_SERVED})"""
+
 _INLINE = ", ".join("('{}', '{}', 1)".format(k, v.replace("'", "''")) for k, v in config.SUPPLEMENTARY_DESCRIPTIONS.items())
 
 CTE["metrics"] = f"""li_per_order AS (
@@ -114,13 +130,15 @@ CTE["metrics"] = f"""li_per_order AS (
 per_cust AS (
   SELECT o.o_custkey AS c_custkey, sum(n_lines) AS n_lines, sum(n_returned) AS n_returned, sum(disc_pct) AS disc_pct,
          count(*) AS n_orders, count_if(o.o_orderstatus = 'F') AS n_finished,
-         count_if(o.o_orderpriority = '1-URGENT') AS n_urgent
+         count_if(o.o_orderpriority = '1-URGENT') AS n_urgent, count_if({_SERVED}) AS n_served,
+         sum(CASE WHEN {_SERVED} THEN CAST(round(o.o_totalprice * 100) AS BIGINT) ELSE 0 END) AS served_cents
   FROM li_per_order li JOIN orders o ON li.l_orderkey = o.o_orderkey GROUP BY o.o_custkey),
 per_code AS (
   SELECT cc.naics_4digit AS naics_code, CAST(sum(n_lines) AS BIGINT) AS n_lines,
          CAST(sum(n_returned) AS BIGINT) AS n_returned, CAST(sum(disc_pct) AS BIGINT) AS disc_pct,
          CAST(sum(n_orders) AS BIGINT) AS n_orders, CAST(sum(n_finished) AS BIGINT) AS n_finished,
-         CAST(sum(n_urgent) AS BIGINT) AS n_urgent, max(cc.c_mktsegment) AS segment
+         CAST(sum(n_urgent) AS BIGINT) AS n_urgent, CAST(sum(n_served) AS BIGINT) AS n_served,
+         CAST(sum(served_cents) AS BIGINT) AS served_cents, max(cc.c_mktsegment) AS segment
   FROM per_cust p JOIN cust_codes cc ON p.c_custkey = cc.c_custkey GROUP BY cc.naics_4digit),
 metric_parts AS (
   SELECT *, {_d(100)} * n_finished / n_orders AS icp,
@@ -128,14 +146,18 @@ metric_parts AS (
                {_d(100)} * ln(CAST(n_lines AS DOUBLE)) / {_LN_FULL})) END, 4) AS market,
          {_d(100)} - {_d(100)} * n_returned / n_lines AS churn,
          {_d(100)} - {_d(100)} * n_urgent / n_orders AS ticket,
-         least({_d(100)}, greatest({_d(0)}, disc_pct / n_lines / {_d(100)} / {_d(config.PROFIT_MARGIN_FULL)} * {_d(100)})) AS profit
+         least({_d(100)}, greatest({_d(0)}, disc_pct / n_lines / {_d(100)} / {_d(config.PROFIT_MARGIN_FULL)} * {_d(100)})) AS profit,
+         round({anchored_sql(f"({_d(100)} * served_cents / nullif((SELECT sum(served_cents) FROM per_code), 0))", config.REVENUE_CONCENTRATION_ANCHORS)}, 4) AS conc,
+         round({anchored_sql("n_served", config.BUILDING_COUNT_ANCHORS)}, 4) AS bld,
+         round({anchored_sql("(CAST(served_cents AS DOUBLE) / nullif(n_served, 0) / (SELECT median(revenue_cents) FROM served_revenue))", _PER_BUILDING)}, 4) AS rpb
   FROM per_code),
 metrics AS (
   SELECT naics_code,
          CASE WHEN segment = 'MACHINERY' THEN 'Machinery Buyers ' || naics_code ELSE 'NAICS ' || naics_code END AS naics_description,
          'Proven demand from ' || lower(segment) || ' buyers' AS icp_fit_reasoning,
-         {f1_sql('icp', 'market', 'CAST(NULL AS DOUBLE)', 'CAST(NULL AS DOUBLE)', 'CAST(NULL AS DOUBLE)', 'churn', 'ticket')} AS attractiveness_score,
+         {f1_sql('icp', 'market', 'conc', 'bld', 'rpb', 'churn', 'ticket')} AS attractiveness_score,
          icp AS icp_fit_score, profit AS profitability_score, market AS market_size_score,
+         conc AS revenue_concentration_score, bld AS building_count_score, rpb AS revenue_per_building_score,
          churn AS churn_health_score, ticket AS ticket_health_score, n_lines AS market_size_count
   FROM metric_parts)"""
 
@@ -150,7 +172,7 @@ CTE["desc_map"] = f"""desc_map AS (
 _DEPS = {
     "cust_codes": [], "order_figs": [], "companies": ["cust_codes", "order_figs"],
     "scored": ["cust_codes", "order_figs"], "buildings": [], "filtered": ["scored", "companies"],
-    "prepared": ["filtered"], "metrics": ["cust_codes"], "desc_map": ["metrics"],
+    "prepared": ["filtered"], "metrics": ["cust_codes", "served_revenue"], "served_revenue": ["cust_codes"], "desc_map": ["metrics"],
 }
 
 
@@ -619,25 +641,38 @@ def _wsum_sql(parts) -> str:
 
 _P = config.PROSPECT_WEIGHTS
 _C = config.CUSTOMER_WEIGHTS
-_CAPS = {"buildings": 25.0, "revenue": 5_000_000.0, "employees": 250.0}
-_B = _log_scale_sql("building_count_estimate", _CAPS["buildings"])
-_R = _log_scale_sql("sales_volume", _CAPS["revenue"])
-_E = _log_scale_sql("c_employees", _CAPS["employees"])
+_B = anchored_sql("building_count_estimate", config.COMPANY_BUILDINGS_ANCHORS)
+_R = anchored_sql("sales_volume", config.COMPANY_REVENUE_ANCHORS)
+_E = _log_scale_sql("c_employees", config.COMPANY_EMPLOYEES_FULL)
+_X = _log_scale_sql("(CAST(CASE WHEN building_count_estimate IS NOT NULL THEN greatest(building_count_estimate - coalesce(served, 0), 0) END AS DOUBLE) * (CAST(served_cents AS DOUBLE) / served / 100.0))", 5_000_000.0)
+_PROFIT = f"least({_d(100)}, greatest({_d(0)}, margin / {_d(config.PROFIT_MARGIN_FULL)} * {_d(100)}))"
 _CT = (f"CASE WHEN coalesce(contacts_count, 0) > 0 THEN {_d(config.CONTACT_SCORE_HAS)} "
        f"ELSE {_d(config.CONTACT_SCORE_NONE)} END")
-_NULLD = "CAST(NULL AS DOUBLE)"
-oracle("company_scoring", with_ctes(["filtered"], f"""SELECT company_id, scoring_path,
+oracle("company_scoring", with_ctes(["filtered", "served_revenue", "order_figs"], f"""SELECT company_id, scoring_path,
        round(b, 4) AS buildings_score, round(r, 4) AS revenue_score, round(e, 4) AS employee_score, ct AS contact_score,
+       round(x, 4) AS expansion_score, round(ch, 4) AS churn_score, round(pr, 4) AS profitability_score, round(tk, 4) AS tickets_score,
        round(comp, 4) AS company_opportunity_score,
        round(CASE WHEN is_customer = true THEN comp
                   ELSE {_d(config.FINAL_NAICS_WEIGHT)} * naics_attractiveness_score + {_d(config.FINAL_COMPANY_WEIGHT)} * comp END, 4) AS final_score
 FROM (SELECT *, CASE WHEN is_customer = true
-                     THEN {_wsum_sql([(_C['expansion'], 'b'), (_C['churn'], _NULLD), (_C['profitability'], _NULLD), (_C['tickets'], _NULLD)])}
+                     THEN {_wsum_sql([(_C['expansion'], 'x'), (_C['churn'], 'ch'), (_C['profitability'], 'pr'), (_C['tickets'], 'tk')])}
                      ELSE {_wsum_sql([(_P['icp_fit'], 'icp_fit_score'), (_P['buildings'], 'b'), (_P['revenue'], 'r'), (_P['employees'], 'e'), (_P['contacts'], 'ct')])}
                 END AS comp
-      FROM (SELECT f.*, {_B} AS b, {_R} AS r, {_E} AS e, {_CT} AS ct
-            FROM (SELECT f.*, c.building_count_estimate, c.sales_volume, c.employees AS c_employees, c.contacts_count
-                  FROM filtered f LEFT JOIN companies c ON f.company_id = c.company_id) f) x) y"""))
+      FROM (SELECT f.*, {_B} AS b, {_R} AS r, {_E} AS e, {_CT} AS ct, {_X} AS x, {_PROFIT} AS pr
+            FROM (SELECT f.*, c.building_count_estimate, c.sales_volume, c.employees AS c_employees, c.contacts_count,
+                         v.served, v.served_cents, g.margin,
+                         {_d(100)} - {_d(100)} * ({_d(1)} - CAST(o.n_finished AS DOUBLE) / o.n_orders) AS ch,
+                         {_d(100)} - {_d(100)} * o.n_urgent / o.n_orders AS tk
+                  FROM filtered f LEFT JOIN companies c ON f.company_id = c.company_id
+                  LEFT JOIN (SELECT company_id, count(*) AS served, sum(revenue_cents) AS served_cents FROM served_revenue GROUP BY 1) v
+                    ON v.company_id = f.company_id
+                  LEFT JOIN order_figs o ON CAST(o.c_custkey AS VARCHAR) = f.company_id
+                  LEFT JOIN (SELECT CAST(o_custkey AS VARCHAR) AS company_id, sum(disc_pct) / CAST(sum(n_lines) AS DOUBLE) / 100.0 AS margin
+                             FROM (SELECT l_orderkey, count(*) AS n_lines, sum(CAST(round(l_discount * 100) AS BIGINT)) AS disc_pct
+                                   FROM lineitem GROUP BY l_orderkey) l JOIN orders ON l_orderkey = o_orderkey GROUP BY 1) g
+                    ON g.company_id = f.company_id) f) x) y"""))
+oracle("industry_revenue_medians", with_ctes(["served_revenue"], """SELECT naics_4digit, CAST(count(*) AS BIGINT) AS n_values,
+       median(revenue_cents) AS median_cents FROM served_revenue GROUP BY naics_4digit"""))
 oracle("naics_metrics", with_ctes(["metrics"], "SELECT * FROM metrics"))
 
 _TARGETS = ", ".join(f"('{c}', {n})" for c, n in config.NAICS_TARGETS)

@@ -320,8 +320,8 @@ def q_flag_count_mismatch(spark, sf):
                     | tx.flags_differ(F.col("action_flags"), F.col("action_in_text"))))
 
 
-# carrier caps for the anchor-only log scales (F9): parameters, not reference values
-LOG_CAPS = {"buildings": 25.0, "revenue": 5_000_000.0, "employees": 250.0}
+#: Cap of the log-scaled expansion opportunity in dollars (a parameter, the original states none).
+EXPANSION_CAP = 5_000_000.0
 
 
 def _round4(c):
@@ -330,28 +330,45 @@ def _round4(c):
 
 @query("company_scoring")
 def q_company_scoring(spark, sf):
-    """Company opportunity (prospect or customer path) and
-    final score from components (missing ones neutral)."""
+    """Company opportunity by the prospect or the customer path, every component from data,
+    and the final score (missing components neutral)."""
     comp = cr.companies(spark, sf).select("company_id", "building_count_estimate", "sales_volume", "employees",
                                           "contacts_count")
-    s = _filtered(spark, sf).join(comp, on="company_id", how="left")
-    b = scoring.log_scale(F.col("building_count_estimate"), LOG_CAPS["buildings"])
-    r = scoring.log_scale(F.col("sales_volume"), LOG_CAPS["revenue"])
-    e = scoring.log_scale(F.col("employees"), LOG_CAPS["employees"])
+    per_company = cr.building_revenue(spark, sf).groupBy("company_id").agg(
+        F.count(F.lit(1)).alias("served"), F.sum("revenue_cents").alias("served_cents"))
+    s = (_filtered(spark, sf).join(comp, on="company_id", how="left")
+         .join(per_company, on="company_id", how="left")
+         .join(cr.churn_predictions(spark, sf).select("company_id", "churn_probability", "ticket_health"), on="company_id", how="left")
+         .join(cr.company_margins(spark, sf), on="company_id", how="left"))
+    b = scoring.buildings_score(F.col("building_count_estimate"))
+    r = scoring.revenue_score(F.col("sales_volume"))
+    e = scoring.employees_score(F.col("employees"))
     c = scoring.contact_score(F.col("contacts_count"))
+    x = scoring.expansion_score(F.col("building_count_estimate"), F.col("served"),
+                                F.col("served_cents") / F.col("served") / F.lit(100.0), EXPANSION_CAP)
+    churn = F.lit(100.0) - F.lit(100.0) * F.col("churn_probability")
+    profit = scoring.profitability_score(F.col("margin"))
     prospect = scoring.prospect_opportunity(F.col("icp_fit_score"), b, r, e, c)
-    customer = scoring.customer_opportunity(b, F.lit(None).cast("double"), F.lit(None).cast("double"),
-                                            F.lit(None).cast("double"))
+    customer = scoring.customer_opportunity(x, churn, profit, F.col("ticket_health"))
     company = F.when(F.col("is_customer") == F.lit(True), customer).otherwise(prospect)
     final = scoring.final_score(F.col("is_customer"), F.col("naics_attractiveness_score"), company)
     return s.select("company_id", "scoring_path", _round4(b).alias("buildings_score"), _round4(r).alias("revenue_score"),
-                    _round4(e).alias("employee_score"), c.alias("contact_score"),
+                    _round4(e).alias("employee_score"), c.alias("contact_score"), _round4(x).alias("expansion_score"),
+                    _round4(churn).alias("churn_score"), _round4(profit).alias("profitability_score"),
+                    _round4(F.col("ticket_health")).alias("tickets_score"),
                     _round4(company).alias("company_opportunity_score"), _round4(final).alias("final_score"))
 
 
+@query("industry_revenue_medians")
+def q_industry_revenue_medians(spark, sf):
+    """exact median revenue of a served building per industry, by counting digits."""
+    from ..operators import medians
+    return medians.group_medians(cr.building_revenue(spark, sf), ["naics_4digit"], "revenue_cents", "median_cents")
+
+
 @query("naics_metrics")
 def q_naics_metrics(spark, sf):
-    """industry metrics and attractiveness."""
+    """industry metrics and attractiveness from all seven components."""
     return cr.naics_metrics(spark, sf)
 
 
