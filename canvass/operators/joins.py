@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.domains import clean_crm_domain, clean_domain
 from ..functions.ids import strip_leading_zeros
+from ..sources.scan_order import scan_order_of
 from .ranking import first_per_key, last_per_key
 
 
@@ -41,9 +42,9 @@ def orphan_report(df: DataFrame, companies: DataFrame, table: str, key: str = "c
 
 def merge_building_count(scored: DataFrame, companies: DataFrame) -> DataFrame:
     """``building_count`` from the (normalised, de-duplicated) companies
-    table, null -> 0; an existing left column is replaced (H2, H3)."""
-    right = first_per_key(companies.select("company_id", "building_count"), ["company_id"],
-                          [F.col("building_count").isNull(), F.col("building_count")])
+    table, null -> 0; an existing left column is replaced (H2, H3). Of a repeated
+    id the smallest count is taken."""
+    right = companies.groupBy("company_id").agg(F.min("building_count").alias("building_count"))
     base = scored.drop("building_count") if "building_count" in scored.columns else scored
     return (base.join(right, on="company_id", how="left")
                 .withColumn("building_count", F.coalesce(F.col("building_count"), F.lit(0)).cast("int")))
@@ -65,20 +66,19 @@ def small_side(lookup: DataFrame) -> DataFrame:
 def enrich_raw_fields(scored: DataFrame, companies: DataFrame,
                       fields: Sequence[str] = ("building_count_estimate", "growing_business_code", "contacts_count"),
                       order_col: str | None = None) -> DataFrame:
-    """Left join of raw company fields, first row per id.
-
-    Spark rows have no order, so "first" needs an explicit ``order_col``
-    (file position, ingestion time...); without one the smallest field tuple
-    (nulls after values) is taken, which is deterministic. Absent fields arrive
-    as typed nulls.
+    """Left join of raw company fields, first row per id in the order of
+    ``order_col`` (by default the scan order that the readers carry). A table
+    without one has no first row: then a row with values is taken before one with
+    nulls, and of several always the same.
+    Absent fields arrive as typed nulls.
     """
     right = companies
+    order_col = scan_order_of(companies, order_col)
     for f in fields:
         if f not in right.columns:
             right = right.withColumn(f, F.lit(None).cast("string"))
-    order = [F.col(order_col)] if order_col else [x for f in fields for x in (F.col(f).isNull(), F.col(f))]
     right = first_per_key(right.select("company_id", *fields, *([order_col] if order_col else [])),
-                          ["company_id"], order, value_cols=list(fields))
+                          ["company_id"], [order_col] if order_col else [F.col(f).isNull() for f in fields], value_cols=list(fields))
     base = scored.drop(*[f for f in fields if f in scored.columns])
     return base.join(right, on="company_id", how="left")
 
@@ -89,10 +89,11 @@ def flag_crm_presence(scored: DataFrame, companies: DataFrame, crm: DataFrame,
 
     ``strict=True`` keeps the CRM paths as the original does (H10);
     ``strict=False`` cuts both sides at the first '/'. Missing website or no
-    CRM data -> False. A company id listed twice: with ``order_col`` the last
-    row's website decides (dictionary semantics, H11); without an order any
-    matching row sets the flag.
+    CRM data -> False. A company id listed twice: the last row's website decides
+    (dictionary semantics, H11) by ``order_col`` or the scan order; without an
+    order any matching row sets the flag.
     """
+    order_col = scan_order_of(companies, order_col)
     crm_clean = clean_crm_domain(F.col("domain")) if strict else clean_domain(F.col("domain"))
     crm_domains = crm.select(crm_clean.alias("_dom")).where(F.col("_dom").isNotNull()).distinct()
     if order_col:
@@ -110,11 +111,15 @@ def flag_crm_presence(scored: DataFrame, companies: DataFrame, crm: DataFrame,
 def penetration_lookup(scored: DataFrame, penetration: DataFrame, order_col: str | None = None,
                        out_col: str = "penetration_rate") -> DataFrame:
     """Id -> penetration rate; duplicate ids keep the last (dictionary
-    semantics, H11) by ``order_col``; missing -> null (shown as '—')."""
-    pen = penetration.select("company_id", "penetration_rate", *([order_col] if order_col else []))
-    order = [F.col(order_col)] if order_col else [F.col("penetration_rate")]
-    right = last_per_key(pen, ["company_id"], order, value_cols=["penetration_rate"]) \
-        .withColumnRenamed("penetration_rate", out_col)
+    semantics, H11) by ``order_col`` or the scan order, without either the
+    highest; missing -> null (shown as '—')."""
+    order_col = scan_order_of(penetration, order_col)
+    if order_col:
+        right = last_per_key(penetration.select("company_id", "penetration_rate", order_col), ["company_id"], [order_col],
+                             value_cols=["penetration_rate"])
+    else:
+        right = penetration.groupBy("company_id").agg(F.max("penetration_rate").alias("penetration_rate"))
+    right = right.withColumnRenamed("penetration_rate", out_col)
     base = scored.drop(out_col) if out_col in scored.columns else scored
     return base.join(right, on="company_id", how="left")
 

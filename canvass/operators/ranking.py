@@ -28,10 +28,13 @@ passes a unique tie-breaker as the last key).
 
 First / last row per key (A12, W5, J4, J6)
 -----------------------------------------
-``first_per_key`` and ``last_per_key`` use ``min``/``max`` of a struct whose
-leading fields are the order keys. That is an aggregation with a map-side
-partial step, so a key with a third of all rows is reduced inside every map
-task before the shuffle; no task ever holds the whole group.
+``first_per_key`` and ``last_per_key`` pack the order keys into one fixed-width
+number (``decimal(38,0)``), whose minimum or maximum per key is a hash aggregation
+with a map-side partial step: a key with a third of all rows is one number a map
+task before the shuffle. The other columns are fetched by one join on the key, however wide
+they are. Ties of the order keys go by a hash of the row, so the choice does not depend
+on the run; equal rows are interchangeable. Order keys that do not fit the number (texts, doubles)
+are compared as a struct instead, which Spark aggregates by sorting.
 """
 
 from __future__ import annotations
@@ -106,27 +109,64 @@ def contiguous_rank(df: DataFrame, group_cols: Sequence[str], order_cols: Sequen
 
 def first_per_key(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str | Column],
                   value_cols: Sequence[str] | None = None) -> DataFrame:
-    """One row per key: the row with the smallest (order_cols...) tuple.
-
-    ``order_cols`` are compared ascending with nulls first, as struct fields.
-    """
+    """One row per key: the row with the smallest (order_cols...) tuple, nulls first. Rows with a null key go."""
     return _extreme_per_key(df, key_cols, order_cols, value_cols, F.min)
 
 
 def last_per_key(df: DataFrame, key_cols: Sequence[str], order_cols: Sequence[str | Column],
                  value_cols: Sequence[str] | None = None) -> DataFrame:
     """One row per key: the row with the largest (order_cols...) tuple
-    (dictionary semantics: the last assignment wins)."""
+    (dictionary semantics: the last assignment wins). Rows with a null key go."""
     return _extreme_per_key(df, key_cols, order_cols, value_cols, F.max)
 
 
+#: Digits that an order key of each type takes in the packed order, and what makes it positive.
+_DIGITS = {"boolean": (1, 1), "tinyint": (3, 129), "smallint": (5, 32_769), "int": (10, 2 ** 31 + 1), "date": (10, 2 ** 31 + 1),
+           "bigint": (20, 2 ** 63 + 1), "timestamp": (20, 2 ** 63 + 1), "timestamp_ntz": (20, 2 ** 63 + 1)}
+_PACKED_DIGITS = 38
+
+
+def packed_order(df: DataFrame, order_cols: Sequence[str | Column], tie_cols: Sequence[str]) -> Column | None:
+    """The order keys, and a hash of ``tie_cols`` in the digits that are left, as one number; None if they do not fit."""
+    order = _as_cols(order_cols)
+    parts, room = [], _PACKED_DIGITS
+    for (name, kind), o in zip(df.select(*[c.alias(f"_o{i}") for i, c in enumerate(order)]).dtypes, order):
+        if kind.startswith("decimal") and kind.endswith(",0)"):  # a scan order: not negative
+            digits, value = int(kind[8:-3]) - (int(kind[8:-3]) == _PACKED_DIGITS), o
+        elif kind in _DIGITS:
+            digits, shift = _DIGITS[kind]
+            whole = F.unix_date(o) if kind == "date" else F.unix_micros(o.cast("timestamp")) if kind.startswith("timestamp") else o
+            value = whole.cast("long").cast("decimal(20,0)") + F.lit(str(shift)).cast("decimal(20,0)")
+        else:
+            return None
+        room -= digits
+        if room < 0:
+            return None
+        parts.append((digits, F.coalesce(value.cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"))))
+    tie = min(room, 18)
+    packed = F.lit(0).cast("decimal(38,0)")
+    for digits, value in parts:
+        packed = packed * F.lit(str(10 ** digits)).cast("decimal(38,0)") + value
+    if tie > 0 and tie_cols:
+        packed = packed * F.lit(str(10 ** tie)).cast("decimal(38,0)") + F.pmod(F.xxhash64(*tie_cols), F.lit(10 ** tie)).cast("decimal(38,0)")
+    return packed.cast("decimal(38,0)")
+
+
 def _extreme_per_key(df, key_cols, order_cols, value_cols, agg):
     key_cols = list(key_cols)
     value_cols = [c for c in (value_cols or df.columns) if c not in key_cols]
+    order = packed_order(df, order_cols, value_cols)
+    if order is not None:
+        rows = df.select(*key_cols, *value_cols, order.alias("_cv_order")).dropna(subset=key_cols)
+        best = rows.groupBy(*key_cols).agg(agg("_cv_order").alias("_cv_best"))
+        kept = rows.join(best, on=key_cols).where(F.col("_cv_order") == F.col("_cv_best"))
+        # only equal rows are left of a key; the join has dealt and sorted them by it
+        one = F.row_number().over(Window.partitionBy(*key_cols).orderBy(*key_cols))
+        return kept.withColumn("_cv_one", one).where(F.col("_cv_one") == 1).select(*key_cols, *value_cols)
     order = _as_cols(order_cols)
     packed = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)],
                       *[F.col(c).alias(c) for c in value_cols]).alias("_cv_row")
-    out = df.groupBy(*key_cols).agg(agg(packed).alias("_cv_row"))
+    out = df.dropna(subset=key_cols).groupBy(*key_cols).agg(agg(packed).alias("_cv_row"))
     return out.select(*key_cols, *[F.col(f"_cv_row.{c}").alias(c) for c in value_cols])
 
 
@@ -151,7 +191,16 @@ def global_rank(df: DataFrame, score_col: str = "score", rank_col: str = "global
 
 
 def cap_per_group(df: DataFrame, group_col: str, cap_col: str, order_cols: Sequence[Column],
-                  strategy: str = "distributed") -> DataFrame:
-    """Keep at most ``cap_col`` rows per group in the given order."""
-    ranked = contiguous_rank(df, [group_col], order_cols, rank_col="_cv_pos", strategy=strategy)
+                  most: int | None = None) -> DataFrame:
+    """Keep at most ``cap_col`` rows per group in the given order.
+
+    ``most`` is a bound of all caps (a config value). The rank is compared with it as a literal, so every
+    map task keeps its first ``most`` rows of a group before the shuffle (a window group limit), and no
+    group is ranked as a whole. Without it the distributed rank is used.
+    """
+    if most is None:
+        ranked = contiguous_rank(df, [group_col], order_cols, rank_col="_cv_pos")
+    else:
+        w = Window.partitionBy(group_col).orderBy(*order_cols)
+        ranked = df.withColumn("_cv_pos", F.row_number().over(w)).where(F.col("_cv_pos") <= int(most))
     return ranked.filter(F.col("_cv_pos") <= F.col(cap_col)).drop("_cv_pos")

@@ -232,11 +232,14 @@ def target_industries(df: DataFrame, targets: DataFrame, code_col: str = "naics_
 
 
 def cap_industries(df: DataFrame, targets: DataFrame, order_cols: list[Column], code_col: str = "naics_4digit",
-                   strategy: str = "distributed") -> DataFrame:
+                   most: int | None = None) -> DataFrame:
     """At most ``max_companies`` per industry in the given order (the
-    original does not state the order; callers pass one, e.g. size desc, id)."""
+    original does not state the order; callers pass one, e.g. size desc, id).
+    ``most`` is the largest cap of the config; without it one small aggregation reads it."""
+    if most is None:
+        most = targets.agg(F.max("max_companies")).first()[0] or 0  # one value of a config table
     j = df.join(small_side(targets.withColumnRenamed("naics_4digit", code_col)), on=code_col, how="inner")
-    return cap_per_group(j, code_col, "max_companies", order_cols, strategy)
+    return cap_per_group(j, code_col, "max_companies", order_cols, most)
 
 
 def research_eligible(locations: Column, revenue: Column, employees: Column) -> Column:

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..operators.medians import group_medians
+from ..sources.scan_order import SCAN_ORDER, with_scan_order
 
 # carrier mapping (test scaffolding, not reference values)
 SEGMENT_DIGITS = {"AUTOMOBILE": "11", "BUILDING": "12", "FURNITURE": "14", "HOUSEHOLD": "19", "MACHINERY": "31"}
@@ -196,6 +197,23 @@ def company_margins(spark: SparkSession, sf_dir: str) -> DataFrame:
               .select(F.col("o_custkey").cast("string").alias("company_id"), "margin"))
 
 
+@_memo
+def company_register(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A company file that lists ids again and again (one row per order, in the order of the file), with
+    fields that differ from row to row, so that the first and the last row of an id matter."""
+    o = with_scan_order(table(spark, sf_dir, "orders"))
+    even = F.col("o_orderkey") % 2 == 0
+    site = F.concat(F.lit("https://www.customer"), F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit(".example.com/"))
+    return o.select(F.col("o_custkey").cast("string").alias("company_id"),
+                    F.floor(F.col("o_totalprice") / 1000).cast("int").alias("building_count_estimate"),
+                    F.substring("o_orderpriority", 1, 1).alias("growing_business_code"),
+                    F.when(F.col("o_orderstatus") != "P", F.month("o_orderdate")).cast("int").alias("contacts_count"),
+                    F.when(even, site).otherwise(F.lit("https://elsewhere.example.com")).alias("website"),
+                    (F.round(F.col("o_totalprice")) / 10.0).alias("penetration_rate"),
+                    F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("reasoning"),
+                    F.when(even, F.lit("pursue")).alias("recommendation"), SCAN_ORDER)
+
+
 @_memo
 def naics_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Industry metrics per 4-digit code (stand-in for the metrics file), all seven F1 components from data.

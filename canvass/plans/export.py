@@ -14,6 +14,7 @@ from ..functions.jsoncols import expand_json_array, expand_research_summary
 from ..functions.text import truncate_reasoning
 from ..operators.filters import researched_only, select_ids
 from ..operators.ranking import first_per_key
+from ..sources.scan_order import scan_order_of
 
 RESEARCH_COLS = ["company_id", "had_web_research", "confidence", "reasoning", "hot_lead_signals", "concerns",
                  "recommendation", "timing", "research_summary"]
@@ -81,13 +82,16 @@ def merge_export_data(scored: DataFrame, research: DataFrame | None, companies:
                       order_col: str | None = None) -> DataFrame:
     """Selected ids (semi join, P12) -> CRM flag (missing -> False) ->
     research columns that exist (suffix '_research') -> raw company fields,
-    first row per id (suffix '_raw') -> one row per company."""
+    first row per id (suffix '_raw') -> one row per company. First rows go by
+    the scan order that the readers carry, of ``scored`` else by rank."""
     # one row per id up front (keep the first by rank); every other side is
     # reduced to one row per id too, so the wide merged rows (with whole
     # research texts) never need a de-duplicating aggregation of their own
     rank_col = "rank" if "rank" in scored.columns else ("segment_rank" if "segment_rank" in scored.columns else None)
     sel = select_ids(scored, company_ids)
-    m = first_per_key(sel, ["company_id"], [F.col(rank_col)] if rank_col else [F.lit(0)])
+    first = scan_order_of(scored)
+    m = first_per_key(sel, ["company_id"], [first] if first else [rank_col] if rank_col else [],
+                      [c for c in sel.columns if c not in ("company_id", first)])
     if crm_flags is not None:
         m = m.drop("in_hubspot").join(crm_flags.select("company_id", "in_hubspot"), on="company_id", how="left")
         m = m.withColumn("in_hubspot", F.coalesce(F.col("in_hubspot"), F.lit(False)))
@@ -96,13 +100,14 @@ def merge_export_data(scored: DataFrame, research: DataFrame | None, companies:
     if research is not None:
         cols = [c for c in RESEARCH_COLS if c in research.columns]
         vals = [c for c in cols if c != "company_id"]
-        r = first_per_key(research.select(*cols), ["company_id"], [F.col(c) for c in vals],
+        first = scan_order_of(research)
+        r = first_per_key(research.select(*cols, *([first] if first else [])), ["company_id"], [first] if first else [],
                           value_cols=vals) if vals else None
         if r is not None:
             m = _suffix_join(m, r, "_research")
     raw = [c for c in RAW_COLS if c in companies.columns]
-    order = [F.col(order_col)] if order_col else [F.col(c) for c in raw if c != "company_id"]
-    comp = first_per_key(companies.select(*raw, *([order_col] if order_col else [])), ["company_id"], order,
+    order_col = scan_order_of(companies, order_col)
+    comp = first_per_key(companies.select(*raw, *([order_col] if order_col else [])), ["company_id"], [order_col] if order_col else [],
                          value_cols=[c for c in raw if c != "company_id"])
     return _suffix_join(m, comp, "_raw")
 

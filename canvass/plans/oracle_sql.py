@@ -944,3 +944,32 @@ FROM penetration p JOIN (SELECT DISTINCT company_id, naics_4digit FROM companies
 WHERE c.naics_4digit IS NOT NULL GROUP BY c.naics_4digit"""))
 oracle("industry_search_multiword", with_ctes(["rankings"], _text_search_sql("estate")))
 oracle("segment_sorted", with_ctes(["prepared"], "SELECT company_id, primary_naics, final_score, rank FROM prepared"))
+
+
+# ------------------------------------------------------------------ rows in file order
+CTE["register"] = """register AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS company_id, CAST(floor(o_totalprice / 1000) AS INTEGER) AS building_count_estimate,
+         substr(o_orderpriority, 1, 1) AS growing_business_code,
+         CASE WHEN o_orderstatus <> 'P' THEN CAST(month(o_orderdate) AS INTEGER) END AS contacts_count,
+         CASE WHEN o_orderkey % 2 = 0 THEN 'https://www.customer' || lpad(CAST(o_custkey AS VARCHAR), 9, '0') || '.example.com/'
+              ELSE 'https://elsewhere.example.com' END AS website,
+         round(o_totalprice) / 10.0 AS penetration_rate, 'Order ' || CAST(o_orderkey AS VARCHAR) AS reasoning,
+         CASE WHEN o_orderkey % 2 = 0 THEN 'pursue' END AS recommendation, row_number() OVER () AS file_order
+  FROM orders),
+first_row AS (SELECT * FROM register QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY file_order) = 1),
+last_row AS (SELECT * FROM register QUALIFY row_number() OVER (PARTITION BY company_id ORDER BY file_order DESC) = 1)"""
+_DEPS["register"] = []
+oracle("first_raw_fields", with_ctes(["filtered", "register"], """SELECT f.company_id, r.building_count_estimate, r.growing_business_code, r.contacts_count
+FROM filtered f LEFT JOIN first_row r ON r.company_id = f.company_id"""))
+oracle("last_penetration_rate", with_ctes(["filtered", "register"], """SELECT f.company_id, r.penetration_rate
+FROM filtered f LEFT JOIN last_row r ON r.company_id = f.company_id"""))
+oracle("last_website_presence", with_ctes(["filtered", "register"], """SELECT f.company_id,
+       coalesce(r.website LIKE 'https://www.%' AND EXISTS (SELECT 1 FROM orders o WHERE CAST(o.o_custkey AS VARCHAR) = f.company_id
+                AND o.o_orderpriority = '1-URGENT'), false) AS in_hubspot
+FROM filtered f LEFT JOIN last_row r ON r.company_id = f.company_id"""))
+oracle("export_first_rows", with_ctes(["filtered", "register"], """SELECT f.company_id, f.company_name, f.rank, f.final_score, 'own' AS reasoning,
+       false AS in_hubspot, r.reasoning AS reasoning_research, r.recommendation, r.website, r.building_count_estimate,
+       r.growing_business_code, r.contacts_count
+FROM filtered f LEFT JOIN first_row r ON r.company_id = f.company_id"""))
+oracle("company_lookup", with_ctes(["filtered", "register"], """SELECT r.company_id, r.building_count_estimate, r.website, r.reasoning
+FROM first_row r WHERE r.company_id IN (SELECT company_id FROM filtered WHERE is_customer)"""))

@@ -18,11 +18,18 @@ from ..functions.ids import strip_leading_zeros
 from ..functions.jsoncols import primary_contact
 from ..operators.filters import select_ids
 from ..operators.ranking import first_per_key
+from ..sources.scan_order import scan_order_of
 
 
 def _one_per_id(df: DataFrame, cols: list[str]) -> DataFrame:
-    vals = [c for c in cols if c != "company_id"]
-    return first_per_key(df.select("company_id", *vals), ["company_id"], [F.col(c) for c in vals], vals)
+    """The first row of each id in scan order (any, but always the same, if there is none)."""
+    vals, first = [c for c in cols if c != "company_id"], scan_order_of(df)
+    return first_per_key(df.select("company_id", *vals, *([first] if first else [])), ["company_id"], [first] if first else [], vals)
+
+
+def first_rows(df: DataFrame, ids: DataFrame, cols: list[str]) -> DataFrame:
+    """P9 for a set of ids: the first row of each id that ``df`` has, in scan order."""
+    return _one_per_id(select_ids(df, ids), ["company_id", *cols])
 
 
 def company_profile(companies: DataFrame, scored: DataFrame, buildings: DataFrame, ids: DataFrame,
@@ -37,7 +44,8 @@ def company_profile(companies: DataFrame, scored: DataFrame, buildings: DataFram
                  if c in companies.columns]
     comp = _one_per_id(select_ids(companies, ids), comp_cols)
     sc_cols = [c for c in ["company_id", "scoring_path", "naics_attractiveness_score", "company_opportunity_score",
-                           "final_score", "scoring_reason", "rank", "icp_fit_reasoning", "company_name"]
+                           "final_score", "scoring_reason", "rank", "icp_fit_reasoning", "icp_recommendation",
+                           "icp_confidence", "company_name"]
                if c in scored.columns]
     sc = _one_per_id(select_ids(scored, ids), sc_cols)
     prof = comp.join(sc, on="company_id", how="inner")
@@ -85,8 +93,8 @@ def company_profile(companies: DataFrame, scored: DataFrame, buildings: DataFram
         *([F.coalesce(F.col("contact_count"), F.lit(0)).cast("int").alias("contact_count"),
            F.coalesce(F.col("last_contact_date"), F.lit("N/A")).alias("last_contact")] if contacts is not None else []),
         *([F.col("churn_probability"), F.col("risk_tier"), F.col("risk_message")] if churn is not None else []),
-        fmt.fallback(opt("r_recommendation")).alias("recommendation"),
-        fmt.fallback(opt("r_confidence")).alias("confidence"),
+        fmt.fallback(opt("r_recommendation"), opt("icp_recommendation")).alias("recommendation"),
+        fmt.fallback(opt("r_confidence"), opt("icp_confidence")).alias("confidence"),
         fmt.fallback(opt("r_reasoning"), opt("icp_fit_reasoning")).alias("reasoning"),
         # D15 scoring breakdown with defaults
         F.coalesce(opt("scoring_path"), F.lit("Prospect")).alias("scoring_path"),

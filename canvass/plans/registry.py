@@ -566,7 +566,7 @@ def q_latest_order_per_company(spark, sf):
     from ..operators import ranking
     o = cr.table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("company_id"),
                                              "o_orderkey", "o_orderdate", "o_totalprice", "o_orderstatus")
-    return ranking.last_per_key(o, ["company_id"], ["o_orderdate", "o_orderkey"],
+    return ranking.last_per_key(o, ["company_id"], [F.col("o_orderdate").cast("date"), F.col("o_orderkey")],
                                 ["o_orderkey", "o_totalprice", "o_orderstatus"])
 
 
@@ -588,3 +588,37 @@ def q_segment_sorted(spark, sf):
     """O3: companies by segment ascending, score descending (numeric)."""
     return ranked.sort_by_score_within_segment(_prepared(spark, sf)).select(
         "company_id", "primary_naics", "final_score", "rank")
+
+
+@query("first_raw_fields")
+def q_first_raw_fields(spark, sf):
+    """J4 / A12 on repeated ids: the first row of each id in its file."""
+    return joins.enrich_raw_fields(_filtered(spark, sf).select("company_id"), cr.company_register(spark, sf))
+
+
+@query("last_penetration_rate")
+def q_last_penetration_rate(spark, sf):
+    """J6 on repeated ids: the last row of each id in its file."""
+    return joins.penetration_lookup(_filtered(spark, sf).select("company_id"), cr.company_register(spark, sf))
+
+
+@query("last_website_presence")
+def q_last_website_presence(spark, sf):
+    """J5 on repeated ids: the website of the last row decides."""
+    return joins.flag_crm_presence(_filtered(spark, sf).select("company_id"), cr.company_register(spark, sf), cr.crm_companies(spark, sf))
+
+
+@query("export_first_rows")
+def q_export_first_rows(spark, sf):
+    """J7 on repeated ids: first research row and first raw row of each company, suffixes for clashing names."""
+    kept = _filtered(spark, sf).select("company_id", "company_name", "rank", "final_score").withColumn("reasoning", F.lit("own"))
+    reg = cr.company_register(spark, sf)
+    return export.merge_export_data(kept, reg, reg, kept.select("company_id"), None)
+
+
+@query("company_lookup")
+def q_company_lookup(spark, sf):
+    """P9 for a set of ids (customers): the first row of each id in its file."""
+    from . import profile
+    ids = _filtered(spark, sf).where(F.col("is_customer")).select("company_id")
+    return profile.first_rows(cr.company_register(spark, sf), ids, ["building_count_estimate", "website", "reasoning"])

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from .. import config
 from . import schemas
+from .scan_order import with_scan_order
 
 
 class SchemaValidationError(ValueError):
@@ -80,20 +81,22 @@ def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def _read_any(spark: SparkSession, path: str) -> DataFrame:
+def _read_any(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """One table. ``multiline=False`` is for CSV files without line breaks inside fields: only these
+    can be split, a file with them is one task."""
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
     if path.endswith(".json"):
         return spark.read.option("multiLine", "true").json(path)
     return (spark.read.option("header", "true").option("inferSchema", "false")
-            .option("multiLine", "true").option("escape", '"').csv(path))
+            .option("multiLine", str(multiline).lower()).option("escape", '"').csv(path))
 
 
-def read_first(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, str] | None:
+def read_first(spark: SparkSession, paths: Sequence[str], multiline: bool = True) -> tuple[DataFrame, str] | None:
     """The first readable path in preference order, or ``None``."""
     for p in paths:
         try:
-            df = _read_any(spark, p)
+            df = _read_any(spark, p, multiline)
             df.schema  # resolves the file listing now
             return df, p
         except AnalysisException:
@@ -102,19 +105,22 @@ def read_first(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, st
 
 
 def load_table(spark: SparkSession, paths: str | Sequence[str], name: str, schema: T.StructType,
-               required: Sequence[str] | None = None, optional: bool = False) -> DataFrame | None:
-    """Generic scan: preferred path, P14 check, declared types.
+               required: Sequence[str] | None = None, optional: bool = False, scan_order: bool = False,
+               multiline: bool = True) -> DataFrame | None:
+    """Generic scan: preferred path, P14 check, declared types; with ``scan_order`` the rows' order in their file.
 
     Missing optional source -> ``None`` (caller decides) ; missing required
     source -> ``DataLoadError``.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    found = read_first(spark, paths)
+    found = read_first(spark, paths, multiline)
     if found is None:
         if optional:
             return None
         raise DataLoadError(f"{name}: none of {paths} exists")
     df, _ = found
+    if scan_order:
+        df = with_scan_order(df)
     validate_schema(df, required if required is not None else schemas.REQUIRED.get(name, []), name)
     return conform(df, schema)
 
@@ -127,15 +133,16 @@ def normalize_companies(df: DataFrame) -> DataFrame:
 
 
 def load_companies(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    df = load_table(spark, path, "companies", schemas.COMPANIES)
+    df = load_table(spark, path, "companies", schemas.COMPANIES, scan_order=True)
     return normalize_companies(df)
 
 
-def normalize_buildings(df: DataFrame) -> DataFrame:
-    """S2 rules: default source, ``is_served`` from source, square footage
-    from its code when absent."""
+def normalize_buildings(df: DataFrame, has_served: bool | None = None) -> DataFrame:
+    """S2 rules: default source, ``is_served`` from source if the file has no such column, square footage
+    from its code when absent. ``has_served`` says whether the file has the column: then its nulls stay.
+    Without that knowledge every null flag is derived."""
     source = F.coalesce(F.col("source"), F.lit(config.DEFAULT_BUILDING_SOURCE))
-    served = F.coalesce(F.col("is_served"), F.lower(source).isin(*config.SERVED_SOURCES))
+    served = F.col("is_served") if has_served else F.coalesce(F.col("is_served"), F.lower(source).isin(*config.SERVED_SOURCES))
     return (df.withColumn("source", source)
               .withColumn("is_served", served)
               .withColumn("square_footage", F.coalesce(F.col("square_footage"), F.col("square_footage_code"))))
@@ -145,7 +152,11 @@ def load_buildings(spark: SparkSession, golden_path: str, plain_path: str,
                    companies: DataFrame | None = None) -> DataFrame:
     """Golden file first, else plain file; orphans dropped when the
     companies frame is given (J1)."""
-    df = normalize_buildings(load_table(spark, [golden_path, plain_path], "buildings", schemas.BUILDINGS))
+    found = read_first(spark, [golden_path, plain_path])
+    if found is None:
+        raise DataLoadError(f"buildings: none of {[golden_path, plain_path]} exists")
+    raw = validate_schema(found[0], schemas.REQUIRED.get("buildings", []), "buildings")
+    df = normalize_buildings(conform(raw, schemas.BUILDINGS), "is_served" in raw.columns)
     if companies is not None:
         from ..operators.joins import drop_orphans
         df = drop_orphans(df, companies)
@@ -170,22 +181,22 @@ def load_scored(spark: SparkSession, final_path: str, old_path: str) -> DataFram
 
 
 def load_penetration(spark, path):  # S4
-    return load_table(spark, path, "penetration", schemas.PENETRATION)
+    return load_table(spark, path, "penetration", schemas.PENETRATION, scan_order=True)
 
 
 def load_contact_summary(spark, path):  # S5
-    return load_table(spark, path, "contact_summary", schemas.CONTACT_SUMMARY)
+    return load_table(spark, path, "contact_summary", schemas.CONTACT_SUMMARY, scan_order=True)
 
 
 def load_company_research(spark, path):  # S6: missing file -> empty frame, missing columns only warn
     df = load_table(spark, path, "company_research", schemas.COMPANY_RESEARCH, required=["company_id"],
-                    optional=True)
+                    optional=True, scan_order=True)
     return df if df is not None else empty_frame(spark, schemas.COMPANY_RESEARCH)
 
 
 def load_churn_predictions(spark, path):  # S7: schema failure or missing -> empty frame
     try:
-        df = load_table(spark, path, "churn_predictions", schemas.CHURN_PREDICTIONS, optional=True)
+        df = load_table(spark, path, "churn_predictions", schemas.CHURN_PREDICTIONS, optional=True, scan_order=True)
     except SchemaValidationError:
         df = None
     return df if df is not None else empty_frame(spark, schemas.CHURN_PREDICTIONS)
