@@ -11,11 +11,13 @@ probability 4e-6. Every link is then confirmed on the full shingle sets.
 
 Documents with equal sets are one class with one representative. Links are
 only needed up to connection, so no group is expanded into pairs: in each round
-the members of a key are compared with the key's most connected member (the one
-whose keys hold most documents) unless they are connected already. At the end
-all members of keys that are still unconnected are compared if the exact prefix
-filter on their full sets admits it and their signatures are within the
-distance, so no link between components is lost, at whatever number of rounds.
+the members of a key are compared with one centre of the key unless they are connected
+already. The first centre is the key's most connected member (the one whose keys hold most
+documents); each later round takes another, so two parts of a group that one centre
+did not join meet through the next. When rounds bring nothing more, what is still apart is compared through an
+exact prefix filter on the full sets: first one member of each component against the
+others, again with other members as long as that joins components, then all members of the components that are still
+apart, if their signatures are within the distance. So no link between components is lost.
 
 Defined cases: null or empty text (or text of blanks) has an empty set and is
 linked with nothing; fewer than k words are one shingle; rows that repeat an id
@@ -41,8 +43,10 @@ SHINGLE = 5
 POSITIONS, CHUNKS, ERRORS = 32, 8, 1
 #: 100 * intersection >= LINK * union
 LINK = 85
-#: Rounds of comparing with the centre of a key, before what is left is compared pair by pair.
-ROUNDS = 4
+#: Rounds of comparing with a centre of each key at most, and rounds in a row that may join nothing.
+ROUNDS, IDLE = 12, 2
+#: Rounds of the prefix filter on one member of each component at most.
+SAMPLED = 4
 #: Set sizes of one class of the prefix filter differ by less than this factor.
 SIZE_STEP = 1.03
 #: 64-bit words of a set's parity bitmap; a power of two.
@@ -149,61 +153,96 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = staged(signatures(narrow, k=k), "signatures")
     # one node per distinct set: `rep` names the set, `doc_id` is its smallest document
-    reps = staged(signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b")
-                  .agg(F.min(F.struct("doc_id", "sign")).alias("x"))
-                  .select(F.col("set_a").alias("rep"), "x.doc_id", "x.sign"), "classes")
+    # (equal sets have equal signatures, which are part of the grouping only to be carried along)
+    reps = staged(signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "sign").agg(F.min("doc_id").alias("doc_id"))
+                  .select(F.col("set_a").alias("rep"), "set_b", "doc_id", "sign"), "classes")
     keyed = _keyed(reps)
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = staged(keyed.join(shared, "key"), "members")
     sets = _full_sets(narrow, reps.join(members.select("rep").distinct(), "rep", "left_semi"), k)
 
     links = roots = tried = None
-    turn = 0
-    while True:
+    turn = idle = 0
+
+    def joined(pairs: DataFrame) -> bool:
+        """Confirm pairs that were not tried yet; whether a link was among them."""
+        nonlocal links, roots, tried
+        pairs = pairs.distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = staged(_near(pairs, reps), "pairs")
+        if pairs.isEmpty():
+            return False
+        tried = pairs if tried is None else tried.union(pairs)
+        found = staged(_confirmed(pairs, sets, link), "found")
+        if found.isEmpty():
+            return False
+        links = found if links is None else links.union(found)
+        roots = connected(links)
+        return True
+
+    def still_apart() -> DataFrame:
+        """(key, rep, n, root) of the keys whose members are not all connected."""
         here = members.withColumn("root", F.col("rep"))
         if roots is not None:
             here = members.join(roots, members["rep"] == roots["node"], "left").select(
                 "key", "rep", "n", F.coalesce("root", "rep").alias("root"))
-        # keys whose members are not all connected
         open_keys = here.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-        here = staged(here.join(open_keys, "key", "left_semi"), "open")
-        if here.isEmpty():
-            break
-        last = turn >= ROUNDS
-        if last:
-            pairs = _sharing_prefix(here.select("rep", "root").distinct(), sets, link)
-        else:
-            degree = here.groupBy("rep").agg(F.sum("n").alias("degree"))
-            centre = (here.join(degree, "rep").groupBy("key").agg(F.max(F.struct("degree", "rep", "root")).alias("c"))
-                      .select("key", F.col("c.rep").alias("b"), F.col("c.root").alias("root_b")))
-            pairs = here.join(centre, "key").where("root <> root_b").select(
-                F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(_near(pairs, reps), "pairs")
-        some = not pairs.isEmpty()
-        if some:
-            tried = pairs if tried is None else tried.union(pairs)
-            found = _confirmed(pairs, sets, link)
-            links = staged(found if links is None else links.union(found), "found")
-            roots = connected(links)
-        if last:
-            break
-        turn = turn + 1 if some else ROUNDS
-
-    labelled = reps.select("rep", "doc_id", F.col("rep").alias("root"))
+        return staged(here.join(open_keys, "key", "left_semi"), "open")
+
+    here = still_apart()
+    while not here.isEmpty() and turn < ROUNDS and idle < IDLE:
+        idle = 0 if joined(_with_centres(here, turn)) else idle + 1
+        turn += 1
+        if not idle:
+            here = still_apart()
+    if not here.isEmpty():
+        nodes = here.select("rep", "root").distinct()
+        for sample in range(SAMPLED):
+            one = nodes.groupBy("root").agg(F.min(_shuffled("rep", turn + sample)).alias("x")).select(_shuffled("x", turn + sample).alias("rep"), "root")
+            if not joined(_sharing_prefix(one, sets, link)):
+                break
+            here = still_apart()
+            nodes = here.select("rep", "root").distinct()
+        if not here.isEmpty():
+            joined(_sharing_prefix(nodes, sets, link))
+
+    labelled = reps.select("rep", "set_b", "doc_id", F.col("rep").alias("root"))
     if roots is not None:
         labelled = reps.join(roots, reps["rep"] == roots["node"], "left").select(
-            "rep", "doc_id", F.coalesce("root", "rep").alias("root"))
+            "rep", "set_b", "doc_id", F.coalesce("root", "rep").alias("root"))
     component = labelled.groupBy("root").agg(F.min("doc_id").alias("component"))
-    named = labelled.join(component, "root").select(F.col("rep").alias("set_a"), "component")
-    out = signed.join(named, "set_a", "left")
+    named = labelled.join(component, "root").select(F.col("rep").alias("set_a"), "set_b", "component")
+    out = signed.join(named, ["set_a", "set_b"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+_MASK = [int(x) for x in random64(7, 64).view(np.int64)]
+
+
+def _shuffled(rep: str, turn: int) -> Column:
+    """The hash `rep` with some bits flipped: another order of the same numbers each turn, and its own inverse."""
+    return F.col(rep).bitwiseXOR(F.lit(_MASK[turn % len(_MASK)]))
+
+
+def _with_centres(here: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of the members of each key with its centre of this turn, if they are not connected."""
+    if turn == 0:
+        # the member whose keys hold most documents; degree and member in one number, which a hash aggregation can compare
+        degree = here.groupBy("rep").agg(F.sum("n").alias("degree"))
+        wide = "cast(18446744073709551616 as decimal(38,0))"
+        packed = F.expr(f"cast(degree as decimal(38,0)) * {wide} + (cast(rep as decimal(38,0)) + cast(9223372036854775808 as decimal(38,0)))")
+        best = here.join(degree, "rep").groupBy("key").agg(F.max(packed.cast("decimal(38,0)")).alias("x"))
+        centre = best.select("key", F.expr(f"cast(x % {wide} - cast(9223372036854775808 as decimal(38,0)) as bigint)").alias("b"))
+    else:
+        centre = here.groupBy("key").agg(F.min(_shuffled("rep", turn)).alias("x")).select("key", _shuffled("x", turn).alias("b"))
+    root = here.select(F.col("rep").alias("b"), F.col("root").alias("root_b")).distinct()
+    return here.join(centre.join(root, "b"), "key").where("root <> root_b").select(
+        F.least("rep", "b").alias("a"), F.greatest("rep", "b").alias("b"))
+
+
 def _sharing_prefix(nodes: DataFrame, sets: DataFrame, link: int) -> DataFrame:
     """Pairs (a, b) of nodes (rep, root) of different roots that may be linked, by exact prefix filtering.
 
