@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
+from ..session import written
 from .ranking import contiguous_rank
 
 REPORT_SCHEMA = "gate string, kind string, subject string, value double, threshold double, passed boolean, detail string"
@@ -120,6 +121,21 @@ def er_orphan_gate(er_log: DataFrame | None, threshold: float = config.ER_ORPHAN
         F.col("v") < F.lit(threshold)))
 
 
+class ErLog:
+    """An entity-resolution log that is written once; A14 needs only the counts observed on the way."""
+
+    def __init__(self, log: DataFrame):
+        flag = F.col("match_type").eqNullSafe(F.lit("unmatched")) if "match_type" in log.columns else F.lit(False)
+        self.rows, seen = written(log, "er_log", {"n_rows": F.count(F.lit(1)), "n_unmatched": F.count_if(flag)})
+        self.n_rows, self.n_unmatched = seen["n_rows"], seen["n_unmatched"]
+
+    def gate(self, threshold: float = config.ER_ORPHAN_MAX) -> DataFrame:
+        """A14, as `er_orphan_gate` reports it."""
+        rate = self.n_unmatched / self.n_rows if self.n_rows else 0.0
+        return self.rows.sparkSession.createDataFrame(
+            [("entity_resolution", "non_blocking", "entity_resolution_log", rate, threshold, rate < threshold, None)], REPORT_SCHEMA)
+
+
 def coordinate_coverage_gate(buildings: DataFrame, threshold: float = config.COORD_COVERAGE_MIN) -> DataFrame:
     """Share of buildings with both latitude and longitude; 0 rows -> 0."""
     both = (F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).cast("double")
@@ -201,14 +217,14 @@ def table_gates(df: DataFrame, key: str, subject: str, fields: Sequence[str] = (
 
 
 def gate_report(spark: SparkSession, scored: DataFrame, companies: DataFrame, buildings: DataFrame,
-                er_log: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
+                er_log: DataFrame | ErLog | None = None, weights: DataFrame | None = None) -> DataFrame:
     """A18 as data: blocking gates (A13, A10, J10) then non-blocking (A14,
     A17, A15, A16), every gate computed; each table's own gates in one
     keyed pass (``table_gates``)."""
     parts = [table_gates(scored, "company_id", "scored.company_id", critical_fields(scored), research=True),
              table_gates(buildings, "building_id", "buildings.building_id", coordinates=True),
              join_integrity_gate(scored, companies, buildings)]
-    er = er_orphan_gate(er_log)
+    er = er_log.gate() if isinstance(er_log, ErLog) else er_orphan_gate(er_log)
     parts.append(er if er is not None else spark.createDataFrame(
         [("entity_resolution", "non_blocking", "entity_resolution_log", 0.0, config.ER_ORPHAN_MAX, True, "no log")],
         REPORT_SCHEMA))
@@ -222,15 +238,13 @@ def run_startup_validation(spark: SparkSession, scored: DataFrame, companies: Da
                            er_log: DataFrame | None = None, weights: DataFrame | None = None) -> dict:
     """Compute the report (a few rows to the driver), raise on the first
     failing blocking gate in order, return the non-blocking results."""
-    # every gate reads the same three tables: keep them once (memory, spilling
-    # to disk) for the duration of the report, then release them
-    from pyspark import StorageLevel
-    kept = [df.persist(StorageLevel.MEMORY_AND_DISK) for df in (scored, companies, buildings)]
-    try:
-        report = [r.asDict() for r in gate_report(spark, *kept, er_log, weights).collect()]
-    finally:
-        for df in kept:
-            df.unpersist()
+    # the gates need ids and flags only: each table is scanned once, and that much of it is written
+    fields = [f for f in critical_fields(scored) if f in scored.columns]
+    flags = [c for c in ("final_score", "scoring_path", "has_research_doc") if c in scored.columns]
+    kept = [written(scored.select(*dict.fromkeys(["company_id", *fields, *flags])), "gate-scored")[0],
+            written(companies.select("company_id"), "gate-companies")[0],
+            written(buildings.select("building_id", "company_id", "latitude", "longitude"), "gate-buildings")[0]]
+    report = [r.asDict() for r in gate_report(spark, *kept, er_log, weights).collect()]
     order = ["critical_field_completeness", "no_duplicates", "join_integrity"]
     results = {"blocking_gates": {}, "non_blocking_gates": {}}
     for gate in order:

@@ -181,10 +181,9 @@ class ProspectData:
         if ids is None:
             ids = apply_page_filter(view, spec or PageFilter()).select("company_id")
         flags = view.select("company_id", "in_hubspot")
-        merged = export_plan.merge_export_data(self.ranked_companies(), self.research(), self.companies(), ids, flags)
+        run = export_plan.Export(export_plan.merge_export_data(self.ranked_companies(), self.research(), self.companies(), ids, flags))
         stamp = datetime.now(timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
-        tables = {"Company Rankings": export_plan.sheet_rankings(merged),
-                  "ICP Detailed Reasoning": export_plan.sheet_reasoning(merged),
-                  "Web Research Details": export_plan.sheet_research(merged),
-                  "Export Metadata": export_plan.export_manifest(merged, filter_info, stamp)}
+        # the manifest comes last: an export folder without one is not complete
+        tables = {"Company Rankings": run.rankings(), "ICP Detailed Reasoning": run.reasoning(), "Web Research Details": run.research(),
+                  "Export Metadata": run.manifest(filter_info, stamp)}
         return writers.write_export(tables, out_dir, fmt)

@@ -14,6 +14,7 @@ from ..functions.jsoncols import expand_json_array, expand_research_summary
 from ..functions.text import truncate_reasoning
 from ..operators.filters import researched_only, select_ids
 from ..operators.ranking import first_per_key
+from ..session import written
 from ..sources.scan_order import scan_order_of
 
 RESEARCH_COLS = ["company_id", "had_web_research", "confidence", "reasoning", "hot_lead_signals", "concerns",
@@ -151,13 +152,39 @@ def sheet_research(merged: DataFrame) -> DataFrame | None:
     return out.select(*[F.col(c).alias(SHEET3_NAMES[c]) for c in out.columns])
 
 
-def export_manifest(merged: DataFrame, filter_info: Mapping | None, exported_at: str) -> DataFrame:
-    """One (Property, Value) row per manifest entry; the row count
-    comes from one aggregation over the merged rows."""
+def manifest_rows(n: int, filter_info: Mapping | None, exported_at: str) -> list[tuple[str, str]]:
+    """The (Property, Value) entries of an export of ``n`` companies."""
     info = dict(filter_info or {})
+    return [("Export Timestamp", exported_at), ("Total Companies Exported", str(n)),
+            *((label, str(info.get(key, default))) for label, key, default in MANIFEST_KEYS)]
+
+
+class Export:
+    """One export (J7, A11, S17): the merged rows are written once, and what the manifest and the tables need to know
+    about them is observed on the way. Every table reads that one copy."""
+
+    def __init__(self, merged: DataFrame):
+        researched = F.col("had_web_research") == F.lit(True) if "had_web_research" in merged.columns else F.lit(False)
+        self.merged, seen = written(merged, "export", {"n_rows": F.count(F.lit(1)), "n_researched": F.count_if(researched)})
+        self.rows, self.researched = seen["n_rows"], seen["n_researched"]
+
+    def rankings(self) -> DataFrame:
+        return sheet_rankings(self.merged)
+
+    def reasoning(self) -> DataFrame:
+        return sheet_reasoning(self.merged)
+
+    def research(self) -> DataFrame | None:
+        """None if no company was researched: the table is left out then."""
+        return sheet_research(self.merged) if self.researched else None
+
+    def manifest(self, filter_info: Mapping | None, exported_at: str) -> DataFrame:
+        return self.merged.sparkSession.createDataFrame(manifest_rows(self.rows, filter_info, exported_at), "Property string, Value string")
+
+
+def export_manifest(merged: DataFrame, filter_info: Mapping | None, exported_at: str) -> DataFrame:
+    """A11 for rows that are not written: (Property, Value) entries, the count from one aggregation."""
     n = merged.agg(F.count(F.lit(1)).alias("n"))
-    entries = [F.struct(F.lit("Export Timestamp").alias("Property"), F.lit(exported_at).alias("Value")),
-               F.struct(F.lit("Total Companies Exported").alias("Property"), F.col("n").cast("string").alias("Value"))]
-    for label, key, default in MANIFEST_KEYS:
-        entries.append(F.struct(F.lit(label).alias("Property"), F.lit(str(info.get(key, default))).alias("Value")))
+    entries = [F.struct(F.lit(label).alias("Property"), (F.col("n").cast("string") if label == "Total Companies Exported" else F.lit(value)).alias("Value"))
+               for label, value in manifest_rows(0, filter_info, exported_at)]
     return n.select(F.explode(F.array(*entries)).alias("e")).select("e.Property", "e.Value")

@@ -314,11 +314,6 @@ oracle("gate_join_integrity", with_ctes(["scored", "companies", "buildings"],
                                         _integrity_sql("scored", "scored->companies") + "\nUNION ALL\n"
                                         + _integrity_sql("buildings", "buildings->companies")))
 oracle("gate_coverage", with_ctes(["filtered", "valid_buildings"], _COORD + "\nUNION ALL\n" + _RESEARCH))
-oracle("startup_validation", with_ctes(["filtered", "valid_buildings"], "\nUNION ALL\n".join([
-    _completeness_sql("filtered"), _dup_sql("filtered", "company_id", "scored.company_id"),
-    _dup_sql("valid_buildings", "building_id", "buildings.building_id"),
-    _integrity_sql("filtered", "scored->companies"), _integrity_sql("valid_buildings", "buildings->companies"),
-    _ER_NONE, _WEIGHTS, _COORD, _RESEARCH])))
 oracle("rank_contiguity", with_ctes(["filtered"], """SELECT primary_naics, min(rank) AS min_rank, max(rank) AS max_rank,
        CAST(count(DISTINCT rank) AS BIGINT) AS distinct_ranks, CAST(count_if(rank IS NULL) AS BIGINT) AS null_ranks
 FROM filtered GROUP BY primary_naics
@@ -871,10 +866,16 @@ oracle("entity_resolution", with_ctes(["er_log"], "SELECT * FROM er_log"))
 oracle("er_match_summary", with_ctes(["er_log"], """SELECT match_type, CAST(count(*) AS BIGINT) AS n,
        min(confidence_score) AS min_confidence, max(confidence_score) AS max_confidence
 FROM er_log GROUP BY match_type"""))
-oracle("er_gate", with_ctes(["er_log"], f"""SELECT * FROM ({_gate('entity_resolution', 'non_blocking', 'entity_resolution_log',
+_ER_GATE = f"""SELECT * FROM ({_gate('entity_resolution', 'non_blocking', 'entity_resolution_log',
     "(SELECT coalesce(avg(CASE WHEN match_type = 'unmatched' THEN 1.0 ELSE 0.0 END), 0.0) FROM er_log)",
     config.ER_ORPHAN_MAX,
-    f"(SELECT coalesce(avg(CASE WHEN match_type = 'unmatched' THEN 1.0 ELSE 0.0 END), 0.0) FROM er_log) < {_d(config.ER_ORPHAN_MAX)}")}) g"""))
+    f"(SELECT coalesce(avg(CASE WHEN match_type = 'unmatched' THEN 1.0 ELSE 0.0 END), 0.0) FROM er_log) < {_d(config.ER_ORPHAN_MAX)}")}) g"""
+oracle("er_gate", with_ctes(["er_log"], _ER_GATE))
+oracle("startup_validation", with_ctes(["filtered", "valid_buildings", "er_log"], "\nUNION ALL\n".join([
+    _completeness_sql("filtered"), _dup_sql("filtered", "company_id", "scored.company_id"),
+    _dup_sql("valid_buildings", "building_id", "buildings.building_id"),
+    _integrity_sql("filtered", "scored->companies"), _integrity_sql("valid_buildings", "buildings->companies"),
+    _ER_GATE, _WEIGHTS, _COORD, _RESEARCH])))
 
 
 # ------------------------------------------------------------- old format
@@ -973,3 +974,36 @@ oracle("export_first_rows", with_ctes(["filtered", "register"], """SELECT f.comp
 FROM filtered f LEFT JOIN first_row r ON r.company_id = f.company_id"""))
 oracle("company_lookup", with_ctes(["filtered", "register"], """SELECT r.company_id, r.building_count_estimate, r.website, r.reasoning
 FROM first_row r WHERE r.company_id IN (SELECT company_id FROM filtered WHERE is_customer)"""))
+
+
+# ------------------------------------------------------------------ readers and sink
+oracle("scan_companies", with_ctes(["companies"], """SELECT company_id, name, primary_naics, hq_latitude, hq_longitude,
+       building_count_estimate AS building_count, building_count_estimate, website, growing_business_code, contacts_count, city, state,
+       employees, sales_volume FROM companies"""))
+oracle("scan_buildings", with_ctes(["buildings", "companies"], """SELECT *, square_footage_code AS square_footage FROM buildings
+WHERE company_id IN (SELECT company_id FROM companies)"""))
+oracle("scan_buildings_flags", with_ctes(["buildings"], """SELECT building_id, source, CASE WHEN source <> 'hubspot' THEN is_served END AS is_served
+FROM buildings"""))
+oracle("scan_scored", with_ctes(["scored"], "SELECT * FROM scored"))
+oracle("scan_scored_old", with_ctes(["scored_old"], "SELECT * FROM scored_old"))
+oracle("scan_research", with_ctes(["research"], "SELECT company_id, had_web_research, icp_fit_score, confidence, reasoning, timing FROM research"))
+oracle("scan_churn", with_ctes(["churn"], "SELECT company_id, churn_probability, risk_tier, prediction_date FROM churn"))
+oracle("scan_crm", with_ctes(["crm"], "SELECT domain FROM crm"))
+oracle("scan_metrics", with_ctes(["metrics"], """SELECT naics_code, naics_description, attractiveness_score, icp_fit_score, market_size_score,
+       market_size_count FROM metrics"""))
+oracle("scan_codes", with_ctes(["metrics"], "SELECT naics_code, naics_description AS description FROM metrics"))
+oracle("scan_interactions", """SELECT CAST(event_id AS VARCHAR) AS engagement_id, CAST(user_id AS VARCHAR) AS company_id, event_type AS engagement_type,
+       strftime(ts, '%Y-%m-%d %H:%M:%S') AS event_time, props AS body FROM events""")
+oracle("scan_penetration", ORACLE["penetration_estimates"])
+oracle("scan_contacts", ORACLE["contact_summary"])
+oracle("scan_er_log", ORACLE["entity_resolution"])
+oracle("export_sink", f"""SELECT 'Company Rankings' AS table_name, count(*) AS n_rows FROM ({ORACLE['export_rankings']}) a
+UNION ALL SELECT 'ICP Detailed Reasoning', count(*) FROM ({ORACLE['export_reasoning']}) b
+UNION ALL SELECT 'Web Research Details', count(*) FROM ({ORACLE['export_research']}) c HAVING count(*) > 0
+UNION ALL SELECT 'Export Metadata', count(*) FROM ({ORACLE['export_manifest']}) d""")
+oracle("contacts_display", f"""SELECT coalesce(contact_count, 0) AS "Contact Count", coalesce(contact_names, 'N/A') AS "Contact Names",
+       coalesce(contact_emails, 'N/A') AS "Contact Emails", coalesce(last_contact_date, 'N/A') AS "Last Contact"
+FROM ({ORACLE['contact_summary']}) c""")
+oracle("buildings_table", with_ctes(["valid_buildings", "companies"], """SELECT c.city, c.state,
+       CASE WHEN b.is_served THEN '✅ Served' ELSE '❌ Unserved' END AS status, square_footage_code AS square_feet
+FROM valid_buildings b LEFT JOIN companies c ON c.company_id = b.company_id"""))

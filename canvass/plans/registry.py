@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import aggregates, filters, geo, joins, quality, scoring
 from . import carriers as cr
-from . import export, industry, ranked
+from . import export, industry, ranked, scans
 from ..functions import formatting as fmt
 
 # the page filter used by the registered view queries
@@ -85,8 +85,7 @@ def q_ranked_view(spark, sf):
 @query("filtered_summary")
 def q_filtered_summary(spark, sf):
     """A3 (average shown at 4 decimals)."""
-    prepared = ranked.prepare_scored(cr.scored(spark, sf), cr.companies(spark, sf))
-    s = aggregates.filtered_summary(prepared, VIEW_FILTER)
+    s = aggregates.filtered_summary(_filtered(spark, sf), VIEW_FILTER)
     return s.withColumn("avg_score", F.round("avg_score", 4))
 
 
@@ -130,7 +129,7 @@ def _naics_weights(spark):
 def q_startup_validation(spark, sf):
     """A18 gate report over the loaded tables (weights sum shown to 9 places)."""
     rep = quality.gate_report(spark, _filtered(spark, sf), cr.companies(spark, sf), _valid_buildings(spark, sf),
-                              er_log=None, weights=_naics_weights(spark))
+                              er_log=_er_log(spark, sf), weights=_naics_weights(spark))
     return rep.withColumn("value", F.when(F.col("gate") == "scoring_weights", F.round("value", 9))
                           .otherwise(F.col("value")))
 
@@ -225,28 +224,34 @@ def _merged(spark, sf):
     return export.merge_export_data(prepared, cr.company_research(spark, sf), comp, ids, flags)
 
 
+@cr._memo
+def _export(spark, sf):
+    """The registered export: one merged table, written once, from which its four tables are read."""
+    return export.Export(_merged(spark, sf))
+
+
 @query("export_rankings")
 def q_export_rankings(spark, sf):
     """J7 -> D3 counts -> D6 -> P13: the company rankings export table."""
-    return export.sheet_rankings(_merged(spark, sf))
+    return _export(spark, sf).rankings()
 
 
 @query("export_reasoning")
 def q_export_reasoning(spark, sf):
     """J7 -> D3 expanded arrays: the reasoning export table."""
-    return export.sheet_reasoning(_merged(spark, sf))
+    return _export(spark, sf).reasoning()
 
 
 @query("export_research")
 def q_export_research(spark, sf):
     """J7 -> P11 -> D4: the web research export table."""
-    return export.sheet_research(_merged(spark, sf))
+    return export.sheet_research(_export(spark, sf).merged)
 
 
 @query("export_manifest")
 def q_export_manifest(spark, sf):
-    """Export manifest (count from the merged rows)."""
-    return export.export_manifest(_merged(spark, sf), VIEW_FILTER_INFO, EXPORT_TIMESTAMP)
+    """A11 (S17): export manifest, the count observed while the merged rows were written."""
+    return _export(spark, sf).manifest(VIEW_FILTER_INFO, EXPORT_TIMESTAMP)
 
 
 @query("coordinate_validation")
@@ -451,7 +456,7 @@ def q_company_profile(spark, sf):
 @query("score_formatting")
 def q_score_formatting(spark, sf):
     """Tiers, bands and score texts."""
-    p = _prepared(spark, sf)
+    p = _filtered(spark, sf)
     fs, cs = F.col("final_score"), F.col("company_opportunity_score")
     return p.select("company_id",
                     fmt.tier_80_60(F.col("naics_attractiveness_score")).alias("industry_color"),
@@ -485,29 +490,31 @@ def q_building_filters(spark, sf):
     return out.select("building_id", "company_id", "source", "is_served")
 
 
+@cr._memo
 def _er_log(spark, sf):
+    """The entity-resolution log, written once, with its match types observed on the way."""
     from ..operators import resolution
-    return resolution.resolve(cr.crm_addresses(spark, sf), cr.registry_addresses(spark, sf))
+    return quality.ErLog(resolution.resolve(cr.crm_addresses(spark, sf), cr.registry_addresses(spark, sf)))
 
 
 @query("entity_resolution")
 def q_entity_resolution(spark, sf):
     """J11 exact + J12 fuzzy (exact prefix-filtered candidates): ER log."""
-    return _er_log(spark, sf)
+    return _er_log(spark, sf).rows
 
 
 @query("er_match_summary")
 def q_er_match_summary(spark, sf):
     """ER log by match type: rows and confidence range."""
-    return _er_log(spark, sf).groupBy("match_type").agg(
+    return _er_log(spark, sf).rows.groupBy("match_type").agg(
         F.count(F.lit(1)).alias("n"), F.min("confidence_score").alias("min_confidence"),
         F.max("confidence_score").alias("max_confidence"))
 
 
 @query("er_gate")
 def q_er_gate(spark, sf):
-    """Unmatched share of the ER log (< 10 % passes)."""
-    return quality.er_orphan_gate(_er_log(spark, sf))
+    """Unmatched share of the ER log (< 10 % passes), from the counts observed while it was written."""
+    return _er_log(spark, sf).gate()
 
 
 def _prepared_old(spark, sf):
@@ -622,3 +629,48 @@ def q_company_lookup(spark, sf):
     from . import profile
     ids = _filtered(spark, sf).where(F.col("is_customer")).select("company_id")
     return profile.first_rows(cr.company_register(spark, sf), ids, ["building_count_estimate", "website", "reasoning"])
+
+
+for _name, _scan in {"scan_companies": scans.companies, "scan_buildings": scans.buildings, "scan_buildings_flags": scans.buildings_with_flags,
+                     "scan_scored": scans.scored, "scan_scored_old": scans.scored_old, "scan_research": scans.research, "scan_churn": scans.churn,
+                     "scan_crm": scans.crm, "scan_metrics": scans.metrics, "scan_codes": scans.codes, "scan_interactions": scans.interactions}.items():
+    QUERIES[_name] = _scan
+
+
+@query("scan_penetration")
+def q_scan_penetration(spark, sf):
+    """S4."""
+    return scans.penetration(spark, sf, _penetration(spark, sf))
+
+
+@query("scan_contacts")
+def q_scan_contacts(spark, sf):
+    """S5."""
+    return scans.contacts(spark, sf, _contact_summary(spark, sf))
+
+
+@query("scan_er_log")
+def q_scan_er_log(spark, sf):
+    """S13."""
+    return scans.er_log(spark, sf, _er_log(spark, sf).rows)
+
+
+@query("export_sink")
+def q_export_sink(spark, sf):
+    """The tables of the registered export, written and read back; the manifest comes last."""
+    run = _export(spark, sf)
+    return scans.sink(spark, sf, {"Company Rankings": run.rankings(), "ICP Detailed Reasoning": run.reasoning(),
+                                  "Web Research Details": run.research(), "Export Metadata": run.manifest(VIEW_FILTER_INFO, EXPORT_TIMESTAMP)})
+
+
+@query("contacts_display")
+def q_contacts_display(spark, sf):
+    """D16 (contacts)."""
+    return fmt.contacts_display(_contact_summary(spark, sf))
+
+
+@query("buildings_table")
+def q_buildings_table(spark, sf):
+    """D16 (buildings): the building table of the detail page, with cities of the companies."""
+    b = _valid_buildings(spark, sf).join(cr.companies(spark, sf).select("company_id", "city", "state"), on="company_id", how="left")
+    return fmt.buildings_display(b).withColumnsRenamed({"City": "city", "State": "state", "Status": "status", "Square Feet": "square_feet"})

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,6 +82,20 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, label: str, metrics: dict | None = None) -> tuple[DataFrame, dict]:
+    """Write ``df`` once to the shared checkpoint folder and read it back; ``metrics`` (name -> aggregate column) are
+    observed on the rows as they pass to the files, so counts and checks need no scan of their own."""
+    from pyspark.sql import Observation
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/canvass-{label}-{uuid.uuid4().hex}"
+    observed = None
+    out = df
+    if metrics:
+        observed = Observation(f"{label}-{uuid.uuid4().hex}")
+        out = df.observe(observed, *[c.alias(n) for n, c in metrics.items()])
+    out.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), dict(observed.get) if observed else {}
+
+
 def cluster_conf(input_bytes: int, total_cores: int, partition_bytes: int = 256 * 1024 ** 2) -> dict:
     """Partition sizing for a cluster run over ``input_bytes`` of input.
 
