@@ -55,6 +55,28 @@ def facet_values(df: DataFrame, facets: Sequence[str]) -> DataFrame:
                    .orderBy("facet", "value"))
 
 
+#: Values in one text of a contact list.
+LIST_CHUNK = 1000
+
+
+def contact_lists(contacts: DataFrame, chunk: int = LIST_CHUNK) -> DataFrame:
+    """A19 without unbounded cells: (company_id, kind, chunk, n_values, text), the distinct names and e-mails of a
+    company in ascending order, ``chunk`` of them a text, joined by '; '.
+
+    Values are made distinct first, then ranked inside (company, kind) by ranges of the sorted values
+    (``ranking.contiguous_rank``), so a company with any number of contacts is spread over tasks, and
+    only one chunk is ever gathered."""
+    from .ranking import contiguous_rank
+    values = (contacts.select("company_id", F.explode(F.array(
+        F.struct(F.lit("email").alias("kind"), F.col("contact_email").alias("value")),
+        F.struct(F.lit("name").alias("kind"), F.col("contact_name").alias("value")))).alias("v"))
+        .select("company_id", "v.kind", "v.value").where("value is not null").distinct())
+    placed = contiguous_rank(values, ["company_id", "kind"], [F.col("value").asc()], rank_col="place")
+    return (placed.groupBy("company_id", "kind", F.floor((F.col("place") - 1) / chunk).alias("chunk"))
+            .agg(F.sort_array(F.collect_list("value")).alias("v"))
+            .select("company_id", "kind", "chunk", F.size("v").alias("n_values"), F.array_join("v", "; ").alias("text")))
+
+
 def contact_summary(contacts: DataFrame) -> DataFrame:
     """Per company: contact count, last contact date, names and emails
     joined (sorted, distinct, so the text does not depend on row order).

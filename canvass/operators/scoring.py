@@ -144,15 +144,25 @@ def expansion_score(total_buildings: Column, served_buildings: Column, revenue_p
     return log_scale(open_buildings.cast("double") * revenue_per_building.cast("double"), cap)
 
 
-def weights_frame(spark: SparkSession) -> DataFrame:
-    """F11 base/override weights as a tiny frame (channel, component, weight)."""
+def weights_frame(spark: SparkSession, channels: dict | None = None) -> DataFrame:
+    """F11 overrides as a tiny frame (channel, component, weight)."""
     rows = []
-    for ch, spec in config.CHANNELS.items():
+    for ch, spec in (channels or config.CHANNELS).items():
         for comp, w in (spec.get("score_weights_override") or {}).items():
             rows.append((ch, comp, float(w)))
     return spark.createDataFrame(rows, "channel_id string, component string, weight double")
 
 
+def channel_weights(spark: SparkSession, channels: dict | None = None, base: dict[str, float] | None = None) -> DataFrame:
+    """(channel, component, base, override, weight): every component of every channel, the override before the base."""
+    channels = config.CHANNELS if channels is None else channels
+    base = config.BASE_CHANNEL_WEIGHTS if base is None else base
+    every = spark.createDataFrame([(ch, comp, float(w)) for ch in channels for comp, w in base.items()],
+                                  "channel_id string, component string, base_weight double")
+    over = weights_frame(spark, channels).withColumnRenamed("weight", "override_weight")
+    return every.join(over, ["channel_id", "component"], "full").withColumn("weight", F.coalesce("override_weight", "base_weight"))
+
+
 def weights_valid(weight_sum: Column) -> Column:
     """|sum - 1| <= 0.001."""
     return F.abs(weight_sum - F.lit(1.0)) <= F.lit(config.WEIGHT_SUM_TOLERANCE)
@@ -177,7 +187,7 @@ def channel_prefix_lengths() -> list[int]:
 
 
 def assign_channel(df: DataFrame, channels: DataFrame, code_col: str = "primary_naics",
-                   prefix_lengths: list[int] | None = None) -> DataFrame:
+                   prefix_lengths: list[int] | None = None, default_channel: str = config.DEFAULT_CHANNEL) -> DataFrame:
     """Longest matching NAICS prefix wins, else the default channel.
 
     The channel config (up to MAX_CHANNEL_CODES prefixes, checked) becomes one
@@ -197,7 +207,7 @@ def assign_channel(df: DataFrame, channels: DataFrame, code_col: str = "primary_
     for (n, name), prefixes in sorted(by_length.items(), key=lambda x: (-x[0][0], x[0][1])):
         hit = F.substring(code, 1, n).isin(prefixes)
         channel = F.when(hit, F.lit(name)) if channel is None else channel.when(hit, F.lit(name))
-    default = F.lit(config.DEFAULT_CHANNEL)
+    default = F.lit(default_channel)
     return base.withColumn("channel_id", default if channel is None else channel.otherwise(default))
 
 
@@ -231,6 +241,13 @@ def target_industries(df: DataFrame, targets: DataFrame, code_col: str = "naics_
     return out.filter(F.col(branch_col) > 0) if branch_col else out
 
 
+def six_digit_targets(df: DataFrame, codes: list[str] | None = None, code_col: str = "primary_naics",
+                      branch_col: str | None = None) -> DataFrame:
+    """P17 by six digits: companies whose code starts with a listed one, multi-location only if a branch count is given."""
+    out = df.filter(F.substring(F.col(code_col).cast("string"), 1, 6).isin(config.TARGET_SIX_DIGIT if codes is None else codes))
+    return out.filter(F.col(branch_col) > 0) if branch_col else out
+
+
 def cap_industries(df: DataFrame, targets: DataFrame, order_cols: list[Column], code_col: str = "naics_4digit",
                    most: int | None = None) -> DataFrame:
     """At most ``max_companies`` per industry in the given order (the

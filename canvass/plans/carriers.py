@@ -457,3 +457,13 @@ def scored_old(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("n_finished").cast("int").alias("action_flags"),
                       F.coalesce(F.col("_has_doc"), F.lit(False)).alias("has_research_doc")))
     return assign_channel(base, channel_table(spark), prefix_lengths=channel_prefix_lengths())
+
+
+# config documents of an owner, over carrier codes (test scaffolding, not reference values)
+OWN_CHANNELS = {"version": "1.0", "default_channel": "other", "channels": {
+    "mining": {"naics_codes": ["21"], "score_weights_override": {"geographic_fit": 0.3}},
+    "buyers": {"naics_codes": ["2112", "2312", "31"], "score_weights_override": {"hygiene_relevance": 0.25}},
+    "other": {"naics_codes": []}}}
+OWN_TARGETS = [("1111", 3), ("2112", 5), ("4431", 1), ("5214", 2)]
+OWN_SQFT = [("1", "small", 0, 10, False), ("2", "middle", 11, 20, True), ("3", "large", 21, None, False)]
+OWN_SIX_DIGIT = ["111110", "211210", "311910", "443110"]

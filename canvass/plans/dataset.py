@@ -19,8 +19,9 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import quality
+from ..operators import quality, scoring
 from ..operators.filters import PageFilter, apply_page_filter
+from ..operators.joins import small_side
 from ..sources import config_files, readers, schemas, writers
 from . import export as export_plan
 from . import industry, profile, ranked
@@ -29,6 +30,9 @@ from . import industry, profile, ranked
 LAYOUT = {
     "exclusions": "config/exclusions.yaml",
     "channels": "config/channels.yaml",
+    "naics_targets": "config/naics_target.yaml",
+    "six_digit_targets": "config/naics_config.yaml",
+    "sqft_codes": "config/sqft_codes.yaml",
     "companies": "processed/companies.csv",
     "golden_buildings": "processed/golden_buildings.csv",
     "buildings": "processed/buildings.csv",
@@ -78,12 +82,31 @@ class ProspectData:
             self.spark, self.path("scored_final"), self.path("scored")))
 
     def exclusion_codes(self) -> list[str]:
-        return config_files.excluded_codes(self.local_path("exclusions"))
-
-    def local_path(self, key: str) -> str:
-        """Config files are read on the driver (small documents)."""
-        p = self.path(key)
-        return p[len("file://"):] if p.startswith("file://") else p
+        return config_files.excluded_codes(self.path("exclusions"))
+
+    def channels(self) -> tuple[dict, str]:
+        """(channels, default channel) of the folder's own document, which must exist."""
+        return config_files.load_channels(self.path("channels"))
+
+    def channel_assignment(self) -> DataFrame:
+        """J13 + F11 by the folder's document: channel of every scored company, and the channel's weights."""
+        channels, default = self.channels()
+        out = scoring.assign_channel(self.scored_raw().select("company_id", "primary_naics"), scoring.channel_table(self.spark, channels),
+                                     default_channel=default)
+        w = scoring.channel_weights(self.spark, channels)
+        return out.join(small_side(w.groupBy("channel_id").agg(F.map_from_entries(F.sort_array(F.collect_list(
+            F.struct("component", "weight")))).alias("weights"))), on="channel_id", how="left")
+
+    def target_companies(self) -> DataFrame:
+        """P17 + W6 by the folder's documents: companies of target industries, capped, largest first."""
+        t = scoring.targets_table(self.spark, config_files.load_naics_targets(self.path("naics_targets")))
+        c = self.companies().withColumn("naics_4digit", F.substring("primary_naics", 1, 4))
+        return scoring.cap_industries(c, t, [F.col("building_count_estimate").desc_nulls_last(), F.col("company_id")])
+
+    def large_buildings(self) -> DataFrame:
+        """P16 + J14 by the folder's document of square-footage codes."""
+        codes = scoring.sqft_table(self.spark, config_files.load_sqft_codes(self.path("sqft_codes")))
+        return scoring.apply_sqft_rule(self.buildings(), codes)
 
     def _optional(self, key, load, schema):
         def build():

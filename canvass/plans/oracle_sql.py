@@ -8,6 +8,7 @@ are cast to the Spark types (BIGINT counts, INTEGER ranks, DOUBLE scores).
 from __future__ import annotations
 
 from .. import config
+from .carriers import OWN_CHANNELS, OWN_SIX_DIGIT, OWN_SQFT, OWN_TARGETS
 from .carriers import CARRIER_SECTORS, CUSTOMER_MIN_FINISHED, SCORE_CENTS_FULL, SEGMENT_DIGITS
 
 _SECTOR_LIST = "[" + ", ".join(f"'{s}'" for s in CARRIER_SECTORS) + "]"
@@ -759,6 +760,7 @@ oracle("company_profile", with_ctes(["prepared", "valid_buildings", "csum", "chu
   c.company_id, coalesce(c.name, 'N/A') AS name, coalesce(c.primary_naics, 'N/A') AS naics,
   CASE WHEN c.hq_latitude IS NOT NULL AND c.hq_longitude IS NOT NULL
        THEN printf('%.4f, %.4f', c.hq_latitude, c.hq_longitude) ELSE 'N/A' END AS hq_coordinates,
+  coalesce(c.city, 'N/A') AS hq_city, coalesce(c.state, 'N/A') AS hq_state, CAST(coalesce(c.building_count, 0) AS VARCHAR) AS buildings,
   coalesce(CAST(CAST(coalesce(c.building_count_estimate, c.building_count) AS BIGINT) AS VARCHAR), 'N/A') AS building_count_estimate,
   coalesce(CAST(CAST(trunc(CAST(c.employees AS DOUBLE)) AS BIGINT) AS VARCHAR), 'N/A') AS employee_size,
   CASE WHEN c.sales_volume IS NULL THEN 'N/A' ELSE '$' || format('{{:,.0f}}', c.sales_volume) END AS sales_volume,
@@ -1007,3 +1009,36 @@ FROM ({ORACLE['contact_summary']}) c""")
 oracle("buildings_table", with_ctes(["valid_buildings", "companies"], """SELECT c.city, c.state,
        CASE WHEN b.is_served THEN '✅ Served' ELSE '❌ Unserved' END AS status, square_footage_code AS square_feet
 FROM valid_buildings b LEFT JOIN companies c ON c.company_id = b.company_id"""))
+
+
+# ------------------------------------------------------------------ an owner's config documents, bounded lists
+def _own_channel(code: str) -> str:
+    """Longest prefix first."""
+    rows = sorted(((p, ch) for ch, spec in OWN_CHANNELS["channels"].items() for p in spec["naics_codes"]), key=lambda x: -len(x[0]))
+    return "CASE " + " ".join(f"WHEN starts_with({code}, '{p}') THEN '{ch}'" for p, ch in rows) + f" ELSE '{OWN_CHANNELS['default_channel']}' END"
+
+
+def _own_weight(component: str) -> str:
+    rows = [(ch, spec.get("score_weights_override", {}).get(component)) for ch, spec in OWN_CHANNELS["channels"].items()]
+    return ("CASE channel_id " + " ".join(f"WHEN '{ch}' THEN {_d(w)}" for ch, w in rows if w is not None)
+            + f" ELSE {_d(config.BASE_CHANNEL_WEIGHTS[component])} END AS {component}")
+
+
+oracle("config_channels", with_ctes(["scored"], f"""SELECT *, {_own_weight('geographic_fit')}, {_own_weight('hygiene_relevance')}
+FROM (SELECT company_id, primary_naics, {_own_channel('primary_naics')} AS channel_id FROM scored) s"""))
+oracle("config_targets", with_ctes(["filtered"], f"""SELECT company_id, naics_4digit, final_score, max_companies
+FROM (SELECT f.company_id, f.naics_4digit, f.final_score, CAST(t.n AS INTEGER) AS max_companies,
+             row_number() OVER (PARTITION BY f.naics_4digit ORDER BY final_score DESC NULLS LAST, company_id) AS place
+      FROM filtered f JOIN (VALUES {', '.join(f"('{c}', {n})" for c, n in OWN_TARGETS)}) t(code, n) ON t.code = f.naics_4digit) x
+WHERE place <= max_companies"""))
+oracle("config_sqft", with_ctes(["buildings"], f"""SELECT building_id, square_footage_code, c.r AS sqft_range, c.inc IS NULL AS sqft_unknown
+FROM buildings b LEFT JOIN (VALUES {', '.join(f"('{c}', '{r}', {inc})" for c, r, _, _, inc in OWN_SQFT)}) c(code, r, inc) ON c.code = square_footage_code
+WHERE source = 'manual' OR coalesce(c.inc, true)"""))
+oracle("six_digit_targets", with_ctes(["companies"], f"""SELECT company_id, primary_naics FROM companies
+WHERE substr(primary_naics, 1, 6) IN ({', '.join(f"'{c}'" for c in OWN_SIX_DIGIT)}) AND building_count_estimate - 1 > 0"""))
+oracle("contact_lists", with_ctes(["contacts"], """SELECT company_id, kind, CAST(chunk AS BIGINT) AS chunk, CAST(count(*) AS INTEGER) AS n_values,
+       string_agg(value, '; ' ORDER BY value) AS text
+FROM (SELECT *, (row_number() OVER (PARTITION BY company_id, kind ORDER BY value) - 1) // 3 AS chunk
+      FROM (SELECT DISTINCT company_id, 'email' AS kind, contact_email AS value FROM contacts WHERE contact_email IS NOT NULL
+            UNION ALL SELECT DISTINCT company_id, 'name', contact_name FROM contacts WHERE contact_name IS NOT NULL) d) v
+GROUP BY company_id, kind, chunk"""))

@@ -84,6 +84,8 @@ def company_profile(companies: DataFrame, scored: DataFrame, buildings: DataFram
         "company_id", F.coalesce(F.col("name"), F.lit("N/A")).alias("name"),
         F.coalesce(F.col("primary_naics"), F.lit("N/A")).alias("naics"),
         fmt.coordinates(opt("hq_latitude"), opt("hq_longitude")).alias("hq_coordinates"),
+        F.coalesce(opt("city"), F.lit("N/A")).alias("hq_city"), F.coalesce(opt("state"), F.lit("N/A")).alias("hq_state"),
+        F.coalesce(opt("building_count").cast("int"), F.lit(0)).cast("string").alias("buildings"),
         F.coalesce(F.coalesce(opt("building_count_estimate"), opt("building_count")).cast("long").cast("string"),
                    F.lit("N/A")).alias("building_count_estimate"),
         fmt.employee_size(opt("location_employee_size"), opt("employees")).alias("employee_size"),

@@ -674,3 +674,59 @@ def q_buildings_table(spark, sf):
     """D16 (buildings): the building table of the detail page, with cities of the companies."""
     b = _valid_buildings(spark, sf).join(cr.companies(spark, sf).select("company_id", "city", "state"), on="company_id", how="left")
     return fmt.buildings_display(b).withColumnsRenamed({"City": "city", "State": "state", "Status": "status", "Square Feet": "square_feet"})
+
+
+def _config_document(spark, sf, name: str, doc: dict) -> str:
+    """Path of a config document that an owner keeps beside the tables (written by Spark, once per session)."""
+    import yaml
+    text = spark.createDataFrame([(yaml.safe_dump(doc),)], "value string").coalesce(1)
+    return scans.written_file(spark, sf, name, text, "text")
+
+
+@query("config_channels")
+def q_config_channels(spark, sf):
+    """S15 + J13 + F11: channels, prefixes and weights from an owner's document, which differs from the built-in one."""
+    from ..sources import config_files
+    path = _config_document(spark, sf, "channels", cr.OWN_CHANNELS)
+    channels, default = config_files.load_channels(path)
+    out = scoring.assign_channel(cr.scored(spark, sf).select("company_id", "primary_naics"), scoring.channel_table(spark, channels),
+                                 default_channel=default)
+    w = scoring.channel_weights(spark, channels).groupBy("channel_id").pivot("component", ["geographic_fit", "hygiene_relevance"]).agg(F.first("weight"))
+    return out.join(joins.small_side(w), on="channel_id", how="left")
+
+
+@query("config_targets")
+def q_config_targets(spark, sf):
+    """S15 + P17 + W6: target industries and caps from an owner's document."""
+    from ..sources import config_files
+    doc = {"version": "1.0", "target_naics": [{"naics_code": c, "max_companies": n} for c, n in cr.OWN_TARGETS]}
+    t = scoring.targets_table(spark, config_files.load_naics_targets(_config_document(spark, sf, "naics_target", doc)))
+    s = _filtered(spark, sf).select("company_id", "naics_4digit", "final_score")
+    return scoring.cap_industries(s, t, [F.col("final_score").desc_nulls_last(), F.col("company_id").asc()])
+
+
+@query("config_sqft")
+def q_config_sqft(spark, sf):
+    """S15 + J14 + P16: square-footage codes from an owner's document; headquarters are always kept."""
+    from ..sources import config_files
+    doc = {"version": "1.0", "code_mappings": {c: {"range": r, "range_sqft_min": lo, "range_sqft_max": hi, "include": inc}
+                                               for c, r, lo, hi, inc in cr.OWN_SQFT}}
+    codes = scoring.sqft_table(spark, config_files.load_sqft_codes(_config_document(spark, sf, "sqft_codes", doc)))
+    b = cr.buildings(spark, sf).withColumn("place_type", F.when(F.col("source") == "manual", F.lit("headquarters")))
+    return scoring.apply_sqft_rule(b, codes, "place_type").select("building_id", "square_footage_code", "sqft_range", "sqft_unknown")
+
+
+@query("six_digit_targets")
+def q_six_digit_targets(spark, sf):
+    """Companies of the six-digit target codes with more than one location. Carrier codes name sectors, so the
+    codes are taken from an owner's document."""
+    from ..sources import config_files
+    path = _config_document(spark, sf, "naics_config", {"version": "1.0", "target_codes": cr.OWN_SIX_DIGIT})
+    comp = cr.companies(spark, sf).withColumn("branch_count", F.col("building_count_estimate") - 1)
+    return scoring.six_digit_targets(comp, config_files.load_six_digit_targets(path), "primary_naics", "branch_count").select("company_id", "primary_naics")
+
+
+@query("contact_lists")
+def q_contact_lists(spark, sf):
+    """Names and e-mails of each company in bounded texts."""
+    return aggregates.contact_lists(cr.contact_events(spark, sf), chunk=3)

@@ -26,6 +26,8 @@ def written_file(spark: SparkSession, sf: str, name: str, df: DataFrame, kind: s
         path = f"{ensure_checkpoint_dir(spark)}/canvass-files-{uuid.uuid4().hex}/{name}.{kind}"
         if kind == "csv":
             df.write.option("header", "true").option("escape", '"').csv(path)
+        elif kind == "text":
+            df.write.text(path)
         else:
             df.write.parquet(path)
         _PATHS[key] = path

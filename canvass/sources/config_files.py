@@ -1,14 +1,14 @@
 """Config files (S15): exclusions, channels, industry targets, square-footage
-codes. They are small documents read once on the driver; the result feeds
-the operators as plain Python values (literal ``isin`` lists) or as tiny
-frames. Exclusions follow their file exactly (`load_exclusions`); for the other
-documents a missing file or parser falls back to the fixed values in ``config``.
+codes. They are small documents, read on the driver through Spark's reader, so that they may lie in
+any store; the result feeds the operators as plain Python values (literal
+``isin`` lists) or as tiny frames. A given path is followed exactly: a document that is missing, cannot be
+read, or lacks a required key raises ``ConfigError``, and nothing is replaced by built-in values behind
+the owner's back (exclusions alone are optional: a missing file excludes nothing). Without a path the
+fixed values in ``config`` hold.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
@@ -24,26 +24,35 @@ class ConfigError(ValueError):
     pass
 
 
-def _load(path: str | None):
-    if not path or not os.path.exists(path) or yaml is None:
-        return None
-    with open(path) as f:
-        return yaml.safe_load(f) or {}
+#: Versions of the documents that this reader understands (the part before the first dot).
+KNOWN_VERSIONS = {"1"}
+
+
+def _required(path: str, key: str) -> dict:
+    """The document at ``path``, which must hold ``key`` and be of a known version."""
+    doc = _read(path)
+    if doc is None:
+        raise ConfigError(f"{path}: no such file")
+    if not isinstance(doc, dict) or key not in doc:
+        raise ConfigError(f"{path}: missing {key!r}")
+    version = str(doc.get("version", "1.0"))
+    if version.split(".")[0] not in KNOWN_VERSIONS:
+        raise ConfigError(f"{path}: version {version} is not known")
+    return doc
 
 
 def _read(path: str):
     """A YAML document from any store that Spark reads; None if there is no such file."""
-    if os.path.exists(path):
-        with open(path) as f:
-            text = f.read()
-    else:
-        try:
-            rows = SparkSession.active().read.text(path, wholetext=True).collect()  # one small file
-        except AnalysisException as e:
-            if e.getCondition() == "PATH_NOT_FOUND":
-                return None
-            raise
-        text = rows[0].value if rows else ""
+    try:
+        # one small file, or a folder with one
+        rows = SparkSession.active().read.text(path, wholetext=True).limit(2).collect()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    if len(rows) > 1:
+        raise ConfigError(f"{path}: more than one document")
+    text = rows[0].value if rows else ""
     if yaml is None:
         raise ConfigError(f"{path}: reading config files needs PyYAML")
     return yaml.safe_load(text)
@@ -66,11 +75,9 @@ def excluded_codes(path: str | None) -> list[str]:
 
 def load_channels(path: str | None) -> tuple[dict, str]:
     """(channels, default_channel); the 'channels' key is required."""
-    doc = _load(path)
-    if doc is None:
+    if not path:
         return dict(config.CHANNELS), config.DEFAULT_CHANNEL
-    if "channels" not in doc:
-        raise ConfigError(f"{path}: missing 'channels'")
+    doc = _required(path, "channels")
     chans = {}
     for name, spec in (doc.get("channels") or {}).items():
         spec = spec or {}
@@ -83,19 +90,25 @@ def load_channels(path: str | None) -> tuple[dict, str]:
 
 def load_naics_targets(path: str | None) -> list[tuple[str, int]]:
     """(4-digit code, max companies) per target industry."""
-    doc = _load(path)
-    if doc is None:
+    if not path:
         return list(config.NAICS_TARGETS)
+    doc = _required(path, "target_naics")
     return [(str(t["naics_code"]).strip(), int(t["max_companies"])) for t in doc.get("target_naics") or []]
 
 
+def load_six_digit_targets(path: str | None) -> list[str]:
+    """Six-digit target codes."""
+    if not path:
+        return list(config.TARGET_SIX_DIGIT)
+    return [str(c).strip() for c in _required(path, "target_codes").get("target_codes") or []]
+
+
 def load_sqft_codes(path: str | None) -> list[tuple]:
     """(code, range text, min, max, include) per square-footage code."""
-    doc = _load(path)
-    if doc is None:
+    if not path:
         return list(config.SQFT_CODES)
     out = []
-    for code, m in (doc.get("code_mappings") or {}).items():
+    for code, m in (_required(path, "code_mappings").get("code_mappings") or {}).items():
         out.append((str(code), m.get("range"), m.get("range_sqft_min"), m.get("range_sqft_max"),
                     bool(m.get("include"))))
     return out
