@@ -60,7 +60,26 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     base = ensure_checkpoint_dir(df.sparkSession)
     path = f"{base}/canvass-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.staged_at = path
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove staged tables that no later step reads, and let go of the shuffle files of the steps behind them.
+
+    Spark removes a finished step's shuffle files when the driver's collector finds its handle unused.
+    """
+    jvm = None
+    for df in tables:
+        path = getattr(df, "staged_at", None)
+        if path:
+            spark = df.sparkSession
+            jvm = spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    if jvm is not None:
+        jvm.System.gc()
 
 
 def parallelism(spark: SparkSession) -> int:
