@@ -5,6 +5,10 @@ non-blank: such a blank can only open ` ?\\p{L}+`, ` ?\\p{N}+`, ` ?[^\\s\\p{L}\\
 or a run of blanks. Texts are cut there, each distinct piece is encoded once
 per worker, and the ids of a text are its pieces' ids in order, which equals
 encoding the text as a whole (tested).
+
+New pieces of plain ASCII are cut again where the pattern cuts them (a word and the comma behind it), so that the
+library's model merges the bytes of each distinct part once; other pieces go through the whole tokenizer, and so do
+pieces that hold an added token, such as `<|endoftext|>` in a text, which is one id.
 """
 
 from __future__ import annotations
@@ -22,6 +26,12 @@ END_ID = 0
 #: Pieces a worker keeps before it starts its cache anew (bounds its memory, not its results).
 CACHE_PIECES = 1_400_000
 
+#: The pattern of the byte-level split, for ASCII text.
+_PARTS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+#: How the byte-level alphabet writes the ASCII bytes that are not printed as themselves.
+_BYTES = {b: 256 + b for b in range(33)} | {127: 289}
+_BYTES_BUT_NEWLINE = {b: c for b, c in _BYTES.items() if b != 10}
+
 _BLANK_THEN_SPACE = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S) ")
 
@@ -36,6 +46,9 @@ def pieces(text: str) -> list[str]:
     return _CUT.split(text) if text[:1] == " " or _BLANK_THEN_SPACE.search(text) else text.split(" ")
 
 
+_NONE = np.zeros(0, dtype=np.uint32)
+
+
 class _Numbered(dict):
     """Gives each key that it has not seen the next number of a shared list of pieces."""
 
@@ -56,13 +69,18 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # such strings inside a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # the cuts above are those of this split; another file's pieces go through its whole tokenizer
+        plain = self.tokenizer.normalizer is None and str(self.tokenizer.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False")
+        self.model = Tokenizer(self.tokenizer.model) if plain and "use_regex=True" in str(self.tokenizer.pre_tokenizer) else None
         self._clear()
 
     def _clear(self) -> None:
         self.seen: list[str | None] = []
         self.first, self.later = _Numbered(self.seen, ""), _Numbered(self.seen, " ")
-        self.done = self.used = 0
+        self.parts = _Numbered([], "")
+        self.part_ids, self.part_start, self.part_size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.done = self.used = self.part_used = 0
         self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.start = np.zeros(1 << 14, dtype=np.int64)
         self.size = np.zeros(1 << 14, dtype=np.int64)
@@ -71,13 +89,53 @@ class Encoder:
     def _room(array: np.ndarray, n: int) -> np.ndarray:
         return array if n <= len(array) else np.concatenate((array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)))
 
+    def _learn_parts(self, n: int, whole: list[int]) -> None:
+        """Encode the parts from number n on; those numbered in `whole` by the whole tokenizer."""
+        new = self.parts.new[n:]
+        chosen = np.zeros(len(new), dtype=bool)
+        chosen[np.array(whole, dtype=np.int64) - n] = True
+        start, size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        for own, tokenizer in ((np.flatnonzero(~chosen), self.model), (np.flatnonzero(chosen), self.tokenizer)):
+            if not len(own):
+                continue
+            words = [new[i] for i in own.tolist()] if len(own) < len(new) else new
+            if tokenizer is self.model:
+                # one translation of all; a part with the separator in it is rare
+                words = "\n".join(words).translate(_BYTES_BUT_NEWLINE).split("\n") if not any("\n" in w for w in words) else [w.translate(_BYTES) for w in words]
+            out = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(out.ids, dtype=np.uint32)
+            size[own] = np.bincount(np.array(out.word_ids, dtype=np.int64), minlength=len(own)) if len(ids) else 0
+            start[own] = self.part_used + np.cumsum(size[own]) - size[own]
+            self.part_ids = self._room(self.part_ids, self.part_used + len(ids))
+            self.part_ids[self.part_used:self.part_used + len(ids)] = ids
+            self.part_used += len(ids)
+        self.part_start, self.part_size = self._room(self.part_start, n + len(new)), self._room(self.part_size, n + len(new))
+        self.part_start[n:n + len(new)] = start
+        self.part_size[n:n + len(new)] = size
+        self.parts.new[n:] = [None] * len(new)
+
     def _learn(self) -> None:
         """Encode the pieces that are new since the last call."""
-        n, at = self.done, self.used
+        n, at, known = self.done, self.used, len(self.parts.new)
         new = self.seen[n:]
-        out = self.tokenizer.encode(new, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(out.ids, dtype=np.uint32)
-        size = np.bincount(np.array(out.word_ids, dtype=np.int64), minlength=len(new)) if len(ids) else np.zeros(len(new), np.int64)
+        number, index, counts, whole = self.parts.__getitem__, [], [], []
+        for piece in new:
+            if self.model is None or not piece.isascii() or any(a in piece for a in self.added):
+                whole.append(len(self.parts.new))
+                index.append(whole[-1])
+                self.parts.new.append(piece)  # a part of its own, which no other piece looks up
+            elif piece.isalpha():
+                index.append(number(piece))
+            else:
+                index.extend(map(number, _PARTS.findall(piece)))
+            counts.append(len(index))
+        if len(self.parts.new) > known:
+            self._learn_parts(known, whole)
+        index = np.array(index, dtype=np.int64)
+        size = self.part_size[index]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        ids = self.part_ids[np.repeat(self.part_start[index] - ends[:-1], size) + np.arange(ends[-1])]
+        size = np.diff(ends[np.concatenate(([0], counts)).astype(np.int64)])
         self.done, self.used = n + len(new), at + len(ids)
         self.seen[n:] = [None] * len(new)
         self.ids, self.start, self.size = self._room(self.ids, self.used), self._room(self.start, self.done), self._room(self.size, self.done)
