@@ -65,6 +65,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return back
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Remove staged tables that no later step reads, and let go of the shuffle files of the steps behind them.
 

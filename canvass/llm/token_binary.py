@@ -42,18 +42,17 @@ def write_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  [F.col("range"), F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_last()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, before, docs_, sizes, ids = None, 0, [], [], []
+        number, before, n, docs_, sizes, ids = None, 0, 0, [], [], []
 
         def close():
-            nonlocal before, docs_, sizes, ids
+            nonlocal before, n, docs_, sizes, ids
             if sizes:
-                n = sum(sizes)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([n], pa.int64()),
                      pa.array([docs_], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())),
                      pa.array([simple8b.encode(np.concatenate(ids))], pa.binary())],
                     names=["range", "ids_before", "n_ids", "doc_ids", "doc_sizes", "page"])
-                before, docs_, sizes, ids = before + n, [], [], []
+                before, n, docs_, sizes, ids = before + n, 0, [], [], []
 
         for batch in batches:
             for part in cut(batch, "text"):
@@ -66,7 +65,8 @@ def write_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     docs_.append(doc)
                     sizes.append(len(got))
                     ids.append(got)
-                    if sum(sizes) >= PAGE_IDS:
+                    n += len(got)
+                    if n >= PAGE_IDS:
                         yield from close()
         yield from close()
 
