@@ -5,9 +5,10 @@ its own words; the excess goes to the others by weight. A target is met by whole
 repeats of the source and a remaining budget, which is fitted by exact lengths:
 documents are counted by length, every length gives its share of the budget
 (so the mix keeps the source's length distribution), and a bounded-knapsack
-dynamic program over the documents left meets what is still missing exactly, or
-as nearly as any choice can. Which documents of a length are taken is decided by
-a seeded hash of their ids.
+dynamic program over the documents left comes as near to what is still missing as they allow.
+The shares are not given back, so another choice of all documents can now and then
+come a few words nearer. Which documents of a length are taken is decided by
+a seeded hash of their ids and texts.
 
 What is planned on is one row per source and length, never a document. Documents
 of one length are dealt into cells by their hash, so a length that holds a third
@@ -106,7 +107,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     text = F.col(text_col)
     narrow = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                                 F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                                F.xxhash64(F.lit(seed), F.col(id_col)).alias("dice")), "sizes")
+                                F.xxhash64(F.lit(seed), F.col(id_col), text).alias("dice")), "sizes")
     counted = staged(narrow.groupBy("source", "size").agg(F.count("*").alias("n")), "lengths")
     per_source = [(r["source"], r["words"]) for r in
                   counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("words")).collect()]  # one row a source

@@ -27,8 +27,10 @@ from canvass.llm.common import read_table, staged
 
 #: Bits per encoded key and hash functions of a level: the first cuts the many, the later ones halve what is left.
 BITS_PER_KEY, HASHES = 16, 5
-#: A level of more bits than this (64 MB) is not sent through the driver.
-MAX_LEVEL_BITS = 1 << 29
+#: A level of more bits than this (4 MB) is not sent through the driver.
+MAX_LEVEL_BITS = 1 << 25
+#: 32-bit words in one block of a level; a block is one row (4 kB) on its way to the driver.
+BLOCK_WORDS = 1024
 
 #: Fixed rules: (verdict, host, path).
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -67,15 +69,18 @@ def reported(key: Column, level: tuple[bytes, int], depth: int) -> Column:
 
 
 def level_of(keys: DataFrame, depth: int, bits: int) -> tuple[bytes, int]:
-    """The bits of one level as bytes (the only rows that reach the driver; `bits` bounds them)."""
+    """The bits of one level as bytes, put together in blocks (the only rows that reach the driver; `bits` bounds them)."""
     words = (keys.select(F.explode(F.array(*positions(F.col("key"), depth, bits))).alias("at"))
              .groupBy(F.floor(F.col("at") / 32).alias("word"))
              .agg(F.expr("bit_or(shiftleft(1L, cast(31 - pmod(at, 32) AS int)))").alias("set")))
-    row = words.agg(F.sort_array(F.collect_list(F.struct("word", "set"))).alias("words")).first()
-    data = bytearray(bits // 8)
-    for word, value in row["words"]:
-        data[4 * word:4 * word + 4] = int(value).to_bytes(4, "big")
-    return bytes(data), bits
+    blocks = (words.groupBy(F.floor(F.col("word") / BLOCK_WORDS).alias("block"))
+              .agg(F.map_from_entries(F.collect_list(F.struct(F.pmod("word", F.lit(BLOCK_WORDS)).cast("int").alias("at"), "set"))).alias("sets"))
+              .select("block", F.expr(f"unhex(array_join(transform(sequence(0, {BLOCK_WORDS - 1}), "
+                                      "i -> lpad(hex(coalesce(element_at(sets, i), 0L)), 8, '0')), ''))").alias("data")))
+    data = bytearray(-(-bits // (32 * BLOCK_WORDS)) * 4 * BLOCK_WORDS)
+    for row in blocks.collect():
+        data[4 * BLOCK_WORDS * row["block"]:4 * BLOCK_WORDS * (row["block"] + 1)] = row["data"]
+    return bytes(data[:bits // 8]), bits
 
 
 def build_cascade(universe: DataFrame, listed: DataFrame) -> Cascade | None:
