@@ -26,11 +26,56 @@ def _py_scalar_text(v: Column) -> Column:
              .otherwise(F.to_json(v)))
 
 
+#: Nesting of objects and arrays that is shown as Python shows it; what lies deeper keeps its JSON text.
+PY_DEPTH = 3
+
+
+def _py_string(s: Column) -> Column:
+    """Python's repr of a string: single quotes unless it holds only those; backslash, newline, return and tab escaped."""
+    single, double = F.contains(s, F.lit("'")), F.contains(s, F.lit('"'))
+    out = s
+    for raw, shown in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(raw), F.lit(shown))
+    return (F.when(single & ~double, F.concat(F.lit('"'), out, F.lit('"')))
+             .otherwise(F.concat(F.lit("'"), F.replace(out, F.lit("'"), F.lit("\\'")), F.lit("'"))))
+
+
+def _py_repr(v: Column, text: Column, depth: int) -> Column:
+    """Python's repr of a JSON value, from its variant (which knows the kind) and its JSON text (which keeps the order of keys)."""
+    kind = F.schema_of_variant(v)
+    out = (F.when(kind == F.lit("STRING"), _py_string(F.try_variant_get(v, "$", "string")))
+            .when(kind == F.lit("BOOLEAN"), F.when(F.try_variant_get(v, "$", "boolean"), F.lit("True")).otherwise(F.lit("False")))
+            .when(v.isNull() | kind.isin("NULL", "VOID"), F.lit("None")))
+    if depth:
+        out = out.when(kind.startswith("OBJECT"), _py_object(text, depth)).when(kind.startswith("ARRAY"), _py_array(text, depth))
+    return out.otherwise(text)
+
+
+def _py_object(text: Column, depth: int) -> Column:
+    """{'key': value, ...} of a JSON object's text, keys in their order."""
+    kinds = F.map_entries(F.from_json(text, "map<string,variant>"))
+    texts = F.map_entries(F.from_json(text, "map<string,string>"))
+    pairs = F.zip_with(kinds, texts, lambda k, t: F.concat(_py_string(k["key"]), F.lit(": "), _py_repr(k["value"], t["value"], depth - 1)))
+    return F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}"))
+
+
+def _py_array(text: Column, depth: int) -> Column:
+    """[value, ...] of a JSON array's text."""
+    items = F.zip_with(F.from_json(text, "array<variant>"), F.from_json(text, "array<string>"), lambda v, t: _py_repr(v, t, depth - 1))
+    return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+
+
+def py_json_text(s: Column) -> Column:
+    """What Python's ``str(json.loads(s))`` shows for an object, as far as PY_DEPTH goes. Numbers keep their JSON
+    text, which is Python's for whole numbers and plain decimals."""
+    return _py_object(s, PY_DEPTH)
+
+
 def expand_json_array(s: Column) -> tuple[Column, Column]:
     """D3: (count, newline-joined text) of a JSON array of strings.
 
     null / empty -> (0, ''); bad JSON -> (0, raw); not an array -> (0, text
-    of the value); an array holding a non-string -> (0, raw)."""
+    of the value, an object as Python shows it); an array holding a non-string -> (0, raw)."""
     v = F.try_parse_json(s)
     kind = F.schema_of_variant(v)
     is_array = kind.startswith("ARRAY")
@@ -43,6 +88,7 @@ def expand_json_array(s: Column) -> tuple[Column, Column]:
     text = (F.when(empty, F.lit("")).when(v.isNull(), s)
              .when(is_array & all_strings, F.array_join(items, "\n"))
              .when(is_array, s)
+             .when(kind.startswith("OBJECT"), py_json_text(s))
              .otherwise(_py_scalar_text(v)))
     return count.cast("int"), text
 

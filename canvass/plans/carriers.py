@@ -335,6 +335,19 @@ def company_research(spark: SparkSession, sf_dir: str) -> DataFrame:
         summary.alias("research_summary"))
 
 
+@_memo
+def object_concerns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concerns as JSON objects: text with quotes and line breaks, numbers, null, a nested object and a mixed array; keys
+    not in alphabetical order."""
+    d = table(spark, sf_dir, "documents")
+    nested = F.struct(F.col("n_chars").alias("size"), (F.col("n_chars") > 2000).alias("long"), F.lit("it's").alias("a"))
+    body = F.to_json(F.struct(F.col("text").alias("note"), F.col("lang").alias("lang"), F.col("doc_id").alias("id"), nested.alias("about"),
+                              F.array(F.col("source"), F.lit("x")).alias("tags")))
+    head = F.lit('{"z": null, "mixed": [1, "two", true, null, {"b": 2.5}], ')
+    return d.select(F.col("doc_id").cast("string").alias("company_id"), body.alias("body")).select(
+        "company_id", F.concat(head, F.expr("substring(body, 2)")).alias("concerns"))
+
+
 @_memo
 def research_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Research documents (one per doc / company): status from the label

@@ -1042,3 +1042,17 @@ FROM (SELECT *, (row_number() OVER (PARTITION BY company_id, kind ORDER BY value
       FROM (SELECT DISTINCT company_id, 'email' AS kind, contact_email AS value FROM contacts WHERE contact_email IS NOT NULL
             UNION ALL SELECT DISTINCT company_id, 'name', contact_name FROM contacts WHERE contact_name IS NOT NULL) d) v
 GROUP BY company_id, kind, chunk"""))
+
+
+def _py_string_sql(x: str) -> str:
+    esc = f"replace(replace(replace(replace({x}, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
+    return (f"CASE WHEN contains({x}, '''') AND NOT contains({x}, '\"') THEN '\"' || {esc} || '\"' "
+            f"ELSE '''' || replace({esc}, '''', '\\''') || '''' END")
+
+
+oracle("json_objects", f"""SELECT CAST(doc_id AS VARCHAR) AS company_id, CAST(0 AS INTEGER) AS n_items,
+  '{{''z'': None, ''mixed'': [1, ''two'', True, None, {{''b'': 2.5}}]' || coalesce(', ''note'': ' || {_py_string_sql('text')}, '')
+  || coalesce(', ''lang'': ' || {_py_string_sql('lang')}, '') || ', ''id'': ' || CAST(doc_id AS VARCHAR)
+  || ', ''about'': {{''size'': ' || CAST(n_chars AS VARCHAR) || ', ''long'': ' || CASE WHEN n_chars > 2000 THEN 'True' ELSE 'False' END
+  || ', ''a'': "it''s"}}, ''tags'': [' || {_py_string_sql('source')} || ', ''x'']}}' AS items
+FROM documents""")

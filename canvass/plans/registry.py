@@ -730,3 +730,11 @@ def q_six_digit_targets(spark, sf):
 def q_contact_lists(spark, sf):
     """Names and e-mails of each company in bounded texts."""
     return aggregates.contact_lists(cr.contact_events(spark, sf), chunk=3)
+
+
+@query("json_objects")
+def q_json_objects(spark, sf):
+    """D3 on JSON objects with nested values: shown as the original shows them."""
+    from ..functions.jsoncols import expand_json_array
+    n, text = expand_json_array(F.col("concerns"))
+    return cr.object_concerns(spark, sf).select("company_id", n.alias("n_items"), text.alias("items"))
