@@ -18,6 +18,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Vocabulary file and the id that ends a document.
 TOKENIZER_FILE = "byte_bpe_50k.json"
@@ -33,6 +34,8 @@ _BYTES = {b: 256 + b for b in range(33)} | {127: 289}
 _BYTES_BUT_NEWLINE = {b: c for b, c in _BYTES.items() if b != 10}
 
 _BLANK_THEN_SPACE = re.compile(r"\s ")
+#: A text that is not simply cut at each space: it begins with one, or has one behind another blank.
+_ODD_BLANKS = r"^ |[\t-\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 _CUT = re.compile(r"(?<=\S) ")
 
 
@@ -147,22 +150,33 @@ class Encoder:
         """uint32 ids of each text; a null text is empty."""
         if self.done > CACHE_PIECES:
             self._clear()
-        later, index, counts = self.later.__getitem__, [], []
-        for text in texts:
-            if text:
-                cut = pieces(text)
-                index.append(self.first[cut[0]])
-                index.extend(map(later, cut[1:]))
-            counts.append(len(index))
+        column = pa.array([t or "" for t in texts], pa.string())
+        odd = pc.match_substring_regex(column, _ODD_BLANKS).to_numpy(zero_copy_only=False)
+        cuts = pc.split_pattern(column.filter(pa.array(~odd)), " ")
+        values, offsets = cuts.values.dictionary_encode(), cuts.offsets.to_numpy()
+        # each distinct piece of the batch is looked up once
+        later = np.array(list(map(self.later.__getitem__, values.dictionary.to_pylist())), dtype=np.int64)
+        index = later[values.indices.to_numpy()] if len(later) else np.zeros(0, dtype=np.int64)
+        begins = offsets[:-1][np.diff(offsets) > 0]
+        index[begins] = list(map(self.first.__getitem__, cuts.values.take(pa.array(begins)).to_pylist()))
+        counts = np.zeros(len(texts), dtype=np.int64)
+        counts[~odd] = np.diff(offsets)
+        if odd.any():
+            found = [[self.first[cut[0]], *map(self.later.__getitem__, cut[1:])] for cut in map(pieces, (texts[i] for i in np.flatnonzero(odd).tolist()))]
+            counts[odd] = [len(f) for f in found]
+            whole = np.zeros(int(counts.sum()), dtype=np.int64)
+            mine = np.repeat(odd, counts)
+            whole[~mine] = index
+            whole[mine] = np.concatenate([np.array(f, dtype=np.int64) for f in found])
+            index = whole
         if len(self.seen) > self.done:
             self._learn()
-        if not index:
-            return [np.zeros(0, dtype=np.uint32) for _ in texts]
-        index = np.array(index, dtype=np.int64)
+        if not len(index):
+            return [_NONE for _ in texts]
         size = self.size[index]
         ends = np.cumsum(size)
         ids = self.ids[np.repeat(self.start[index] - ends + size, size) + np.arange(ends[-1])]
-        bounds = np.concatenate(([0], ends))[counts]
+        bounds = np.concatenate(([0], ends))[np.cumsum(counts)]
         return np.split(ids, bounds[:-1])
 
 

@@ -45,38 +45,38 @@ def pack_items(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int
     bin's remaining shares. Items may be cut; begin and end are token positions
     in the item, and the loss of a cut item is taken from its end.
     """
-    limit = np.array(limits, dtype=float)
-    begin = np.zeros(len(tokens), dtype=np.int64)
-    left = tokens.astype(np.int64).copy()
-    free = loss.astype(np.int64).copy()  # loss-bearing tokens left, at the item's end
-    order = np.lexsort((np.arange(len(tokens)), -left))
-    while len(order):
-        room = np.array(limits, dtype=np.int64)
-        placed, gone = [], []
-        while room[0] > 0 and room[1] > 0:
-            fits = np.flatnonzero((left[order] <= room[0]) & (free[order] <= room[2]))
-            if gone:
-                fits = fits[~np.isin(order[fits], gone)]
-            if not len(fits):
+    item = np.lexsort((np.arange(len(tokens)), -np.asarray(tokens, dtype=np.int64)))
+    left = np.asarray(tokens, dtype=np.int64)[item]  # longest first, also later on
+    free = np.asarray(loss, dtype=np.int64)[item]  # loss-bearing tokens left, at the item's end
+    begin, alive, open_ = np.zeros(len(item), dtype=np.int64), np.ones(len(item), dtype=bool), len(item)
+    while open_:
+        if 2 * open_ < len(item):
+            item, left, free, begin = item[alive], left[alive], free[alive], begin[alive]
+            alive = np.ones(open_, dtype=bool)
+        room, placed = list(limits), []
+        while room[0] > 0 and room[1] > 0 and open_:
+            a = int(np.searchsorted(-left, -room[0]))
+            fits = alive[a:] & (free[a:] <= room[2])
+            # every item takes one segment, so that part of the product is the same for all
+            score = np.where(fits, left[a:] * (room[0] / limits[0] ** 2) + free[a:] * (room[2] / limits[2] ** 2), -1.0)
+            if not len(score) or score[pick := int(np.argmax(score))] < 0:
                 break
-            share = room / limit
-            score = left[order[fits]] / limit[0] * share[0] + share[1] / limit[1] + free[order[fits]] / limit[2] * share[2]
-            item = order[fits[int(np.argmax(score))]]
-            placed.append((int(item), int(begin[item]), int(begin[item] + left[item])))
-            room -= (left[item], 1, free[item])
-            gone.append(item)
-        order = order[~np.isin(order, gone)]
-        if room[0] > 0 and room[1] > 0 and len(order):
+            pick += a
+            placed.append((int(item[pick]), int(begin[pick]), int(begin[pick] + left[pick])))
+            room = [room[0] - int(left[pick]), room[1] - 1, room[2] - int(free[pick])]
+            alive[pick] = False
+            open_ -= 1
+        if room[0] > 0 and room[1] > 0 and open_:
             # no whole item fits: cut one, taking no more loss than is left
-            plain = left[order] - free[order]
-            take = np.minimum(room[0], plain + room[2])
+            take = np.where(alive, np.minimum(room[0], left - free + room[2]), -1)
             pick = int(np.argmax(take))
-            item, n = order[pick], int(take[pick])
+            n = int(take[pick])
             if n > 0:
-                placed.append((int(item), int(begin[item]), int(begin[item]) + n))
-                free[item] = min(free[item], left[item] - n)
-                begin[item] += n
-                left[item] -= n
+                placed.append((int(item[pick]), int(begin[pick]), int(begin[pick]) + n))
+                rest = (item[pick], left[pick] - n, min(free[pick], left[pick] - n), begin[pick] + n, True)
+                to = int(np.searchsorted(-np.delete(left, pick), -rest[1]))
+                item, left, free, begin, alive = (np.insert(np.delete(x, pick), to, v)
+                                                  for x, v in zip((item, left, free, begin, alive), rest, strict=True))
         yield placed
 
 
