@@ -44,9 +44,9 @@ POSITIONS, CHUNKS, ERRORS = 32, 8, 1
 #: 100 * intersection >= LINK * union
 LINK = 85
 #: Rounds of comparing with a centre of each key at most, and rounds in a row that may join nothing.
-ROUNDS, IDLE = 6, 2
+ROUNDS, IDLE = 4, 1
 #: Rounds of the prefix filter on one member of each component at most.
-SAMPLED = 2
+SAMPLED = 1
 #: Set sizes of one class of the prefix filter differ by less than this factor.
 SIZE_STEP = 1.03
 #: 64-bit words of a set's parity bitmap; a power of two.
