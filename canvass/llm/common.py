@@ -78,16 +78,13 @@ def discard(*tables: DataFrame | None) -> None:
 
     Spark removes a finished step's shuffle files when the driver's collector finds its handle unused.
     """
-    jvm = None
+    context = SparkSession.active().sparkContext
     for df in tables:
         path = getattr(df, "staged_at", None)
         if path:
-            spark = df.sparkSession
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    if jvm is not None:
-        jvm.System.gc()
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+    context._jvm.System.gc()
 
 
 def parallelism(spark: SparkSession) -> int:
