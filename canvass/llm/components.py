@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from canvass.llm.common import staged
+from canvass.llm.common import discard, staged
 
 
 def _summary(links: DataFrame) -> tuple:
@@ -34,7 +34,8 @@ def connected(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .union(least.select("a", F.col("m").alias("b"))).distinct())
-        stars = staged(small, "stars")
+        before, stars = stars, staged(small, "stars")
+        discard(before)
         now = _summary(stars)
         if now == seen:
             break

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canvass.llm.common import map_arrow, prepare, read_table, staged
+from canvass.llm.common import discard, map_arrow, prepare, read_table, staged
 from canvass.llm.components import connected
 from canvass.llm.words import BLANKS, LOWER, U64, doc_shingles, mix, random64, text_bytes, word_bounds, word_hashes
 
@@ -195,14 +195,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         idle = 0 if joined(_with_centres(here, turn)) else idle + 1
         turn += 1
         if not idle:
-            here = still_apart()
+            before, here = here, still_apart()
+            discard(before)
     if not here.isEmpty():
         nodes = here.select("rep", "root").distinct()
         for sample in range(SAMPLED):
             one = nodes.groupBy("root").agg(F.min(_shuffled("rep", turn + sample)).alias("x")).select(_shuffled("x", turn + sample).alias("rep"), "root")
             if not joined(_sharing_prefix(one, sets, link)):
                 break
-            here = still_apart()
+            before, here = here, still_apart()
+            discard(before)
             nodes = here.select("rep", "root").distinct()
         if not here.isEmpty():
             joined(_sharing_prefix(nodes, sets, link))
