@@ -360,6 +360,30 @@ def test_passages_whose_pieces_were_seen_before(spark):
     assert sum(map(len, got.values())) < sum(len(p) for _, p in want) * 1.05 and set(got) == {i for i, _ in want}
 
 
+def test_changed_passages_of_frequent_seeds(spark):
+    """All seeds of the passage have more than PLACES places and begin in documents that hold pieces only; the copies have changed
+    words, so that no run of MIN_WORDS words is equal."""
+    rng = np.random.default_rng(3)
+
+    def words(n):
+        return [f"w{x}" for x in rng.integers(0, 10 ** 9, n)]
+
+    shared = words(60)
+    docs = []
+    for i in range(substring_dedup.PLACES + 4):
+        pieces = [words(80) + shared[b:b + 12] for b in range(0, 54, 6)]
+        docs.append((i, " ".join(w for k in rng.permutation(len(pieces)) for w in pieces[k])))
+    docs.append((100, " ".join(words(50) + shared + words(50))))
+    docs.append((101, " ".join(words(30) + shared[:30] + ["changed"] + shared[31:] + words(70))))
+    docs.append((102, " ".join(words(20) + shared[:20] + ["changed"] + shared[21:40] + ["too"] + shared[41:] + words(20))))
+    found = substring_dedup.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.source) for r in found} >= {(101, 100), (102, 100)}
+    assert min(r.doc_id for r in found) > 100
+    for doc in (101, 102):
+        covered = {w for r in found if r.doc_id == doc for w in range(r.start, r.end)}
+        assert len(covered) >= 58
+
+
 def test_seeds_are_close_and_chosen_by_their_own_words():
     rng = np.random.default_rng(3)
     k, spacing = substring_dedup.K, substring_dedup.SPACING
