@@ -159,7 +159,10 @@ def _extreme_per_key(df, key_cols, order_cols, value_cols, agg):
     if order is not None:
         rows = df.select(*key_cols, *value_cols, order.alias("_cv_order")).dropna(subset=key_cols)
         best = rows.groupBy(*key_cols).agg(agg("_cv_order").alias("_cv_best"))
-        kept = rows.join(best, on=key_cols).where(F.col("_cv_order") == F.col("_cv_best"))
+        # nothing lies beyond the extreme; as an equality it would be a key of the join, which then would
+        # deal the rows by the order, too, and the next step deal them by the key again
+        extreme = F.col("_cv_order") <= F.col("_cv_best") if agg is F.min else F.col("_cv_order") >= F.col("_cv_best")
+        kept = rows.join(best, on=key_cols).where(extreme)
         # only equal rows are left of a key; the join has dealt and sorted them by it
         one = F.row_number().over(Window.partitionBy(*key_cols).orderBy(*key_cols))
         return kept.withColumn("_cv_one", one).where(F.col("_cv_one") == 1).select(*key_cols, *value_cols)

@@ -294,10 +294,12 @@ def company_research(spark: SparkSession, sf_dir: str) -> DataFrame:
     array; concerns take every JSON shape the reader must handle (array,
     bare string, array of numbers, not JSON at all); the summary object has
     a null section for German documents."""
-    d = table(spark, sf_dir, "documents")
-    lab = table(spark, sf_dir, "labels")
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), "c_name")
-    j = d.join(lab, on="doc_id", how="left").join(c, on="doc_id", how="left")
+    # joined by the text id, by which every later step groups and joins: whole documents are shuffled and sorted once
+    company_id = F.col("doc_id").cast("string").alias("company_id")
+    d = table(spark, sf_dir, "documents").withColumn("company_id", company_id)
+    lab = table(spark, sf_dir, "labels").withColumn("company_id", company_id).drop("doc_id")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("company_id"), "c_name")
+    j = d.join(lab, on="company_id", how="left").join(c, on="company_id", how="left")
     lines = F.split(F.col("text"), "\n")
     concerns = (F.when(F.col("lang") == "de", F.col("text"))
                  .when(F.col("lang") == "fr", F.concat(F.lit('"'), F.col("source"), F.lit('"')))
@@ -320,7 +322,7 @@ def company_research(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = F.to_json(F.struct(news.alias("news_findings"), jobs.alias("jobs_findings"),
                                  corp.alias("corporate_ops_findings")))
     return j.select(
-        F.col("doc_id").cast("string").alias("company_id"),
+        "company_id",
         F.coalesce(F.col("c_name"), F.lit("Unknown Company")).alias("company_name"),
         (F.col("quality") == 1).alias("had_web_research"),
         F.least(F.lit(100.0), F.col("n_chars") / 200.0).alias("icp_fit_score"),

@@ -85,3 +85,18 @@ def test_cluster_conf_sizes():
     c = cluster_conf(100 * 1024 ** 4, 8000)
     assert int(c["spark.sql.shuffle.partitions"]) == 409_600  # 100 TiB in blocks of 256 MiB
     assert int(cluster_conf(10 * 1024 ** 3, 8)["spark.sql.shuffle.partitions"]) == 40
+
+
+def test_first_row_deals_rows_by_the_key_alone(spark):
+    """The rows, however wide, are shuffled by the key once: not by the order as well, and by the key again."""
+    from canvass.operators.ranking import first_per_key, last_per_key
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 3, "z"), ("b", 3, "z"), (None, 1, "n")], "k string, o int, v string")
+        for pick, want in ((first_per_key, {("a", "y"), ("b", "z")}), (last_per_key, {("a", "x"), ("b", "z")})):
+            out = pick(df, ["k"], ["o"], ["v"])
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "hashpartitioning(_cv_" not in plan and plan.count("Exchange hashpartitioning(") == 2
+            assert sorted(map(tuple, out.collect())) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
