@@ -114,14 +114,14 @@ def resolve(crm: DataFrame, registry: DataFrame, crm_id: str = "hubspot_id", crm
     reg_streets = r.groupBy(*place).agg(F.min("rid").alias("reg"))
 
     def prefixed(df):
-        g = _grams(F.col("n_street"))
-        # k-th occurrence of a bigram is its own token (multiset overlap)
-        tokens = F.transform(g, lambda x, i: F.struct(
-            F.xxhash64(x).alias("h"), x.alias("g"),
-            F.size(F.filter(F.slice(g, 1, i + 1), lambda y: y == x)).alias("k")))
-        pref = F.slice(F.array_sort(tokens), 1, _prefix_len(F.length("n_street"), threshold).cast("int"))
-        return (df.where(F.col("n_street").isNotNull()).withColumn("t", F.explode(pref))
-                  .withColumns({"g": F.col("t.g"), "k": F.col("t.k")}).drop("t"))
+        # columns of their own, so that a lambda reads them and does not compute them once an item
+        keyed = F.transform(_grams(F.col("n_street")), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("g")))
+        rows = df.where(F.col("n_street").isNotNull()).withColumn("_sorted", F.array_sort(keyed))
+        rows = rows.withColumn("_prefix", F.slice("_sorted", 1, _prefix_len(F.length("n_street"), threshold).cast("int"))).drop("_sorted")
+        # k-th occurrence of a bigram is its own token (multiset overlap); equal ones are neighbours here
+        tokens = F.transform("_prefix", lambda x, i: F.struct(
+            x["g"].alias("g"), F.size(F.filter(F.slice("_prefix", 1, i + 1), lambda y: y["g"] == x["g"])).alias("k")))
+        return rows.withColumn("t", F.explode(tokens)).withColumns({"g": F.col("t.g"), "k": F.col("t.k")}).drop("t", "_prefix")
 
     cand = (prefixed(streets).join(prefixed(reg_streets).withColumnRenamed("n_street", "reg_street"),
                                    on=[*block, "g", "k"], how="inner")

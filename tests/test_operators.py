@@ -302,3 +302,14 @@ def test_sqft_rule(spark):
                               "building_id string, square_footage_code string, place_type string")
     out = scoring.apply_sqft_rule(b, scoring.sqft_table(spark), place_type_col="place_type")
     assert rows(out, "building_id", "sqft_unknown") == [("b2", False), ("b3", True), ("b4", False), ("b5", True)]
+
+
+def test_street_prefixes_are_computed_once_a_street(spark):
+    """The bigrams of a street are a column that the lambdas read: they were computed again for each bigram."""
+    from canvass.operators import resolution
+    schema = "id string, t string, street_number string, street string, city string, state string, zip string"
+    crm = spark.createDataFrame([("h1", "b", "5", "Old Bananana Road", "c", "s", "1"), ("h2", "b", "5", "Elsewhere", "c", "s", "1")], schema)
+    registry = spark.createDataFrame([("d1", "b", "5", "Old Banananna Road", "c", "s", "2"), ("d2", "b", "5", "New Street", "c", "s", "2")], schema)
+    log = resolution.resolve(crm, registry, crm_id="id", crm_type="t", registry_id="id")
+    assert "filter(slice(transform(" not in log._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.hubspot_id, r.dataaxle_id) for r in log.collect()) == [("h1", "d1"), ("h2", None)]
