@@ -384,6 +384,31 @@ def test_changed_passages_of_frequent_seeds(spark):
         assert len(covered) >= 58
 
 
+def test_passages_of_frequent_seeds_with_added_and_dropped_words(spark):
+    """Neither side of the words added or dropped reaches MIN_WORDS; of the last passage the first half has rare seeds and only the
+    second half frequent ones."""
+    rng = random.Random(14)
+    common.prepare(spark)
+    docs, want = [], {}
+    for c, (left, right) in enumerate(((30, 30), (35, 25), (28, 30), (30, 30))):
+        shared, new = words(rng, left + right), words(rng, 5)
+        seen = shared if c < 3 else shared[left:]
+        for i in range(substring_dedup.PLACES + 4):
+            pieces = [words(rng, 80) + seen[b:b + 12] for b in range(0, len(seen) - 6, 6)]
+            docs.append((1000 * c + i, " ".join(w for p in rng.sample(pieces, len(pieces)) for w in p)))
+        docs.append((1000 * c + 100, " ".join(words(rng, 40) + shared + words(rng, 40))))
+        changed = shared[:left - 4] + shared[left:] if c == 2 else shared[:left] + new + shared[left:]
+        docs.append((1000 * c + 101, " ".join(words(rng, 25) + changed + words(rng, 25))))
+        want[1000 * c + 101] = (1000 * c + 100, set(range(25, 25 + len(changed))))
+    found = substring_dedup.passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    for doc, (source, places) in want.items():
+        mine = [r for r in found if (r.doc_id, r.source) == (doc, source)]
+        covered = {w for r in mine for w in range(r.start, r.end)}
+        assert len(covered & places) >= len(places) - 3 and len(covered - places) < 8, (doc, covered)
+        assert all(r.identity >= substring_dedup.IDENTITY for r in mine)
+    assert {r.doc_id for r in found} == set(want)
+
+
 def test_seeds_are_close_and_chosen_by_their_own_words():
     rng = np.random.default_rng(3)
     k, spacing = substring_dedup.K, substring_dedup.SPACING
