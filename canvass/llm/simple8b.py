@@ -22,18 +22,31 @@ BLOCK = 1024
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 
+#: Bits of the smaller ids.
+_BITS = np.searchsorted(np.left_shift(1, np.arange(17)), np.arange(1 << 16), side="right").astype(np.int8)
+
 
 def _selectors(ids: np.ndarray) -> np.ndarray:
     """For each position of each block (blocks x BLOCK), the selector that packs the most ids from there."""
     n, size = ids.shape
     best = np.full(ids.shape, 15, dtype=np.int8)
-    place = np.arange(size, dtype=np.int16)
-    bits = np.searchsorted(np.left_shift(U64(1), np.arange(61, dtype=U64)), ids.ravel(), side="right").astype(np.int8).reshape(n, size)
+    # behind the block nothing follows, which any count may overrun
+    widest = np.zeros((n, size + int(COUNTS[0])), dtype=np.int8)
+    if ids.size and ids.max() < len(_BITS):
+        widest[:, :size] = _BITS[ids]
+    else:
+        widest[:, :size] = np.searchsorted(np.left_shift(U64(1), np.arange(61, dtype=U64)), ids.ravel(), side="right").reshape(n, size)
+    # where a selector does not fit, none of more and narrower ids does.
+    span = 1  # `widest` is the bits of the widest of so many ids from each position on
     for selector in range(14, -1, -1):
-        # the next id that does not fit, at or after each position; none: the block ends, which any count may overrun
-        after = np.where(bits > WIDTHS[selector], place, np.int16(4 * size))
-        after = np.minimum.accumulate(after[:, ::-1], axis=1)[:, ::-1]
-        best[after >= place + np.int16(COUNTS[selector])] = selector
+        count = int(COUNTS[selector])
+        while 2 * span <= count:
+            widest[:, :-span] = np.maximum(widest[:, :-span], widest[:, span:])
+            span *= 2
+        fits = np.maximum(widest[:, :size], widest[:, count - span:count - span + size]) <= np.int8(WIDTHS[selector])
+        if not fits.any():
+            break
+        best -= fits.view(np.int8)
     return best
 
 
@@ -48,27 +61,32 @@ def encode(ids: np.ndarray) -> bytes:
     grid[escaped] = 0
     grid = grid.reshape(n, BLOCK)
     best = _selectors(grid)
-    # walk all blocks in step: one word of every unfinished block at a time
-    at, live, steps = np.zeros(n, dtype=np.int64), np.arange(n), []
-    ends = np.minimum(BLOCK, total - np.arange(n) * BLOCK)
-    while len(live):
-        chosen = best[live, at[live]]
-        steps.append((live, at[live], chosen))
-        at[live] += COUNTS[chosen]
-        live = live[at[live] < ends[live]]
-    block = np.concatenate([s[0] for s in steps]) if steps else np.zeros(0, np.int64)
-    start = np.concatenate([s[1] for s in steps]) if steps else np.zeros(0, np.int64)
-    chosen = np.concatenate([s[2] for s in steps]) if steps else np.zeros(0, np.int8)
-    order = np.lexsort((start, block))
-    block, start, chosen = block[order], start[order], chosen[order]
+    # walk all blocks in step, one word of each block at a time; a block that has ended stays at its last place, BLOCK
+    follows = np.full((n, BLOCK + 1), BLOCK, dtype=np.int64)
+    follows[:, :BLOCK] = np.arange(BLOCK) + COUNTS[best]
+    follows[follows >= np.minimum(BLOCK, total - np.arange(n) * BLOCK)[:, None]] = BLOCK
+    first = np.arange(n) * (BLOCK + 1)
+    follows = (follows + first[:, None]).ravel()
+    at, last, steps = first, first + BLOCK, []
+    while (at < last).any():
+        for _ in range(16):
+            steps.append(at)
+            at = follows[at]
+    at = np.stack(steps, axis=1).ravel() if steps else np.zeros(0, np.int64)
+    block, start = np.divmod(at, BLOCK + 1)
+    block, start = block[start < BLOCK], start[start < BLOCK]
+    chosen = best[block, start]
     words = chosen.astype(U64) << U64(60)
-    padded = np.concatenate((grid, np.zeros((n, int(COUNTS[0])), dtype=U64)), axis=1)
+    padded = np.zeros((n, BLOCK + int(COUNTS[0])), dtype=U64)
+    padded[:, :BLOCK] = grid
+    flat, at = padded.ravel(), block * padded.shape[1] + start
     for selector in range(2, 16):
         here = np.flatnonzero(chosen == selector)
         if len(here):
-            lanes = np.arange(COUNTS[selector])
-            got = padded[block[here][:, None], start[here][:, None] + lanes] << (lanes * WIDTHS[selector]).astype(U64)
-            words[here] |= np.bitwise_or.reduce(got, axis=1)
+            got, begin = words[here], at[here]
+            for lane in range(COUNTS[selector]):
+                got |= flat[begin + lane] << U64(lane * WIDTHS[selector])
+            words[here] = got
     offsets = np.searchsorted(block, np.arange(n))
     head = np.array([total, n, len(words), len(escaped)], dtype=U64)
     return b"".join(x.astype("<u8").tobytes() for x in (head, offsets, escaped, ids[escaped], words))
@@ -93,7 +111,11 @@ def decode(page: bytes) -> np.ndarray:
         if len(here):
             lanes = np.arange(COUNTS[selector])
             got = words[here][:, None] >> (lanes * WIDTHS[selector]).astype(U64) & ((U64(1) << U64(WIDTHS[selector])) - U64(1))
-            ok = lanes < keep[here][:, None]
-            out[(start[here][:, None] + lanes)[ok]] = got[ok]
+            whole = keep[here] == COUNTS[selector]
+            out[start[here[whole]][:, None] + lanes] = got[whole]
+            if not whole.all():
+                here, got = here[~whole], got[~whole]
+                ok = lanes < keep[here][:, None]
+                out[(start[here][:, None] + lanes)[ok]] = got[ok]
     out[where] = values
     return out

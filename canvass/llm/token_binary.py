@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +28,26 @@ from canvass.llm.tokens import END_ID, encode_column, tokenizer_path
 #: A page is closed when it holds this many ids (its last document may exceed it).
 PAGE_IDS = 256 * 1024
 
+#: Bytes of text that are encoded at once.
+ENCODE_BYTES = 6 * 1024 * 1024
+
 PAGES = ("range int, ids_before long, n_ids long, doc_ids array<bigint>, doc_sizes array<bigint>, page binary")
 
 
+def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of some ENCODE_BYTES of text: each distinct piece of one is looked up once."""
+    held, size = [], 0
+    for batch in batches:
+        for part in cut(batch, "text"):
+            held.append(part)
+            size += pc.sum(pc.binary_length(part.column("text"))).as_py() or 0
+            if size >= ENCODE_BYTES:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def write_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Encode all texts and write the pages in ascending id order; returns the table of pages, read back."""
@@ -54,20 +72,19 @@ def write_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     names=["range", "ids_before", "n_ids", "doc_ids", "doc_sizes", "page"])
                 before, n, docs_, sizes, ids = before + n, 0, [], [], []
 
-        for batch in batches:
-            for part in cut(batch, "text"):
-                rows = zip(part.column("range").to_pylist(), part.column("doc_id").to_pylist(),
-                           encode_column(part.column("text"), path, end_id), strict=True)
-                for r, doc, got in rows:
-                    if r != number:
-                        yield from close()
-                        number, before = r, 0
-                    docs_.append(doc)
-                    sizes.append(len(got))
-                    ids.append(got)
-                    n += len(got)
-                    if n >= PAGE_IDS:
-                        yield from close()
+        for part in together(batches):
+            rows = zip(part.column("range").to_pylist(), part.column("doc_id").to_pylist(),
+                       encode_column(part.column("text"), path, end_id), strict=True)
+            for r, doc, got in rows:
+                if r != number:
+                    yield from close()
+                    number, before = r, 0
+                docs_.append(doc)
+                sizes.append(len(got))
+                ids.append(got)
+                n += len(got)
+                if n >= PAGE_IDS:
+                    yield from close()
         yield from close()
 
     return staged(dealt.mapInArrow(run, PAGES), "tokens")

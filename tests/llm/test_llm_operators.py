@@ -246,6 +246,25 @@ def test_simple8b_round_trip():
         assert (simple8b.decode(simple8b.encode(ids)) == ids).all()
 
 
+def test_simple8b_packs_the_most_ids_a_word():
+    """The selector of each position is the first, by a plain search, whose count of ids fits or ends with the block."""
+    rng = np.random.default_rng(6)
+    for top in (2, 40, 60_000, 2 ** 59):
+        ids = rng.integers(0, top, (3, 300)).astype(np.uint64)
+        ids[rng.random(ids.shape) < 0.7] = 0
+        want = [[next(s for s in range(16) if all(int(x).bit_length() <= simple8b.WIDTHS[s] for x in row[at:at + simple8b.COUNTS[s]]))
+                 for at in range(len(row))] for row in ids]
+        assert simple8b._selectors(ids).tolist() == want
+
+
+def test_texts_are_encoded_in_large_batches_in_their_order():
+    rows = [(i, "x" * 900_000) for i in range(20)] + [(20, None), (21, "")]
+    batches = [pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows[b:b + 4]]) for b in range(0, 20, 4)]
+    batches.append(pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows[20:]], schema=batches[0].schema))
+    got = list(token_binary.together(iter(batches)))
+    assert [r["doc_id"] for b in got for r in b.to_pylist()] == list(range(22)) and len(got) == 3
+
+
 def test_pieces_encode_like_the_whole_text():
     rng = random.Random(3)
     parts = [" ", "  ", "\n", "\t", "a", "B", "é", "1", ".", "'s", "!", "\u00a0", "\u3000", "\x1c", "\x85", "中", "😀", "<|endoftext|>", "\r\n"]
