@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from canvass.llm.common import RELEASE
+
 #: Vocabulary file and the id that ends a document.
 TOKENIZER_FILE = "byte_bpe_50k.json"
 END_ID = 0
@@ -181,6 +183,7 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+RELEASE.append(_ENCODERS.clear)
 
 
 def encoder(path: str) -> Encoder:

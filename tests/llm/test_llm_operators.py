@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 import re
 import zlib
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from canvass.llm import (chat_format, common, license_scan, mixing, near_dup, quality_rules, simple8b, substring_dedup, token_binary,
+from canvass.llm import (chat_format, common, components, license_scan, mixing, near_dup, quality_rules, simple8b, substring_dedup, token_binary,
                          tokens, url_filter, vector_packing, winnowing)
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -246,6 +247,45 @@ def test_simple8b_round_trip():
         assert (simple8b.decode(simple8b.encode(ids)) == ids).all()
 
 
+def test_tasks_without_an_encoder_let_go_of_its_cache():
+    path = tokens.tokenizer_path()
+    assert tokens.encoder(path) is tokens.encoder(path)
+    common.release()
+    assert not tokens._ENCODERS
+
+
+def test_places_of_seeds_in_rounds_are_those_of_one(spark):
+    common.prepare(spark)
+    rows = [(seed - 4, doc, 10 * doc + seed) for seed in range(9) for doc in range(-1, seed) for _ in range(1 + seed % 2)]
+    seeds = spark.createDataFrame(rows, "seed long, doc_id long, pos int")
+    one, four = substring_dedup.place_table(seeds), substring_dedup.place_table(seeds, 4)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, four.collect())) and one.count() > 40
+    assert len(four.staged_at) == 4
+    common.discard(four)
+    assert not any(os.path.exists(p.removeprefix("file:")) for p in four.staged_at)
+
+
+def test_components_of_few_links_take_few_tasks(spark, monkeypatch):
+    common.prepare(spark)
+    parts, staged = [], components.staged
+
+    def counted(df, label):
+        parts.append((label, df.rdd.getNumPartitions()))
+        return staged(df, label)
+
+    monkeypatch.setattr(components, "staged", counted)
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = components.connected(spark.createDataFrame([(i, i + 1) for i in range(9)] + [(20, 30), (30, 20), (7, 7)], "a long, b long"))
+        assert {(r.node, r.root) for r in got.collect()} == {(i, 0) for i in range(10)} | {(20, 20), (30, 20)}
+        assert all(n <= spark.sparkContext.defaultParallelism for label, n in parts if label == "stars")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+
+
 def test_simple8b_packs_the_most_ids_a_word():
     """The selector of each position is the first, by a plain search, whose count of ids fits or ends with the block."""
     rng = np.random.default_rng(6)
