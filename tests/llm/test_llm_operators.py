@@ -468,6 +468,39 @@ def test_passages_of_frequent_seeds_with_added_and_dropped_words(spark):
     assert {r.doc_id for r in found} == set(want)
 
 
+def places_around(rows):
+    """Places (doc_id, pos, sides) of a seed, of (document, words before the seed, words behind it) as marks."""
+    n = substring_dedup.AROUND
+    sides = [bytes([0] * (n - len(left))) + bytes(left) + bytes(right) + bytes([0] * (n - len(right))) for _, left, right in rows]
+    return pa.StructArray.from_arrays([pa.array([d for d, _, _ in rows], pa.int64()), pa.array([len(left) for _, left, _ in rows], pa.int32()),
+                                       pa.array(sides, pa.binary())], names=["doc_id", "pos", "sides"])
+
+
+def test_places_with_nearly_all_words_around_them_equal_may_extend():
+    rng = np.random.default_rng(5)
+    left, right = (rng.integers(1, 255, substring_dedup.AROUND).tolist() for _ in range(2))
+    changed = [1 + right[0] % 254, *right[1:]]
+    found = substring_dedup.extendable(places_around([(7, left, changed)]), places_around([(3, left, right), (9, left, right)]))
+    assert (found[0].tolist(), found[1].tolist()) == ([0], [0])
+    assert substring_dedup.both_reach(*found[2:]).tolist() == [True]
+
+
+def test_places_whose_equal_words_end_before_a_passage_are_not_aligned():
+    """One word 33 times, then others: 33 equal words of 40 are a share of 0.8, but the texts agree in less than 40 words."""
+    rng = np.random.default_rng(6)
+
+    def place(doc, word, n, others):
+        return doc, [word] * n, [word] * (27 - n) + rng.choice(others, substring_dedup.AROUND - 27 + n).tolist()
+
+    asked = [place(100 + n, 1, n, range(2, 100)) for n in range(20)]
+    sources = [place(n, 1, n, range(100, 254)) for n in range(20)]
+    # the same word goes on in the source alone, or in both
+    longer = [(50, [1] * 20, [1] * 40), (51, [1] * 20, [1] * 11 + [2] * 20)]
+    _, j, x, y = substring_dedup.extendable(places_around([*asked, (200, [1] * 20, [1] * 30)]), places_around([*sources, *longer]))
+    kept = substring_dedup.both_reach(x, y)
+    assert {20} == set(j[kept].tolist()) and kept.sum() == 1
+
+
 def test_seeds_are_close_and_chosen_by_their_own_words():
     rng = np.random.default_rng(3)
     k, spacing = substring_dedup.K, substring_dedup.SPACING
