@@ -29,11 +29,15 @@ END_ID = 0
 #: Pieces a worker keeps before it starts its cache anew (bounds its memory, not its results).
 CACHE_PIECES = 1_400_000
 
+#: Pieces whose ids are gathered at once.
+GATHERED = 1 << 14
+
 #: The pattern of the byte-level split, for ASCII text.
 _PARTS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 #: How the byte-level alphabet writes the ASCII bytes that are not printed as themselves.
 _BYTES = {b: 256 + b for b in range(33)} | {127: 289}
-_BYTES_BUT_NEWLINE = {b: c for b, c in _BYTES.items() if b != 10}
+#: Stands between words that are translated together; neither ASCII nor of that alphabet.
+_BETWEEN = "\ue000"
 
 _BLANK_THEN_SPACE = re.compile(r"\s ")
 #: A text that is not simply cut at each space: it begins with one, or has one behind another blank.
@@ -78,6 +82,11 @@ class Encoder:
         # the cuts above are those of this split; another file's pieces go through its whole tokenizer
         plain = self.tokenizer.normalizer is None and str(self.tokenizer.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False")
         self.model = Tokenizer(self.tokenizer.model) if plain and "use_regex=True" in str(self.tokenizer.pre_tokenizer) else None
+        # byte-level tokens are as long as their bytes, added ones are written as they are
+        sizes = {n: len(token) for token, n in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+        sizes |= {n: len(t.content.encode()) for n, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.bytes_of = np.zeros(1 + max(sizes, default=0), dtype=np.int64)
+        self.bytes_of[list(sizes)] = list(sizes.values())
         self._clear()
 
     def _clear(self) -> None:
@@ -94,6 +103,20 @@ class Encoder:
     def _room(array: np.ndarray, n: int) -> np.ndarray:
         return array if n <= len(array) else np.concatenate((array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)))
 
+    def _encoded(self, tokenizer, words: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words (of `sizes` bytes), and how many each has.
+
+        The library's fast call does not tell which word an id is of; the bytes of a word's ids add up to the word's.
+        """
+        ids = np.array(tokenizer.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype=np.uint32)
+        ends, bounds = np.concatenate(([0], np.cumsum(self.bytes_of[ids]))), np.cumsum(sizes)
+        last = np.searchsorted(ends, bounds)
+        if ends[-1] == bounds[-1] and (ends[last] == bounds).all():
+            return ids, np.diff(last, prepend=0)
+        # a byte that the vocabulary lacks has no id, and an added token may take blanks beside it
+        out = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        return np.array(out.ids, dtype=np.uint32), np.bincount(np.array(out.word_ids, dtype=np.int64), minlength=len(words))
+
     def _learn_parts(self, n: int, whole: list[int]) -> None:
         """Encode the parts from number n on; those numbered in `whole` by the whole tokenizer."""
         new = self.parts.new[n:]
@@ -104,12 +127,11 @@ class Encoder:
             if not len(own):
                 continue
             words = [new[i] for i in own.tolist()] if len(own) < len(new) else new
+            sizes = pc.binary_length(pa.array(words, pa.string())).to_numpy()
             if tokenizer is self.model:
-                # one translation of all; a part with the separator in it is rare
-                words = "\n".join(words).translate(_BYTES_BUT_NEWLINE).split("\n") if not any("\n" in w for w in words) else [w.translate(_BYTES) for w in words]
-            out = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(out.ids, dtype=np.uint32)
-            size[own] = np.bincount(np.array(out.word_ids, dtype=np.int64), minlength=len(own)) if len(ids) else 0
+                # one translation of all
+                words = _BETWEEN.join(words).translate(_BYTES).split(_BETWEEN)
+            ids, size[own] = self._encoded(tokenizer, words, sizes)
             start[own] = self.part_used + np.cumsum(size[own]) - size[own]
             self.part_ids = self._room(self.part_ids, self.part_used + len(ids))
             self.part_ids[self.part_used:self.part_used + len(ids)] = ids
@@ -123,9 +145,11 @@ class Encoder:
         """Encode the pieces that are new since the last call."""
         n, at, known = self.done, self.used, len(self.parts.new)
         new = self.seen[n:]
+        together = _BETWEEN.join(new)
+        added = [a for a in self.added if a in together]
         number, index, counts, whole = self.parts.__getitem__, [], [], []
         for piece in new:
-            if self.model is None or not piece.isascii() or any(a in piece for a in self.added):
+            if self.model is None or not piece.isascii() or (added and any(a in piece for a in added)):
                 whole.append(len(self.parts.new))
                 index.append(whole[-1])
                 self.parts.new.append(piece)  # a part of its own, which no other piece looks up
@@ -175,9 +199,15 @@ class Encoder:
             self._learn()
         if not len(index):
             return [_NONE for _ in texts]
-        size = self.size[index]
+        size, start = self.size[index], self.start[index]
         ends = np.cumsum(size)
-        ids = self.ids[np.repeat(self.start[index] - ends + size, size) + np.arange(ends[-1])]
+        ids = np.empty(ends[-1], dtype=np.uint32)
+        for a in range(0, len(index), GATHERED):  # by parts that stay in the processor's cache
+            own = size[a:a + GATHERED]
+            first, last = int(ends[a] - own[0]), int(ends[a + len(own) - 1])
+            where = np.repeat(start[a:a + len(own)] - ends[a:a + len(own)] + own, own)
+            where += np.arange(first, last)
+            np.take(self.ids, where, out=ids[first:last], mode="clip")
         bounds = np.concatenate(([0], ends))[np.cumsum(counts)]
         return np.split(ids, bounds[:-1])
 

@@ -501,6 +501,24 @@ def test_places_whose_equal_words_end_before_a_passage_are_not_aligned():
     assert {20} == set(j[kept].tolist()) and kept.sum() == 1
 
 
+def test_parts_are_encoded_by_one_fast_call_a_batch(monkeypatch):
+    """Newlines, accents, control bytes and added tokens: the ids of whole texts, without the call that tracks offsets."""
+    encoder = tokens.Encoder(tokens.tokenizer_path())
+    texts = ["a\nb  c", None, "", "  x ", "it's\t\nok  \n", "\u0100 x\u0100y", "\u00e9t\u00e9 na\u00efve \ue000 x", "a\x00b \x00", "a <|endoftext|> b", "word " * 40_000 + "end"]
+    want = [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    slow = []
+
+    class Fast:
+        def __init__(self, tokenizer):
+            self.encode_batch_fast = tokenizer.encode_batch_fast
+
+        def encode(self, *args, **more):
+            slow.append(args)
+
+    encoder.tokenizer, encoder.model = Fast(encoder.tokenizer), Fast(encoder.model)
+    assert [x.tolist() for x in encoder.encode(texts)] == want and not slow
+
+
 def test_seeds_are_close_and_chosen_by_their_own_words():
     rng = np.random.default_rng(3)
     k, spacing = substring_dedup.K, substring_dedup.SPACING
