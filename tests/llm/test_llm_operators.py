@@ -501,6 +501,106 @@ def test_places_whose_equal_words_end_before_a_passage_are_not_aligned():
     assert {20} == set(j[kept].tolist()) and kept.sum() == 1
 
 
+def test_places_in_runs_of_one_word_are_counted_before_they_are_put_in_order(monkeypatch):
+    rng = np.random.default_rng(7)
+    n = substring_dedup.AROUND
+
+    def place(doc, others):
+        """A place in a run of the word 1, other words beside it."""
+        left, right = rng.integers(4, 24, 2).tolist()
+        return doc, [*rng.choice(others, n - left).tolist(), *[1] * left], [*[1] * right, *rng.choice(others, n - right).tolist()]
+
+    asked, sources = places_around([place(1000 + k, range(2, 125)) for k in range(250)]), places_around([place(k, range(125, 250)) for k in range(250)])
+    seen, in_order = [], substring_dedup.in_order
+    monkeypatch.setattr(substring_dedup, "in_order", lambda x, bits, i, j: seen.append(len(i)) or in_order(x, bits, i, j))
+    got = substring_dedup.extendable(asked, sources)
+    few = sum(seen)
+    monkeypatch.setattr(substring_dedup, "enough_words", lambda x, y: True)
+    want = substring_dedup.extendable(asked, sources)
+    assert len(want[0]) and all((a == b).all() for a, b in zip(got, want, strict=True))
+    assert few < (sum(seen) - few) / 2
+
+
+def chain_rows(rng, own, source, n):
+    """Chains of one document and one source with the source's words around them; the first stand at planted passages."""
+    m, k = substring_dedup.MARGIN, substring_dedup.K
+    rows = []
+    for t in range(n):
+        at, to, size = (int(x) for x in rng.integers(0, len(own) - 90, 3))
+        size = size % 80
+        more = int(rng.integers(0, 4)) if t % 5 == 0 else 0
+        if t % 3:
+            source[to:to + size + k] = own[at:at + size + k]
+        rows.append((7, 3, at, at + size, to, to + size + more))
+    words = [source[max(0, r[4] - m):r[5] + k + m] for r in rows]
+    cols = [*zip(*rows, strict=True), [w.tobytes() for w in words], [max(0, r[4] - m) for r in rows]]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.binary()), pa.array(cols[7], pa.int64())],
+                                      names=[*substring_dedup.CHAIN, "source_words", "source_words_at"])
+
+
+def test_chains_of_equal_length_are_aligned_together_as_one_by_one():
+    k, fast = substring_dedup.K, 0
+    for seed in range(6):
+        rng = np.random.default_rng(seed)
+        own, source = (rng.integers(0, 3000 if seed % 2 else 4, 900).astype("<u4") for _ in range(2))
+        rows = chain_rows(rng, own, source, 60)
+        # the last words are missing: the text of another row of the same id
+        for mine in (own, own[:500]):
+            def alone(r):
+                start = max(0, r["first"] - substring_dedup.MARGIN)
+                a, b = mine[start:r["last"] + k + substring_dedup.MARGIN].astype(np.uint64), np.frombuffer(r["source_words"], "<u4").astype(np.uint64)
+                base = r["source_words_at"]
+                found = substring_dedup.parts(a, b, r["first"] - start, r["last"] - start + k, r["source_first"] - base, r["source_last"] - base + k)
+                return [(i + start, j + start, s + base, t + base, share) for i, j, s, t, share in found]
+
+            for some in (rows, rows.slice(7, 20)):
+                slow, found, shares = substring_dedup.equal_chains(mine, some)
+                _, i, j, _, s, t = (x.tolist() for x in found)
+                each = [r for r in some.to_pylist()]
+                got = [*zip(i, j, s, t, shares.tolist(), strict=True), *(p for at in slow.tolist() for p in alone(each[at]))]
+                assert sorted(got) == sorted(p for r in each for p in alone(r))
+                fast += len(shares)
+    assert fast > 30
+
+
+def test_equal_words_are_those_of_the_banded_table():
+    def table(a, b):
+        if len(a) > len(b):
+            a, b = b, a
+        half, best = substring_dedup.BAND + len(b) - len(a), np.zeros((len(a) + 1, len(b) + 1), dtype=int)
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                near = abs(i - j) <= half and a[i - 1] == b[j - 1]
+                best[i, j] = max(best[i - 1, j], best[i, j - 1], best[i - 1, j - 1] + near)
+        return best[-1, -1]
+
+    rng = np.random.default_rng(8)
+    for _ in range(80):
+        n, m = rng.integers(1, 70, 2)
+        a, b = (rng.integers(0, 6, x).astype(np.uint64) for x in (n, m))
+        if n != m:
+            assert substring_dedup.aligned(a, b) == substring_dedup.aligned(b, a) == table(a, b)
+    a, b = np.roll(np.arange(60), 30).astype(np.uint64), np.arange(60).astype(np.uint64)
+    assert substring_dedup.aligned(a, b) == table(a, b) == 0
+
+
+def test_matches_that_reach_no_passage_are_left_out_together(monkeypatch):
+    rng = np.random.default_rng(9)
+    seen, passage = [], substring_dedup.passage
+    monkeypatch.setattr(substring_dedup, "passage", lambda *args: seen.append(args) or passage(*args))
+    plain, results, calls = substring_dedup.without_short, [], []
+    texts = []
+    for run, tail in ((20, 200), (60, 90), (9, 30)):
+        a, b = (np.concatenate(([1] * run, rng.integers(2, 10**6, tail), [5] * 30, rng.integers(2, 10**6, 40))).astype(np.uint64) for _ in range(2))
+        texts.append((a, b))
+    for test in (plain, lambda a, b, pos, src, found: found):
+        monkeypatch.setattr(substring_dedup, "without_short", test)
+        seen.clear()
+        results.append([substring_dedup.parts(a, b, 0, substring_dedup.K, 0, substring_dedup.K, True) for a, b in texts])
+        calls.append(len(seen))
+    assert results[0] == results[1] and any(results[0]) and calls[0] < calls[1] / 2
+
+
 def test_parts_are_encoded_by_one_fast_call_a_batch(monkeypatch):
     """Newlines, accents, control bytes and added tokens: the ids of whole texts, without the call that tracks offsets."""
     encoder = tokens.Encoder(tokens.tokenizer_path())
