@@ -443,6 +443,46 @@ def test_changed_passages_of_frequent_seeds(spark):
         assert len(covered) >= 58
 
 
+def test_passages_in_rounds_are_those_of_one(spark, monkeypatch):
+    """Two rounds of each step give the rows of one, and leave no staged table but the results."""
+    rng = random.Random(21)
+    common.prepare(spark)
+    shared, docs = words(rng, 60), []
+    for i in range(substring_dedup.PLACES + 14):
+        pieces = [words(rng, 40) + shared[b:b + 12] for b in range(0, 54, 6)]
+        docs.append((i, " ".join(w for p in rng.sample(pieces, len(pieces)) for w in p)))
+    for i in range(100, 106):
+        docs.append((i, " ".join(words(rng, 40) + shared[:i - 80] + words(rng, 1) + shared[i - 79:] + words(rng, 40))))
+    docs += [(110, docs[-1][1]), (110, docs[-1][1]), (111, docs[0][1])]
+    table = common.staged(substring_dedup.word_table(spark.createDataFrame(docs, "doc_id long, text string")), "words")
+    places = substring_dedup.place_table(substring_dedup.seed_table(table))
+    none = spark.createDataFrame([], "doc_id long, start long, end long")
+    here = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    results, labels, staged = [], [], substring_dedup.staged
+    monkeypatch.setattr(substring_dedup, "staged", lambda df, label, *onto: labels.append(label) or staged(df, label, *onto))
+    monkeypatch.setattr(substring_dedup, "BLOCK", 8)
+    monkeypatch.setattr(substring_dedup, "BLOCKS", 1)
+    for n in (1, 2):
+        labels.clear()
+        monkeypatch.setattr(substring_dedup, "rounds_of", lambda size, words, n=n: n)
+        before = set(os.listdir(here))
+        rest = substring_dedup.with_rest(table, places, none)
+        found = substring_dedup.compared(table, rest, near=True)
+        found = substring_dedup.compared(table, substring_dedup.with_first(places), found)
+        assert set(os.listdir(here)) - before == {os.path.basename(x.staged_at) for x in (rest, found)}
+        assert [labels.count(x) for x in ("around", "rest", "tested", "found")] == [n, n * n, n, 2 * n]
+        results.append((sorted(map(tuple, rest.collect())), sorted(map(tuple, found.distinct().collect()))))
+    assert results[0] == results[1]
+    assert {r[0] for r in results[0][1]} >= {*range(101, 106), 111} and len(results[0][0]) > 100
+
+
+def test_rounds_follow_the_words(spark):
+    common.prepare(spark)
+    words, least = common.staged(spark.range(10), "words"), substring_dedup.ROUND_BYTES
+    assert [substring_dedup.rounds_of(n, words) for n in (0, least, least + 1, 10 * least)] == [1, 1, 2, 10]
+    assert 0 < common.staged_bytes(words) < 100_000
+
+
 def test_passages_of_frequent_seeds_with_added_and_dropped_words(spark):
     """Neither side of the words added or dropped reaches MIN_WORDS; of the last passage the first half has rare seeds and only the
     second half frequent ones."""
