@@ -481,6 +481,11 @@ def test_rounds_follow_the_words(spark):
     words, least = common.staged(spark.range(10), "words"), substring_dedup.ROUND_BYTES
     assert [substring_dedup.rounds_of(n, words) for n in (0, least, least + 1, 10 * least)] == [1, 1, 2, 10]
     assert 0 < common.staged_bytes(words) < 100_000
+    rows = spark.range(200)
+    for made, rounds in ((None, 10), (least, 10), (least // 8, 3)):
+        seen = []
+        substring_dedup.in_rounds(10 * least, words, lambda mine, seen=seen, made=made: seen.append({r.id for r in rows.where(mine("id")).collect()}) or made)
+        assert len(seen) == rounds and sum(map(len, seen)) == 200 and len(set.union(*seen)) == 200, (made, len(seen))
 
 
 def test_passages_of_frequent_seeds_with_added_and_dropped_words(spark):
